@@ -46,17 +46,21 @@ def is_blank(c: str | Column) -> Column:
     return col(c).isNull() | (F.trim(col(c)) == "")
 
 
+# What counts as numeric text and as a calendar date.
+NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+DATE_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+
+
 def to_number(c: str | Column) -> Column:
-    """Trimmed text to double; blank, malformed, NaN and infinite text become NULL."""
-    number = F.nullif(F.trim(col(c).cast("string")), F.lit("")).try_cast("double")
-    return F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(number)
+    """Trimmed text to double; anything that is not a plain finite number becomes NULL."""
+    text = F.trim(col(c).cast("string"))
+    return F.when(text.rlike(NUMBER_PATTERN), text).try_cast("double")
 
 
 def strict_date(c: str | Column) -> Column:
-    """``yyyy-MM-dd`` exactly; anything else is NULL."""
+    """Year-month-day with dashes; anything else, white space included, is NULL."""
     text = col(c)
-    shaped = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
-    return F.try_to_timestamp(shaped, F.lit("yyyy-MM-dd")).cast("date")
+    return F.try_to_timestamp(F.when(text.rlike(DATE_PATTERN), text), F.lit("yyyy-M-d")).cast("date")
 
 
 def finite(c: str | Column) -> Column:

@@ -8,6 +8,10 @@ from wardenframe.plans.registry import REGISTRY, Query
 
 MODULES = (
     "pharmacy",
+    "headers",
+    "validation",
+    "preparation",
+    "claims",
 )
 
 
