@@ -98,18 +98,20 @@ def relative_change(current: str | Column, previous: str | Column, guarded: bool
     return F.when(base > 0, change) if guarded else change
 
 
-def ratio_family(name: str, numerator: str | Column, denominator: str | Column, upper: float = 1.0) -> list[Column]:
-    """Raw ratio, out-of-range flag, missing flag and the ratio kept only where it is in range."""
-    n, d = col(numerator), col(denominator)
-    raw = positive_ratio(n, d)
-    outside = raw < 0
-    if upper != float("inf"):
-        outside = outside | (raw > upper)
+def ratio_family(name: str, numerator: str, denominator: str, upper: float = 1.0) -> list[Column]:
+    """Raw ratio, out-of-range flag, missing flag and the ratio kept only where it is in range.
+
+    Written as SQL text: a feature layout holds hundreds of these columns, and one parsed expression
+    is far cheaper to build from Python than a tree of calls.
+    """
+    n, d = numerator, denominator
+    raw = f"CASE WHEN {d} > 0 THEN try_divide({n}, {d}) END"
+    outside = f"({raw}) < 0" if upper == float("inf") else f"({raw}) NOT BETWEEN 0 AND {upper}"
     return [
-        raw.alias(f"{name}_raw"),
-        as_int(outside).alias(f"{name}_invalid_flag"),
-        (n.isNull() | d.isNull() | flag(d <= 0)).cast("int").alias(f"{name}_missing_flag"),
-        F.when(~flag(outside), raw).alias(name),
+        F.expr(f"{raw} AS {name}_raw"),
+        F.expr(f"CAST(coalesce({outside}, false) AS INT) AS {name}_invalid_flag"),
+        F.expr(f"CAST({n} IS NULL OR {d} IS NULL OR coalesce({d} <= 0, false) AS INT) AS {name}_missing_flag"),
+        F.expr(f"CASE WHEN NOT coalesce({outside}, false) THEN {raw} END AS {name}"),
     ]
 
 
@@ -172,13 +174,24 @@ def title_words(c: Column) -> Column:
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
-    """Attach a one-row result (a global aggregate) as struct column ``name``.
+    """Attach a one-row result (a global aggregate) as struct column ``name`` of constants.
+
+    The row is fetched first, as any ``fit`` does: its width is the number of statistics, whatever the
+    size of the table. Constants fold into the expressions that read them, so filters on derived
+    columns push down without dragging a subquery along, and no join is needed.
+    """
+    row = one_row.first()
+    fields = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema.fields]
+    return df.withColumn(name, F.struct(*fields))
+
+
+def compute_once(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Evaluate SQL columns exactly once per row.
 
-    A scalar subquery: computed once, shipped as one value, no join. Keeping it in its own
-    projection lets many expressions read it without planning it again.
+    A filter or projection on top of wide expressions is otherwise rewritten in terms of their inputs,
+    copying the whole expression at every use. Unpacking a one-element array keeps them apart.
     """
-    packed = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias(name))
-    return df.withColumn(name, packed.scalar())
+    return df.selectExpr(*keep, f"inline(array(named_struct({', '.join(columns)})))")
 
 
 def unpivot_numeric(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), name: str = "feature", value: str = "value") -> DataFrame:

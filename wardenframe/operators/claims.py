@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from wardenframe.functions.columns import (
     any_of,
     as_int,
-    exceeds_flag,
     flag,
     highest_severity,
     join_present,
-    null_count,
     parse_bool,
     ratio_family,
     row_sum,
@@ -127,9 +125,9 @@ def claims_features(df: DataFrame) -> DataFrame:
     wide = wide.select(
         "*",
         *[c for name, n, d, upper in ALL_RATIOS for c in ratio_family(name, n, d, upper)],
-        *[exceeds_flag(a, b).alias(name) for name, a, b in EXCEEDS],
-        *[(F.col(a) - F.col(b)).alias(name) for name, a, b in DIFFERENCES],
-        *[null_count(cols).alias(name) for name, cols in MISSING_GROUPS.items()],
+        *[F.expr(f"int(coalesce({a} > {b}, false)) AS {name}") for name, a, b in EXCEEDS],
+        *[F.expr(f"{a} - {b} AS {name}") for name, a, b in DIFFERENCES],
+        *[F.expr(" + ".join(f"int({c} IS NULL)" for c in cols) + f" AS {name}") for name, cols in MISSING_GROUPS.items()],
     )
     share = F.col("total_important_missing_count") / len(MISSING_GROUPS["total_important_missing_count"])
     return wide.withColumn("important_missing_rate", share)

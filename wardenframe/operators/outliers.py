@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardenframe.functions.columns import as_int, flag, total, with_scalars
+from wardenframe.functions.columns import compute_once
 from wardenframe.functions.quantiles import quantile_row
 
 # Words that mark rate and count features.
@@ -34,34 +34,41 @@ class Limits:
     missing_high: float = 0.75
 
 
-def feature_statistics(df: DataFrame, features: Sequence[str], limits: Limits = Limits()) -> DataFrame:
-    """One row: mean, deviation, count and the four quantiles of every feature."""
+def feature_statistics(df: DataFrame, features: Sequence[str], limits: Limits = Limits()) -> dict[str, dict[str, float | None]]:
+    """Count, mean, deviation and the four quantiles of every feature: one aggregate row each, fetched."""
     moments = df.agg(*[
         f(c).alias(f"{c}__{n}") for c in features for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp))
-    ])
+    ]).first()
     probs = {"low": limits.low, "q1": 0.25, "q3": 0.75, "high": limits.high}
-    packed = moments.select(F.struct("*").alias("m")).scalar()
-    return quantile_row(df, features, probs).withColumn("_m", packed).select("*", "_m.*").drop("_m")
+    quantiles = quantile_row(df, features, probs).first()
+    return {
+        c: {n: moments[f"{c}__{n}"] for n in ("n", "mean", "sd")} | {p: quantiles[f"{c}__{p}"] for p in probs} for c in features
+    }
 
 
-def feature_flags(c: str, limits: Limits, stats: str = "_s") -> dict[str, Column]:
-    """Flags of one feature, all false where it has too few values."""
+def feature_flags(c: str, stats: dict[str, float | None], limits: Limits) -> dict[str, str]:
+    """SQL text of one feature's flags; constantly false where it has too few values to judge.
 
-    def s(name: str) -> Column:
-        return F.col(f"{stats}.{c}__{name}")
+    SQL text because a detector looks at a hundred features and more.
+    """
+    never = {"z": "false", "iqr": "false", "below": "false", "above": "false", "z_score": "CAST(NULL AS DOUBLE)"}
+    if stats["n"] < limits.minimum_values:
+        return never
 
-    value = F.col(c)
-    enough = s("n") >= limits.minimum_values
-    z = F.try_divide(value - s("mean"), F.when(s("sd") > 0, s("sd")))
-    spread = s("q3") - s("q1")
-    fenced = (spread > limits.minimum_spread) & ((value < s("q1") - limits.fence * spread) | (value > s("q3") + limits.fence * spread))
-    return {
-        "z": flag(enough & (F.abs(z) >= limits.z)),
-        "iqr": flag(enough & fenced),
-        "below": flag(enough & (value < s("low"))),
-        "above": flag(enough & (value > s("high"))),
-        "z_score": z,
-    }
+    def d(x: float) -> str:
+        return f"{float(x)!r}D"
+
+    flags = dict(never)
+    if stats["sd"] is not None and stats["sd"] > 0:
+        flags["z_score"] = f"(({c} - {d(stats['mean'])}) / {d(stats['sd'])})"
+        flags["z"] = f"coalesce(abs({flags['z_score']}) >= {d(limits.z)}, false)"
+    spread = stats["q3"] - stats["q1"]
+    if spread > limits.minimum_spread:
+        low, high = stats["q1"] - limits.fence * spread, stats["q3"] + limits.fence * spread
+        flags["iqr"] = f"coalesce({c} < {d(low)} OR {c} > {d(high)}, false)"
+    flags["below"] = f"coalesce({c} < {d(stats['low'])}, false)"
+    flags["above"] = f"coalesce({c} > {d(stats['high'])}, false)"
+    return flags
 
 
 def is_rate(name: str) -> bool:
@@ -72,41 +79,40 @@ def is_count(name: str) -> bool:
     return any(w in name.lower() for w in COUNT_WORDS)
 
 
-def invalid_flags(features: Sequence[str], limits: Limits) -> list[tuple[str, Column, str]]:
-    """(feature, flag, mark): rates outside their range, then negative counts."""
-    rates = [(c, flag(~F.col(c).between(0, limits.rate_upper)), "INVALID_RATE") for c in features if is_rate(c)]
-    return rates + [(c, flag(F.col(c) < 0), "INVALID_NEGATIVE") for c in features if is_count(c)]
-
-
-def _shown(c: str) -> Column:
-    return F.concat(F.lit(f"{c}="), F.format_string("%.4f", F.round(F.col(c), 4)))
+def invalid_flags(features: Sequence[str], limits: Limits) -> list[tuple[str, str, str]]:
+    """(feature, SQL flag, mark): rates outside their range, then negative counts."""
+    rates = [(c, f"coalesce({c} < 0 OR {c} > {limits.rate_upper}, false)", "INVALID_RATE") for c in features if is_rate(c)]
+    return rates + [(c, f"coalesce({c} < 0, false)", "INVALID_NEGATIVE") for c in features if is_count(c)]
 
 
 def detect(df: DataFrame, features: Sequence[str], keep: Sequence[str], limits: Limits = Limits()) -> DataFrame:
     """Per row: outlier, percentile, missing and invalid counts, ratios, severity and a feature list."""
     narrow = df.select(*keep, *features)
-    wide = with_scalars(narrow, feature_statistics(narrow, features, limits), "_s")
-    flags = {c: feature_flags(c, limits) for c in features}
+    stats = feature_statistics(narrow, features, limits)
+    flags = {c: feature_flags(c, stats[c], limits) for c in features}
     invalid = invalid_flags(features, limits)
-    listed: list[Column] = []
-    for c in features:
-        mark = F.when(flags[c]["z"], F.concat(_shown(c), F.lit(" [Z="), F.format_string("%.2f", F.round(flags[c]["z_score"], 2)), F.lit("]")))
-        listed.append(mark.when(flags[c]["iqr"], F.concat(_shown(c), F.lit(" [IQR]"))))
-    listed += [F.when(p, F.concat(_shown(c), F.lit(f" [{mark}]"))) for c, p, mark in invalid]
-
-    def count(kind: str) -> Column:
-        return total(as_int(flags[c][kind]) for c in features)
-
-    counted = wide.select(
-        *keep,
-        count("z").alias("z_outlier_count"),
-        count("iqr").alias("iqr_outlier_count"),
-        count("below").alias("below_low_percentile"),
-        count("above").alias("above_high_percentile"),
-        total(F.col(c).isNull().cast("int") for c in features).alias("missing_count"),
-        (total(as_int(p) for _, p, _ in invalid) if invalid else F.lit(0)).alias("invalid_count"),
-        F.concat_ws(" | ", *listed).alias("outlier_features"),
-    )
+
+    def shown(c: str) -> str:
+        return f"concat('{c}=', format_string('%.4f', round({c}, 4))"
+
+    listed = [
+        f"CASE WHEN {flags[c]['z']} THEN {shown(c)}, ' [Z=', format_string('%.2f', round({flags[c]['z_score']}, 2)), ']') "
+        f"WHEN {flags[c]['iqr']} THEN {shown(c)}, ' [IQR]') END"
+        for c in features
+    ] + [f"CASE WHEN {p} THEN {shown(c)}, ' [{mark}]') END" for c, p, mark in invalid]
+
+    def count(predicates: Sequence[str]) -> str:
+        return " + ".join(f"int({p})" for p in predicates) if predicates else "0"
+
+    counted = compute_once(narrow, keep, [
+        f"'z_outlier_count', {count([flags[c]['z'] for c in features])}",
+        f"'iqr_outlier_count', {count([flags[c]['iqr'] for c in features])}",
+        f"'below_low_percentile', {count([flags[c]['below'] for c in features])}",
+        f"'above_high_percentile', {count([flags[c]['above'] for c in features])}",
+        f"'missing_count', {count([f'{c} IS NULL' for c in features])}",
+        f"'invalid_count', {count([p for _, p, _ in invalid])}",
+        f"'outlier_features', concat_ws(' | ', {', '.join(listed)})",
+    ])
     return summarise(counted, len(features), limits)
 
 
