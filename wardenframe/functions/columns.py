@@ -80,6 +80,11 @@ def clean_key(c: str | Column) -> Column:
     return F.when(text.isin(*MISSING_KEY_WORDS), "").otherwise(text)
 
 
+def round_decimal(value: Column, digits: int) -> Column:
+    """Half-up rounding of the decimal value, so that binary noise in a sum cannot turn a tie."""
+    return F.round(value.cast("decimal(20,9)"), digits).cast("double")
+
+
 def positive_ratio(numerator: str | Column, denominator: str | Column) -> Column:
     """n / d where d > 0, else NULL."""
     d = col(denominator)

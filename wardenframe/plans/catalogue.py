@@ -12,6 +12,8 @@ MODULES = (
     "validation",
     "preparation",
     "claims",
+    "prescriber",
+    "authorization",
 )
 
 
