@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardenframe.functions.columns import severity_rank, tiers
+from wardenframe.functions.columns import lookup, round_decimal, severity_rank, tiers, with_scalars
 
 # Severities from weak to strong.
 SEVERITY_ORDER = ("NORMAL", "LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -69,3 +69,88 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     rest = [c for c in df.columns if c not in key]
     first = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("s"))
     return first.select(*key, *[F.col(f"s.{c}").alias(c) for c in rest])
+
+
+# ---------------------------------------------------------------- counts and trends
+
+# Labels of the store.
+STORE_SEVERITIES = {"HIGH": "HIGH", "MEDIUM": "MEDIUM", "LOW": "LOW", "CRITICAL": "CRITICAL", "NORMAL": "LOW"}
+
+
+def store_severity(raw: Column) -> Column:
+    """Severity text to the store's enumeration; unknown text is MEDIUM."""
+    return lookup(STORE_SEVERITIES, F.upper(raw), F.lit("MEDIUM"))
+
+
+def store_type(raw: Column) -> Column:
+    """Detection label to the store's anomaly type."""
+    text = F.upper(raw)
+    rule, model = F.contains(text, F.lit("RULE")), F.contains(text, F.lit("ML"))
+    return F.when(rule & model, "INVALID_DOMAIN").when(rule, "NEGATIVE_VALUE").when(model, "SLA_PROCESSING_SPIKE").otherwise("MISSING_FIELD")
+
+
+def counts_by(df: DataFrame, *columns: str) -> DataFrame:
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("records"))
+
+
+def trend(df: DataFrame, at: str, unit: str = "day", category: str | None = None) -> DataFrame:
+    """Anomalies per period, optionally per category."""
+    period = F.date_format(F.date_trunc(unit, F.col(at)), "yyyy-MM-dd").alias("period")
+    return df.groupBy(period, *([category] if category else [])).agg(F.count(F.lit(1)).alias("anomalies"))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    return round_decimal(F.try_divide(part * 100.0, whole), 4)
+
+
+def check_pass_rates(checks: DataFrame, kind: str, checked: str, failed: str) -> DataFrame:
+    """Pass rate of the checks of each type."""
+    return checks.groupBy(kind).agg(
+        F.count(F.lit(1)).alias("checks"), F.sum(checked).alias("records_checked"), F.sum(failed).alias("records_failed"),
+        percent(F.sum(checked) - F.sum(failed), F.sum(checked)).alias("pass_rate"),
+    )
+
+
+def dashboard_summary(store: DataFrame, open_states: Sequence[str] = ("OPEN", "IN_PROGRESS")) -> DataFrame:
+    """Records, pass rate, open anomalies, SLA breaches and mean resolution time in one aggregate."""
+    n = F.count(F.lit(1))
+    return store.agg(
+        n.alias("total_records"),
+        percent(F.count_if(F.col("severity") == "LOW"), n).alias("pass_rate"),
+        F.count_if(F.col("status").isin(*open_states)).alias("open_anomalies"),
+        F.count_if(F.col("sla_state") == "breached").alias("sla_breaches"),
+        round_decimal(F.avg(F.when(F.col("status") == "RESOLVED", F.col("resolution_hours"))), 4).alias("avg_resolution_hours"),
+    )
+
+
+def source_totals(sources: DataFrame, kind: str) -> DataFrame:
+    return sources.groupBy(kind).agg(
+        F.count(F.lit(1)).alias("sources"), F.sum("records").alias("records"), F.sum("errors").alias("errors"), F.count_if(F.col("status") == "healthy").alias("healthy")
+    )
+
+
+def helpful_rate(feedback: DataFrame, helpful: Column) -> DataFrame:
+    n = F.count(F.lit(1))
+    return feedback.agg(n.alias("feedback"), F.count_if(helpful).alias("helpful"), F.count_if(~helpful).alias("not_helpful"), percent(F.count_if(helpful), n).alias("helpful_rate"))
+
+
+def confidence_summary(recommendations: DataFrame, confidence: str, sure: float = 90) -> DataFrame:
+    return recommendations.agg(
+        F.count(F.lit(1)).alias("recommendations"),
+        round_decimal(F.avg(F.col(confidence).cast("decimal(20,4)")), 4).alias("mean_confidence"),
+        F.count_if(F.col(confidence) >= sure).alias("sure"),
+    )
+
+
+def sla_compliance(items: DataFrame, state: str) -> DataFrame:
+    """Share of items that are not breached; 100 when there is none."""
+    n = F.count(F.lit(1))
+    return items.agg(n.alias("items"), F.coalesce(percent(F.count_if(F.col(state) != "breached"), F.nullif(n, F.lit(0))), F.lit(100.0)).alias("compliance"))
+
+
+def min_max(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Scale to 0..1 over the table; all 0 when every value is equal."""
+    wide = with_scalars(df, df.agg(F.min(column).alias("low"), F.max(column).alias("high")), "_mm")
+    spread = F.col("_mm.high") - F.col("_mm.low")
+    scaled = F.when(spread > 0, (F.col(column) - F.col("_mm.low")) / spread).otherwise(0.0)
+    return wide.select(*df.columns, scaled.alias(name))

@@ -14,6 +14,7 @@ MODULES = (
     "claims",
     "prescriber",
     "authorization",
+    "serving",
 )
 
 
