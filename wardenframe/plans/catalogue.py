@@ -15,6 +15,7 @@ MODULES = (
     "prescriber",
     "authorization",
     "serving",
+    "models",
 )
 
 
