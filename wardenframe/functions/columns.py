@@ -199,6 +199,11 @@ def compute_once(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) ->
     return df.selectExpr(*keep, f"inline(array(named_struct({', '.join(columns)})))")
 
 
+def pin(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row (see ``compute_once``)."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def unpivot_numeric(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), name: str = "feature", value: str = "value") -> DataFrame:
     """Long form (keys, name, value) of numeric columns; a narrow map, no shuffle."""
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(keys), list(cols), name, value)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardenframe.functions.columns import any_of, as_int, finite, flag, lookup, numeric_lookup, plain_ratio, relative_change, round_decimal, total
+from wardenframe.functions.columns import any_of, as_int, finite, flag, lookup, numeric_lookup, pin, plain_ratio, relative_change, round_decimal, total
 from wardenframe.operators.rules import Rule, evidence_array, two_level, verdict_columns
 
 # Change name and its metric.
@@ -128,8 +128,8 @@ def suppression_context(columns: Sequence[str]) -> list[Rule]:
 
 def evaluate(df: DataFrame, thresholds: Mapping[str, float] | None = None) -> DataFrame:
     """Add evidence, context and the rule verdict."""
-    found = df.select(
-        "*",
+    found = pin(
+        df,
         evidence_array(prescriber_rules(df.columns, thresholds)).alias("reasons"),
         evidence_array(suppression_context(df.columns)).alias("context_reasons"),
     )
@@ -208,7 +208,7 @@ def classify(df: DataFrame) -> DataFrame:
             F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 4).alias("score"),
         )
 
-    tagged = df.withColumn("evidence", F.transform(everything, scored))
+    tagged = pin(df, F.transform(everything, scored).alias("evidence"))
 
     def has(kind: str) -> Column:
         return F.exists("evidence", lambda e: e["category"] == kind)
@@ -231,8 +231,8 @@ def score_evidence(df: DataFrame) -> DataFrame:
     def strongest(kind: str) -> Column:
         return F.coalesce(F.array_max(F.transform(F.filter("evidence", lambda e: e["category"] == kind), lambda e: e["score"])), F.lit(0.0))
 
-    return df.select(
-        "*",
+    return pin(
+        df,
         round_decimal(noisy_or(F.transform(counted, lambda e: e["score"])), 4).alias("rule_evidence_score"),
         strongest("HARD_ANOMALY").alias("hard_anomaly_score"),
         strongest("DATA_QUALITY").alias("data_quality_score"),
@@ -258,7 +258,7 @@ def fuse(df: DataFrame) -> DataFrame:
     on = {f: flag(F.col(f)) for f, _ in FUSION_SOURCES}
     active = total(as_int(on[f]) for f, _ in FUSION_SOURCES)
     weight = total(F.when(on[f], F.coalesce(F.col(s), F.lit(0.0))).otherwise(0.0) for f, s in FUSION_SOURCES)
-    counted = df.select("*", active.alias("active_sources"), weight.alias("_w"))
+    counted = pin(df, active.alias("active_sources"), weight.alias("_w"))
     mean = F.coalesce(F.try_divide(F.col("_w"), F.col("active_sources")), F.lit(0.0))
     return counted.select(
         *df.columns, "active_sources", (F.col("active_sources") >= 2).alias("multi_source_anomaly"),

@@ -16,6 +16,7 @@ MODULES = (
     "authorization",
     "serving",
     "models",
+    "knowledge",
 )
 
 
