@@ -185,10 +185,14 @@ def vocabulary_table(spark: SparkSession, contracts: Iterable[Contract]) -> Data
     return spark.createDataFrame(vocabulary(contracts), "schema string, known string, canonical string")
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of characters in matching blocks, as ``difflib`` defines it."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Share of characters in matching blocks, as ``difflib`` defines it (Arrow batches of distinct names)."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
+
+    return ratio(a, b)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -204,7 +208,7 @@ def fuzzy_candidates(norms: DataFrame, contracts: Sequence[Contract], threshold:
         F.struct(F.lit(s).alias("schema"), F.lit(k).alias("known"), F.lit(c).alias("canonical")) for s, k, c in vocabulary(contracts)
     ])
     pairs = norms.select("norm", F.explode(known).alias("v")).select("norm", "v.*")
-    score = sequence_ratio("norm", "known") if similarity == "sequence" else edit_similarity(F.col("norm"), F.col("known"))
+    score = sequence_ratio(F.col("norm"), F.col("known")) if similarity == "sequence" else edit_similarity(F.col("norm"), F.col("known"))
     scored = pairs.select("norm", "schema", "canonical", "known", score.alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("norm", "schema", "canonical").agg(F.max(F.struct("score", "known")).alias("b"))
     return best.select("norm", "schema", "canonical", F.col("b.score").alias("score"), F.col("b.known").alias("known"))

@@ -17,6 +17,8 @@ MODULES = (
     "serving",
     "models",
     "knowledge",
+    "files",
+    "streams",
 )
 
 

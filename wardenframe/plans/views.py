@@ -99,7 +99,11 @@ CLAIMS_COLUMNS = ("claim_id", "member_id", "provider_id", "claim_date", "claim_a
 
 
 def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "lineitem").selectExpr(
+    return claims_columns(read_table(spark, sf_dir, "lineitem"))
+
+
+def claims_columns(lines: DataFrame) -> DataFrame:
+    return lines.selectExpr(
         "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS claim_id",
         "CASE WHEN l_orderkey % 97 = 0 THEN NULL WHEN l_orderkey % 89 = 0 THEN '  ' ELSE concat('M', CAST(l_partkey AS STRING)) END AS member_id",
         "concat('P', CAST(l_suppkey AS STRING)) AS provider_id",

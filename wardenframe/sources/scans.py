@@ -13,9 +13,16 @@ from pyspark.sql import types as T
 WRAPPER_KEYS = ("records", "data", "claims", "pharmacy", "items")
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with every column as text, so leading zeros survive."""
-    return spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').csv(path)
+# Cell texts that stand for a missing value in a text file.
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def read_csv_text(spark: SparkSession, path: str, missing: Sequence[str] = MISSING_WORDS) -> DataFrame:
+    """CSV with every column as text, so leading zeros survive; missing-value words become NULL."""
+    df = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').csv(path)
+    return df.select(*[F.when(~F.col(c).isin(*missing), F.col(c)).alias(c) for c in df.columns]) if missing else df
 
 
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
