@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardenframe.functions.columns import pin
+
 FUZZY_THRESHOLD = 0.82
 MIN_CONFIDENCE = 0.6
 
@@ -200,18 +202,20 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def fuzzy_candidates(norms: DataFrame, contracts: Sequence[Contract], threshold: float, similarity: str) -> DataFrame:
-    """Best known name per (distinct norm, contract, canonical) at or above the threshold.
+    """Similar canonicals of each distinct name and contract with their order of preference.
 
-    Works on distinct names only, against the fixed vocabulary of the contracts.
+    Works on distinct names only, against the fixed vocabulary of the contracts. Of equal scores the
+    later known name in the alphabet comes first.
     """
-    known = F.array(*[
-        F.struct(F.lit(s).alias("schema"), F.lit(k).alias("known"), F.lit(c).alias("canonical")) for s, k, c in vocabulary(contracts)
-    ])
+    entries = [{"schema": s, "known": k, "canonical": c} for s, k, c in vocabulary(contracts)]
+    # One parsed constant instead of a tree of hundreds of literals, which the optimizer would walk over and over.
+    known = F.from_json(F.lit(json.dumps(entries)), "array<struct<schema:string,known:string,canonical:string>>")
     pairs = norms.select("norm", F.explode(known).alias("v")).select("norm", "v.*")
     score = sequence_ratio(F.col("norm"), F.col("known")) if similarity == "sequence" else edit_similarity(F.col("norm"), F.col("known"))
     scored = pairs.select("norm", "schema", "canonical", "known", score.alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("norm", "schema", "canonical").agg(F.max(F.struct("score", "known")).alias("b"))
-    return best.select("norm", "schema", "canonical", F.col("b.score").alias("score"), F.col("b.known").alias("known"))
+    order = Window.partitionBy("norm", "schema").orderBy(F.desc("b"))
+    return best.select("norm", "schema", "canonical", F.col("b.score").alias("score"), F.row_number().over(order).alias("choice"))
 
 
 def resolve_columns(
@@ -221,46 +225,38 @@ def resolve_columns(
 
     Returns ``(file_id, schema, pos, column_name, canonical, method, confidence)``; a canonical name is
     claimed once per file and contract.
+
+    Every known or similar name is a proposal. Proposals of one file and contract are gone through in
+    order (known before similar, then file order, then preference) and granted while both the column
+    and the canonical are free. Only the first proposals per canonical can ever be granted: of the
+    columns before, at most m go to known names and at most m - 1 to other canonicals, m being the
+    number of canonicals. So each list is cut to 2m per canonical without changing the result, and no
+    list grows with the file.
     """
     spark = catalogue.sparkSession
-    named = catalogue.withColumn("norm", normalise_name(F.col("column_name")))
-    vocab = vocabulary_table(spark, contracts)
-    hits = named.join(F.broadcast(vocab), named.norm == vocab.known).drop("known")
-    key = ["file_id", "schema", "canonical"]
-    claimed = hits.groupBy(*key).agg(F.min(F.struct("pos", "column_name", "norm")).alias("c")).select(*key, "c.*")
-
-    # Columns without a claim, with their similar names among canonicals that are still free.
-    similar = fuzzy_candidates(named.select("norm").distinct(), contracts, threshold, similarity)
-    offers = named.join(similar, "norm")
-    offers = offers.join(claimed.select("file_id", "schema", "pos"), ["file_id", "schema", "pos"], "left_anti")
-    offers = offers.join(claimed.select(*key), key, "left_anti")
-    # Columns choose in file order. With m canonicals at most m - 1 earlier columns can end up elsewhere,
-    # so only the first m columns that like a canonical can ever get it: the kept list is small and exact.
-    most = max(len(k.required) for k in contracts)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
-    short = offers.withColumn("_r", rank).where(F.col("_r") <= most)
+    # Names repeat over files, so text work is done once per distinct name and joined back.
+    names = pin(catalogue.select("column_name").distinct(), normalise_name(F.col("column_name")).alias("norm"))
+    similar = fuzzy_candidates(names.select("norm").distinct(), contracts, threshold, similarity)
+    method = F.when(F.col("norm") == normalise_name(F.col("canonical")), "exact").otherwise("alias")
+    known = vocabulary_table(spark, contracts).withColumnRenamed("known", "norm").select(
+        "norm", "schema", "canonical", F.lit(1.0).alias("score"), F.lit(1).alias("choice"), F.lit(0).alias("kind"), method.alias("method")
+    )
+    meanings = known.unionByName(similar.withColumns({"kind": F.lit(1), "method": F.lit("fuzzy")}))
+    proposals = catalogue.join(names.join(meanings, "norm").drop("norm"), "column_name")
+    # One exchange serves the cut and the grouping.
+    placed = proposals.repartition("file_id", "schema")
+    most = 2 * max(len(k.required) for k in contracts)
+    rank = F.row_number().over(Window.partitionBy("file_id", "schema", "canonical", "kind").orderBy("pos"))
+    short = placed.withColumn("_r", rank).where(F.col("_r") <= most)
     lists = short.groupBy("file_id", "schema").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "pos", (-F.col("score")).alias("order"), "known", "canonical", "column_name", "score"
-        ))).alias("offers")
+        F.sort_array(F.collect_list(F.struct("kind", "pos", "choice", "canonical", "score", "column_name", "method"))).alias("proposals")
     )
-    # Equal scores: the later name in the alphabet wins, as a largest-first pick does.
-    by_choice = F.array_sort("offers", lambda x, y: F.when(x["pos"] != y["pos"], x["pos"] - y["pos"])
-                             .when(x["order"] != y["order"], F.signum(x["order"] - y["order"]).cast("int"))
-                             .when(x["known"] > y["known"], -1).when(x["known"] < y["known"], 1).otherwise(0).cast("int"))
-    empty = F.filter(F.col("offers"), lambda o: F.lit(False))
-    taken = F.aggregate(by_choice, empty, lambda acc, o: F.when(
+    empty = F.filter(F.col("proposals"), lambda o: F.lit(False))
+    granted = F.aggregate("proposals", empty, lambda acc, o: F.when(
         F.exists(acc, lambda t: (t["pos"] == o["pos"]) | (t["canonical"] == o["canonical"])), acc
     ).otherwise(F.concat(acc, F.array(o))))
-    fuzzy = lists.select("file_id", "schema", F.explode(taken).alias("t")).select(
-        "file_id", "schema", "t.pos", "t.column_name", "t.canonical", F.lit("fuzzy").alias("method"), F.round("t.score", 3).alias("confidence")
-    )
-    known = claimed.select(
-        "file_id", "schema", "pos", "column_name", "canonical",
-        F.when(F.col("norm") == normalise_name(F.col("canonical")), "exact").otherwise("alias").alias("method"),
-        F.lit(1.0).alias("confidence"),
-    )
-    return known.unionByName(fuzzy)
+    rows = lists.select("file_id", "schema", F.explode(granted).alias("g")).select("file_id", "schema", "g.*")
+    return rows.select("file_id", "schema", "pos", "column_name", "canonical", "method", F.round("score", 3).alias("confidence"))
 
 
 def score_contracts(catalogue: DataFrame, resolved: DataFrame, contracts: Sequence[Contract]) -> DataFrame:

@@ -45,7 +45,7 @@ CATALOGUE_SQL = (
 
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = spark.createDataFrame(header_rows(), "family int, pos int, v0 string, v1 string, v2 string, v3 string")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey")
     files = orders.join(F.broadcast(headers), F.col("family") == F.col("o_orderkey") % 4)
     return files.where("(o_orderkey * 3 + pos * 7) % 10 >= o_orderkey % 8").selectExpr(
         "concat('file-', CAST(o_orderkey AS STRING)) AS file_id",

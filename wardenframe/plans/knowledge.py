@@ -40,7 +40,7 @@ _WS = "concat(' ', chr(9), chr(10), chr(13), chr(11), chr(12), chr(28), chr(29),
     "SELECT doc_id, source, lang AS category, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_id, chunk AS text FROM c WHERE chunk <> ''",
 )
 def document_chunks(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("category"), "text")
+    docs = read_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", F.col("lang").alias("category"), "text")
     return rt.chunk_documents(docs.withColumnRenamed("text", "body"), "body", ["doc_id", "source", "category"])
 
 

@@ -31,7 +31,7 @@ prescriber_drug_year AS (
 
 
 def prescriber_drug_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_table(spark, sf_dir, "lineitem")
+    lines = read_table(spark, sf_dir, "lineitem", "l_orderkey")
     orders = read_table(spark, sf_dir, "orders")
     parts = read_table(spark, sf_dir, "part")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
@@ -99,7 +99,7 @@ CLAIMS_COLUMNS = ("claim_id", "member_id", "provider_id", "claim_date", "claim_a
 
 
 def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims_columns(read_table(spark, sf_dir, "lineitem"))
+    return claims_columns(read_table(spark, sf_dir, "lineitem", "l_orderkey"))
 
 
 def claims_columns(lines: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ auth_records AS (
 
 
 def auth_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "orders").selectExpr(
+    return read_table(spark, sf_dir, "orders", "o_orderkey").selectExpr(
         "concat('AUTH', CAST(o_orderkey AS STRING)) AS authorization_id",
         "CASE WHEN o_orderkey % 83 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END AS patient_id",
         "concat('PR', CAST(o_custkey % 50 AS STRING)) AS provider_id",
@@ -171,7 +171,7 @@ plan_claims AS (
 
 
 def plan_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_table(spark, sf_dir, "lineitem")
+    lines = read_table(spark, sf_dir, "lineitem", "l_orderkey")
 
     def tally(predicate: str):
         return F.count_if(F.expr(predicate)).cast("double")
@@ -264,7 +264,7 @@ PLAN_ISSUER = (
 
 
 def plan_issuer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_table(spark, sf_dir, "lineitem")
+    lines = read_table(spark, sf_dir, "lineitem", "l_orderkey")
 
     def tally(predicate: str):
         return F.count_if(F.expr(predicate)).cast("double")
