@@ -69,10 +69,16 @@ def quantile_row(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float],
 
 
 def _bracketed(long: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Bracket, count below, order inside. The sketch has one row per column, so it can be broadcast."""
+    """Bracket, count below, order inside. The sketch has one row per column, so it can be broadcast.
+
+    The bracket is wider than the error of the sketch plus the few ranks that interpolation and
+    rounding of ranks can ask for; the shortest column decides how much those few ranks weigh.
+    """
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    lows = [max(0.0, p - BRACKET_MARGIN) for p in probs]
-    highs = [min(1.0, p + BRACKET_MARGIN) for p in probs]
+    shortest = long.groupBy("feature").agg(F.count("value").alias("n")).agg(F.min("n")).first()[0] or 1
+    margin = BRACKET_MARGIN + 3.0 / shortest
+    lows = [max(0.0, p - margin) for p in probs]
+    highs = [min(1.0, p + margin) for p in probs]
     grid = F.array(*[F.lit(p) for p in lows + highs])
     sketch = long.groupBy("feature").agg(
         F.percentile_approx("value", grid, F.lit(SKETCH_ACCURACY)).alias("b"),

@@ -126,7 +126,7 @@ def normalise_text(c: Column) -> Column:
 
 
 def evidence_score(text: Column, terms: Column) -> Column:
-    """Share of the terms found in the text, both normalised; a term without letters counts as not found."""
+    """Share of the terms found in the text, both normalised; an empty term counts as not found."""
     body = normalise_text(text)
     found = F.filter(terms, lambda t: (normalise_text(t) != "") & F.contains(body, normalise_text(t)))
     return F.coalesce(F.try_divide(F.size(found).cast("double"), F.size(terms).cast("double")), F.lit(0.0))
