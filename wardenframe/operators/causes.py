@@ -62,7 +62,11 @@ class CauseNetwork:
     only has a single state, as in a network learned from data.
     """
 
+    MOST_CAUSES = 14
+
     def __init__(self, counts: Sequence[tuple[int, int, int]], causes: Sequence[str], ess: float = 10.0) -> None:
+        if len(causes) > self.MOST_CAUSES:
+            raise ValueError(f"at most {self.MOST_CAUSES} causes: the pattern table holds 2^k rows")
         self.causes = tuple(causes)
         k = len(self.causes)
         seen = {p: (n, a) for p, n, a in counts}

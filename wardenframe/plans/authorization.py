@@ -13,6 +13,7 @@ from wardenframe.operators import authorization as au
 from wardenframe.operators import causes as ca
 from wardenframe.plans import views
 from wardenframe.plans.registry import query
+from wardenframe.session import materialise
 
 AS_OF = datetime.date(2000, 1, 1)
 _RECORD = (
@@ -153,7 +154,7 @@ NETWORK_SQL = (
 
 
 def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = modelled(spark, sf_dir)
+    df = materialise(modelled(spark, sf_dir), "auth-modelled")  # read by the fit and by the result
     net = ca.fit_cause_network(df.withColumn("_y", F.col("ml_anomaly_flag") == 1), au.CAUSES, "_y")
     return ca.apply_cause_network(df, net)
 

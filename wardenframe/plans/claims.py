@@ -12,6 +12,7 @@ from wardenframe.operators import outliers as ou
 from wardenframe.operators import validation as va
 from wardenframe.plans import views
 from wardenframe.plans.registry import query
+from wardenframe.session import materialise
 
 K = "plan_id, issuer_id"
 
@@ -247,7 +248,8 @@ _STAT_COLUMNS = (
 
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ou.detect(features(spark, sf_dir), STAT_FEATURES, ("plan_id", "issuer_id"))
+    needed = features(spark, sf_dir).select("plan_id", "issuer_id", *STAT_FEATURES)
+    return ou.detect(materialise(needed, "claims-statistics"), STAT_FEATURES, ("plan_id", "issuer_id"))
 
 
 @query(
@@ -322,7 +324,7 @@ def score_table(df: DataFrame) -> DataFrame:
 
 
 def final_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = features(spark, sf_dir)
+    base = materialise(features(spark, sf_dir), "claims-features")  # scores, rules and statistics all read it
     rules = cm.apply_claims_rules(base).select("plan_id", "issuer_id", *_RULE_COLUMNS)
     found = ou.detect(base, STAT_FEATURES, ("plan_id", "issuer_id")).where("statistical_anomaly").select(
         "plan_id", "issuer_id", F.col("total_quality_issues").alias("evidence_count"), F.col("statistical_severity").alias("evidence_severity")
@@ -382,7 +384,7 @@ EVIDENCE_SQL = _evidence_sql()
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.generate_evidence(ruled(spark, sf_dir), F.col("rule_anomaly"), _CONSISTENCY, EVIDENCE_RATES, ("plan_id", "issuer_id"))
+    return ev.generate_evidence(materialise(ruled(spark, sf_dir), "claims-ruled"), F.col("rule_anomaly"), _CONSISTENCY, EVIDENCE_RATES, ("plan_id", "issuer_id"))
 
 
 @query("claims_evidence", "N1 G11", EVIDENCE_SQL)

@@ -20,6 +20,7 @@ from wardenframe.plans import prescriber as pr
 from wardenframe.plans import views
 from wardenframe.plans.models import RISK_SQL, service_risk
 from wardenframe.plans.registry import query
+from wardenframe.session import materialise
 from wardenframe.sources.scans import with_knowledge_metadata
 from wardenframe.sources.tables import read_table
 
@@ -242,7 +243,7 @@ def claims_documents_json(spark, sf_dir):
 
 
 def claims_final_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = pc.features(spark, sf_dir)
+    base = materialise(pc.features(spark, sf_dir), "claims-features")
     rules = cm.apply_claims_rules(base).select("plan_id", "issuer_id", *pc._RULE_COLUMNS)
     evidence = pc.evidence(spark, sf_dir).select("plan_id", "issuer_id", "evidence_count", "evidence_severity", "evidence_summary")
     return cm.final_claims_verdict(cm.merge_signals(pc.score_table(base), rules, evidence))

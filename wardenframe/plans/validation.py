@@ -12,6 +12,7 @@ from wardenframe.operators import validation as va
 from wardenframe.operators.contracts import CLAIMS
 from wardenframe.plans import views
 from wardenframe.plans.registry import query
+from wardenframe.session import materialise
 from wardenframe.sources.tables import read_table
 
 # The claims contract cut down to the columns the test view has.
@@ -221,7 +222,8 @@ def auth_output_conformance(spark, sf_dir):
     "SELECT t.claim_id, CASE WHEN trim(member_id) = '' AND has.e_blank_member_id THEN 'member_id' WHEN trim(denial_code) = '' AND has.e_denial THEN 'denial_code' ELSE 'multiple_fields' END AS f FROM tagged t, has WHERE bad) z",
 )
 def quarantine_to_anomalies(spark, sf_dir):
-    return va.anomaly_rows(tagged(spark, sf_dir), CONTRACT, "claim_id", "CLAIMS")
+    rows = materialise(tagged(spark, sf_dir), "claims-tagged")  # read for the issues found and for the rows
+    return va.anomaly_rows(rows, CONTRACT, "claim_id", "CLAIMS")
 
 
 # Anomaly records as JSON text, some of them malformed on purpose.
