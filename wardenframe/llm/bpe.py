@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenframe.llm.common import shuffle_partitions, table
+from wardenframe.llm.common import pack32, shuffle_partitions, table, unpack32
 
 #: Characters of text in a block (one longer text is a block of its own).
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 #: Texts longer than this are walked match by match, so that no list of all their words is made.
 LONG_TEXT = 4_000_000
+#: Rows that decoding hands on at once.
+DECODED_ROWS = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +80,7 @@ def _dictionary(pattern: str, buckets: int):
             found, starts = np.unique(bucket, return_index=True)
             ends = [*starts[1:], len(words)]
             bodies = [b"".join(words[a:b]) for a, b in zip(starts, ends)]
-            sizes = [np.array([len(w) for w in words[a:b]], np.uint32).tobytes() for a, b in zip(starts, ends)]
+            sizes = [pack32(np.array([len(w) for w in words[a:b]])) for a, b in zip(starts, ends)]
             count = len(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block] * count, pa.int64()), pa.array(found.astype(np.int32)), pa.array([check] * count, pa.int64()), pa.array(sizes, pa.binary()), pa.array(bodies, pa.binary())],
@@ -95,10 +97,9 @@ def _positions(pattern: str, buckets: int):
             # Frequent words first, so that most codes are small and pack well.
             rank = np.empty(len(index), np.uint32)
             rank[np.argsort(-np.bincount(codes, minlength=len(index)), kind="stable")] = np.arange(len(index), dtype=np.uint32)
-            planes = rank[codes].view(np.uint8).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.array([check], pa.int64()), pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([counts.tolist()], pa.list_(pa.int64())),
-                 pa.array([zlib.compress(planes.tobytes(), 1)], pa.binary()), pa.array([rank[order].tobytes()], pa.binary())],
+                 pa.array([zlib.compress(pack32(rank[codes]), 1)], pa.binary()), pa.array([rank[order].tobytes()], pa.binary())],
                 names=["block", "checksum", "keys", "counts", "codes", "order"],
             )
     return run
@@ -114,14 +115,14 @@ def _encode(shared_ranks, pattern: str):
             counts, ids = [], []
             for sizes, body in zip(batch.column("sizes"), batch.column("body")):
                 body, found, at = body.as_py(), [], 0
-                for size in np.frombuffer(sizes.as_py(), np.uint32).tolist():
+                for size in unpack32(sizes.as_py()).tolist():
                     word = body[at: at + size]
                     at += size
                     if word not in known:
                         known[word] = tuple(encode(word.decode()))
                     found.append(known[word])
-                counts.append(np.array([len(x) for x in found], np.uint32).tobytes())
-                ids.append(np.array([i for x in found for i in x], np.uint32).astype("<u4").tobytes())
+                counts.append(pack32(np.array([len(x) for x in found])))
+                ids.append(pack32(np.array([i for x in found for i in x], np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), batch.column("checksum"), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["block", "bucket", "checksum", "counts", "ids"])
     return run
 
@@ -137,14 +138,15 @@ def _assemble(key_type: pa.DataType):
         answers = answers.sort_by("bucket")
         if len(blocks) != 1 or any(c != blocks["checksum"][0].as_py() for c in pc.unique(answers["checksum"]).to_pylist()):
             raise RuntimeError("the source gave other rows when it was read again; write it to a table first")
-        sizes = np.frombuffer(b"".join(answers["counts"].to_pylist()), np.uint32).astype(np.int64)
-        ids = np.frombuffer(b"".join(answers["ids"].to_pylist()), "<u4")
+        none = np.zeros(0, np.int64)
+        sizes = np.concatenate([none, *map(unpack32, answers["counts"].to_pylist())])
+        ids = np.concatenate([none, *map(unpack32, answers["ids"].to_pylist())]).astype("<u4")
         rank = np.frombuffer(blocks["order"][0].as_py(), np.uint32)
         if len(rank) != len(sizes):
             raise RuntimeError("the source gave other rows when it was read again; write it to a table first")
         place = np.empty(len(rank), np.int64)
         place[rank] = np.arange(len(rank))
-        codes = np.ascontiguousarray(np.frombuffer(zlib.decompress(blocks["codes"][0].as_py()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+        codes = unpack32(zlib.decompress(blocks["codes"][0].as_py()))
         starts = np.cumsum(sizes) - sizes
         words_per_row = np.array(blocks["counts"][0].as_py(), np.int64)
         keys, out_counts, out_ids, word = blocks["keys"].combine_chunks().values, [], [], 0
@@ -193,7 +195,7 @@ def decode_ids(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded
         tokens = shared.value
         lengths = np.array([len(t) for t in tokens], np.int64)
         starts, body = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), np.uint8)
-        for batch in batches:
+        for batch in (b.slice(k, DECODED_ROWS) for b in batches for k in range(0, b.num_rows, DECODED_ROWS)):
             out = []
             for value in batch.column(ids):
                 each = np.frombuffer(value.as_py() or b"", "<u4")

@@ -91,3 +91,12 @@ def byte_table(members: str | bytes) -> np.ndarray:
     found = np.zeros(256, bool)
     found[list(members.encode() if isinstance(members, str) else members)] = True
     return found
+
+
+def pack32(values: np.ndarray) -> bytes:
+    """Numbers below 2**32 by significance of their bytes, so that small ones pack well in a shuffle."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack32(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
