@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenframe.llm.common import WHITE, byte_table, mix64, saved, shuffle_partitions, table, text_steps
+from wardenframe.llm.common import WHITE, byte_table, mix64, pack32, saved, shuffle_partitions, table, text_steps, unpack32
 from wardenframe.llm.components import components
 
 #: Words of a gram, and the least similarity in percent.
@@ -99,10 +99,10 @@ def gram_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def fingerprint(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed numbers."""
+    """80 bits of a set, as signed numbers of 16 and 64 bits: short, as they go with every part of a set."""
     high = mix64(grams ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
     low = mix64(grams + np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)
-    return int(high.view(np.int64)), int(low.view(np.int64))
+    return int(high.view(np.int64) >> 48), int(low.view(np.int64))
 
 
 class _Frequent:
@@ -166,21 +166,23 @@ def _join48(packed: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-_PACKED = "bucket int, hot boolean, hi binary, lo binary, n binary, counts binary, grams binary, freq binary"
-_PACKED_NAMES = ["bucket", "hot", "hi", "lo", "n", "counts", "grams", "freq"]
+#: Number of no bucket of grams: hot grams are named by it and their place in the hot list.
+_HOT_BUCKET = 0xFFFF
+_ID = np.dtype([("hi", "<i2"), ("lo", "<i8")])
+_PACKED = "bucket int, source int, hot boolean, ids binary, counts binary, grams binary, freq binary"
+_PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("source", pa.int32()), ("hot", pa.bool_()), *[(n, pa.binary()) for n in ("ids", "counts", "grams", "freq")]])
 
 
-def _pack(bucket: int, hot: bool, owner: np.ndarray, marks: np.ndarray, grams: bytes, freq: bytes = b"") -> tuple:
-    """A row with the grams of some classes; `owner` is the class of each gram (equal ones together), `marks` hold (hi, lo, n)."""
+def _pack(bucket: int, source: int, hot: bool, owner: np.ndarray, marks: np.ndarray, grams: np.ndarray, freq: np.ndarray | None = None) -> tuple:
+    """A row with the grams of some classes; `owner` is the class of each gram (equal ones together), `marks` hold (hi, lo)."""
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    mine = marks[owner[first]]
-    counts = np.diff(np.append(first, len(owner))).astype(np.uint32)
-    return bucket, hot, mine[:, 0].tobytes(), mine[:, 1].tobytes(), mine[:, 2].astype(np.uint32).tobytes(), counts.tobytes(), grams, freq
+    ids = np.empty(len(first), _ID)
+    ids["hi"], ids["lo"] = marks[owner[first]].T
+    return bucket, source, hot, ids.tobytes(), pack32(np.diff(np.append(first, len(owner)))), _cut48(grams), b"" if freq is None else pack32(freq)
 
 
 def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 6]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=_PACKED_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED_SCHEMA.types)], schema=_PACKED_SCHEMA)
 
 
 def _deal(words: int, buckets: int, shared_hot):
@@ -190,7 +192,7 @@ def _deal(words: int, buckets: int, shared_hot):
         sets, marks, held, flushed = [], [], 0, 0
 
         def flush() -> list[tuple]:
-            known = np.array(marks, np.int64).reshape(-1, 3)
+            known = np.array(marks, np.int64).reshape(-1, 2)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             grams = np.concatenate(sets)
             rows = []
@@ -198,14 +200,14 @@ def _deal(words: int, buckets: int, shared_hot):
                 place = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
                 is_hot = hot[place] == grams
                 if is_hot.any():
-                    rows.append(_pack((flushed * 7919 + int(known[0, 1])) % buckets, True, owner[is_hot], known, place[is_hot].astype(np.uint64).tobytes()))
+                    rows.append(_pack((flushed * 7919 + int(known[0, 1])) % buckets, 0, True, owner[is_hot], known, place[is_hot].astype(np.uint64)))
                     owner, grams = owner[~is_hot], grams[~is_hot]
             bucket = (grams % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, owner, rest = bucket[order], owner[order], (grams // np.uint64(buckets))[order] & np.uint64((1 << 48) - 1)
             found, begin = np.unique(bucket, return_index=True)
             for b, low, high in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(bucket)]):
-                rows.append(_pack(b, False, owner[low:high], known, _cut48(rest[low:high])))
+                rows.append(_pack(b, b, False, owner[low:high], known, rest[low:high]))
             return rows
 
         for batch in batches:
@@ -213,7 +215,7 @@ def _deal(words: int, buckets: int, shared_hot):
                 if len(grams) and (mark := fingerprint(grams)) not in seen:
                     seen.add(mark)
                     sets.append(grams)
-                    marks.append((*mark, len(grams)))
+                    marks.append(mark)
                     held += grams.nbytes
                     if held > FLUSH_BYTES:
                         yield _packed_batch(flush())
@@ -227,26 +229,29 @@ def _column(rows: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(rows[name].to_pylist()), kind)
 
 
-def _classes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct (hi, lo, n) of the packed rows, class of each entry, number of grams of each entry)."""
-    hi, lo, n = _column(rows, "hi", np.int64), _column(rows, "lo", np.int64), _column(rows, "n", np.uint32)
+def _classes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct (hi, lo) of the packed rows in order, class of each gram, the grams, their packed row)."""
+    ids = _column(rows, "ids", _ID)
+    hi, lo = ids["hi"].astype(np.int64), ids["lo"].astype(np.int64)
     order = np.lexsort((lo, hi))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(fresh) - 1
     kept = order[fresh]
-    return np.stack([hi[kept], lo[kept], n[kept].astype(np.int64)], axis=1) if len(kept) else np.zeros((0, 3), np.int64), number, _column(rows, "counts", np.uint32).astype(np.int64)
+    counts = [unpack32(c) for c in rows["counts"].to_pylist()]
+    row = np.repeat(np.arange(len(counts)), [int(c.sum()) for c in counts])
+    return np.stack([hi[kept], lo[kept]], axis=1).reshape(-1, 2), np.repeat(number, np.concatenate([*counts, np.zeros(0, np.int64)])), _join48(b"".join(rows["grams"].to_pylist())), row
 
 
-def _by_class(owner: np.ndarray, known: np.ndarray, grams: np.ndarray, freq: np.ndarray, targets: int) -> list[tuple]:
+def _by_class(source: int, hot: bool, owner: np.ndarray, known: np.ndarray, grams: np.ndarray, freq: np.ndarray, targets: int) -> list[tuple]:
     """Packed rows of grams with frequencies, to buckets by class."""
-    target = (known[:, 1].view(np.uint64) % np.uint64(targets)).astype(np.int64)[owner]
+    target = (known[:, 1] % targets)[owner]
     order = np.lexsort((owner, target))
     owner, target, grams, freq = owner[order], target[order], grams[order], freq[order]
     found, begin = np.unique(target, return_index=True)
     return [
-        _pack(q, False, owner[low:high], known, grams[low:high].tobytes(), freq[low:high].astype(np.uint32).tobytes())
+        _pack(q, source, hot, owner[low:high], known, grams[low:high], freq[low:high])
         for q, low, high in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(owner)])
     ]
 
@@ -257,8 +262,7 @@ def _count(targets: int):
         bucket, out = key[0].as_py(), []
         plain, hot = rows.filter(pc.invert(rows["hot"])), rows.filter(rows["hot"])
         if len(plain):
-            known, number, counts = _classes(plain)
-            owner, grams = np.repeat(number, counts), _join48(b"".join(plain["grams"].to_pylist()))
+            known, owner, grams, _ = _classes(plain)
             order = np.lexsort((owner, grams))
             owner, grams = owner[order], grams[order]
             new_gram = np.ones(len(grams), bool)
@@ -269,13 +273,11 @@ def _count(targets: int):
             run_id = np.cumsum(new_gram[kept]) - 1
             freq = np.bincount(run_id)[run_id] if len(run_id) else np.zeros(0, np.int64)
             shared = freq > 1
-            out += _by_class(owner[shared], known, grams[shared] | (np.uint64(bucket) << np.uint64(48)), freq[shared], targets)
+            out += _by_class(bucket, False, owner[shared], known, grams[shared], freq[shared], targets)
         if len(hot):
-            known, number, counts = _classes(hot)
-            owner, place = np.repeat(number, counts), _column(hot, "grams", np.uint64)
-            # After all others, in the order of the hot list; bucket 2**16 - 1 is no bucket of grams.
-            out += _by_class(owner, known, place | (np.uint64(0xFFFF) << np.uint64(48)), place.astype(np.int64) + (1 << 31), targets)
-        return pa.Table.from_batches([_packed_batch(out)]) if out else pa.Table.from_batches([], schema=pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), *[(n, pa.binary()) for n in _PACKED_NAMES[2:]]]))
+            known, owner, place, _ = _classes(hot)
+            out += _by_class(_HOT_BUCKET, True, owner, known, place, np.zeros(len(place), np.int64), targets)
+        return pa.Table.from_batches([_packed_batch(out)] if out else [], schema=_PACKED_SCHEMA)
     return run
 
 
@@ -284,16 +286,27 @@ _SETS = "hi long, lo long, n long, own long, grams binary, prefix array<long>"
 
 def _prefixes(percent: int):
     """Classes of one bucket with their shared grams, rare ones first, if their prefix holds any."""
-    def run(_key: tuple, rows: pa.Table) -> pa.Table:
-        known, number, counts = _classes(rows)
-        owner, grams, freq = np.repeat(number, counts), _column(rows, "grams", np.uint64), _column(rows, "freq", np.uint32)
+    def run(_key: tuple, rows: pa.Table, sizes: pa.Table) -> pa.Table:
+        known, owner, grams, row = _classes(rows)
+        source, hot = rows["source"].to_numpy().astype(np.uint64), rows["hot"].to_numpy(zero_copy_only=False)
+        freq = np.concatenate([np.zeros(0, np.int64), *map(unpack32, rows["freq"].to_pylist())])
+        # Hot grams come after all others, in the order of the hot list.
+        freq = np.where(hot[row], (1 << 32) + grams.astype(np.int64), freq)
+        grams = grams | (source[row] << np.uint64(48))
         order = np.lexsort((grams, freq, owner))
         owner, grams = owner[order], grams[order]
         fresh = np.ones(len(owner), bool)
         fresh[1:] = (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])
         owner, grams = owner[fresh], grams[fresh]
+        all_sizes = np.stack([sizes[c].to_numpy() for c in ("hi", "lo", "n")], axis=1)
+        all_sizes = all_sizes[np.lexsort((all_sizes[:, 1], all_sizes[:, 0]))]
+        ids = np.empty(len(all_sizes), _ID)
+        ids["hi"], ids["lo"] = all_sizes[:, 0], all_sizes[:, 1]
+        own_ids = np.empty(len(known), _ID)
+        own_ids["hi"], own_ids["lo"] = known.T
+        n = all_sizes[np.searchsorted(ids, own_ids), 2] if len(known) else np.zeros(0, np.int64)
         held = np.bincount(owner, minlength=len(known))
-        n, starts = known[:, 2], np.cumsum(held) - held
+        starts = np.cumsum(held) - held
         own = n - held
         length = n - (percent * n + 99) // 100 + 1
         alive = np.flatnonzero(length > own)
@@ -444,8 +457,8 @@ def ngram_links(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     counts the linked other rows. A text with fewer words has one gram of all of them; null, empty and blank
     texts have none and link with nothing (their component is their own key). Rows with equal sets all link.
     Repeated rows count one by one, and null keys are larger than all others. An empty table gives no rows;
-    other columns are not read. Sets are compared by 64-bit hashes of grams, of which 48 bits and the bucket
-    count in the comparison of two sets.
+    other columns are not read. Classes are told apart by 80 bits, and the grams of two sets by 48 bits of
+    their hashes besides the bucket.
     """
     spark = df.sparkSession
     buckets = min(shuffle_partitions(spark), 60000)
@@ -458,11 +471,12 @@ def ngram_links(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     # Each text holds at most its own grams, so fewer than (mean set size) / HOT_SHARE grams are this frequent.
     hot = sizes.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("c")).filter(F.col("c") >= max(HOT_LEAST, HOT_SHARE * total)).select("gram").collect()
     shared_hot = spark.sparkContext.broadcast(np.sort(np.array([r["gram"] for r in hot], np.int64).view(np.uint64)))
-    classes = saved(full.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "gram-classes")
+    classes = saved(full.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")), "gram-classes")
 
     dealt = docs.mapInArrow(_deal(words, buckets, shared_hot), _PACKED)
     counted = dealt.groupBy("bucket").applyInArrow(_count(buckets), _PACKED)
-    sets = saved(counted.groupBy("bucket").applyInArrow(_prefixes(percent), _SETS), "gram-sets")
+    homes = classes.select(F.pmod(F.col("lo"), F.lit(buckets)).cast("int").alias("bucket"), "hi", "lo", "n")
+    sets = saved(counted.groupBy("bucket").cogroup(homes.groupBy("bucket")).applyInArrow(_prefixes(percent), _SETS), "gram-sets")
 
     # Clusters are named by `lo` alone: two classes with equal ones would only share a cluster.
     grams = sets.select("lo", F.explode("prefix").alias("gram"))
