@@ -1,17 +1,17 @@
 """Exact quantiles and exact running totals over globally ordered values, without one big task.
 
-``percentile`` keeps every distinct value of a column in one hash map that ends up in a single
-task. That is fine for a small input and wrong for a big one, so the size of the input decides:
-
-* small (leaf bytes below ``wardenframe.quantile.inline.bytes``): the built-in ``percentile``;
-* otherwise: a bounded sketch brackets each wanted rank, an aggregate counts the values below the
-  bracket exactly, and only values inside a bracket (a few hundred-thousandths of the rows,
-  grouped by value) are ordered. The answer is exact; a rank outside its bracket raises.
+``percentile`` keeps every distinct value of a column in one hash map. That holds for columns with few
+distinct values, whatever their number of rows. A column with more is narrowed first: a bounded sketch
+proposes two values around each wanted rank, one pass counts the rows below and at them exactly, and the
+rank goes on in the part that holds it, until the part has few distinct values. Both ways are exact and
+agree; NaN counts as missing, as NULL does.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -19,123 +19,132 @@ from pyspark.sql import functions as F
 
 from wardenframe.functions.columns import unpivot_numeric, with_scalars
 
-INLINE_BYTES_CONF = "wardenframe.quantile.inline.bytes"
-DEFAULT_INLINE_BYTES = 64 * 1024 * 1024
-SKETCH_ACCURACY = 100_000
-BRACKET_MARGIN = 4.0 / SKETCH_ACCURACY
-
+#: Distinct values that are ordered together, parts of a narrowing step, accuracy of its sketch.
+ORDERED_VALUES = 100_000
+PARTS = 200
+SKETCH_ACCURACY = 10_000
 
-def leaf_bytes(df: DataFrame) -> int | None:
-    """Bytes of all scanned relations of a plan, or None where the plan cannot be asked."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
-        return None
 
+def _number(c: str) -> Column:
+    value = F.col(c).cast("double")
+    return F.when(~F.isnan(value), value)
 
-def fits_inline(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(INLINE_BYTES_CONF, str(DEFAULT_INLINE_BYTES)))
-    size = leaf_bytes(df)
-    return size is not None and size <= limit
 
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """One row per column: ``feature`` and ``q`` (array of exact quantiles in the order of ``probs``; NULL without values)."""
+    labels = {f"q{i}": float(p) for i, p in enumerate(probs)}
+    row = quantile_row(df, cols, labels)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.array(*[F.col(f"{c}__{k}") for k in labels]).alias("q")) for c in cols])
+    return row.select(F.explode(pairs).alias("r")).select("r.*")
 
-def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "auto") -> DataFrame:
-    """One row per column: ``feature`` and ``q`` (array of exact quantiles in the order of ``probs``)."""
-    if method == "auto":
-        method = "inline" if fits_inline(df) else "bracket"
-    if method == "inline":
-        grid = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), grid).alias(c) for c in cols])
-        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in cols])
-        return row.select(F.explode(pairs).alias("r")).select("r.*")
-    return _bracketed(unpivot_numeric(df, cols), cols, probs)
 
-
-def quantile_row(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float], method: str = "auto") -> DataFrame:
+def quantile_row(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     """One row with a column ``<column>__<label>`` per column and labelled probability."""
-    labels = list(probs)
-    values = [float(probs[k]) for k in labels]
-    if method == "auto":
-        method = "inline" if fits_inline(df) else "bracket"
-    if method == "inline":
-        grid = F.array(*[F.lit(p) for p in values])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), grid).alias(c) for c in cols])
-        return row.select(*[F.col(c)[i].alias(f"{c}__{k}") for c in cols for i, k in enumerate(labels)])
-    table = quantile_table(df, cols, values, method)
-    return table.agg(*[
-        F.max(F.when(F.col("feature") == c, F.col("q")[i])).alias(f"{c}__{k}") for c in cols for i, k in enumerate(labels)
+    labels, values = list(probs), [float(p) for p in probs.values()]
+    # The estimate errs by a few percent, so half the bound leaves room.
+    widths = df.agg(*[F.approx_count_distinct(_number(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    wide = [c for i, c in enumerate(cols) if widths[i] > ORDERED_VALUES // 2]
+    found = _narrowed(unpivot_numeric(df, wide), values) if wide else {}
+    grid = F.array(*[F.lit(p) for p in values])
+    row = df.agg(F.lit(1).alias("_one"), *[F.percentile(_number(c), grid).alias(c) for c in cols if c not in found])
+    return row.select(*[
+        (F.lit(found[c][i]) if c in found else F.col(c)[i]).cast("double").alias(f"{c}__{k}") for c in cols for i, k in enumerate(labels)
     ])
 
 
-def _bracketed(long: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Bracket, count below, order inside. The sketch has one row per column, so it can be broadcast.
+@dataclass(frozen=True)
+class _Part:
+    """Values of a column between two bounds (both included), with the exact number of values below."""
 
-    The bracket is wider than the error of the sketch plus the few ranks that interpolation and
-    rounding of ranks can ask for; the shortest column decides how much those few ranks weigh.
-    """
-    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    shortest = long.groupBy("feature").agg(F.count("value").alias("n")).agg(F.min("n")).first()[0] or 1
-    margin = BRACKET_MARGIN + 3.0 / shortest
-    lows = [max(0.0, p - margin) for p in probs]
-    highs = [min(1.0, p + margin) for p in probs]
-    grid = F.array(*[F.lit(p) for p in lows + highs])
-    sketch = long.groupBy("feature").agg(
-        F.percentile_approx("value", grid, F.lit(SKETCH_ACCURACY)).alias("b"),
-        F.min("value").alias("lowest"),
-        F.max("value").alias("highest"),
-        F.count("value").alias("n"),
-    )
-    k = len(probs)
-    edges = []
-    for i in range(k):
-        edges.append((F.when(F.lit(lows[i] <= 0.0), F.col("lowest")).otherwise(F.col("b")[i])).alias(f"lo{i}"))
-        edges.append((F.when(F.lit(highs[i] >= 1.0), F.col("highest")).otherwise(F.col("b")[k + i])).alias(f"hi{i}"))
-    sketch = sketch.select("feature", "n", *edges)
-    marked = long.join(F.broadcast(sketch), "feature")
-    below = marked.groupBy("feature").agg(
-        F.max("n").alias("n"), *[F.count_if(F.col("value") < F.col(f"lo{i}")).alias(f"below{i}") for i in range(k)]
-    )
-    inside = marked.where(" OR ".join(f"(value BETWEEN lo{i} AND hi{i})" for i in range(k)))
-    tagged = inside.select(
-        "feature",
-        "value",
-        F.explode(F.array_compact(F.array(*[
-            F.when(F.col("value").between(F.col(f"lo{i}"), F.col(f"hi{i}")), F.lit(i)) for i in range(k)
-        ]))).alias("slot"),
-    )
-    counted = tagged.groupBy("feature", "slot", "value").agg(F.count(F.lit(1)).alias("c"))
-    ordered = counted.withColumn(
-        "upto", F.sum("c").over(Window.partitionBy("feature", "slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    )
-    probability = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("slot") + 1)
-    offset = F.element_at(F.array(*[F.col(f"below{i}") for i in range(k)]), F.col("slot") + 1)
-    placed = ordered.join(F.broadcast(below), "feature").select(
-        "feature",
-        "slot",
-        "value",
-        (probability * (F.col("n") - 1)).alias("position"),
-        (offset + F.col("upto") - F.col("c")).alias("first_rank"),
-        (offset + F.col("upto") - 1).alias("last_rank"),
-    )
+    feature: str
+    low: float
+    high: float
+    below: int
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when(rank.between(F.col("first_rank"), F.col("last_rank")), F.col("value")))
 
-    picked = placed.groupBy("feature", "slot").agg(
-        F.max("position").alias("position"), at(F.floor("position")).alias("lower"), at(F.ceil("position")).alias("upper")
-    )
-    share = F.col("position") - F.floor("position")
-    value = (
-        F.when(F.col("lower").isNull() | F.col("upper").isNull(), F.raise_error(F.lit("rank outside its bracket")).cast("double"))
-        .when(F.col("lower") == F.col("upper"), F.col("lower"))
-        .otherwise((1 - share) * F.col("lower") + share * F.col("upper"))
-    )
-    answers = picked.select("feature", "slot", value.alias("v"))
-    found = answers.groupBy("feature").agg(*[F.max(F.when(F.col("slot") == i, F.col("v"))).alias(f"v{i}") for i in range(k)])
-    every = F.array(*[F.lit(c) for c in cols])
-    names = long.sparkSession.range(1).select(F.explode(every).alias("feature"))
-    return names.join(F.broadcast(found), "feature", "left").select("feature", F.array(*[F.col(f"v{i}") for i in range(k)]).alias("q"))
+def _narrowed(long: DataFrame, probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Quantiles of columns with many distinct values. The driver holds a few numbers per column and probability."""
+    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    stats = long.groupBy("feature").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    positions = {r["feature"]: [p * (r["n"] - 1) for p in probs] for r in stats}
+    where = {(r["feature"], rank): _Part(r["feature"], r["low"], r["high"], 0) for r in stats for x in positions[r["feature"]] for rank in (math.floor(x), math.ceil(x))}
+    known: dict[tuple[str, int], float] = {}
+    small: set[_Part] = set()
+    while open_ := sorted({k for k in where if k not in known and where[k] not in small}):
+        _narrow(long, where, known, small, open_)
+    _order(long, where, known)
+    out = {}
+    for feature, wanted in positions.items():
+        pairs = [(known[feature, math.floor(x)], known[feature, math.ceil(x)], x - math.floor(x)) for x in wanted]
+        out[feature] = [a if a == b else (1 - share) * a + share * b for a, b, share in pairs]
+    return out
+
+
+def _inside(long: DataFrame, parts: Sequence[_Part]) -> DataFrame:
+    """Rows of ``long`` with the number of each part that holds them. The parts are few, so they are broadcast."""
+    rows = [(i, p.feature, p.low, p.high) for i, p in enumerate(parts)]
+    table = long.sparkSession.createDataFrame(rows, "part int, _f string, low double, high double")
+    return long.join(F.broadcast(table), (F.col("feature") == F.col("_f")) & F.col("value").between(F.col("low"), F.col("high")))
+
+
+def _narrow(long: DataFrame, where: dict, known: dict, small: set[_Part], open_: Sequence[tuple[str, int]]) -> None:
+    """One step for the ranks of ``open_``: bounds from a sketch, exact counts, and the part that holds the rank."""
+    parts = sorted({where[k] for k in open_}, key=lambda p: (p.feature, p.low, p.high))
+    marked = _inside(long, parts)
+    grid = [i / PARTS for i in range(1, PARTS)]
+    cuts = {r["part"]: (r["n"], r["cuts"]) for r in marked.groupBy("part").agg(F.count("value").alias("n"), F.percentile_approx("value", grid, SKETCH_ACCURACY).alias("cuts")).collect()}
+    tries: dict[int, list[tuple[float, float]]] = {}
+    mine: dict[tuple[str, int], tuple[int, int]] = {}
+    for k in open_:
+        i, part = parts.index(where[k]), where[k]
+        n, edges = cuts[i]
+        at = (k[1] - part.below) * PARTS // max(n, 1)
+        low, high = edges[max(at - 2, 0)] if at >= 2 else part.low, edges[at + 1] if at + 1 < len(edges) else part.high
+        pairs = tries.setdefault(i, [])
+        if (low, high) not in pairs:
+            pairs.append((low, high))
+        mine[k] = (i, pairs.index((low, high)))
+    most = max(map(len, tries.values()))
+    bounds = long.sparkSession.createDataFrame([(i, [a for a, _ in t], [b for _, b in t]) for i, t in tries.items()], "part int, lows array<double>, highs array<double>")
+    v, at = F.col("value"), lambda name, j: F.get(F.col(name), j)
+    counted = marked.join(F.broadcast(bounds), "part").groupBy("part").agg(*[
+        c for j in range(most) for c in (
+            F.count_if(v < at("lows", j)).alias(f"a{j}"), F.count_if(v <= at("lows", j)).alias(f"b{j}"), F.count_if(v < at("highs", j)).alias(f"c{j}"), F.count_if(v <= at("highs", j)).alias(f"d{j}"),
+            F.approx_count_distinct(F.when((v > at("lows", j)) & (v < at("highs", j)), v)).alias(f"e{j}"),
+        )
+    ]).collect()
+    counts = {r["part"]: r for r in counted}
+    for k, (i, j) in mine.items():
+        part, row = where[k], counts[i]
+        low, high = tries[i][j]
+        a, b, c, d = (part.below + row[f"{x}{j}"] for x in "abcd")
+        if k[1] < a:
+            where[k] = _Part(part.feature, part.low, math.nextafter(low, -math.inf), part.below)
+        elif k[1] < b:
+            known[k] = low
+        elif k[1] < c:
+            where[k] = _Part(part.feature, math.nextafter(low, math.inf), math.nextafter(high, -math.inf), b)
+            if row[f"e{j}"] <= ORDERED_VALUES // 2:
+                small.add(where[k])
+        elif k[1] < d:
+            known[k] = high
+        else:
+            where[k] = _Part(part.feature, math.nextafter(high, math.inf), part.high, d)
+
+
+def _order(long: DataFrame, where: dict, known: dict) -> None:
+    """Order the values of the parts that are small enough and read off the wanted ranks."""
+    wanted = [k for k in where if k not in known]
+    if not wanted:
+        return
+    parts = sorted({where[k] for k in wanted}, key=lambda p: (p.feature, p.low, p.high))
+    ranks = long.sparkSession.createDataFrame([(i, p.below, sorted(k[1] for k in wanted if where[k] == p)) for i, p in enumerate(parts)], "part int, below long, ranks array<long>")
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = _inside(long, parts).groupBy("part", "value").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", upto).join(F.broadcast(ranks), "part")
+    last = F.col("below") + F.col("upto") - 1
+    hits = ordered.select("part", "value", F.explode(F.filter("ranks", lambda r: (r <= last) & (r > last - F.col("c")))).alias("rank"))
+    for r in hits.collect():
+        known[parts[r["part"]].feature, r["rank"]] = r["value"]
 
 
 def running_totals(values: DataFrame, order_by: str, weights: Sequence[str], buckets: int = 1000) -> DataFrame:

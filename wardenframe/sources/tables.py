@@ -4,20 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardenframe.functions.quantiles import leaf_bytes
 
-ONE_SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """One table. ``spread_by`` names a column to redistribute a small table by.
-
-    A table below one split may sit in a single row group, so a single task would do all row-wise work
-    on it. Such a table is cheap to move; a larger one is read as it lies, without a shuffle.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread_by:
-        size = leaf_bytes(df)
-        if size is not None and size <= ONE_SPLIT_BYTES:
-            return df.repartition(spark.sparkContext.defaultParallelism, spread_by)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
