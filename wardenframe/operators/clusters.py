@@ -19,7 +19,7 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="error").transform(df)
 
 
-def fit_clusters(df: DataFrame, features: Sequence[str], k: int = 5, starts: int = 1, max_iter: int = 300, seed: int = 42) -> KMeansModel:
+def fit_clusters(df: DataFrame, features: Sequence[str], k: int = 5, starts: int = 10, max_iter: int = 300, seed: int = 42) -> KMeansModel:
     """Best of ``starts`` runs by training cost. Features must be filled."""
     data = _vectors(df, features).select("_v").persist()
     try:

@@ -48,21 +48,19 @@ class Forest:
 
 
 def tree_samples(df: DataFrame, keys: Sequence[str], features: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
-    """``sample`` rows per tree without repetition inside a tree.
+    """``sample`` rows per tree without repetition inside a tree (all rows, where there are fewer).
 
-    The pool holds the ``trees * sample`` rows with the smallest hash (a top-k), dealt out in turn. A
-    table smaller than the pool is shared: each tree then takes its own smallest hashes of it.
+    The pool holds the ``trees * sample`` rows with the smallest hash, numbered in that order; every tree
+    draws its numbers by its own seed. Pool and numbers are bounded by the parameters, whatever the table.
     """
-    pool_size = trees * sample
+    order = ["_h", *[f"_k{i}" for i in range(len(keys))]]
     keyed = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.xxhash64(F.lit(seed), *keys).alias("_h"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    pool = keyed.orderBy("_h", *[f"_k{i}" for i in range(len(keys))]).limit(pool_size)
-    if df.limit(pool_size).count() == pool_size:
-        # The pool is bounded by the parameters, so ranking it in one task is small by construction.
-        rank = F.row_number().over(Window.orderBy("_h", *[f"_k{i}" for i in range(len(keys))])) - 1
-        return pool.withColumn("tree", (rank % trees).cast("int")).select("tree", *features)
-    every = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "_h"), "_h", *[f"_k{i}" for i in range(len(keys))])
-    return every.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select(F.col("tree").cast("int"), *features)
+    pool = materialise(keyed.orderBy(*order).limit(trees * sample), "forest-pool")
+    size = pool.count()
+    numbered = pool.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1)
+    drawn = [np.random.default_rng([seed, t]).choice(size, min(sample, size), replace=False) for t in range(trees)]
+    draws = pd.DataFrame({"tree": np.repeat(np.arange(trees, dtype=np.int32), [len(d) for d in drawn]), "_n": np.concatenate(drawn).astype(np.int32)})
+    return numbered.join(df.sparkSession.createDataFrame(draws), "_n").select("tree", *features)
 
 
 def _grow(values: np.ndarray, tree: int, limit: int, seed: int) -> pd.DataFrame:

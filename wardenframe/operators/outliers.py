@@ -87,7 +87,7 @@ def invalid_flags(features: Sequence[str], limits: Limits) -> list[tuple[str, st
 
 def detect(df: DataFrame, features: Sequence[str], keep: Sequence[str], limits: Limits = Limits()) -> DataFrame:
     """Per row: outlier, percentile, missing and invalid counts, ratios, severity and a feature list."""
-    narrow = df.select(*keep, *features)
+    narrow = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in features])
     stats = feature_statistics(narrow, features, limits)
     flags = {c: feature_flags(c, stats[c], limits) for c in features}
     invalid = invalid_flags(features, limits)

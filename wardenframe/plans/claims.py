@@ -74,7 +74,7 @@ _register_features("claims_exceeds_flags", "F10", [n for n, *_ in cm.EXCEEDS])
 _register_features("claims_differences", "F11", [n for n, *_ in cm.DIFFERENCES])
 _register_features("claims_missing_counts", "F12", [*cm.MISSING_GROUPS, "important_missing_rate"])
 
-_TEXT_COUNTS = ("plan_received_in_network", "plan_denied_in_network", "external_appeals_filed", "external_overturned", "avg_monthly_enrollment")
+_TEXT_COUNTS = (*cm.ISSUER_COUNTS, *cm.PLAN_COUNTS, *cm.APPEALS, *cm.REASON_COUNTS, *cm.ENROLLMENT)
 
 
 def _as_text(c: str, kind: str) -> str:
@@ -197,10 +197,10 @@ def claims_simple_check(spark, sf_dir):
 
 # ---------------------------------------------------------------- univariate statistics
 
+#: Every numeric feature: counts, totals, ratios before and after their check, differences and gap counts.
 STAT_FEATURES = (
-    "plan_received_in_network", "plan_denied_in_network", "plan_resubmitted_in_network", "internal_appeals_filed", "external_appeals_filed",
-    "percent_internal_overturned", "percent_external_overturned", "avg_monthly_enrollment", "avg_monthly_disenrollment",
-    "plan_in_network_denial_rate_raw", "plan_overall_resubmission_rate_raw",
+    *cm.ISSUER_COUNTS, *cm.PLAN_COUNTS, *cm.APPEALS, "percent_internal_overturned", "percent_external_overturned", *cm.REASON_COUNTS, *cm.ENROLLMENT, *cm.TOTALS,
+    *(f"{n}{suffix}" for n, *_ in cm.ALL_RATIOS for suffix in ("_raw", "")), *(n for n, *_ in cm.DIFFERENCES), *cm.MISSING_GROUPS, "important_missing_rate",
 )
 
 
@@ -218,7 +218,7 @@ def _stat_sql() -> str:
     rates = [c for c in STAT_FEATURES if any(w in c for w in ("rate", "percent"))]
     counts = [c for c in STAT_FEATURES if any(w in c for w in ("claims", "appeals", "enrollment", "disenrollment", "denied", "resubmitted"))]
     invalid = [(f"coalesce({c} < 0 OR {c} > 100, false)", c, "INVALID_RATE") for c in rates] + [(f"coalesce({c} < 0, false)", c, "INVALID_NEGATIVE") for c in counts]
-    shown = {c: f"concat('{c}=', printf('%.4f', round({c}, 4)))" for c in STAT_FEATURES}
+    shown = {c: f"concat('{c}=', printf('%.4f', CAST(round({c}, 4) AS DOUBLE)))" for c in STAT_FEATURES}
     listed = [
         f"CASE WHEN z{i} THEN concat({shown[c]}, ' [Z=', printf('%.2f', round(({c} - m{i}) / s{i}, 2)), ']') WHEN o{i} THEN concat({shown[c]}, ' [IQR]') END"
         for i, c in enumerate(STAT_FEATURES)
@@ -283,10 +283,9 @@ _PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
     + f"]) AS p, unnest(quantile_cont({_QUANTILE_COLUMN}, [" + ", ".join(str(p) for p in _PROBS) + "])) AS q FROM claims_features)",
 )
 def claims_exact_quantiles(spark, sf_dir):
-    """Forced through the distributed path, which a large input would take."""
     from wardenframe.functions.quantiles import quantile_table
 
-    table = quantile_table(features(spark, sf_dir), [_QUANTILE_COLUMN], _PROBS, method="bracket")
+    table = quantile_table(features(spark, sf_dir), [_QUANTILE_COLUMN], _PROBS)
     pairs = F.arrays_zip(F.array(*[F.lit(p) for p in _PROBS]).alias("probability"), F.col("q").alias("value"))
     return table.select(F.explode(pairs).alias("r")).select("r.probability", F.round("r.value", 9).alias("value"))
 
@@ -349,7 +348,15 @@ def claims_final_integrity(spark, sf_dir):
 
 # ---------------------------------------------------------------- evidence and explanations
 
-EVIDENCE_RATES = ("plan_in_network_denial_rate", "plan_overall_denial_rate", "external_overturn_rate", "plan_in_network_resubmission_rate")
+# The rates whose extremes count as evidence, in the order of their items.
+EVIDENCE_RATES = (
+    "issuer_in_network_denial_rate", "issuer_out_network_denial_rate", "issuer_overall_denial_rate",
+    "plan_in_network_denial_rate", "plan_out_network_denial_rate", "plan_overall_denial_rate",
+    "issuer_in_network_resubmission_rate", "issuer_out_network_resubmission_rate", "issuer_overall_resubmission_rate",
+    "plan_in_network_resubmission_rate", "plan_out_network_resubmission_rate", "plan_overall_resubmission_rate",
+    "internal_overturn_rate", "external_overturn_rate", "overall_overturn_rate",
+    *(f"{r}_denial_rate" for r in cm.REASONS), "disenrollment_rate",
+)
 
 
 def _evidence_sql() -> str:
@@ -406,14 +413,29 @@ def claims_evidence_type_totals(spark, sf_dir):
     return parsed.groupBy("evidence_type").agg(F.sum("n").alias("items"))
 
 
+# Explained fields and their names in a sentence; denial reasons go by their column name.
 _FIELDS = {
-    "plan_received_in_network": "plan-level in-network claims received",
-    "plan_received_out_network": "plan-level out-of-network claims received",
-    "plan_denied_out_network": "plan-level out-of-network denied claims",
+    "issuer_received_out_network": "out-of-network claims received",
+    "issuer_received_in_network": "in-network claims received",
+    "issuer_denied_out_network": "out-of-network denied claims",
+    "issuer_denied_in_network": "in-network denied claims",
+    "issuer_resubmitted_out_network": "out-of-network resubmitted claims",
+    "issuer_resubmitted_in_network": "in-network resubmitted claims",
     "internal_appeals_filed": "internal appeals filed",
+    "internal_overturned": "internal appeals overturned",
+    "percent_internal_overturned": "internal appeal overturn percentage",
     "external_appeals_filed": "external appeals filed",
+    "external_overturned": "external appeals overturned",
     "percent_external_overturned": "external appeal overturn percentage",
+    "plan_received_out_network": "plan-level out-of-network claims received",
+    "plan_received_in_network": "plan-level in-network claims received",
+    "plan_denied_out_network": "plan-level out-of-network denied claims",
+    "plan_denied_in_network": "plan-level in-network denied claims",
+    "plan_resubmitted_out_network": "plan-level out-of-network resubmitted claims",
+    "plan_resubmitted_in_network": "plan-level in-network resubmitted claims",
+    **{c: c for c in cm.REASON_COUNTS},
     "avg_monthly_enrollment": "average monthly enrollment",
+    "avg_monthly_disenrollment": "average monthly disenrollment",
 }
 
 

@@ -19,8 +19,6 @@ from wardenframe.plans.registry import query
 from wardenframe.session import materialise
 
 KEYS = ("plan_id", "issuer_id")
-# The query runs fewer trees than the shipped set-ups; the parameters change nothing but the vote count.
-QUERY_TREES = 50
 
 
 def model_input(spark, sf_dir):
@@ -32,7 +30,8 @@ def model_input(spark, sf_dir):
 @query("plan_isolation_forest", "L6")
 def plan_isolation_forest(spark, sf_dir):
     ready = cl.robust_scale(model_input(spark, sf_dir), STAT_FEATURES)
-    return fo.detect(ready, KEYS, STAT_FEATURES, trees=QUERY_TREES, contamination=0.05)
+    trees, contamination = fo.SETUPS["claims_full"]
+    return fo.detect(ready, KEYS, STAT_FEATURES, trees=trees, contamination=contamination)
 
 
 @query("plan_peer_groups", "L9")
@@ -49,7 +48,8 @@ def plan_peer_group_sizes(spark, sf_dir):
 @query("plan_model_results_joined", "G12")
 def plan_model_results_joined(spark, sf_dir):
     ready = cl.standard_scale(model_input(spark, sf_dir), STAT_FEATURES)
-    forest = fo.detect(ready, KEYS, STAT_FEATURES, trees=QUERY_TREES, contamination=0.01)
+    trees, contamination = fo.SETUPS["prescriber"]
+    forest = fo.detect(ready, KEYS, STAT_FEATURES, trees=trees, contamination=contamination)
     groups = cu.assign(ready, cu.fit_clusters(ready, STAT_FEATURES), STAT_FEATURES, KEYS, anomaly_quantile=0.99)
     return cu.join_model_results(forest, groups, KEYS)
 
