@@ -1,9 +1,14 @@
 import datetime as dt
 import json
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from wardenframe.operators.contracts import Contract
+from wardenframe.operators.ingest import ingest_report
 from wardenframe.operators.serving import latest_state
+from wardenframe.session import scratch_path
 from wardenframe.sources import scans, sinks
 from wardenframe.streaming import feeds
 
@@ -38,6 +43,58 @@ def test_append_is_repeatable(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2
 
 
+def test_append_refuses_a_misnamed_key_and_chooses_by_order(spark, tmp_path):
+    store = str(tmp_path / "store")
+    sinks.append_new(spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string"), store, ["k"])
+    assert {(r.k, r.v) for r in spark.read.parquet(store).collect()} == {(1, "a"), (2, "c")}
+    with pytest.raises(AnalysisException):
+        sinks.append_new(spark.createDataFrame([(1, "b")], "key int, v string"), store, ["key"])
+    assert spark.read.parquet(store).count() == 2
+
+
+def test_landing_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("claim_id,amount\n007,10\n008,NA\n")
+    (tmp_path / "b.csv").write_text("amount,claim_id,extra\n20,009,x\n")
+    (tmp_path / "c.json").write_text('{\n "records": [{"claim_id": "1"}, {"claim_id": "2"}]\n}')
+    (tmp_path / "d.json").write_text('{"claim_id": "3"}\n{"data": [{"claim_id": "4", "amount": 5}]}\n')
+    spark.createDataFrame([("5",)], "claim_id string").coalesce(1).write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([("6", 7)], "claim_id string, y int").coalesce(1).write.parquet(str(tmp_path / "f"))
+    landed = scans.read_landing(spark, str(tmp_path))
+    got = {r.claim_id: (r.amount, r.extra, r.y, r.format) for r in landed.collect()}
+    assert got == {
+        "007": ("10", None, None, "csv"), "008": (None, None, None, "csv"), "009": ("20", "x", None, "csv"), "1": (None, None, None, "json"), "2": (None, None, None, "json"),
+        "3": (None, None, None, "json"), "4": ("5", None, None, "json"), "5": (None, None, None, "parquet"), "6": (None, None, "7", "parquet"),
+    }
+
+
+def test_ingest_reports_each_file(spark, tmp_path):
+    contract = Contract(
+        name="small", required=("claim_id", "when", "amount"), types={"when": "date", "amount": "float"}, aliases={"claim_id": ("claim number",), "amount": ("billed",), "when": ("dos",)},
+        conditional={}, allowed={}, non_negative=("amount",), unique=("claim_id",),
+    )
+    (tmp_path / "good.csv").write_text("Claim Number,dos,BILLED,note\n007,2024-01-02,5,x\n008,2024-02-01,6,y\n")
+    (tmp_path / "bad.csv").write_text("when,claim_id,amount\n2024-13-01,1,5\n2024-01-01,2,-1\n2024-01-01,3,1\n2024-01-01,3,1\n2024-01-05,007,1\n")
+    (tmp_path / "short.csv").write_text("claim_id,amount\n1,5\n")
+    (tmp_path / "other.csv").write_text("page,visits\n1,5\n")
+    report, tagged = ingest_report(scans.read_landing(spark, str(tmp_path)), [contract])
+    got = {r.file.rsplit("/", 1)[1]: (r.rows, r.valid, r.invalid, r.missing_columns, r.unexpected_columns, r.status) for r in report.collect()}
+    assert got == {"good.csv": (2, 2, 0, 0, 1, "PASS"), "bad.csv": (5, 1, 4, 0, 0, "FAIL"), "short.csv": (1, 1, 0, 1, 0, "FAIL"), "other.csv": (1, None, None, None, None, "UNMATCHED")}
+    assert {r.claim_id for r in tagged["small"].where("file LIKE '%good%'").collect()} == {"007", "008"}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda key, default: None)
+    for master, fine in (("local", True), ("local[4]", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False)):
+        fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if fine:
+            assert scratch_path(fake, "x")
+        else:
+            with pytest.raises(RuntimeError):
+                scratch_path(fake, "x")
+
+
 def _write(spark, folder, name, rows):
     schema = "at timestamp, kind string"
     spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), k) for m, k in rows], schema).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")

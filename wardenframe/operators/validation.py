@@ -58,14 +58,17 @@ def mark_copies(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return df.join(repeated, list(keys), "left").select(*df.columns, F.col("_copies").isNotNull().alias(name))
 
 
-def tag_errors(df: DataFrame, contract: Contract) -> DataFrame:
-    """Add ``errors``: one struct per failed check. An empty array means the row is valid."""
+def tag_errors(df: DataFrame, contract: Contract, within: Sequence[str] = ()) -> DataFrame:
+    """Add ``errors``: one struct per failed check. An empty array means the row is valid.
+
+    Unique columns are unique among the rows that agree in the columns ``within`` (none: the whole table).
+    """
     columns = df.columns
     checks = row_checks(contract, columns)
     marked = df
     for c in contract.unique:
         if c in columns:
-            marked = mark_copies(marked, [c], f"_copied_{c}")
+            marked = mark_copies(marked, [*within, c], f"_copied_{c}")
             checks.append(_error("duplicate", c, "Duplicate value", F.col(f"_copied_{c}")))
     return marked.select(*columns, F.array_compact(F.array(*checks)).alias("errors"))
 

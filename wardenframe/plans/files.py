@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardenframe.operators import validation as va
+from wardenframe.operators.contracts import CLAIMS, PHARMACY
+from wardenframe.operators.ingest import ingest_report
 from wardenframe.plans import pharmacy as pp
 from wardenframe.plans import views
 from wardenframe.plans.knowledge import prescriber_documents
 from wardenframe.plans.registry import query
 from wardenframe.plans.validation import _ISSUES, CONTRACT, TAGGED_SQL, tagged
 from wardenframe.operators.records import pharmacy_document
-from wardenframe.session import scratch_path
+from wardenframe.session import materialise, scratch_path
 from wardenframe.sources import scans, sinks
 from wardenframe.sources.tables import read_table
 
@@ -103,6 +105,42 @@ def landing_folder_report(spark, sf_dir):
     )
 
 
+_SHAPES = "CASE WHEN claim_status = 'PAID' THEN 'aliases' WHEN claim_status = 'DENIED' THEN 'wrapped' WHEN claim_status = 'PENDING' THEN 'reordered' ELSE 'plain' END"
+_INGESTED = ("claim_id", "member_id", "provider_id", "claim_date", "claim_amount", "claim_status", "denial_code")
+
+
+@query(
+    "landing_ingest", "A9 B2 B4 C1 C9",
+    TAGGED_SQL.replace("PARTITION BY claim_id", f"PARTITION BY claim_id, {_SHAPES}") + f", f AS (SELECT {_SHAPES} AS shape, bad FROM tagged), "
+    "g AS (SELECT shape, count(*) AS rows, count(*) FILTER (NOT bad) AS valid, count(*) FILTER (bad) AS invalid FROM f GROUP BY shape) "
+    "SELECT shape, 'claims' AS matched_schema, CASE WHEN shape = 'plain' THEN 'parquet' WHEN shape = 'wrapped' THEN 'json' ELSE 'csv' END AS format, rows, valid, invalid, "
+    "4 AS missing_columns, CASE shape WHEN 'aliases' THEN 2 ELSE 0 END AS unexpected_columns, 'FAIL' AS status FROM g "
+    "UNION ALL SELECT 'other', NULL, 'csv', count(*), NULL, NULL, NULL, NULL, 'UNMATCHED' FROM events",
+)
+def landing_ingest(spark, sf_dir):
+    """Files that differ in kind, column order, spelling, extra columns and wrapping, each with its own outcome.
+
+    A kind of file is written by key, so that copies of a key are in one file, and summed up for the comparison.
+    """
+    claims = views.claims_raw(spark, sf_dir).select(*_INGESTED).withColumn("shape", F.expr(_SHAPES))
+    folder = scratch_path(spark, "ingest")
+
+    def part(name):
+        return claims.where(F.col("shape") == name).drop("shape").repartition(3, "claim_id")
+
+    aliases = {"claim_id": "Claim Number", "member_id": "patient_id", "provider_id": "NPI", "claim_date": "dos", "claim_amount": "Billed-Amount", "claim_status": "status", "denial_code": "denial_reason"}
+    sinks.write_csv(part("aliases").select(F.lit("x").alias("note"), *[F.col(c).alias(a) for c, a in aliases.items()], F.lit("y").alias("batch")), f"{folder}/aliases")
+    sinks.write_csv(part("reordered").select(*reversed(_INGESTED)), f"{folder}/reordered")
+    part("plain").write.parquet(f"{folder}/plain")
+    wrapped = part("wrapped").groupBy("claim_id").agg(F.collect_list(F.struct(*_INGESTED)).alias("records")).drop("claim_id")
+    wrapped.write.option("ignoreNullFields", False).json(f"{folder}/wrapped")
+    sinks.write_csv(read_table(spark, sf_dir, "events").select("event_id", F.col("value").alias("bounce"), F.lit("fr").alias("country")), f"{folder}/other")
+    report, _ = ingest_report(materialise(scans.read_landing(spark, folder), "landed"), (CLAIMS, PHARMACY), similarity="edit")
+    shape = F.element_at(F.split("file", "/"), -2).alias("shape")
+    same = ("matched_schema", "format", "missing_columns", "unexpected_columns")
+    return report.groupBy(shape, *same).agg(F.sum("rows").alias("rows"), F.sum("valid").alias("valid"), F.sum("invalid").alias("invalid"), F.min("status").alias("status"))
+
+
 @query(
     "pharmacy_json_sink", "A10",
     pp.FULL_SQL + " SELECT CAST(npi AS VARCHAR) AS record_id, brand, CAST(data_year AS BIGINT) AS data_year, final_severity, sla_status AS status FROM ph_sla WHERE final_anomaly OR sla_status IN ('MAYBE', 'NO')",
@@ -124,12 +162,13 @@ def prescriber_anomaly_sink(spark, sf_dir):
 
 @query(
     "appended_anomaly_store", "A12 G8",
-    views.with_views("anomalies") + " SELECT DISTINCT record_id, source_dataset FROM anomalies",
+    views.with_views("anomalies") + ", b AS (SELECT *, CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 0 ELSE 1 END AS batch FROM anomalies) "
+    "SELECT record_id, source_dataset, severity FROM (SELECT *, row_number() OVER (PARTITION BY record_id, source_dataset ORDER BY batch, severity) AS r FROM b) WHERE r = 1",
 )
 def appended_anomaly_store(spark, sf_dir):
-    """Two batches with overlapping keys end up once per key in the store."""
+    """Two batches with overlapping keys end up once per key in the store, by the order of their columns."""
     found = views.anomalies(spark, sf_dir).select("record_id", "source_dataset", "severity")
     path = scratch_path(spark, "anomaly-store")
     sinks.append_new(found.where("severity IN ('HIGH', 'CRITICAL')"), path, ["record_id", "source_dataset"])
     sinks.append_new(found, path, ["record_id", "source_dataset"])
-    return spark.read.parquet(path).select("record_id", "source_dataset")
+    return spark.read.parquet(path).select("record_id", "source_dataset", "severity")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,12 +33,14 @@ def build_session(app_name: str = "wardenframe", master: str | None = None, **co
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one job's files.
 
-    On a cluster the session names a shared folder in ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder of this machine is used.
+    The session names a folder that all executors share in ``spark.checkpoint.dir``. Only a local master
+    may go without; it gets a temporary folder of this machine.
     """
     global _LOCAL_SCRATCH
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         if _LOCAL_SCRATCH is None:
             _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="wardenframe-")
         base = _LOCAL_SCRATCH

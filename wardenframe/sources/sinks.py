@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardenframe.operators import validation
 from wardenframe.operators.contracts import Contract
-from wardenframe.operators.serving import new_records
+from wardenframe.operators.serving import first_per_key, new_records
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -50,13 +50,17 @@ def write_validated(tagged: DataFrame, contract: Contract, path: str) -> tuple[D
     return valid, invalid, spark.read.schema(report.schema).json(f"{path}/report")
 
 
-def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append the records whose key the store does not hold yet (also once per key within the batch)."""
+def append_new(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> None:
+    """Append the records whose key the store does not hold yet, one per key: the first by ``order``, then by all columns."""
     spark = df.sparkSession
-    fresh = df.dropDuplicates(list(keys))
+    rest = [*order, *[c for c in df.columns if c not in keys and c not in order]]
+    fresh = first_per_key(df, keys, rest) if rest else df.distinct()
     try:
-        known = spark.read.parquet(path).select(*keys).distinct()
-    except AnalysisException:
-        known = None
+        store = spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no store yet
+            raise
+        store = None
+    known = None if store is None else store.select(*keys).distinct()
     fresh = fresh if known is None else new_records(fresh, known, keys)
     fresh.write.mode("append").parquet(path)
