@@ -91,14 +91,23 @@ class CauseNetwork:
                 w *= self.prior[i] if b else 1 - self.prior[i]
             self.weight[p] = w
         self.baseline = sum(self.weight[p] * self.effect[p] for p in self.weight)
+        # Sums over all patterns that contain a pattern, cause by cause: k passes over 2^k numbers.
+        self._mass = self._over_supersets(dict(self.weight))
+        self._joint = self._over_supersets({p: w * self.effect[p] for p, w in self.weight.items()})
+
+    def _over_supersets(self, values: dict[int, float]) -> list[float]:
+        sums = [values.get(p, 0.0) for p in range(2 ** len(self.causes))]
+        for i in range(len(self.causes)):
+            for p in range(len(sums)):
+                if not p >> i & 1:
+                    sums[p] += sums[p | 1 << i]
+        return sums
 
     def probability(self, active: int) -> float:
         """P(effect | the active causes are present), the other causes left open."""
-        match = [p for p in self.weight if p & active == active]
-        mass = sum(self.weight[p] for p in match)
-        if active == 0 or mass == 0:
+        if active == 0 or self._mass[active] == 0:
             return self.baseline
-        return sum(self.weight[p] * self.effect[p] for p in match) / mass
+        return self._joint[active] / self._mass[active]
 
     def posterior(self, i: int) -> float:
         """P(cause i | effect)."""

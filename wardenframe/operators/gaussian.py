@@ -71,7 +71,7 @@ def fit_gaussian(df: DataFrame, features: Sequence[str]) -> Gaussian:
 
 
 def score(df: DataFrame, model: Gaussian, keep: Sequence[str], name: str = "gaussian_score") -> DataFrame:
-    """Squared Mahalanobis distance per row, in Arrow batches."""
+    """Squared Mahalanobis distance per row, in Arrow batches; NULL where a feature is missing or not finite."""
     columns, mean = list(model.features), model.mean
     inverse = np.linalg.inv(model.covariance)
     keep = list(keep)
@@ -80,7 +80,8 @@ def score(df: DataFrame, model: Gaussian, keep: Sequence[str], name: str = "gaus
         for pdf in batches:
             x = pdf[columns].to_numpy(dtype=float) - mean
             out = pdf[keep].copy()
-            out[name] = np.nan_to_num(np.einsum("ij,jk,ik->i", x, inverse, x), nan=0.0)
+            distance = np.einsum("ij,jk,ik->i", x, inverse, x)
+            out[name] = pd.Series(distance, index=out.index).astype(object).where(np.isfinite(distance), None)
             yield out
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}

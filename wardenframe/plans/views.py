@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardenframe.operators.claims import REASONS
 from wardenframe.sources.tables import read_table
 
 
@@ -206,19 +207,6 @@ def plan_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The full transparency layout: plan and issuer level counts, ten denial reasons, seeded errors.
-DENIAL_REASONS = (
-    "referral_required",
-    "out_of_network",
-    "services_excluded",
-    "medical_necessity",
-    "behavioral_health_medical_necessity",
-    "benefit_limit",
-    "member_not_covered",
-    "investigational_experimental_cosmetic",
-    "administrative",
-    "other",
-)
-
 PLAN_ISSUER = (
     "plan_issuer AS (\n  SELECT plan_id, issuer_id,\n"
     "    plan_received_in_network, plan_received_out_network,\n"
@@ -238,7 +226,7 @@ PLAN_ISSUER = (
     "    CASE WHEN issuer_id % 7 = 0 THEN NULL ELSE external_appeals_filed END AS external_appeals_filed,\n"
     "    CASE WHEN issuer_id % 7 = 0 THEN NULL ELSE external_overturned END AS external_overturned,\n"
     "    CASE WHEN issuer_id % 7 = 0 THEN NULL WHEN (issuer_id + plan_no) % 37 = 0 THEN -5.0 ELSE 40.0 END AS percent_external_overturned,\n"
-    + "".join(f"    denied_{r},\n" for r in DENIAL_REASONS)
+    + "".join(f"    denied_{r},\n" for r in REASONS)
     + "    CASE WHEN issuer_id % 13 = 0 THEN NULL ELSE enrollment END AS avg_monthly_enrollment,\n"
     "    CASE WHEN issuer_id % 13 = 0 THEN NULL WHEN (issuer_id + plan_no) % 41 = 0 THEN enrollment + 5 ELSE disenrollment END AS avg_monthly_disenrollment\n"
     "  FROM (SELECT l_partkey % 40 AS plan_no, concat('PLAN', CAST(l_partkey % 40 AS VARCHAR)) AS plan_id, l_suppkey AS issuer_id,\n"
@@ -254,7 +242,7 @@ PLAN_ISSUER = (
     "    CAST(sum(CASE WHEN l_linenumber = 2 AND l_quantity > 30 THEN 1 ELSE 0 END) AS DOUBLE) AS external_overturned,\n"
     + "".join(
         f"    CAST(sum(CASE WHEN l_returnflag = 'R' AND l_partkey % 10 = {i} THEN 1 ELSE 0 END) AS DOUBLE) AS denied_{r},\n"
-        for i, r in enumerate(DENIAL_REASONS)
+        for i, r in enumerate(REASONS)
     )
     + "    CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS enrollment,\n"
     "    CAST(count(*) AS DOUBLE) AS disenrollment\n"
@@ -280,7 +268,7 @@ def plan_issuer(spark: SparkSession, sf_dir: str) -> DataFrame:
         tally("l_linenumber = 1 AND l_quantity > 25").alias("overturned_inside"),
         tally("l_linenumber = 2").alias("external_filed"),
         tally("l_linenumber = 2 AND l_quantity > 30").alias("external_won"),
-        *[tally(f"l_returnflag = 'R' AND l_partkey % 10 = {i}").alias(f"denied_{r}") for i, r in enumerate(DENIAL_REASONS)],
+        *[tally(f"l_returnflag = 'R' AND l_partkey % 10 = {i}").alias(f"denied_{r}") for i, r in enumerate(REASONS)],
         F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("enrollment"),
         F.count(F.lit(1)).cast("double").alias("disenrollment"),
     )
@@ -315,7 +303,7 @@ def plan_issuer(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN issuer_id % 7 = 0 THEN NULL ELSE external_filed END AS external_appeals_filed",
         "CASE WHEN issuer_id % 7 = 0 THEN NULL ELSE external_won END AS external_overturned",
         f"CASE WHEN issuer_id % 7 = 0 THEN NULL WHEN {mark} % 37 = 0 THEN -5.0D ELSE 40.0D END AS percent_external_overturned",
-        *[f"denied_{r}" for r in DENIAL_REASONS],
+        *[f"denied_{r}" for r in REASONS],
         "CASE WHEN issuer_id % 13 = 0 THEN NULL ELSE enrollment END AS avg_monthly_enrollment",
         f"CASE WHEN issuer_id % 13 = 0 THEN NULL WHEN {mark} % 41 = 0 THEN enrollment + 5 ELSE disenrollment END AS avg_monthly_disenrollment",
     )
