@@ -36,7 +36,7 @@ def test_both_cosine_paths_equal_brute_force(spark):
     unit = lambda m: m / np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1, np.linalg.norm(m, axis=1, keepdims=True))
     sim = unit(q) @ unit(c).T
     want = {i: [int(j) for j in np.argsort(-s, kind="stable")[:7] if s[j] >= 0.35] for i, s in enumerate(sim)}
-    for limits in ({}, {"broadcast_bytes": 0, "block_rows": 37}):
+    for limits in ({}, {"tile_bytes": 2000}):
         got = {i: [] for i in range(40)}
         for r in rt.cosine_top_k(queries, chunks, 7, **limits).orderBy("query_id", F.desc("similarity"), "chunk_id").collect():
             got[r.query_id].append(r.chunk_id)

@@ -17,8 +17,8 @@ MIN_KNOWLEDGE_SCORE, MAX_SUPPORTING_KNOWLEDGE = 0.35, 5
 # The white space that is trimmed from text.
 WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 # A chunk matrix up to this size is shipped to every task; a larger one is processed block by block.
-BROADCAST_BYTES = 128 * 1024 * 1024
-BLOCK_ROWS = 4096
+#: Vectors of a block, in bytes.
+TILE_BYTES = 4 * 1024 * 1024
 
 
 def strip(c: Column) -> Column:
@@ -66,42 +66,20 @@ def _frame(found: list[tuple[int, int, float]], query_ids: np.ndarray) -> pd.Dat
 _PAIR = "query_id long, chunk_id long, similarity double"
 
 
-def cosine_top_k(
-    queries: DataFrame, chunks: DataFrame, k: int, threshold: float = SIMILARITY_THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+def cosine_top_k(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = SIMILARITY_THRESHOLD, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Exact nearest chunks of every query by cosine: ``(query_id, chunk_id, similarity)``.
 
-    Inputs hold ``query_id`` / ``chunk_id`` (long) and ``vector``. The number of chunks is counted
-    first. A matrix that fits the limit is shipped to the tasks once. Otherwise both sides are cut into
-    blocks and each cell of the block grid is one bounded matrix product that returns at most k chunks
-    per query, so all pairs are compared but never emitted.
+    Inputs hold ``query_id`` / ``chunk_id`` (long) and ``vector``. Both sides are cut into blocks of at most
+    ``tile_bytes`` of vectors, and each cell of the block grid is one bounded matrix product that returns at
+    most k chunks per query, so all pairs are compared but never emitted. No vector reaches the driver.
     """
-    n = chunks.count()
-    dim = chunks.select(F.max(F.size("vector"))).first()[0] or 0
-    if n * dim * 8 <= broadcast_bytes:
-        partial = _shipped(queries, chunks, k, threshold)
-    else:
-        partial = _grid(queries, chunks, k, threshold, max(1, math.ceil(queries.count() / block_rows)), max(1, math.ceil(n / block_rows)))
+    sizes = chunks.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    rows = max(1, tile_bytes // (8 * max(sizes["dim"] or 1, 1)))
+    partial = _grid(queries, chunks, k, threshold, max(1, math.ceil(queries.count() / rows)), max(1, math.ceil(sizes["n"] / rows)))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return partial.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def _shipped(queries: DataFrame, chunks: DataFrame, k: int, threshold: float) -> DataFrame:
-    rows = chunks.select("chunk_id", "vector").toPandas()  # size checked by the caller
-    if rows.empty:
-        return queries.sparkSession.createDataFrame([], _PAIR)
-    shared = queries.sparkSession.sparkContext.broadcast((rows["chunk_id"].to_numpy(), _unit(rows["vector"].tolist())))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
-        for pdf in batches:
-            if len(pdf):
-                sim = _unit(pdf["vector"].tolist()) @ matrix.T
-                yield _frame(list(_best(sim, ids, k, threshold)), pdf["query_id"].to_numpy())
-
-    return queries.select("query_id", "vector").mapInPandas(run, _PAIR)
-
-
 def _grid(queries: DataFrame, chunks: DataFrame, k: int, threshold: float, query_blocks: int, chunk_blocks: int) -> DataFrame:
     def spread(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -92,13 +92,41 @@ def similar_chunks(spark, sf_dir):
 
 @query("similar_chunks_by_blocks", "O4 G10", CANDIDATES_SQL + " SELECT query_id, chunk_id, source, round(similarity, 6) AS similarity FROM k")
 def similar_chunks_by_blocks(spark, sf_dir):
-    """The block-grid path that a chunk matrix too large to ship takes."""
-    return candidates(spark, sf_dir, broadcast_bytes=0, block_rows=128).select("query_id", "chunk_id", "source", F.round("similarity", 6).alias("similarity"))
+    """The same through many small blocks."""
+    return candidates(spark, sf_dir, tile_bytes=1 << 14).select("query_id", "chunk_id", "source", F.round("similarity", 6).alias("similarity"))
+
+
+_CUT_SQL = (
+    CANDIDATES_SQL.split(", k AS (")[0] + ", k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM p WHERE similarity >= -0.2) WHERE r <= 5)"
+)
+
+
+@query("nearest_chunks_cut", "O4 I6", _CUT_SQL + " SELECT query_id, chunk_id, source, round(similarity, 6) AS similarity FROM k")
+def nearest_chunks_cut(spark, sf_dir):
+    """Five of the many chunks above a low threshold, so that the cut itself is compared."""
+    anomalies, chunks = _vectors(spark, sf_dir)
+    near = rt.cosine_top_k(anomalies, chunks, 5, threshold=-0.2, tile_bytes=1 << 15)
+    return near.join(chunks.select("chunk_id", "source"), "chunk_id").select("query_id", "chunk_id", "source", F.round("similarity", 6).alias("similarity"))
+
+
+_WIDE_SQL = (
+    CANDIDATES_SQL.replace("similarity >= 0.35", "similarity >= -0.2") + ", s AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY similarity DESC, chunk_id) AS sr FROM k), "
+    "ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(sr > 1 AS INT), similarity DESC, chunk_id) AS cr FROM s) WHERE cr <= 5), "
+    "rt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM ch)"
+)
+
+
+@query("diverse_chunks_cut", "O7 I6", _WIDE_SQL + " SELECT query_id, chunk_id, source, CAST(rank AS INT) AS rank FROM rt")
+def diverse_chunks_cut(spark, sf_dir):
+    """One chunk per source first, then back-fill, out of twenty candidates per query."""
+    anomalies, chunks = _vectors(spark, sf_dir)
+    near = rt.cosine_top_k(anomalies, chunks, 20, threshold=-0.2).join(chunks.select("chunk_id", "source"), "chunk_id")
+    return rt.diversify(near.withColumnRenamed("similarity", "hybrid_score")).select("query_id", "chunk_id", "source", "rank")
 
 
 _NORM_TERMS = [t.replace("-", " ") for t in _TERMS]
 HYBRID_SQL = (
-    CANDIDATES_SQL + ", h0 AS (SELECT k.*, d.text, regexp_replace(lower(d.text), '[^a-z0-9_]+', ' ', 'g') AS body FROM k JOIN documents d ON d.doc_id = k.chunk_id), "
+    CANDIDATES_SQL + ", h0 AS (SELECT k.*, d.text, regexp_replace(lower(d.text), '[^a-z0-9_]+', ' ', 'g') AS body FROM k LEFT JOIN documents d ON d.doc_id = k.chunk_id), "
     "h AS (SELECT *, (" + " + ".join(f"CAST(contains(body, '{t}') AS INT)" for t in _NORM_TERMS) + f") / {len(_TERMS)} AS evidence_score FROM h0), "
     "hy AS (SELECT *, similarity * 0.7 + evidence_score * 0.3 AS hybrid_score FROM h)"
 )
@@ -106,7 +134,7 @@ HYBRID_SQL = (
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    joined = candidates(spark, sf_dir).join(text, "chunk_id").withColumn("terms", F.array(*[F.lit(t) for t in _TERMS]))
+    joined = candidates(spark, sf_dir).join(text, "chunk_id", "left").withColumn("terms", F.array(*[F.lit(t) for t in _TERMS]))
     return rt.add_hybrid(joined)
 
 
