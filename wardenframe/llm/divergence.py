@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenframe.llm.common import WHITE, WHITE_CLASS, saved, table
+from wardenframe.llm.common import WHITE_CLASS, saved, table
 
 # Frequent function words of four languages.
 COMMON_WORDS = {
@@ -29,7 +29,6 @@ CLASSES = {
     "stop": ".,;:!?'\"()\\-",
     "symbol": "#*$%&|<>",
 }
-SYMBOLS = "#*$%&|<>"
 OTHER = "und"
 #: Limits of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -43,10 +42,6 @@ def _language(lang: Column | None) -> Column:
     return F.lit(OTHER) if lang is None else F.when(lang.isin(*COMMON_WORDS), lang).otherwise(OTHER)
 
 
-def _without(text: Column, members: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[{members}]+", ""))
-
-
 def text_statistics(df: DataFrame, key: str, text: str, lang: str | None) -> DataFrame:
     """Key, language and all counts of every row; one pass over the texts."""
     rows = df.select(F.col(key).alias("id"), _language(F.col(lang) if lang else None).alias("language"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -57,8 +52,6 @@ def text_statistics(df: DataFrame, key: str, text: str, lang: str | None) -> Dat
     longest = max(len(w) for words in COMMON_WORDS.values() for w in words)
     rows = rows.withColumns({
         "n_words": count.cast("long"),
-        "word_chars": F.length(F.translate("text", WHITE, "")).cast("long"),
-        "n_symbols": (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long"),
         "windows": F.array_sort(windows),
         "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{WHITE_CLASS[1:]}")),
         "short": F.transform(F.filter("words", lambda w: F.length(w) <= longest), F.lower),
@@ -70,11 +63,17 @@ def text_statistics(df: DataFrame, key: str, text: str, lang: str | None) -> Dat
     after = F.slice("hits", 2, F.greatest(F.size("hits"), F.lit(1)))
     # A hit covers three words, but only those before the next hit are counted for it.
     covered = F.aggregate(F.zip_with("hits", after, lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))), F.lit(0).cast("long"), lambda s, x: s + x)
-    classes = [(F.length("text") - _without(F.col("text"), m)).cast("double").alias(name) for name, m in CLASSES.items()]
+    # Each class is cut out of what the classes before it left, so only the first pass sees the whole text.
+    left = [F.col("text")]
+    for k, members in enumerate((*CLASSES.values(), WHITE_CLASS[1:-1])):
+        rows = rows.withColumn(f"left{k}", F.regexp_replace(left[-1], f"[{members}]+", ""))
+        left.append(F.col(f"left{k}"))
+    *sizes, blanks = [F.length(before) - F.length(after) for before, after in zip(left, left[1:])]
+    found = dict(zip(CLASSES, sizes))
     out = rows.select(
-        "id", "language", "n_words", "word_chars", "n_symbols",
+        "id", "language", "n_words", (F.length("text") - blanks).cast("long").alias("word_chars"), found["symbol"].cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"), *classes,
+        covered.alias("n_repeat_words"), *[c.cast("double").alias(name) for name, c in found.items()],
         _by_language(lambda words: F.array(*[_occurrences(w) for w in words])).alias("common"),
     )
     rest = F.greatest(F.col("word_chars").cast("double") - sum((F.col(n) for n in CLASSES), F.lit(0.0)), F.lit(0.0))
@@ -169,7 +168,7 @@ g AS (SELECT r, unnest(range(1, len(words) - 1)) AS i, unnest(list_transform(ran
 hit AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, h) AS n FROM g) WHERE n > 1),
 cover AS (SELECT r, sum(least(coalesce(nxt - i, 3), 3)) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM hit) GROUP BY r),
 s AS (SELECT w.r, doc_id, language, len(words)::BIGINT AS n_words, length(regexp_replace(text, '{space}', '', 'g'))::BIGINT AS word_chars,
-             (length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols,
+             (length(text) - length(regexp_replace(text, '[{CLASSES["symbol"]}]', '', 'g')))::BIGINT AS n_symbols,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{space[1:]}')) AS lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words, {classes},
              list_transform(list, lambda c: len(list_filter(words, lambda x: lower(x) = c))::DOUBLE) AS common FROM w LEFT JOIN cover USING (r)),
 c AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
