@@ -99,3 +99,30 @@ def test_auc_counts_ties_half(spark):
     want = sum(1.0 if p > q else 0.5 if p == q else 0.0 for p, q in pairs) / len(pairs)
     assert np.isclose(evl.roc_auc(df, "t", "s").first()[0], want)
     assert evl.roc_auc(df.where("t = 1"), "t", "s").first()[0] is None
+
+
+def test_correlations_over_rows_that_hold_both(spark):
+    import numpy as np
+    import pandas as pd
+
+    from wardenframe.operators.profiling import correlation_matrix
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4)) + 1e6
+    x[:, 1] += x[:, 0]
+    x[:, 3] = 5.0
+    x[rng.random((300, 4)) < 0.2] = np.nan
+    rows = [tuple(None if v != v else float(v) for v in r) for r in x]
+    got = correlation_matrix(spark.createDataFrame(rows, "a double, b double, c double, d double"), ["a", "b", "c", "d"])
+    want = pd.DataFrame(x).corr().to_numpy()
+    assert np.allclose(got[:3, :3], want[:3, :3], atol=1e-9) and np.isnan(got[3]).all()
+
+
+def test_repeated_keys_do_not_fan_out(spark):
+    import pytest
+
+    from wardenframe.operators.claims import unique_rows
+
+    assert unique_rows(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), ["k"], "scores").count() == 2
+    with pytest.raises(Exception, match="repeated key in scores"):
+        unique_rows(spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string"), ["k"], "scores").collect()

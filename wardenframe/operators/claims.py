@@ -227,12 +227,21 @@ def simple_claims_check(df: DataFrame, numeric: Sequence[str], ml_flag: Column)
 # ---------------------------------------------------------------- integration
 
 
+def unique_rows(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``df`` if no key occurs twice; raises when it is read otherwise."""
+    rest = [c for c in df.columns if c not in keys]
+    packed = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_r"))
+    checked = F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.lit(f"repeated key in {what}")).cast(packed.schema["_r"].dataType))
+    return packed.select(*keys, checked.alias("_r")).select(*keys, "_r.*").select(*df.columns)
+
+
 def merge_signals(scores: DataFrame, rules: DataFrame, evidence: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Left-join rule and evidence results to the scores, with neutral values where a side is absent.
 
-    Keys must be unique on every side (check with ``duplicate_keys``); then no row can fan out.
+    A key that occurs twice on any side raises, so no row can fan out.
     """
-    joined = scores.join(rules, list(keys), "left").join(evidence, list(keys), "left")
+    sides = [unique_rows(df, keys, what) for df, what in ((scores, "scores"), (rules, "rules"), (evidence, "evidence"))]
+    joined = sides[0].join(sides[1], list(keys), "left").join(sides[2], list(keys), "left")
     texts = ("rule_name", "rule_reason", "rule_severity", "evidence_severity", "evidence_summary")
     return joined.select(
         *scores.columns,

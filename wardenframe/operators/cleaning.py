@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardenframe.functions.columns import SUPPRESSION_TOKENS, col, finite, to_number, wide_to_rows, with_scalars
 from wardenframe.functions.quantiles import quantile_row
+from wardenframe.operators.profiling import correlation_matrix
 
 MISSING_CATEGORY = "__MISSING__"
 # Text read as missing when a text column is tried as numbers.
@@ -140,13 +139,12 @@ def encode(df: DataFrame, columns: Sequence[str], codes: DataFrame) -> DataFrame
 
 def column_shape(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: distinct values, filled values, missing share. What constant and sparse checks read."""
-    row = df.agg(
-        *[F.count_distinct(F.col(c)).alias(f"{c}__distinct_values") for c in columns],
-        *[F.count(F.col(c)).alias(f"{c}__filled") for c in columns],
-        *[F.round(F.count_if(F.col(c).isNull()) / F.count(F.lit(1)), 6).alias(f"{c}__missing_rate") for c in columns],
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
+    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows"))
+    filled = F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("rows"))), F.lit(0))
+    return counted.groupBy("column_name").agg(
+        F.count("value").alias("distinct_values"), filled.alias("filled"), F.round(1 - filled / F.sum("rows"), 6).alias("missing_rate")
     )
-    types = {"distinct_values": "long", "filled": "long", "missing_rate": "double"}
-    return wide_to_rows(row, columns, tuple(types), types)
 
 
 def drop_constant(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -165,12 +163,8 @@ def missing_indicators(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlated_columns(df: DataFrame, columns: Sequence[str], limit: float = 0.95) -> list[str]:
-    """Columns to drop: each one that correlates above ``limit`` with an earlier column.
-
-    One distributed pass builds the matrix; only columns x columns numbers reach the driver.
-    """
-    vector = VectorAssembler(inputCols=list(columns), outputCol="v", handleInvalid="skip").transform(df).select("v")
-    matrix = Correlation.corr(vector, "v").first()[0].toArray()
+    """Columns to drop: each one that correlates above ``limit`` with an earlier column, over the rows that hold both."""
+    matrix = correlation_matrix(df, columns)
     return [c for j, c in enumerate(columns) if any(abs(matrix[i][j]) > limit for i in range(j))]
 
 

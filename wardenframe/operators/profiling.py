@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,15 +87,41 @@ def category_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Correlation of every two columns over the rows that hold both; NaN where that is undefined.
+
+    Two passes, means and then products of centred batches, summed by line of the matrix. Only columns x
+    columns sums reach the driver.
+    """
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    first = numbers.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]).first()
+    mean, size = np.array([first[c] if first[c] is not None else 0.0 for c in columns]), len(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((4, size, size))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float) - mean
+            held = np.isfinite(x)
+            x = np.where(held, x, 0.0)
+            sums += np.stack([held.T.astype(float) @ held, x.T @ held, (x * x).T @ held, x.T @ x])
+        yield pd.DataFrame({"line": np.arange(size), "sums": list(sums.transpose(1, 0, 2).reshape(size, -1))})
+
+    parts = numbers.mapInPandas(run, "line int, sums array<double>").select("line", F.posexplode("sums").alias("at", "v"))
+    totals = np.zeros((size, 4 * size))
+    for r in parts.groupBy("line", "at").agg(F.sum("v").alias("v")).collect():
+        totals[r["line"], r["at"]] = r["v"]
+    n, sx, sxx, sxy = totals.reshape(size, 4, size).transpose(1, 0, 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = sxx - sx * sx / n
+        return (sxy - sx * sx.T / n) / np.sqrt(np.where(spread > 0, spread, np.nan) * np.where(spread.T > 0, spread.T, np.nan))
+
+
 def correlation_profile(df: DataFrame, columns: Sequence[str], threshold: float = 0.70) -> DataFrame:
-    """Strongly correlated pairs, all pairs in one aggregate."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    listed = F.array(*[
-        F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.round(F.col(f"p{i}"), STAT_DIGITS).alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ])
-    found = row.select(F.explode(listed).alias("r")).select("r.*")
+    """Strongly correlated pairs."""
+    matrix = correlation_matrix(df, columns)
+    pairs = [(a, b, float(matrix[columns.index(a), columns.index(b)])) for a, b in combinations(columns, 2)]
+    listed = df.sparkSession.createDataFrame(pairs, "feature_1 string, feature_2 string, correlation double")
+    found = listed.withColumn("correlation", F.round("correlation", STAT_DIGITS))
     return found.where(~F.isnan("correlation") & (F.abs("correlation") >= threshold)).orderBy(F.desc(F.abs("correlation")), "feature_1", "feature_2")
 
 
