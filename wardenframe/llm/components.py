@@ -13,7 +13,8 @@ MOST_ROUNDS = 60
 
 def _stars(sides: DataFrame, own: bool) -> DataFrame:
     """From rows (`u`, `v`): every `v` (and `u` itself if `own`) tied to the least of u and its neighbours."""
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+    # Written, so that the join below is one of two plain shuffles and a node with many edges can be split.
+    least = saved(sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m")), "least")
     ties = sides.join(least, F.col("u") == F.col("_u"))
     ties = ties.filter(F.col("v") > F.col("u")) if not own else ties
     out = ties.select(F.col("v").alias("u"), F.col("m").alias("v"))

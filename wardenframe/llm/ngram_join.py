@@ -493,9 +493,11 @@ def ngram_links(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     roots = components(links.select(name("hi", "lo").alias("u"), name("to_hi", "to_lo").alias("v")))
     counts = links.groupBy("hi", "lo").agg(F.sum("rows").alias("rows"))
     linked = classes.withColumn("name", name("hi", "lo")).join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    firsts = linked.groupBy("root").agg(F.min("first").alias("component"))
+    linked = saved(linked, "linked")
+    # Written, as are the classes below: joins of plain shuffles, in which a large group is free to be split.
+    firsts = saved(linked.groupBy("root").agg(F.min("first").alias("component")), "firsts")
     per_class = linked.join(firsts, "root").join(counts, ["hi", "lo"], "left").select("hi", "lo", "component", (F.col("copies") - 1 + F.coalesce("rows", F.lit(0))).alias("n_links"))
-    out = full.join(per_class, ["hi", "lo"]).select("id", "n", "component", "n_links")
+    out = full.join(saved(per_class, "per-class"), ["hi", "lo"]).select("id", "n", "component", "n_links")
     out = out.union(rows.filter("n = 0").select("id", "n", "id", F.lit(0).cast("long")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
 
