@@ -102,8 +102,9 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     group = ["size", "f0", "f1"]
     # The row that stays is the smallest of (-characters, key is null, key, row); counts and minima combine before the shuffle.
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), "id", "row", "sha")).alias("best")
-    groups = marks.groupBy(*group).agg(best, F.count("*").alias("group_size"))
-    members = marks.join(groups, group)
+    # Written by themselves, both sides of the join are plain shuffles, and a large group's rows are free to be split.
+    groups = saved(marks.groupBy(*group).agg(best, F.count("*").alias("group_size")), "groups")
+    members = saved(marks.join(groups, group), "members")
     shared = members.filter("group_size > 1").select(F.col("id").alias("of"), F.col("sha").alias("digest"), F.col("best.row").alias("best_row"), (F.col("row") == F.col("best.row")).alias("stays"))
     shared = shared.groupBy("of", "digest", "best_row").agg(F.max("stays").alias("stays"))
     texts = source.select("id", digest.alias("sha"), normalised(F.col("_text")).alias("norm")).join(shared, F.col("id").eqNullSafe(F.col("of")) & (F.col("sha") == F.col("digest")))
@@ -111,19 +112,19 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     ours, theirs = pieces.drop("stays"), pieces.filter("stays").groupBy("best_row", "seq").agg(F.first("chunk").alias("held"))
     same = ours.join(theirs, ["best_row", "seq"], "left").select("id", "sha", "best_row", F.coalesce(F.col("chunk") == F.col("held"), F.lit(False)).alias("same"))
     odd = same.filter(~F.col("same")).select("id", "sha", "best_row").distinct()
-    return _settle(marks, groups, odd, group).select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), "n_chars")
+    return _settle(marks, members, odd, group).select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), "n_chars")
 
 
-def _settle(marks: DataFrame, groups: DataFrame, odd: DataFrame, group: list[str]) -> DataFrame:
+def _settle(marks: DataFrame, members: DataFrame, odd: DataFrame, group: list[str]) -> DataFrame:
     """Rows with their group; those in `odd` (equal fingerprint, other text) are told apart by their digest."""
     odd = saved(odd, "unequal")
     if odd.isEmpty():
-        return marks.join(groups, group).select("id", "sha", "n_chars", "group_size", F.col("best.id").alias("keep_id"), (F.col("row") == F.col("best.row")).alias("kept"))
+        return members.select("id", "sha", "n_chars", "group_size", F.col("best.id").alias("keep_id"), (F.col("row") == F.col("best.row")).alias("kept"))
     marks = marks.join(odd.select("sha").distinct().withColumn("apart", F.col("sha")), "sha", "left")
     group = [*group, "apart"]
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     marks = marks.withColumn("apart", F.coalesce("apart", F.lit("")))
-    groups = marks.groupBy(*group).agg(best, F.count("*").alias("group_size"))
+    groups = saved(marks.groupBy(*group).agg(best, F.count("*").alias("group_size")), "groups")
     return marks.join(groups, group).select("id", "sha", "n_chars", "group_size", F.col("best.id").alias("keep_id"), (F.col("row") == F.col("best.row")).alias("kept"))
 
 
