@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from wardenframe.llm.common import fresh_path, table
+from wardenframe.llm.common import fresh_path, saved, table
 
 COLUMNS = {
     "record_type": "WARC-Type",
@@ -275,7 +275,8 @@ def archive_records(pages: DataFrame, key: str = "page_id", url: str = "url", so
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(source), F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumns({"size": F.length("body"), "digest": F.sha1("body")})
     large = (F.col("size") >= least) & F.col("id").isNotNull()
-    holders = rows.filter(large).groupBy(F.col("digest").alias("group")).agg(F.max("id").alias("holder"))
+    # Written, so that the join is one of two plain shuffles and the rows of an often repeated payload can be split.
+    holders = saved(rows.filter(large).groupBy(F.col("digest").alias("group")).agg(F.max("id").alias("holder")), "holders")
     # Small payloads get a group of their own, so that the join has no hot key for them.
     grouped = rows.withColumn("group", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.col("digest")))))
     joined = grouped.join(holders, "group", "left")
