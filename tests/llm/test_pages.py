@@ -99,6 +99,22 @@ def test_main_text(source, expected):
     assert text_of(source) == expected
 
 
+@pytest.mark.parametrize("source,expected", [
+    (f"<html><head><title>no</title><article><p>{PROSE}</p></article>", [PROSE]),
+    (f"<head><meta charset=utf-8><script>var a = '<body>';</script><link rel=x><p>{PROSE}", [PROSE]),
+    (f"<body><div><p>one <button>Share</div><article><p>{PROSE}</p></article></body>", ["one", PROSE]),
+    (f"<body><button>Share<article><p>{PROSE}</p></article></body>", [PROSE]),
+    (f"<p>one <svg><path d=1><p>{PROSE}</p>", ["one", PROSE]),
+    (f"<div><select><option>no</div><object data=x><p>{PROSE}</p><iframe src=x></iframe><p>two</p>", [PROSE, "two"]),
+    (f"<p>one <span><noscript>no</span> two</p><p>{PROSE}</p>", ["one two", PROSE]),
+    (f"<p>one <noscript><p>no</p></noscript> two <object><object>no</object>no</object></p><p>{PROSE}", ["one two", PROSE]),
+    (f"<p>{PROSE}</p><script>var t = '<p>no</p>';", [PROSE]),
+    ("<article><p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></semantics></math> holds</p></article>", ["so x=1 holds"]),
+])
+def test_optional_and_missing_end_tags(source, expected):
+    assert [b.text for b in html_text.page_blocks(source)] == expected
+
+
 def test_extraction_rows(spark):
     rows = [(1, "u", f"<article><p>{PROSE}</p></article>"), (2, None, None), (3, "v", ""), (1, "u", f"<article><p>{PROSE}</p></article>"), (4, "w", "<article><p>" + "long " * 200_000 + "</p></article>"), (None, "x", "<article>no key</article>")]
     found = html_text.extract_text(pages(spark, rows), keep=("url",)).collect()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,8 +23,12 @@ from wardenframe.llm.common import table
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HINT = re.compile(r"[a-z]+")
-#: Elements whose content is never text of the page.
-_SILENT = frozenset("script style noscript template svg math head title select textarea iframe object canvas audio video button datalist".split())
+#: Elements whose content is text up to their own end tag, whatever stands in it, and never text of the page.
+_RAW = frozenset("script style textarea title".split())
+#: Other elements whose content is never text of the page; of a formula, only the source code kept beside it.
+_SILENT = frozenset("noscript template svg select iframe object canvas audio video button datalist annotation annotation-xml".split())
+#: Elements without content.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block.
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -107,25 +112,94 @@ class _Page:
 _ENDS_ITSELF = {"p": ("p",), "li": ("li", "p"), "dt": ("dd", "dt", "p"), "dd": ("dt", "dd", "p"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), **{h: ("p",) for h in _HEADING}}
 
 
-def page_blocks(source: str) -> list[Block]:
-    """Text blocks of a page in order; unclosed and stray tags are taken as browsers do, roughly."""
-    page, at = _Page(), 0
+def _tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name and attributes of every tag; comments, declarations and raw text have no name."""
+    at, in_head = 0, False
     while found := _MARKUP.search(source, at):
-        if found.start() > at:
-            piece = source[at: found.start()]
+        at = found.end()
+        tag, closing, attributes = (found[2] or "").lower(), bool(found[1]), found[3] or ""
+        if tag in _RAW and not closing and not attributes.endswith("/"):
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            if not end and in_head:
+                end = re.compile(r"(?=</head\s*>|<body\b)", re.I).search(source, at)
+            at, tag = end.end() if end else len(source), ""
+        elif tag == "head":
+            in_head = not closing
+        elif tag in _BLOCK:
+            in_head = False
+        yield found.start(), at, closing, tag, attributes
+
+
+def _silent_ends(tags: list[tuple[int, int, bool, str, str]]) -> dict[int, tuple[int, int]]:
+    """Where the page goes on (offset, number of the next tag) after the silent element that a tag opens.
+
+    An element without end tag ends where an element around it does, at the next block, or where its like
+    begins if it cannot hold that; without any of these its tag counts for nothing.
+    """
+    ends: dict[int, tuple[int, int]] = {}
+    if not any(t[3] in _SILENT for t in tags):
+        return ends
+    open_: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
+    ended: set[int] = set()
+
+    def close(tag: str, k: int, whole: bool) -> None:
+        while True:
+            name, begun = open_.pop()
+            held[name] -= 1
+            if name in _SILENT:
+                ends[begun] = (tags[k][0], k)
+                if whole and name == tag:
+                    ends[begun] = (tags[k][1], k + 1)
+                    ended.add(begun)
+            if name == tag:
+                return
+
+    for k, (_, _, closing, tag, attributes) in enumerate(tags):
+        if not tag or tag in _VOID:
+            continue
+        if closing:
+            if not held[tag]:
+                continue
+            if tag not in _BLOCK and tag not in _SILENT:
+                # The end of an inline element does not reach out of its block.
+                inner = next(name for name, _ in reversed(open_) if name == tag or name in _BLOCK)
+                if inner != tag:
+                    continue
+            close(tag, k, True)
+        elif tag in _BLOCK or not attributes.endswith("/"):
+            if tag in ("button", "select") and held[tag]:
+                close(tag, k, False)
+            open_.append((tag, k))
+            held[tag] += 1
+    block = None
+    for k in range(len(tags) - 1, -1, -1):
+        if tags[k][3] in _SILENT and not tags[k][2] and not tags[k][4].endswith("/"):
+            if k not in ended and block is not None and (k not in ends or block < ends[k][1]):
+                ends[k] = tags[block][0], block
+        if tags[k][3] in _BLOCK or tags[k][3] == "head":
+            block = k
+    return ends
+
+
+def page_blocks(source: str) -> list[Block]:
+    """Text blocks of a page in order; unclosed and stray tags are taken as browsers do, roughly.
+
+    A head needs no treatment: what it may hold is raw, silent or void, and anything else ends it.
+    """
+    page, at, k = _Page(), 0, 0
+    tags = list(_tags(source))
+    silent = _silent_ends(tags)
+    while k < len(tags):
+        start, end, closing, tag, attributes = tags[k]
+        if start > at:
+            piece = source[at:start]
             page.pieces.append(piece)
             if page.in_link:
                 page.linked.append(piece)
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = found[1], found[3]
-        if tag in _SILENT:
-            # Up to its own end tag; a head also ends where the body begins.
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(r"</head\s*>|(?=<body\b)" if tag == "head" else rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+        at, k = silent.get(k, (end, k + 1))
+        if tag == "head":
+            page.end_block()
         elif tag in _BLOCK:
             page.end_block()
             if closing:
