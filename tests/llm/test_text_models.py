@@ -159,6 +159,22 @@ def test_shards_of_nothing(spark):
     assert sharding.hilbert_shards(frame(spark, []), ["source", "n_chars"], "doc_id", 4).collect() == []
 
 
+def test_sources_with_a_common_prefix_are_told_apart(spark):
+    rows = [(k, "text", "en", f"https://example.org/{'ab'[k % 2]}", 1) for k in range(200)]
+    found = sharding.hilbert_shards(frame(spark, rows), ["source"], "doc_id", 2).collect()
+    assert {(r.shard, r.doc_id % 2) for r in found} == {(0, 0), (1, 1)}
+
+
+def test_text_steps_are_exact_quantiles_of_whole_values(spark):
+    values = [f"common_crawl_{k * 7919 % 601:03d}" for k in range(601)] + ["common_crawl_300"] * 150 + [None] * 90 + ["", "é" * 50, "é" * 50 + "a"]
+    rows = [(k, "text", "en", v, 1) for k, v in enumerate(values)]
+    found = sharding.hilbert_shards(frame(spark, rows), ["source"], "doc_id", 4).collect()
+    ordered = sorted(b"0" if v is None else b"1" + v.encode() for v in values)
+    cuts = sorted({ordered[-(-s * len(ordered) // 16) - 1] for s in range(1, 16)})
+    steps = [sum((b"0" if v is None else b"1" + v.encode()) > c for c in cuts) for v in values]
+    assert {r.doc_id: r.curve for r in found} == dict(enumerate(steps))
+
+
 def test_packing_keeps_every_piece_and_length(spark):
     rows = documents()
     words = packing.text_words(frame(spark, rows))

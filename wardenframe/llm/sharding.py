@@ -1,6 +1,6 @@
 """Hilbert-curve sharding: rows sorted along a space-filling curve over metadata and cut into runs.
 
-Every dimension is quantised to `2**bits` steps at its own quantiles, the steps are turned into a curve
+Every dimension is quantised to `2**bits` steps at its own quantiles (of texts: exact ones of the whole texts), the steps are turned into a curve
 index, and the rows in curve order are cut into shards of equal row counts. Files written per shard then
 cover small boxes of the metadata space, so a filter on any of the dimensions skips most of them.
 
@@ -15,20 +15,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardenframe.llm.common import saved, table
+from wardenframe.llm.common import saved, shuffle_partitions, table
 
 SALTS = 256
-#: Accuracy of the quantile sketch; its size, not that of the data, bounds what a task holds.
+#: Accuracy of the quantile sketch of numbers; its size, not that of the data, bounds what a task holds.
 SKETCH = 2000
 
 
 def ordinal(df: DataFrame, name: str) -> Column:
-    """Numbers as they are; texts by their first six bytes as a number, which keeps their order. Null sorts first."""
+    """Numbers as they are; anything else by the bytes of its whole text. Null sorts first."""
     if isinstance(df.schema[name].dataType, T.NumericType):
         value = F.col(name).cast("double")
         return F.coalesce(F.when(~F.isnan(value), value), F.lit(float("-inf")))
-    head = F.rpad(F.hex(F.substring(F.col(name).cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+    whole = F.concat(F.lit("1").cast("binary"), F.col(name).cast("string").cast("binary"))
+    return F.coalesce(whole, F.lit("0").cast("binary"))
+
+
+def text_cuts(rows: DataFrame, name: str, total: int, steps: int) -> list[bytes]:
+    """Values of a binary column at its exact `steps`-quantiles: the `steps - 1` or fewer that the running total of rows reaches them with.
+
+    The distinct values, however many, are dealt by range; only the totals of the ranges are added up in one task.
+    """
+    counted = rows.groupBy(name).agg(F.count("*").alias("n"))
+    ranged = counted.repartitionByRange(shuffle_partitions(rows.sparkSession), name).withColumn("_range", F.spark_partition_id())
+    ranged = saved(ranged, "hilbert-values")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranged.groupBy("_range").agg(F.sum("n").alias("m")).select("_range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("_range").orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(F.broadcast(ahead), "_range").withColumn("upto", F.col("ahead") + F.sum("n").over(inside))
+    reached, missed = (F.expr(f"least({rank} * {steps} div {max(total, 1)}, {steps - 1})") for rank in ("upto", "(upto - n)"))
+    return sorted(bytes(r[0]) for r in placed.filter(reached > missed).select(name).collect())
 
 
 def curve_index(steps: Column, dimensions: int, bits: int) -> Column:
@@ -77,12 +93,17 @@ def hilbert_shards(
     )
     rows = rows.withColumn("_h", F.xxhash64("_key", *[f"_p{k}" for k in range(len(payload or {}))]))
     rows = saved(rows, "hilbert-rows")
+    total = rows.count()
     share = [s / (1 << bits) for s in range(1, 1 << bits)]
-    cuts = rows.agg(*[F.percentile_approx(f"_d{k}", share, SKETCH).alias(f"c{k}") for k in range(len(dimensions))]).first()
+    texts = [k for k in range(len(dimensions)) if isinstance(rows.schema[f"_d{k}"].dataType, T.BinaryType)]
+    numbers = [k for k in range(len(dimensions)) if k not in texts]
+    cuts = {k: text_cuts(rows, f"_d{k}", total, 1 << bits) for k in texts}
+    if numbers:
+        found = rows.agg(*[F.percentile_approx(f"_d{k}", share, SKETCH) for k in numbers]).first()
+        cuts |= {k: sorted(set(c or [])) for k, c in zip(numbers, found)}
 
     def step(k: int) -> Column:
-        bounds = sorted(set(cuts[k] or []))
-        return sum((F.when(F.col(f"_d{k}") > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0)).cast("long")
+        return sum((F.when(F.col(f"_d{k}") > F.lit(b), 1).otherwise(0) for b in cuts[k]), F.lit(0)).cast("long")
 
     rows = rows.withColumn("_cell", F.array(*[step(k) for k in range(len(dimensions))])).withColumn("_salt", F.shiftright("_h", 40).bitwiseAND(SALTS - 1).cast("int"))
     rows = rows.drop(*[f"_d{k}" for k in range(len(dimensions))])
@@ -93,7 +114,6 @@ def hilbert_shards(
     cells = cells.select("_cell", "curve", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("_cell").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("_cell", "_salt", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("inside")).join(cells, "_cell").select("_cell", "_salt", "curve", (F.col("ahead") + F.col("inside")).alias("start"))
-    total = rows.count()
     order = Window.partitionBy("_cell", "_salt").orderBy("_h", "_key")
     placed = rows.withColumn("_n", F.row_number().over(order)).join(starts, ["_cell", "_salt"]).withColumn("_rank", F.col("start") + F.col("_n") - 1)
     shard = F.expr(f"_rank * {shards} div {max(total, 1)}")
