@@ -114,6 +114,11 @@ def score_severity(score: Column, medium: Column, high: Column) -> Column:
     return F.when(score >= high, "HIGH").when(score >= medium, "MEDIUM").otherwise("LOW")
 
 
+def model_name(df: DataFrame) -> Column:
+    """Name of the model that scored a row: ``ml_model``, where there is such a column."""
+    return F.col("ml_model") if "ml_model" in df.columns else F.lit("Isolation Forest")
+
+
 def risk(df: DataFrame) -> DataFrame:
     """Rule part (15 each, at most 50), model part (40/30/20), agreement bonus 10; level and reasons."""
     count, severity = F.col("rule_anomaly_count"), F.col("ml_anomaly_severity")
@@ -123,7 +128,7 @@ def risk(df: DataFrame) -> DataFrame:
     score = F.least(F.least(count * 15, F.lit(50)) + model_part + F.when(both, 10).otherwise(0), F.lit(100)).cast("int")
     reasons = [
         (count > 0, F.concat(count.cast("string"), F.lit(" rule violation(s)"))),
-        (model, F.concat(F.lit("Isolation Forest anomaly ("), severity, F.lit(")"))),
+        (model, F.concat(model_name(df), F.lit(" anomaly ("), severity, F.lit(")"))),
         (both, "Rule engine and ML both detected the anomaly"),
     ]
     text = join_present("; ", reasons)
@@ -178,8 +183,8 @@ def model_texts(df: DataFrame) -> DataFrame:
         when_on(severity, blank).alias("ml_evidence_severity"),
         when_on(F.lit("MULTIVARIATE_ANOMALY"), blank).alias("ml_evidence_types"),
         when_on(F.when(none, "No configured rule cause identified").otherwise(F.array_join(F.transform(causes, lambda c: c["cause"]), ";")), blank).alias("ml_evidence_features"),
-        when_on(F.when(none, "Isolation Forest detected an unusual combination of multiple feature values.").otherwise(details), blank).alias("ml_evidence_details"),
-        when_on(F.concat(F.lit("Isolation Forest detected an unusual multivariate pattern with "), severity, F.lit(" severity.")), blank).alias("ml_evidence_summary"),
+        when_on(F.when(none, F.concat(model_name(df), F.lit(" detected an unusual combination of multiple feature values."))).otherwise(details), blank).alias("ml_evidence_details"),
+        when_on(F.concat(model_name(df), F.lit(" detected an unusual multivariate pattern with "), severity, F.lit(" severity.")), blank).alias("ml_evidence_summary"),
     )
 
 

@@ -169,13 +169,17 @@ def fence_flag(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
 
 
 def decide(df: DataFrame, limit: float = EXTREME_LIMIT) -> DataFrame:
-    """Fuse rule, model and behaviour signals of a row into flag, risk, severity, source and text."""
+    """Fuse rule, model and behaviour signals of a row into flag, risk, severity, source and text.
+
+    The text names the model of the column ``ml_model``, where there is one.
+    """
     rule, model = flag(F.col("rule_anomaly")), flag(F.col("ml_anomaly"))
     behaviour = any_of(extreme(c, limit) for _, c, _ in EXTREME_RULES)
     marked = df.select("*", rule.alias("_rule"), model.alias("_ml"), behaviour.alias("behavior_anomaly"))
     rule, model, behaviour = F.col("_rule"), F.col("_ml"), F.col("behavior_anomaly")
     risk = as_int(rule) * 0.4 + as_int(model) * 0.4 + as_int(behaviour) * 0.2
-    texts = [(rule, F.col("rule_reason")), (model, ML_TEXT)] + [(extreme(c, limit), t) for _, c, t in EXTREME_RULES[:3]]
+    text = F.concat("ml_model", F.lit(ML_TEXT.removeprefix("Isolation Forest"))) if "ml_model" in df.columns else ML_TEXT
+    texts = [(rule, F.col("rule_reason")), (model, text)] + [(extreme(c, limit), t) for _, c, t in EXTREME_RULES[:3]]
     return marked.select(
         *df.columns,
         "behavior_anomaly",

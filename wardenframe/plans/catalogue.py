@@ -16,6 +16,7 @@ MODULES = (
     "authorization",
     "serving",
     "models",
+    "fusion",
     "knowledge",
     "files",
     "streams",

@@ -322,13 +322,14 @@ def score_table(df: DataFrame) -> DataFrame:
     return marked.select("plan_id", "issuer_id", as_int(F.col("score") >= F.col("_t.score__t")).alias("bayesian_anomaly"))
 
 
-def final_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def final_claims(spark: SparkSession, sf_dir: str, scores: DataFrame | None = None) -> DataFrame:
+    """Verdict from rules, statistics and ``scores`` (none: the table that SQL can state)."""
     base = materialise(features(spark, sf_dir), "claims-features")  # scores, rules and statistics all read it
     rules = cm.apply_claims_rules(base).select("plan_id", "issuer_id", *_RULE_COLUMNS)
     found = ou.detect(base, STAT_FEATURES, ("plan_id", "issuer_id")).where("statistical_anomaly").select(
         "plan_id", "issuer_id", F.col("total_quality_issues").alias("evidence_count"), F.col("statistical_severity").alias("evidence_severity")
     )
-    return cm.final_claims_verdict(cm.merge_signals(score_table(base), rules, found))
+    return cm.final_claims_verdict(cm.merge_signals(score_table(base) if scores is None else scores, rules, found))
 
 
 @query("claims_signal_merge", "G5 M6", FINAL_SQL + f" SELECT {K}, {', '.join(_FINAL_COLUMNS)} FROM claims_final")
