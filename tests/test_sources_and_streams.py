@@ -135,3 +135,26 @@ def test_state_stream_continues_over_restarts(spark, tmp_path):
     now = {r.record_id: r.status for r in latest_state(moves, "record_id", "at", "id").collect()}
     assert now == {"r1": "RESOLVED", "r2": "RESOLVED"}
     assert moves.where(F.col("record_id") == "r2").count() == 2
+
+
+@pytest.mark.parametrize("event_time", ["at", None])
+def test_repeated_claims_are_kept_as_invalid(spark, tmp_path, event_time):
+    folder, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    schema = "claim_id string, n long, at timestamp"
+    contract = Contract(name="small", required=("claim_id",), types={}, aliases={}, conditional={}, allowed={}, non_negative=(), unique=("claim_id",))
+
+    def day(d):
+        return dt.datetime(2024, 1, d)
+
+    def run(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}")
+        stream = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("recursiveFileLookup", True).parquet(folder)
+        feeds.drain(feeds.quarantine(stream, contract, event_time), "q", ("outcome",), output=out, checkpoint=state)
+
+    run("a", [("a", 1, day(9)), ("a", 2, day(9)), ("b", 3, day(9)), ("c", 4, None), (None, 5, day(9)), (None, 6, day(9))])
+    run("b", [("a", 7, day(9)), ("b", 8, day(1)), ("b", 9, day(10)), ("c", 10, day(9)), ("d", 11, day(1)), (None, 12, day(9))])
+    found = spark.read.parquet(out).collect()
+    repeated = {1, 2, 7, 9} if event_time else {1, 2, 7, 8, 9, 10}
+    missing = {5, 6, 12}
+    assert sorted((r.n, r.outcome) for r in found) == [(n, "invalid" if n in repeated | missing else "valid") for n in range(1, 13)]
+    assert {(r.n, e.type) for r in found for e in r.errors} == {(n, "duplicate") for n in repeated} | {(n, "completeness") for n in missing}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from wardenframe.operators import serving as sv
 from wardenframe.plans import views
 from wardenframe.plans.registry import query
-from wardenframe.plans.validation import CONTRACT, TAGGED_SQL
+from wardenframe.plans.validation import _DATE, CONTRACT, TAGGED_SQL
 from wardenframe.sources.tables import read_table
 from wardenframe.streaming import feeds
 
@@ -30,7 +32,24 @@ _ROW_BAD = (
 def claims_quarantine_stream(spark, sf_dir):
     schema = read_table(spark, sf_dir, "lineitem").schema
     claims = views.claims_columns(feeds.file_stream(spark, sf_dir, "lineitem.parquet", schema))
-    out = feeds.drain(feeds.quarantine(claims, CONTRACT), "claims", ("outcome",))
+    # Its SQL states the checks of single rows only; the form with unique claims is the next query.
+    out = feeds.drain(feeds.quarantine(claims, replace(CONTRACT, unique=())), "claims", ("outcome",))
+    return spark.read.parquet(out).select("claim_id", "provider_id", "outcome")
+
+
+_NEAR = "(c.claimed_at - lag(c.claimed_at) OVER w <= INTERVAL 1 DAY OR lead(c.claimed_at) OVER w - c.claimed_at <= INTERVAL 1 DAY)"
+
+
+@query(
+    "claims_quarantine_stream_unique", "R1",
+    TAGGED_SQL + f", c AS (SELECT *, {_DATE} AS claimed_at FROM tagged), m AS (SELECT c.*, claim_id IS NOT NULL AND coalesce({_NEAR}, false) AS e_repeat FROM c WINDOW w AS (PARTITION BY claim_id ORDER BY claimed_at NULLS FIRST)) "
+    f"SELECT claim_id, provider_id, CASE WHEN {_ROW_BAD} OR e_repeat THEN 'invalid' ELSE 'valid' END AS outcome FROM m",
+)
+def claims_quarantine_stream_unique(spark, sf_dir):
+    schema = read_table(spark, sf_dir, "lineitem").schema
+    claims = views.claims_columns(feeds.file_stream(spark, sf_dir, "lineitem.parquet", schema))
+    timed = claims.withColumn("claimed_at", F.expr("try_cast(claim_date AS timestamp)"))
+    out = feeds.drain(feeds.quarantine(timed, CONTRACT, "claimed_at"), "claims-unique", ("outcome",))
     return spark.read.parquet(out).select("claim_id", "provider_id", "outcome")
 
 

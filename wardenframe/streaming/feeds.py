@@ -6,8 +6,10 @@ where it stopped and writes each row once.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardenframe.operators.contracts import Contract
-from wardenframe.operators.validation import row_checks
+from wardenframe.operators.validation import _error, row_checks
 from wardenframe.session import scratch_path
 
 
@@ -40,16 +42,70 @@ def drain(stream: DataFrame, label: str, partition_by: tuple[str, ...] = (), out
     return output
 
 
+class MarkRepeats(StatefulProcessor):
+    """Passes every row on and marks those whose key is known, or comes more than once with them, within the horizon.
+
+    Remembers the event times of a key (in seconds; rows without one repeat each other). The state does not
+    expire: expiry by event time would make Spark drop late rows before they get here.
+    """
+
+    def __init__(self, horizon: float, columns: list[str]) -> None:
+        self.horizon, self.columns = horizon, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getListState("seen", "at double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch.columns = self.columns  # Spark renames those that no Python field can be called
+        times = batch["_at"].to_numpy(dtype=float)
+        repeat = np.zeros(len(batch), bool)
+        if key[0].startswith("+"):  # otherwise the row has no key
+            known = np.array([r[0] for r in self.seen.get()], dtype=float) if self.seen.exists() else np.zeros(0)
+            every = np.concatenate([known, times])
+            none = np.isnan(every)
+            found = none & (none.sum() > 1)
+            order = np.argsort(every, kind="stable")[: len(every) - none.sum()]
+            near = np.diff(every[order]) <= self.horizon
+            found[order[:-1]] |= near
+            found[order[1:]] |= near
+            repeat = found[len(known):]
+            for at in np.unique(times):
+                if not (np.isnan(known).any() if np.isnan(at) else at in known):
+                    self.seen.appendValue((float(at),))
+        yield batch.drop(columns=["_key", "_at"]).assign(_repeat=repeat)
+
+    def close(self) -> None:
+        pass
+
+
+def mark_repeats(stream: DataFrame, key: str, name: str, event_time: str | None, horizon: str) -> DataFrame:
+    """``stream`` with the flag ``name``: its key has come before, or comes again in the same batch. Missing keys repeat nothing."""
+    stream.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    at = F.unix_micros(F.col(event_time).cast("timestamp")) / 1e6 if event_time else F.lit(0.0)
+    # Rows without a key are dealt by their content, so that they do not meet in one task.
+    group = F.coalesce(F.concat(F.lit("+"), F.col(key).cast("string")), F.concat(F.lit("-"), F.xxhash64(*stream.columns).cast("string")))
+    seconds = dt.timedelta(**{unit.rstrip("s") + "s": float(n) for n, unit in [horizon.split()]}).total_seconds()
+    schema = T.StructType([*stream.schema.fields, T.StructField("_repeat", T.BooleanType())])
+    keyed = stream.select("*", group.alias("_key"), at.cast("double").alias("_at"))
+    return keyed.groupBy("_key").transformWithStateInPandas(MarkRepeats(seconds, keyed.columns), schema, "Append", "None").withColumnRenamed("_repeat", name)
+
+
 def quarantine(stream: DataFrame, contract: Contract, event_time: str | None = None, horizon: str = "1 day") -> DataFrame:
-    """Arriving rows with their errors and an ``outcome`` of valid or invalid.
+    """Arriving rows with their errors and an ``outcome`` of valid or invalid; every row is kept.
 
-    With an event time, a row whose unique key arrived within the horizon is dropped as a repeat
-    delivery; without one every row is kept.
+    A row whose unique key came before, or comes again in the same batch, is invalid: with an event time,
+    if the two lie within the horizon, otherwise always. A first copy that an earlier batch passed on stays valid.
     """
     columns = stream.columns
-    if event_time and contract.unique:
-        stream = stream.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(list(contract.unique))
-    tagged = stream.select(*columns, F.array_compact(F.array(*row_checks(contract, columns))).alias("errors"))
+    checks = row_checks(contract, columns)
+    for c in contract.unique:
+        if c in columns:
+            stream = mark_repeats(stream, c, f"_copied_{c}", event_time, horizon)
+            checks.append(_error("duplicate", c, "Duplicate value", F.col(f"_copied_{c}")))
+    tagged = stream.select(*columns, F.array_compact(F.array(*checks)).alias("errors"))
     return tagged.withColumn("outcome", F.when(F.size("errors") == 0, "valid").otherwise("invalid"))
 
 
