@@ -7,6 +7,7 @@ from wardenframe.llm.divergence import OP7_SQL, op7_divergence_rules
 from wardenframe.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from wardenframe.llm.html_text import op9_html_blocks
 from wardenframe.llm.language import op6_language_mixture
+from wardenframe.llm.lloyd import OP11_SQL, op11_dimension_sharded_lloyd
 from wardenframe.llm.ngram_join import OP3_SQL, op3_ngram_jaccard
 from wardenframe.llm.packing import op5_best_fit_packing
 from wardenframe.llm.quality import op2_quality_classifier
@@ -18,6 +19,7 @@ QUERIES = {
     for q in (
         op1_hilbert_shards, op2_quality_classifier, op3_ngram_jaccard, op4_byte_bpe, op5_best_fit_packing,
         op6_language_mixture, op7_divergence_rules, op8_warc, op9_html_blocks, op10_exact_dedup,
+        op11_dimension_sharded_lloyd,
     )
 }
-ORACLE_SQL = {"op3_ngram_jaccard": OP3_SQL, "op7_divergence_rules": OP7_SQL, "op8_warc": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op3_ngram_jaccard": OP3_SQL, "op7_divergence_rules": OP7_SQL, "op8_warc": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op11_dimension_sharded_lloyd": OP11_SQL}
