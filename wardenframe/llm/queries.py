@@ -11,6 +11,8 @@ from wardenframe.llm.lloyd import OP11_SQL, op11_dimension_sharded_lloyd
 from wardenframe.llm.ngram_join import OP3_SQL, op3_ngram_jaccard
 from wardenframe.llm.packing import op5_best_fit_packing
 from wardenframe.llm.quality import op2_quality_classifier
+from wardenframe.llm.retrieval_packing import op12_retrieval_packing
+from wardenframe.llm.runs import OP13_SQL, op13_periodic_runs
 from wardenframe.llm.sharding import op1_hilbert_shards
 from wardenframe.llm.warc import OP8_SQL, op8_warc
 
@@ -19,7 +21,7 @@ QUERIES = {
     for q in (
         op1_hilbert_shards, op2_quality_classifier, op3_ngram_jaccard, op4_byte_bpe, op5_best_fit_packing,
         op6_language_mixture, op7_divergence_rules, op8_warc, op9_html_blocks, op10_exact_dedup,
-        op11_dimension_sharded_lloyd,
+        op11_dimension_sharded_lloyd, op12_retrieval_packing, op13_periodic_runs,
     )
 }
-ORACLE_SQL = {"op3_ngram_jaccard": OP3_SQL, "op7_divergence_rules": OP7_SQL, "op8_warc": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op11_dimension_sharded_lloyd": OP11_SQL}
+ORACLE_SQL = {"op3_ngram_jaccard": OP3_SQL, "op7_divergence_rules": OP7_SQL, "op8_warc": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op11_dimension_sharded_lloyd": OP11_SQL, "op13_periodic_runs": OP13_SQL}
