@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from wardenframe.operators import advice as ad
 from wardenframe.operators import retrieval as rt
+from wardenframe.operators import vector_index as vi
 
 
 def by_hand(text, size, overlap):
@@ -58,3 +59,66 @@ def test_evidence_score_is_the_share_of_terms_found(spark):
 def test_priority_is_raised_by_risk(spark):
     df = spark.createDataFrame([("low", 0.9), ("low", 0.8), ("critical", 0.8), ("odd", None)], "s string, r double")
     assert [r[0] for r in df.select(ad.priority(F.col("s"), F.col("r"))).collect()] == ["Critical", "High", "Critical", "Normal"]
+
+
+def _vectors(spark, name, rows):
+    return spark.createDataFrame([(i, None if v is None else [float(x) for x in v]) for i, v in rows], f"{name} long, vector array<double>")
+
+
+def _awkward_vectors():
+    """Clusters, a vector that a third of the rows share, scaled copies, zero and null vectors."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16))
+    rows = [(k, centres[k % 12] + 0.4 * rng.normal(size=16)) for k in range(600)]
+    hot = rows[5][1]
+    rows += [(1000 + k, hot) for k in range(300)] + [(2000 + k, hot * (2 + k)) for k in range(5)] + [(3000, np.zeros(16)), (3001, np.zeros(16)), (3002, None)]
+    return rows
+
+
+def _brute(rows, queries, k, threshold):
+    ids = np.array([i for i, v in rows if v is not None])
+    m = np.array([v for _, v in rows if v is not None])
+    unit = lambda x: x / np.where(np.linalg.norm(x, axis=1, keepdims=True) == 0, 1, np.linalg.norm(x, axis=1, keepdims=True))
+    out = {}
+    for i, v in queries:
+        if v is not None:
+            sim = np.round((unit(m) @ unit(np.array([v])).T)[:, 0], 9)
+            hits = np.flatnonzero(sim >= threshold)
+            out[i] = [(int(ids[h]), float(sim[h])) for h in hits[np.lexsort((ids[hits], -sim[hits]))[:k]]]
+    return out
+
+
+def test_index_search_is_exact(spark):
+    rows = _awkward_vectors()
+    queries = [(k, v) for k, v in rows if k % 20 == 0] + [(9000, rows[5][1]), (9001, None)]
+    index = vi.build_index(_vectors(spark, "chunk_id", rows), cells=15)
+    assert sum(index.entries.values()) == 600 + 5 + 1  # copies are one entry, null vectors none
+    for k, threshold, tile in ((7, 0.35, 4 << 20), (3, -0.2, 1000), (400, 0.9, 4 << 20)):
+        want = _brute(rows, queries, k, threshold)
+        got = {i: [] for i in want}
+        for r in vi.search_index(index, _vectors(spark, "query_id", queries), k, threshold, probes=2, tile_bytes=tile).collect():
+            got[r.query_id].append((r.chunk_id, round(r.similarity, 9)))
+        for i, expected in want.items():
+            found = sorted(got[i], key=lambda x: (-x[1], x[0]))
+            assert [s for _, s in found] == [s for _, s in expected]
+            # Ties that floating point splits aside, the neighbours are the same.
+            if len({s for _, s in expected}) == len(expected):
+                assert found == expected
+
+
+def test_index_recall_by_tuned_probes(spark):
+    rows = _awkward_vectors()
+    chunks, queries = _vectors(spark, "chunk_id", rows), _vectors(spark, "query_id", [(k, v) for k, v in rows if k % 20 == 0])
+    index = vi.build_index(chunks)
+    probes = vi.tuned_probes(index, queries, 10)
+    assert 1 <= probes <= len(index.entries)
+    measured = vi.recall(vi.search_index(index, queries, 10, probes=probes, exact=False), rt.cosine_top_k(queries, chunks.where("vector IS NOT NULL"), 10)).first()
+    assert measured.recall >= 0.9
+
+
+def test_index_of_nothing(spark):
+    empty = vi.build_index(_vectors(spark, "chunk_id", []))
+    assert vi.search_index(empty, _vectors(spark, "query_id", [(1, [1.0, 0.0])]), 3).collect() == []
+    index = vi.build_index(_vectors(spark, "chunk_id", [(4, [0.0, 0.0]), (5, [1.0, 1.0])]))
+    assert vi.search_index(index, _vectors(spark, "query_id", []), 3).collect() == []
+    assert [r.chunk_id for r in vi.search_index(index, _vectors(spark, "query_id", [(1, [2.0, 2.0])]), 3).collect()] == [5]

@@ -11,6 +11,7 @@ from wardenframe.operators.serving import latest_state
 from wardenframe.session import scratch_path
 from wardenframe.sources import scans, sinks
 from wardenframe.streaming import feeds
+from wardenframe.streaming import sinks as stream_sinks
 
 
 def test_csv_keeps_leading_zeros_and_blanks_are_missing(spark, tmp_path):
@@ -158,3 +159,160 @@ def test_repeated_claims_are_kept_as_invalid(spark, tmp_path, event_time):
     missing = {5, 6, 12}
     assert sorted((r.n, r.outcome) for r in found) == [(n, "invalid" if n in repeated | missing else "valid") for n in range(1, 13)]
     assert {(r.n, e.type) for r in found for e in r.errors} == {(n, "duplicate") for n in repeated} | {(n, "completeness") for n in missing}
+
+
+SMALL = Contract(name="small", required=("claim_id",), types={}, aliases={}, conditional={}, allowed={}, non_negative=(), unique=("claim_id",))
+
+
+def _day(d, month=1):
+    return dt.datetime(2024, month, d)
+
+
+def _land(spark, folder, name, rows):
+    spark.createDataFrame(rows, "claim_id string, n long, at timestamp").coalesce(1).write.parquet(f"{folder}/{name}")
+
+
+def _claims(spark, folder, files_per_batch=None):
+    reader = spark.readStream.schema("claim_id string, n long, at timestamp").option("recursiveFileLookup", True)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
+
+
+class _StateWatch:
+    """State rows and dropped rows of the progress reports of all streams that ran."""
+
+    def __init__(self, spark):
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        seen = self.seen = []
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event): ...
+            def onQueryIdle(self, event): ...
+            def onQueryTerminated(self, event): ...
+
+            def onQueryProgress(self, event):
+                seen.extend((s.numRowsTotal, s.numRowsDroppedByWatermark) for s in event.progress.stateOperators)
+
+        self.spark, self.listener = spark, Listener()
+        spark.streams.addListener(self.listener)
+
+    def stop(self):
+        import time
+
+        time.sleep(2)
+        self.spark.streams.removeListener(self.listener)
+        return self.seen
+
+
+def test_repeat_state_ends_and_late_rows_are_kept(spark, tmp_path):
+    folder, root, state = str(tmp_path / "in"), str(tmp_path / "sinks"), str(tmp_path / "state")
+    watch = _StateWatch(spark)
+
+    def run():
+        stream = feeds.quarantine(_claims(spark, folder), SMALL, "at", horizon="1 day", lateness="2 days")
+        stream_sinks.drain_to_sinks(stream, root, state)
+
+    # Fifty keys a day for some days, one of them every hour; then a quiet key, long after.
+    for d in (1, 2, 3, 20):
+        _land(spark, folder, f"d{d}", [(f"k{d}-{k}", 1000 * d + k, _day(d)) for k in range(50)] + [("hot", 10**6 + 100 * d + h, _day(d) + dt.timedelta(hours=h)) for h in range(24)])
+        run()
+    _land(spark, folder, "later", [("k20-1", 1, _day(21)), ("k1-1", 2, _day(2)), ("fresh", 3, _day(18)), ("fresh", 4, _day(1)), (None, 5, _day(1))])
+    run()
+    found = {r.n: (r.outcome, sorted(e.type for e in r.errors)) for r in stream_sinks.committed_rows(spark, root).collect()}
+    assert len(found) == 4 * 74 + 5  # every row is kept, late ones too
+    assert found[1] == ("invalid", ["duplicate"])  # the copy of the day before is still known
+    assert found[2] == ("invalid", ["late"])  # its copy may be forgotten, and is
+    assert found[3] == ("valid", [])  # behind the watermark, but not by more than it can be compared over
+    assert found[4] == ("invalid", ["late"])
+    assert found[5] == ("invalid", ["completeness"])
+    assert all(found[10**6 + 100 * d + h][0] == "invalid" for d in (1, 2, 3, 20) for h in range(24))
+    seen = watch.stop()
+    assert all(dropped == 0 for _, dropped in seen)
+    # Keys of the first days are gone after the 20th: at most those of that day, the hot one and the fresh one, with their timers.
+    assert seen[-1][0] <= 60 * 3, seen
+    assert max(total for total, _ in seen) >= 150
+
+
+def test_state_of_a_key_does_not_grow_with_its_rows():
+    import numpy as np
+    import pandas as pd
+
+    class Cells(dict):
+        def iterator(self):
+            return iter([(k, v) for k, v in self.items()])
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+    class Handle:
+        timers = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Times:
+        mark = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.mark
+
+    rng = np.random.default_rng(5)
+    processor = feeds.MarkRepeats(100.0, ["n", "_key", "_at"], True, None)
+    processor.cells, processor.handle, times = Cells(), Handle(), Times()
+    known = []
+    for batch in range(60):
+        at = np.round(rng.choice([rng.uniform(0, 2000, 3), rng.uniform(50 * batch, 50 * batch + 400, 3)]), 1) if batch % 3 else np.round(rng.uniform(50 * batch, 50 * batch + 30, 40), 1)
+        oldest = times.mark / 1e3 - 100 if times.mark else -np.inf
+        out = next(processor.handleInputRows(("+k",), iter([pd.DataFrame({"n": range(len(at)), "_key": "+k", "_at": at})]), times))
+        want = [any(abs(x - y) <= 100 for y in known) or any(abs(x - y) <= 100 for j, y in enumerate(at) if j != i) for i, x in enumerate(at)]
+        late = at < oldest
+        assert (out["_late"].to_numpy() == late).all()
+        assert (out["_repeat"].to_numpy() == np.array(want))[~late].all()
+        known += at[~late].tolist()
+        times.mark = max(times.mark, int((max(known) - 300) * 1000))
+        assert len(processor.cells) <= (300 + 2 * 100) / 100 + 20
+
+
+@pytest.mark.parametrize("step", ["after_rows", "after_ledger"])
+def test_a_torn_batch_is_written_once(spark, tmp_path, step):
+    """The stream dies in mid-batch, between the sinks or before it notes the batch as done, and is started again."""
+    folder, root, state = str(tmp_path / "in"), str(tmp_path / "sinks"), str(tmp_path / "state")
+    _land(spark, folder, "a", [("a", 1, _day(1)), ("b", 2, _day(1))])
+    _land(spark, folder, "b", [("a", 3, _day(1)), (None, 4, _day(1))])
+    _land(spark, folder, "c", [("c", 5, _day(2))])
+    died = []
+
+    def die(number):
+        if number == 1 and not died:
+            died.append(number)
+            raise RuntimeError("lost in mid-batch")
+
+    def tagged():
+        return feeds.quarantine(_claims(spark, folder, files_per_batch=1), SMALL, "at")
+
+    with pytest.raises(Exception, match="lost in mid-batch"):
+        stream_sinks.drain_to_sinks(tagged(), root, state, **{step: die})
+    before = {r.batch_id for r in stream_sinks.committed_rows(spark, root).collect()}
+    assert before == ({0} if step == "after_rows" else {0, 1})  # a batch is seen in all sinks or in none
+    assert {r.batch_id for r in stream_sinks.committed_issues(spark, root).collect()} <= before
+    stream_sinks.drain_to_sinks(tagged(), root, state)
+    stream_sinks.drain_to_sinks(tagged(), root, state)  # nothing new
+    rows = stream_sinks.committed_rows(spark, root).collect()
+    assert sorted(r.n for r in rows) == [1, 2, 3, 4, 5]
+    repeats = {r.n for r in rows if any(e.type == "duplicate" for e in r.errors)}
+    assert len(repeats) == 1 and repeats <= {1, 3}  # whichever came second
+    ledger = {r.batch_id: (r.rows, r.valid, r.invalid) for r in stream_sinks.read_ledger(spark, root).collect()}
+    assert len(ledger) == 3 and [sum(x) for x in zip(*ledger.values())] == [5, 3, 2]
+    issues = [(r.type, r.rows) for r in stream_sinks.committed_issues(spark, root).collect()]
+    assert sorted(issues) == [("completeness", 1), ("duplicate", 1)]
+    with pytest.raises(ValueError, match="holds the batches of the stream"):
+        stream_sinks.drain_to_sinks(tagged(), root, str(tmp_path / "another"))
+
+
+def test_sinks_that_are_not_there(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        stream_sinks.committed_rows(spark, str(tmp_path / "none"))
+    assert stream_sinks.read_ledger(spark, str(tmp_path / "none")).collect() == []

@@ -16,7 +16,6 @@ SEMANTIC_WEIGHT, EVIDENCE_WEIGHT = 0.70, 0.30
 MIN_KNOWLEDGE_SCORE, MAX_SUPPORTING_KNOWLEDGE = 0.35, 5
 # The white space that is trimmed from text.
 WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
-# A chunk matrix up to this size is shipped to every task; a larger one is processed block by block.
 #: Vectors of a block, in bytes.
 TILE_BYTES = 4 * 1024 * 1024
 
@@ -112,7 +111,8 @@ def evidence_score(text: Column, terms: Column) -> Column:
 
 def add_hybrid(candidates: DataFrame, text: str = "text", terms: str = "terms") -> DataFrame:
     scored = candidates.withColumn("evidence_score", evidence_score(F.col(text), F.col(terms)))
-    return scored.withColumn("hybrid_score", F.col("similarity") * SEMANTIC_WEIGHT + F.col("evidence_score") * EVIDENCE_WEIGHT)
+    # Rounded, so that a score on a limit does not hang on the last bit of a product.
+    return scored.withColumn("hybrid_score", F.round(F.col("similarity") * SEMANTIC_WEIGHT + F.col("evidence_score") * EVIDENCE_WEIGHT, 9))
 
 
 def diversify(candidates: DataFrame, k: int = TOP_K, query: str = "query_id", source: str = "source", chunk: str = "chunk_id") -> DataFrame:

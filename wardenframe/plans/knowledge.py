@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardenframe.functions.columns import with_scalars
 from wardenframe.operators import advice as ad
 from wardenframe.operators import authorization as au
 from wardenframe.operators import causes as ca
@@ -13,6 +14,7 @@ from wardenframe.operators import prescriber as ps
 from wardenframe.operators import records as rc
 from wardenframe.operators import retrieval as rt
 from wardenframe.operators import sla
+from wardenframe.operators import vector_index as vi
 from wardenframe.plans import authorization as pa
 from wardenframe.plans import claims as pc
 from wardenframe.plans import pharmacy as pp
@@ -58,15 +60,15 @@ def knowledge_documents(spark, sf_dir):
 
 # ---------------------------------------------------------------- retrieval over the embeddings table
 
-# Every 25th vector stands for an anomaly, all others for knowledge chunks; chunk text is the document of the same number.
+# Vectors whose number 20 divides stand for anomalies, all vectors for knowledge chunks; chunk text is the document of the same number.
 _PATTERNS = ("Invalid date sequence", "Missing documentation", "Duplicate record", "Schema mismatch", "Reconciliation gap", "Provider mismatch", "Delayed processing", "Unusual cost")
-_PATTERN = "CASE CAST(vec_id / 25 AS INT) % 8 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PATTERNS)) + " END"
-_PATTERN_SQL = _PATTERN.replace("CAST(vec_id / 25 AS INT)", "(vec_id // 25)")
+_PATTERN = "CASE CAST(vec_id / 20 AS INT) % 8 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PATTERNS)) + " END"
+_PATTERN_SQL = _PATTERN.replace("CAST(vec_id / 20 AS INT)", "(vec_id // 20)")
 _TERMS = ("data", "the", "claims", "verify", "missing-value")
 
 CANDIDATES_SQL = (
     "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), nv AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v), "
-    "q AS (SELECT * FROM nv WHERE vec_id % 25 = 0), c AS (SELECT * FROM nv WHERE vec_id % 25 <> 0), "
+    "q AS (SELECT * FROM nv WHERE vec_id % 20 = 0), c AS (SELECT * FROM nv), "
     "p AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, concat('src', c.label) AS source, list_dot_product(q.e, c.e) / (CASE WHEN q.n = 0 THEN 1 ELSE q.n END * CASE WHEN c.n = 0 THEN 1 ELSE c.n END) AS similarity FROM q, c), "
     "k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM p WHERE similarity >= 0.35) WHERE r <= 20)"
 )
@@ -74,8 +76,8 @@ CANDIDATES_SQL = (
 
 def _vectors(spark, sf_dir):
     vectors = read_table(spark, sf_dir, "embeddings")
-    anomalies = vectors.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.expr(_PATTERN).alias("pattern"))
-    chunks = vectors.where("vec_id % 25 <> 0").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.concat(F.lit("src"), F.col("label").cast("string")).alias("source"))
+    anomalies = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.expr(_PATTERN).alias("pattern"))
+    chunks = vectors.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.concat(F.lit("src"), F.col("label").cast("string")).alias("source"))
     return anomalies, chunks
 
 
@@ -96,6 +98,36 @@ def similar_chunks_by_blocks(spark, sf_dir):
     return candidates(spark, sf_dir, tile_bytes=1 << 14).select("query_id", "chunk_id", "source", F.round("similarity", 6).alias("similarity"))
 
 
+@query("similar_chunks_by_index", "O4 G10", CANDIDATES_SQL + " SELECT query_id, chunk_id, source, round(similarity, 6) AS similarity FROM k")
+def similar_chunks_by_index(spark, sf_dir):
+    """The same through the inverted-file index, which goes on to every cell that may hold a better neighbour."""
+    anomalies, chunks = _vectors(spark, sf_dir)
+    near = vi.search_index(vi.build_index(chunks), anomalies, max(4 * rt.TOP_K, 20), probes=2)
+    return near.join(chunks.select("chunk_id", "source"), "chunk_id").select("query_id", "chunk_id", "source", F.round("similarity", 6).alias("similarity"))
+
+
+_TOP_SQL = CANDIDATES_SQL.split(", k AS (")[0] + ", k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM p WHERE similarity >= 0.35) WHERE r <= 10)"
+
+
+@query("index_recall", "O4 G10 I6", _TOP_SQL + " SELECT count(DISTINCT query_id) AS queries, count(*) AS pairs, true AS recall_reached FROM k")
+def index_recall(spark, sf_dir):
+    """Ten neighbours from the lists of the nearest cells alone, as many as a few exact searches ask for, measured against comparing all pairs."""
+    anomalies, chunks = _vectors(spark, sf_dir)
+    index = vi.build_index(chunks)
+    probes = vi.tuned_probes(index, anomalies, 10)
+    measured = vi.recall(vi.search_index(index, anomalies, 10, probes=probes, exact=False), rt.cosine_top_k(anomalies, chunks, 10))
+    return measured.select("queries", "pairs", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+@query("index_lists", "O4", "SELECT count(*) AS vectors, count(*) AS listed, count(DISTINCT embedding) AS entries FROM embeddings")
+def index_lists(spark, sf_dir):
+    """Every vector is in a list, copies with their first one."""
+    _, chunks = _vectors(spark, sf_dir)
+    index = vi.build_index(chunks)
+    listed = index.lists.select("rep").join(index.copies, "rep").agg(F.count_distinct("chunk_id").alias("listed"), F.count_distinct("rep").alias("entries"))
+    return with_scalars(listed, chunks.agg(F.count(F.lit(1)).alias("vectors")), "_v").select("_v.vectors", "listed", "entries")
+
+
 _CUT_SQL = (
     CANDIDATES_SQL.split(", k AS (")[0] + ", k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM p WHERE similarity >= -0.2) WHERE r <= 5)"
 )
@@ -128,7 +160,7 @@ _NORM_TERMS = [t.replace("-", " ") for t in _TERMS]
 HYBRID_SQL = (
     CANDIDATES_SQL + ", h0 AS (SELECT k.*, d.text, regexp_replace(lower(d.text), '[^a-z0-9_]+', ' ', 'g') AS body FROM k LEFT JOIN documents d ON d.doc_id = k.chunk_id), "
     "h AS (SELECT *, (" + " + ".join(f"CAST(contains(body, '{t}') AS INT)" for t in _NORM_TERMS) + f") / {len(_TERMS)} AS evidence_score FROM h0), "
-    "hy AS (SELECT *, similarity * 0.7 + evidence_score * 0.3 AS hybrid_score FROM h)"
+    "hy AS (SELECT *, round(similarity * 0.7 + evidence_score * 0.3, 9) AS hybrid_score FROM h)"
 )
 
 
@@ -156,7 +188,7 @@ def diverse_top_chunks(spark, sf_dir):
 
 
 MATCHED_SQL = (
-    RETRIEVED_SQL + f", pt AS (SELECT vec_id AS query_id, {_PATTERN_SQL} AS pattern FROM embeddings WHERE vec_id % 25 = 0), "
+    RETRIEVED_SQL + f", pt AS (SELECT vec_id AS query_id, {_PATTERN_SQL} AS pattern FROM embeddings WHERE vec_id % 20 = 0), "
     "mt0 AS (SELECT rt.*, pt.pattern, concat_ws(',', CASE WHEN contains(lower(text), lower(pattern)) THEN lower(pattern) END, CASE WHEN contains(lower(text), 'authorization') THEN 'authorization' END, CASE WHEN contains(lower(text), 'data') THEN 'data' END) AS matched_terms "
     "FROM rt JOIN pt ON pt.query_id = rt.query_id WHERE hybrid_score >= 0.35), "
     "mt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (matched_terms <> '') DESC, hybrid_score DESC, chunk_id) AS match_rank FROM mt0) WHERE match_rank <= 5)"

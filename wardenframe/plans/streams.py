@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from wardenframe.operators import serving as sv
 from wardenframe.plans import views
 from wardenframe.plans.registry import query
-from wardenframe.plans.validation import _DATE, CONTRACT, TAGGED_SQL
+from wardenframe.plans.validation import _CHECKS, _DATE, CONTRACT, TAGGED_SQL
+from wardenframe.session import scratch_path
 from wardenframe.sources.tables import read_table
-from wardenframe.streaming import feeds
+from wardenframe.streaming import feeds, sinks
 
 
 def _anomaly_stream(spark, sf_dir):
@@ -53,6 +54,47 @@ def claims_quarantine_stream_unique(spark, sf_dir):
     return spark.read.parquet(out).select("claim_id", "provider_id", "outcome")
 
 
+_MARKED_SQL = TAGGED_SQL + (
+    f", c AS (SELECT *, {_DATE} AS claimed_at FROM tagged), m AS (SELECT c.*, claim_id IS NOT NULL AND (coalesce({_NEAR}, false) OR claimed_at IS NULL AND count(*) FILTER (WHERE claimed_at IS NULL) OVER (PARTITION BY claim_id) > 1) AS e_repeat "
+    "FROM c WINDOW w AS (PARTITION BY claim_id ORDER BY claimed_at NULLS FIRST))"
+)
+
+
+def _drained(spark, sf_dir) -> str:
+    """The claims stream, put into sinks by outcome; their folder."""
+    schema = read_table(spark, sf_dir, "lineitem").schema
+    claims = views.claims_columns(feeds.file_stream(spark, sf_dir, "lineitem.parquet", schema))
+    root = scratch_path(spark, "claims-sinks")
+    tagged = feeds.quarantine(claims.withColumn("claimed_at", F.expr("try_cast(claim_date AS timestamp)")), CONTRACT, "claimed_at")
+    sinks.drain_to_sinks(tagged, root, scratch_path(spark, "claims-sinks-state"))
+    return root
+
+
+@query(
+    "claims_sink_rows", "R1 A8 C7",
+    _MARKED_SQL + f" SELECT claim_id, member_id, provider_id, claim_date, CASE WHEN {_ROW_BAD} OR e_repeat THEN 'invalid' ELSE 'valid' END AS outcome FROM m",
+)
+def claims_sink_rows(spark, sf_dir):
+    """Rows of both sinks, as readers see them through the ledger."""
+    root = _drained(spark, sf_dir)
+    both = sinks.committed_rows(spark, root, "valid").unionByName(sinks.committed_rows(spark, root, "invalid"))
+    return both.select("claim_id", "member_id", "provider_id", "claim_date", "outcome")
+
+
+@query(
+    "claims_sink_report", "R1 C8 C9",
+    _MARKED_SQL + " SELECT type, \"column\", count(*) AS rows FROM (" + " UNION ALL ".join(f"SELECT '{kind}' AS type, '{column}' AS \"column\" FROM m WHERE {name}" for name, _, kind, column, _ in _CHECKS if name != "e_copy")
+    + " UNION ALL SELECT 'duplicate', 'claim_id' FROM m WHERE e_repeat) GROUP BY ALL"
+    + f" UNION ALL SELECT 'outcome', CASE WHEN {_ROW_BAD} OR e_repeat THEN 'invalid' ELSE 'valid' END AS o, count(*) FROM m GROUP BY o",
+)
+def claims_sink_report(spark, sf_dir):
+    """Issues of all batches that the ledger names, and what it says of their outcomes."""
+    root = _drained(spark, sf_dir)
+    issues = sinks.committed_issues(spark, root).groupBy("type", "column").agg(F.sum("rows").alias("rows"))
+    outcomes = sinks.read_ledger(spark, root).unpivot("batch_id", ["valid", "invalid"], "column", "rows").groupBy(F.lit("outcome").alias("type"), "column").agg(F.sum("rows").alias("rows"))
+    return issues.unionByName(outcomes)
+
+
 @query("new_anomaly_stream", "R2", views.with_views("anomalies") + " SELECT DISTINCT record_id, source_dataset FROM anomalies")
 def new_anomaly_stream(spark, sf_dir):
     out = feeds.drain(feeds.new_anomaly_feed(_anomaly_stream(spark, sf_dir), "detected_at"), "feed")

@@ -45,66 +45,141 @@ def drain(stream: DataFrame, label: str, partition_by: tuple[str, ...] = (), out
 class MarkRepeats(StatefulProcessor):
     """Passes every row on and marks those whose key is known, or comes more than once with them, within the horizon.
 
-    Remembers the event times of a key (in seconds; rows without one repeat each other). The state does not
-    expire: expiry by event time would make Spark drop late rows before they get here.
+    Of a key's event times (in seconds) only the first and last of each horizon-wide cell are kept: a time of the same
+    cell is near in any case, and of the two cells beside it only these can be. Where the stream has a watermark,
+    cells end that no acceptable row can reach: a row may be one horizon older than the watermark and looks one more
+    back. An event-time timer clears keys that do not come again, and rows that are older than that are marked late, as
+    what they would be compared with may be gone. Rows without an event time repeat each other within a batch only.
     """
 
-    def __init__(self, horizon: float, columns: list[str]) -> None:
-        self.horizon, self.columns = horizon, columns
+    def __init__(self, horizon: float, columns: list[str], timed: bool, ttl_ms: int | None) -> None:
+        self.horizon, self.columns, self.timed, self.ttl_ms = horizon, columns, timed, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getListState("seen", "at double")
+        self.handle = handle
+        self.cells = handle.getMapState("cells", "cell long", "first double, last double", self.ttl_ms)
+
+    def _oldest(self, timerValues) -> float:
+        """Oldest event time that is still compared."""
+        mark = timerValues.getCurrentWatermarkInMs() / 1e3 if self.timed else 0
+        return mark - self.horizon if mark > 0 else -np.inf
+
+    def _cell(self, times: np.ndarray) -> np.ndarray:
+        return np.floor(times / self.horizon).astype(np.int64) if self.horizon else times.astype(np.int64)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
+        parts = list(rows)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         batch.columns = self.columns  # Spark renames those that no Python field can be called
         times = batch["_at"].to_numpy(dtype=float)
-        repeat = np.zeros(len(batch), bool)
+        repeat, late = np.zeros(len(batch), bool), np.zeros(len(batch), bool)
         if key[0].startswith("+"):  # otherwise the row has no key
-            known = np.array([r[0] for r in self.seen.get()], dtype=float) if self.seen.exists() else np.zeros(0)
-            every = np.concatenate([known, times])
-            none = np.isnan(every)
-            found = none & (none.sum() > 1)
-            order = np.argsort(every, kind="stable")[: len(every) - none.sum()]
-            near = np.diff(every[order]) <= self.horizon
-            found[order[:-1]] |= near
-            found[order[1:]] |= near
-            repeat = found[len(known):]
-            for at in np.unique(times):
-                if not (np.isnan(known).any() if np.isnan(at) else at in known):
-                    self.seen.appendValue((float(at),))
-        yield batch.drop(columns=["_key", "_at"]).assign(_repeat=repeat)
+            none = np.isnan(times)
+            repeat = none & (none.sum() > 1)
+            at = np.flatnonzero(~none)
+            if len(at) > 1:
+                order = at[np.argsort(times[at], kind="stable")]
+                near = np.diff(times[order]) <= self.horizon
+                repeat[order[:-1]] |= near
+                repeat[order[1:]] |= near
+            known = {k[0]: tuple(v) for k, v in self.cells.iterator()}
+            if known:
+                self._compare(known, times, at, repeat)
+            oldest = self._oldest(timerValues)
+            late = times < oldest
+            self._remember(known, times[at[times[at] >= oldest]], oldest)
+        batch["_repeat"] = repeat
+        batch["_late"] = late
+        yield batch
+
+    def _compare(self, known: dict[int, tuple[float, float]], times: np.ndarray, at: np.ndarray, repeat: np.ndarray) -> None:
+        """Mark the rows that are near a time of an earlier batch."""
+        cell = self._cell(times[at])
+        for c in np.unique(cell).tolist():
+            own = at[cell == c]
+            if c in known:
+                repeat[own] = True
+            if c - 1 in known:
+                repeat[own] |= times[own] - known[c - 1][1] <= self.horizon
+            if c + 1 in known:
+                repeat[own] |= known[c + 1][0] - times[own] <= self.horizon
+
+    def _remember(self, known: dict[int, tuple[float, float]], times: np.ndarray, oldest: float) -> None:
+        """Take up the times and drop cells out of reach. A key with cells has one timer."""
+        for c, (_, last) in known.items():
+            if last < oldest - self.horizon:
+                self.cells.removeKey((c,))
+        cell = self._cell(times)
+        for c in set(cell.tolist()):
+            own = times[cell == c]
+            low, high = known.get(c, (np.inf, -np.inf))
+            now = (min(low, float(own.min())), max(high, float(own.max())))
+            if now != (low, high):
+                self.cells.updateValue((c,), now)
+        if self.timed and len(times) and not known:
+            self.handle.registerTimer(self._end(float(times.max())))
+
+    def _end(self, last: float) -> int:
+        """Watermark, in milliseconds, at which nothing acceptable can be near `last` any more."""
+        return int((last + 2 * self.horizon) * 1e3) + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = {k[0]: tuple(v) for k, v in self.cells.iterator()}
+        self._remember(known, np.zeros(0), self._oldest(timerValues))
+        left = [last for _, last in known.values() if last >= self._oldest(timerValues) - self.horizon]
+        if left:
+            self.handle.registerTimer(self._end(max(left)))
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def mark_repeats(stream: DataFrame, key: str, name: str, event_time: str | None, horizon: str) -> DataFrame:
-    """``stream`` with the flag ``name``: its key has come before, or comes again in the same batch. Missing keys repeat nothing."""
+def _seconds(span: str) -> float:
+    count, unit = span.split()
+    return dt.timedelta(**{unit.rstrip("s") + "s": float(count)}).total_seconds()
+
+
+def mark_repeats(stream: DataFrame, key: str, name: str, late: str, event_time: str | None, horizon: str, lateness: str, ttl: str | None) -> DataFrame:
+    """``stream`` with the flags ``name``: its key has come before, or comes again in the same batch, and ``late``: too old to be compared.
+
+    Missing keys repeat nothing. With an event time the state of a key ends once the watermark (newest event time minus
+    ``lateness``) is two horizons past it; without, it ends ``ttl`` of processing time after it was written, or never.
+    """
     stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
-    at = F.unix_micros(F.col(event_time).cast("timestamp")) / 1e6 if event_time else F.lit(0.0)
+    columns = stream.columns
     # Rows without a key are dealt by their content, so that they do not meet in one task.
-    group = F.coalesce(F.concat(F.lit("+"), F.col(key).cast("string")), F.concat(F.lit("-"), F.xxhash64(*stream.columns).cast("string")))
-    seconds = dt.timedelta(**{unit.rstrip("s") + "s": float(n) for n, unit in [horizon.split()]}).total_seconds()
-    schema = T.StructType([*stream.schema.fields, T.StructField("_repeat", T.BooleanType())])
+    group = F.coalesce(F.concat(F.lit("+"), F.col(key).cast("string")), F.concat(F.lit("-"), F.xxhash64(*columns).cast("string")))
+    at = F.unix_micros(F.col(event_time).cast("timestamp")) / 1e6 if event_time else F.lit(0.0)
     keyed = stream.select("*", group.alias("_key"), at.cast("double").alias("_at"))
-    return keyed.groupBy("_key").transformWithStateInPandas(MarkRepeats(seconds, keyed.columns), schema, "Append", "None").withColumnRenamed("_repeat", name)
-
-
-def quarantine(stream: DataFrame, contract: Contract, event_time: str | None = None, horizon: str = "1 day") -> DataFrame:
+    names = keyed.columns
+    if event_time:
+        # The watermark is kept on a column of its own, which goes: rows behind it are to reach the processor, not to be dropped.
+        keyed = keyed.withColumn("_clock", F.col(event_time).cast("timestamp")).withWatermark("_clock", lateness).select(*columns, "_key", "_at")
+    schema = T.StructType([*keyed.schema.fields, T.StructField("_repeat", T.BooleanType()), T.StructField("_late", T.BooleanType())])
+    mode = "EventTime" if event_time else "ProcessingTime" if ttl else "None"
+    processor = MarkRepeats(_seconds(horizon) if event_time else 0.0, names, bool(event_time), int(_seconds(ttl) * 1000) if ttl and not event_time else None)
+    marked = keyed.groupBy("_key").transformWithStateInPandas(processor, schema, "Append", mode)
+    return marked.drop("_key", "_at").withColumnsRenamed({"_repeat": name, "_late": late})
+
+
+def quarantine(stream: DataFrame, contract: Contract, event_time: str | None = None, horizon: str = "1 day", lateness: str = "30 days", ttl: str | None = None) -> DataFrame:
     """Arriving rows with their errors and an ``outcome`` of valid or invalid; every row is kept.
 
     A row whose unique key came before, or comes again in the same batch, is invalid: with an event time,
     if the two lie within the horizon, otherwise always. A first copy that an earlier batch passed on stays valid.
+    What is remembered of a key ends with the watermark (``mark_repeats``); a row more than a horizon behind it, whose
+    copies may be forgotten, is invalid with an error of its own.
     """
     columns = stream.columns
     checks = row_checks(contract, columns)
     for c in contract.unique:
         if c in columns:
-            stream = mark_repeats(stream, c, f"_copied_{c}", event_time, horizon)
+            stream = mark_repeats(stream, c, f"_copied_{c}", f"_late_{c}", event_time, horizon, lateness, ttl)
             checks.append(_error("duplicate", c, "Duplicate value", F.col(f"_copied_{c}")))
+            checks.append(_error("late", c, "Too late to be compared with earlier copies", F.col(f"_late_{c}")))
     tagged = stream.select(*columns, F.array_compact(F.array(*checks)).alias("errors"))
     return tagged.withColumn("outcome", F.when(F.size("errors") == 0, "valid").otherwise("invalid"))
 
