@@ -31,8 +31,10 @@ from wardenframe.llm.common import mix64, pack32, saved, table, unpack32
 
 #: Tokens of a window, id that ends a document, BM25's saturation and length weight.
 WINDOW, END_ID, K1, B = 1024, 0, 1.2, 0.75
-#: Tails of a shard, tokens of a range, characters that are tokenized together, known words after which a worker starts afresh.
-SHARD_TAILS, RANGE_TOKENS, STEP_CHARS, MOST_KNOWN = 2048, 1 << 21, 1 << 20, 1 << 19
+#: Tails of a shard, tokens of a range, characters that are tokenized together.
+SHARD_TAILS, RANGE_TOKENS, STEP_CHARS = 2048, 1 << 21, 1 << 20
+#: Words after which a worker starts to learn afresh, and bits of their slots.
+MOST_KNOWN, SLOT_BITS = 1 << 20, 22
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNKNOWN = range(5)
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -84,30 +86,44 @@ class Encoder:
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = _kinds()
+        # Tokens that begin with the byte of a space.
+        spaced = [t.startswith("\u0120") for t, _ in sorted(self.library.get_vocab().items(), key=lambda entry: entry[1])]
+        self.spaced = np.array(spaced, bool)
         self.up = self.down = np.ones(0, np.uint64)
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.slot = 0, np.zeros(1 << 20, np.int64)  # place in `name`, plus one
-        self.name, self.first, self.size, self.pool, self.used = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int64), 0
-        self.place: dict[int, int] = {}
-
-    def _learn(self, names: np.ndarray, words: list[str]) -> None:
-        """Encode new words; `names` are their hashes."""
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(found), np.int64)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        # The slot of a word's hash holds its place plus one; a later word with the same slot takes it.
+        self.known, self.used, self.slot = 0, 0, np.zeros(1 << SLOT_BITS, np.int32)
+        self.name, self.first, self.size, self.pool = np.zeros(1024, np.uint64), np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
+
+    def _learn(self, names: np.ndarray, words: list[str]) -> np.ndarray:
+        """Encode new words, whose hashes are `names`, and give their places.
+
+        Words of a space and letters are encoded in strings of many: these come apart at the spaces again.
+        """
+        plain = [k for k, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
+        other = [k for k, w in enumerate(words) if not (w[0] == " " and w[1:].isalpha())]
+        joined = ["".join([words[k] for k in plain[low: low + 1000]]) for low in range(0, len(plain), 1000)]
+        found = [e.ids for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(found), np.int32)
+        sizes = np.diff(np.append(np.flatnonzero(self.spaced[flat]), len(flat)))
+        found = [e.ids for e in self.library.encode_batch_fast([words[k] for k in other], add_special_tokens=False)]
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), np.int32)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, found), np.int64, len(found))])
+        order = np.array(plain + other, np.int64)
         for label, need in (("name", self.known + len(words)), ("first", self.known + len(words)), ("size", self.known + len(words)), ("pool", self.used + len(flat))):
             if need > len(now := getattr(self, label)):
-                setattr(self, label, np.concatenate([now, np.zeros(max(need, len(now)), now.dtype)]))
+                setattr(self, label, np.concatenate([now, np.zeros(max(need - len(now), len(now)), now.dtype)]))
         new = slice(self.known, self.known + len(words))
-        self.name[new], self.size[new] = names, sizes
+        self.name[new], self.size[new] = names[order], sizes
         self.first[new] = self.used + np.cumsum(sizes) - sizes
         self.pool[self.used: self.used + len(flat)] = flat
-        self.place.update(zip(names.tolist(), range(self.known, self.known + len(words))))
-        self.slot[(names >> np.uint64(44)).astype(np.int64)] = np.arange(self.known, self.known + len(words)) + 1
+        places = np.empty(len(words), np.int64)
+        places[order] = self.known + np.arange(len(words))
         self.known += len(words)
         self.used += len(flat)
+        return places
 
     def _plain(self, texts: list[str], codes: np.ndarray, kinds: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
         if self.known > MOST_KNOWN:
@@ -122,19 +138,18 @@ class Encoder:
         ends = np.append(starts[1:], len(codes))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.up[: len(codes)], dtype=np.uint64)])
         names = mix64((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        at = self.slot[(names >> np.uint64(44)).astype(np.int64)] - 1
+        slots = (names >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at = self.slot[slots].astype(np.int64) - 1
         missed = np.flatnonzero((at < 0) | (self.name[at] != names))
         if len(missed):
-            other, where, back = np.unique(names[missed], return_index=True, return_inverse=True)
-            new = np.array([k for k, n in enumerate(other.tolist()) if n not in self.place], np.int64)
-            if len(new):
-                whole = "".join(texts)
-                spots = missed[where[new]]
-                self._learn(other[new], [whole[a:b] for a, b in zip(starts[spots].tolist(), ends[spots].tolist())])
-            at[missed] = np.array([self.place[n] for n in other.tolist()], np.int64)[back]
+            new, where, back = np.unique(names[missed], return_index=True, return_inverse=True)
+            spots, whole = missed[where], "".join(texts)
+            places = self._learn(new, [whole[a:b] for a, b in zip(starts[spots].tolist(), ends[spots].tolist())])
+            at[missed] = places[back]
+            self.slot[slots[spots]] = places + 1
         sizes = self.size[at]
-        upto = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.first[at] - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        upto = np.cumsum(sizes, dtype=np.int64)
+        ids = self.pool[np.repeat(self.first[at] - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)].astype(np.int64)
         cuts = np.append(0, upto)[np.searchsorted(starts, firsts[1:])] if len(firsts) > 1 else []
         return np.split(ids, cuts)
 
@@ -280,6 +295,13 @@ class Index:
         self.token, self.first = np.unique(token, return_index=True)
         self.size = np.diff(np.append(self.first, len(token)))
 
+    def keep(self, free: np.ndarray) -> None:
+        """Drop the postings of pieces that are used."""
+        held = free[self.piece]
+        upto = np.concatenate([[0], np.cumsum(held)])
+        self.first, self.size = upto[self.first], upto[self.first + self.size] - upto[self.first]
+        self.piece, self.weight = self.piece[held], self.weight[held]
+
     def scores(self, query: np.ndarray) -> np.ndarray:
         """BM25 score of every piece for the distinct tokens of `query`."""
         wanted = np.unique(query)
@@ -340,8 +362,11 @@ class Packer:
 
     def shard(self, tails: list[_Tail]) -> None:
         index = Index([t.ids for t in tails], self.statistics)
-        free, at, left = np.ones(len(tails), bool), 0, len(tails)
+        free, at, left, held = np.ones(len(tails), bool), 0, len(tails), len(tails)
         while left:
+            if 2 * left < held:
+                index.keep(free)
+                held = left
             if self.open is None:
                 if self.rest is not None:
                     self._put(self.rest)
@@ -442,7 +467,8 @@ def pack_by_retrieval(df: DataFrame, tokenizer: str, key: str = "doc_id", text:
     statistics = spark.sparkContext.broadcast(Statistics.of(df_rows["token"].to_numpy(), df_rows["df"].to_numpy(), size["tails"], size["tokens"]))
     signed = tails.drop("length").mapInArrow(_signed(statistics), f"key {kind}, start long, doc_tokens long, ids binary, lead long, second long")
     order = ["lead", "second", F.crc32("ids"), F.xxhash64("key", "start"), F.monotonically_increasing_id()]
-    ranges = signed.select("*", *(c.alias(f"_o{k}") for k, c in enumerate(order[2:]))).repartitionByRange(max(1, -(-size["tokens"] // RANGE_TOKENS)), "lead", "second", "_o0", "_o1", "_o2")
+    # Written, because a range partitioning reads its input twice.
+    ranges = saved(signed, "signed-tails").select("*", *(c.alias(f"_o{k}") for k, c in enumerate(order[2:]))).repartitionByRange(max(1, -(-size["tokens"] // RANGE_TOKENS)), "lead", "second", "_o0", "_o1", "_o2")
     packed = ranges.sortWithinPartitions("lead", "second", "_o0", "_o1", "_o2").select("key", "start", "doc_tokens", "ids")
     packed = packed.mapInArrow(_packed(statistics, window, arrow), f"key {kind}, start long, length long, doc_tokens long, ids_crc32 long, sequence_id long, offset long")
     return alone.unionByName(packed).withColumnRenamed("key", key)
