@@ -8,8 +8,8 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.samples import documents, frame
+from wardenframe.llm import components as graph
 from wardenframe.llm import exact_dedup, ngram_join
-from wardenframe.llm.components import components
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -144,7 +144,10 @@ def test_gram_hashes_depend_on_words_alone():
     assert not np.isin(sets[4], sets[0]).any()
 
 
-def test_components(spark):
+@pytest.mark.parametrize(("chunk", "one_task"), [(1 << 18, 1 << 18), (1 << 18, 0), (50, 0), (7, 40)])
+def test_components(spark, monkeypatch, chunk, one_task):
+    monkeypatch.setattr(graph, "CHUNK_EDGES", chunk)
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", one_task)
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + k, 1001 + k) for k in range(64)] + [(2000, 2001 + k) for k in range(100)]
     root = {}
@@ -158,5 +161,38 @@ def test_components(spark):
             changed |= root[a] != low or root[b] != low
             root[a] = root[b] = low
     real = {x for a, b in edges if a != b for x in (a, b)}
-    found = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    found = graph.components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.root for r in found} == {x: root[x] for x in real} and len(found) == len(real)
+
+
+def test_forest_ties_all():
+    rng = np.random.default_rng(11)
+    for count, edges in ((1, 0), (50, 20), (200, 150), (200, 400), (3000, 2500)) * 20:
+        left, right = rng.integers(0, count, edges), rng.integers(0, count, edges)
+        want = list(range(count))
+
+        def find(x):
+            while want[x] != x:
+                x = want[x]
+            return x
+
+        for a, b in zip(left.tolist(), right.tolist()):
+            a, b = find(a), find(b)
+            want[max(a, b)] = min(a, b)
+        assert graph.forest(count, left, right).tolist() == [find(x) for x in range(count)]
+
+
+def test_components_by_name(spark):
+    found = graph.components(spark.createDataFrame([("b:1", "a:9"), ("c", "b:1"), ("z", "z"), (None, "a:9"), ("x", "y")], "u string, v string")).collect()
+    assert {r.node: r.root for r in found} == {"a:9": "a:9", "b:1": "a:9", "c": "a:9", "x": "x", "y": "x"}
+    assert graph.components(spark.createDataFrame([], "u string, v string")).collect() == []
+
+
+def test_common_by_slices(monkeypatch):
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 500, rng.integers(1, 300)).astype(np.uint64)) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for limit in (1 << 22, 900, 100):
+        monkeypatch.setattr(ngram_join, "SLICE_GRAMS", limit)
+        got = ngram_join._common(sets, width=64)
+        assert all(got[a, b] == want[a][b] for a in range(30) for b in range(30) if a != b)

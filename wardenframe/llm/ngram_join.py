@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardenframe.llm.common import WHITE, byte_table, mix64, pack32, saved, shuffle_partitions, table, text_steps, unpack32
-from wardenframe.llm.components import components
+from wardenframe.llm.components import components, forest
 
 #: Words of a gram, and the least similarity in percent.
 WORDS, PERCENT = 5, 80
 #: Bytes of grams that a task gathers before it hands them on; members of a block; bins of the suffix filter.
 FLUSH_BYTES, BLOCK, SUFFIX_BINS = 16 << 20, 256, 32
+#: Grams of a tile's sets that are counted together.
+SLICE_GRAMS = 1 << 22
 #: A gram is hot from this share of a task's texts on (and this count), and then from this share of all texts on.
 HOT_TASK_SHARE, HOT_LEAST, HOT_SHARE = 0.01, 64, 0.005
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -327,16 +329,19 @@ def _incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _common(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
-    """Sizes of all intersections, by products of incidence matrices a strip of columns at a time."""
-    member, column = _incidence(sets)
+    """Sizes of all intersections, by products of incidence matrices: a slice of the grams and a strip of columns at a time."""
     out = np.zeros((len(sets), len(sets)), np.float64)
-    order = np.argsort(column, kind="stable")
-    member, column = member[order], column[order]
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [low, low + width])
-        strip = np.zeros((len(sets), min(width, int(column[-1]) + 1 - low)), np.float32)
-        strip[member[a:b], column[a:b] - low] = 1
-        out += strip @ strip.T
+    slices = -(-sum(map(len, sets)) // SLICE_GRAMS)
+    for k in range(slices):
+        part = sets if slices == 1 else [s[mix64(s) % np.uint64(slices) == np.uint64(k)] for s in sets]
+        member, column = _incidence(part)
+        order = np.argsort(column, kind="stable")
+        member, column = member[order], column[order]
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [low, low + width])
+            strip = np.zeros((len(sets), min(width, int(column[-1]) + 1 - low)), np.float32)
+            strip[member[a:b], column[a:b] - low] = 1
+            out += strip @ strip.T
     return np.rint(out).astype(np.int64)
 
 
@@ -402,51 +407,49 @@ def _positions_of(members: list[_Member], order: np.ndarray) -> np.ndarray:
     return order[(counts > 1)[column]].astype(np.int32)
 
 
-def _forest(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For every member one of its component, the same for all of it."""
-    root = np.arange(count)
-    while len(left):
-        low = np.minimum(root[left], root[right])
-        np.minimum.at(root, root[left], low)
-        np.minimum.at(root, root[right], low)
-        root = root[root]
-        apart = root[left] != root[right]
-        left, right = left[apart], right[apart]
-    while (root != root[root]).any():
-        root = root[root]
-    return root
+_LINKS = "hi long, lo long, to_hi long, to_lo long, classes long, rows long"
 
 
-_LINKS = "hi long, lo long, to_hi long, to_lo long, classes long, rows long"
+def _tile_links(rows: pa.Table, percent: int) -> np.ndarray:
+    """Link counts and a spanning forest of one tile, as rows of `_LINKS`."""
+    members = [
+        _Member(n, own, np.frombuffer(grams, np.uint64), prefix, side, copies)
+        for n, own, grams, prefix, side, copies in zip(*(rows[c].to_pylist() for c in ("n", "own", "grams", "n_prefix", "block", "copies")))
+    ]
+    left, right = linked_pairs(members, rows["i"][0].as_py() != rows["j"][0].as_py(), percent)
+    marks = np.stack([rows["hi"].to_numpy(), rows["lo"].to_numpy()], axis=1)
+    copies = np.array([m.copies for m in members])
+    both = np.concatenate([left, right])
+    classes = np.bincount(both, minlength=len(members))
+    texts = np.bincount(both, weights=copies[np.concatenate([right, left])], minlength=len(members)).astype(np.int64)
+    top = forest(len(members), left, right)
+    has = np.flatnonzero(classes)
+    return np.column_stack([marks[has], marks[top[has]], classes[has], texts[has]])
 
 
 def _tiles(percent: int):
-    def run(_key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        root, i, j = (rows[c].to_numpy() for c in ("root", "i", "j"))
-        cut = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(root) else np.zeros(0, int)
-        out: list[np.ndarray] = []
-        for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(root)]):
-            if high - low < 2:
-                continue
-            tile = rows.slice(low, high - low)
-            members = [
-                _Member(n, own, np.frombuffer(grams, np.uint64), prefix, side, copies)
-                for n, own, grams, prefix, side, copies in zip(*(tile[c].to_pylist() for c in ("n", "own", "grams", "n_prefix", "block", "copies")))
-            ]
-            left, right = linked_pairs(members, bool(i[low] != j[low]), percent)
-            if not len(left):
-                continue
-            marks = np.stack([tile["hi"].to_numpy(), tile["lo"].to_numpy()], axis=1)
-            copies = np.array([m.copies for m in members])
-            both = np.concatenate([left, right])
-            classes = np.bincount(both, minlength=len(members))
-            texts = np.bincount(both, weights=copies[np.concatenate([right, left])], minlength=len(members)).astype(np.int64)
-            top = _forest(len(members), left, right)
-            has = np.flatnonzero(classes)
-            out.append(np.column_stack([marks[has], marks[top[has]], classes[has], texts[has]]))
-        found = np.concatenate(out) if out else np.zeros((0, 6), np.int64)
-        return pa.table({name: pa.array(np.ascontiguousarray(found[:, k])) for k, name in enumerate(("hi", "lo", "to_hi", "to_lo", "classes", "rows"))})
+    """Tiles come one after the other, in order of (root, i, j); one is held at a time."""
+    def links(parts: list[pa.Table]) -> pa.RecordBatch:
+        tile = pa.concat_tables(parts)
+        found = _tile_links(tile, percent) if len(tile) > 1 else np.zeros((0, 6), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(6)], names=[x.split()[0] for x in _LINKS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            root, i, j = (batch.column(c).to_numpy() for c in ("root", "i", "j"))
+            cut = np.flatnonzero((root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1 if len(root) else np.zeros(0, int)
+            for low, high in zip([0, *cut.tolist()], [*cut.tolist(), len(root)]):
+                if low == high:
+                    continue
+                name = (root[low], i[low], j[low])
+                if now not in (None, name):
+                    yield links(held)
+                    held = []
+                now = name
+                held.append(pa.Table.from_batches([batch.slice(low, high - low)]))
+        if held:
+            yield links(held)
     return run
 
 
@@ -486,8 +489,8 @@ def ngram_links(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     placed = clusters.join(blocks, "root").select(F.col("node").alias("lo"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     members = sets.withColumn("n_prefix", F.size("prefix")).drop("prefix").join(placed, "lo").join(classes.select("hi", "lo", "copies"), ["hi", "lo"])
     tiles = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    dealt_tiles = tiles.drop("blocks", "other").withColumn("task", F.pmod(F.xxhash64("root", "i", "j"), F.lit(4 * buckets)).cast("int"))
-    links = saved(dealt_tiles.groupBy("task").applyInArrow(_tiles(percent), _LINKS), "gram-links")
+    dealt_tiles = tiles.drop("blocks", "other").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    links = saved(dealt_tiles.mapInArrow(_tiles(percent), _LINKS), "gram-links")
 
     name = lambda hi, lo: F.concat_ws(":", F.col(hi), F.col(lo))
     roots = components(links.select(name("hi", "lo").alias("u"), name("to_hi", "to_lo").alias("v")))
