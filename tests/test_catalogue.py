@@ -37,7 +37,7 @@ def test_names_and_coverage():
     if importlib.util.find_spec("wardenframe.llm") is None:
         assert not training_data
     else:
-        assert sorted(n.split("_")[0] for n in training_data) == sorted([*(f"op{k}" for k in range(1, 11)), "pipeline"])
+        assert sorted(n.split("_")[0] for n in training_data) == sorted([*(f"op{k}" for k in range(1, 14)), "pipeline"])
 
 
 def test_entry_runs(spark):

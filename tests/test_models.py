@@ -63,6 +63,35 @@ def test_cluster_distance_is_to_the_own_centre(cloud):
     assert got.cluster_anomaly_score.min() == 0 and got.cluster_anomaly_score.max() == 1 and not got.cluster_anomaly.any()
 
 
+def test_all_starts_advance_together(spark):
+    """As good as Spark's own clustering, one fit after the other, with no more jobs for more starts."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(scale=8, size=(4, 3))
+    points = np.concatenate([c + rng.normal(size=(150, 3)) for c in centres])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id long, a double, b double, c double").repartition(4)
+    vectors = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    loop = min(KMeans(k=4, seed=42 + i, maxIter=300).fit(vectors).summary.trainingCost for i in range(5))
+    tracker, jobs = spark.sparkContext.statusTracker(), {}
+    for starts in (1, 10):
+        spark.sparkContext.setJobGroup(f"starts-{starts}", "k-means")
+        model = cu.fit_clusters(df, ["a", "b", "c"], k=4, starts=starts)
+        jobs[starts] = len(tracker.getJobIdsForGroup(f"starts-{starts}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    nearest = ((points[:, None, :] - np.array(model.clusterCenters())[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert np.isclose(model.cost, nearest) and model.cost <= loop * (1 + 1e-6)
+    assert jobs[10] <= jobs[1] + 12  # rounds until the slowest start stands still, not fits
+
+
+def test_clusters_of_few_points(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 5.0)], "id long, a double")
+    model = cu.fit_clusters(df, ["a"], k=5)
+    got = cu.assign(df, model, ["a"], ["id"]).collect()
+    assert {r.cluster_distance for r in got} == {0.0} and len({r.cluster_id for r in got}) == 2
+
+
 def test_model_results_must_cover_the_same_records(spark):
     a = spark.createDataFrame([(1, 0.5)], "id int, s double")
     b = spark.createDataFrame([(1, 2), (2, 3)], "id int, c int")
@@ -93,6 +122,54 @@ def test_cause_network_equals_enumeration(spark):
     assert all({c.cause for c in r.probable_root_causes} <= {n for n in causes if r[n]} for r in out.collect())
 
 
+def _enumerated(counts, k, ess=10.0):
+    """Baseline, probability by active causes and posterior by cause, over all 2^k patterns."""
+    rows, anomalies = sum(n for _, n, _ in counts), sum(a for *_, a in counts)
+    yes = [sum(n for p, n, _ in counts if p >> i & 1) for i in range(k)]
+    prior = [1.0 if y == rows else 0.0 if y == 0 else (y + ess / 2) / (rows + ess) for y in yes]
+    q = 2 ** sum(0 < y < rows for y in yes)
+    seen = {p: (n, a) for p, n, a in counts}
+    weight, effect = {}, {}
+    for p in range(2**k):
+        weight[p] = float(np.prod([pr if p >> i & 1 else 1 - pr for i, pr in enumerate(prior)]))
+        n, a = seen.get(p, (0, 0))
+        effect[p] = (a + ess / (2 * q)) / (n + ess / q) if 0 < anomalies < rows else float(anomalies > 0)
+    base = sum(weight[p] * effect[p] for p in weight)
+
+    def probability(active):
+        over = [p for p in weight if p & active == active and weight[p] > 0]
+        mass = sum(weight[p] for p in over)
+        return base if not active or not mass else sum(weight[p] * effect[p] for p in over) / mass
+    return base, probability, [sum(weight[p] * effect[p] for p in weight if p >> i & 1) / base if base else 0.0 for i in range(k)]
+
+
+def test_sparse_network_equals_enumeration_of_ten_causes():
+    rng = np.random.default_rng(8)
+    for case in range(6):
+        patterns = np.unique(rng.integers(0, 1024, 60) & rng.integers(0, 1024, 60)) | (512 if case == 1 else 0)
+        if case == 2:
+            patterns &= 1023 ^ 4
+        counts = [(int(p), int(n), int(rng.integers(0, n + 1)) if case not in (3, 4) else (0 if case == 3 else int(n))) for p in np.unique(patterns) for n in [rng.integers(1, 50)]]
+        net = ca.CauseNetwork(counts, [f"c{i}" for i in range(10)])
+        base, probability, posterior = _enumerated(counts, 10)
+        assert np.isclose(net.baseline, base) and np.allclose([net.posterior(i) for i in range(10)], posterior)
+        assert np.allclose([net.probability(p) for p in range(0, 1024, 7)], [probability(p) for p in range(0, 1024, 7)])
+
+
+def test_network_of_thirty_causes(spark):
+    rng = np.random.default_rng(4)
+    names = [f"c{i}" for i in range(30)]
+    hit = rng.random((400, 30)) < 0.1
+    outcome = hit[:, 0] | (rng.random(400) < 0.1)
+    df = spark.createDataFrame([(*map(bool, r), bool(y)) for r, y in zip(hit, outcome)], ", ".join(f"{n} boolean" for n in [*names, "y"]))
+    net = ca.fit_cause_network(df, names, "y")
+    out = ca.apply_cause_network(df, net).collect()
+    assert len(out) == 400 and all(0 <= r.bayesian_anomaly_probability <= 1 for r in out)
+    assert net.probability(1) > net.baseline and net.posterior(0) > net.prior[0]
+    with pytest.raises(ValueError):
+        ca.CauseNetwork([(0, 1, 0)], ["c"] * 63)
+
+
 def test_auc_counts_ties_half(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.4), (0, 0.4), (0, 0.1), (0, 0.9)], "t int, s double")
     pairs = [(p, q) for p in (0.9, 0.4) for q in (0.4, 0.1, 0.9)]

@@ -9,7 +9,7 @@ from wardenframe.operators.contracts import Contract
 from wardenframe.operators.ingest import ingest_report
 from wardenframe.operators.serving import latest_state
 from wardenframe.session import scratch_path
-from wardenframe.sources import scans, sinks
+from wardenframe.sources import json_arrays, landing, scans, sinks
 from wardenframe.streaming import feeds
 from wardenframe.streaming import sinks as stream_sinks
 
@@ -60,7 +60,7 @@ def test_landing_files_with_their_own_headers(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"claim_id": "3"}\n{"data": [{"claim_id": "4", "amount": 5}]}\n')
     spark.createDataFrame([("5",)], "claim_id string").coalesce(1).write.parquet(str(tmp_path / "e"))
     spark.createDataFrame([("6", 7)], "claim_id string, y int").coalesce(1).write.parquet(str(tmp_path / "f"))
-    landed = scans.read_landing(spark, str(tmp_path))
+    landed = landing.read_landing(spark, str(tmp_path))
     got = {r.claim_id: (r.amount, r.extra, r.y, r.format) for r in landed.collect()}
     assert got == {
         "007": ("10", None, None, "csv"), "008": (None, None, None, "csv"), "009": ("20", "x", None, "csv"), "1": (None, None, None, "json"), "2": (None, None, None, "json"),
@@ -77,12 +77,96 @@ def test_ingest_reports_each_file(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("when,claim_id,amount\n2024-13-01,1,5\n2024-01-01,2,-1\n2024-01-01,3,1\n2024-01-01,3,1\n2024-01-05,007,1\n")
     (tmp_path / "short.csv").write_text("claim_id,amount\n1,5\n")
     (tmp_path / "other.csv").write_text("page,visits\n1,5\n")
-    report, tagged = ingest_report(scans.read_landing(spark, str(tmp_path)), [contract])
+    report, tagged = ingest_report(landing.read_landing(spark, str(tmp_path)), [contract])
     got = {r.file.rsplit("/", 1)[1]: (r.rows, r.valid, r.invalid, r.missing_columns, r.unexpected_columns, r.status) for r in report.collect()}
     assert got == {"good.csv": (2, 2, 0, 0, 1, "PASS"), "bad.csv": (5, 1, 4, 0, 0, "FAIL"), "short.csv": (1, 1, 0, 1, 0, "FAIL"), "other.csv": (1, None, None, None, None, "UNMATCHED")}
     assert {r.claim_id for r in tagged["small"].where("file LIKE '%good%'").collect()} == {"007", "008"}
 
 
+def test_landing_cells_of_awkward_files(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"a,b",c,c,\n"x, ""y""",007,2,z\n1\n,,,\n')
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "n.csv").write_text("Claim,amount\n5,6\n")
+    (tmp_path / "l.json").write_text('{"id": "1", "x": {"y": [1, 2]}}\n\n{"records": [{"id": "2"}, {"id": "3", "z": null}]}\n{"items": []}\n{"data": "text", "id": 4}\n')
+    (tmp_path / "w.json").write_text('[\n {"id": "5"},\n {"id": "6"}\n]\n')
+    found = {}
+    for r in landing.read_landing_cells(spark, str(tmp_path)).collect():
+        found.setdefault(r.file.rsplit("/", 1)[1], []).append(dict(sorted(r.cells.items())))
+    assert sorted(found["q.csv"], key=str) == sorted([{"_c3": "z", "a,b": 'x, "y"', "c1": "007", "c2": "2"}, {"_c3": None, "a,b": "1", "c1": None, "c2": None}, {"_c3": None, "a,b": None, "c1": None, "c2": None}], key=str)
+    assert found["n.csv"] == [{"Claim": "5", "amount": "6"}]
+    assert sorted(found["l.json"], key=lambda c: c["id"]) == [{"id": "1", "x": '{"y":[1,2]}'}, {"id": "2"}, {"id": "3", "z": None}, {"data": "text", "id": "4"}]
+    assert sorted(c["id"] for c in found["w.json"]) == ["5", "6"]
+    columns = {}
+    for r in landing.cell_columns(landing.read_landing_cells(spark, str(tmp_path))).collect():
+        columns.setdefault(r.file_id.rsplit("/", 1)[1], []).append((r.pos, r.column_name))
+    assert columns["q.csv"] == [(0, "a,b"), (1, "c1"), (2, "c2"), (3, "_c3")] and columns["l.json"] == [(0, "data"), (1, "id"), (2, "x")]
+    (tmp_path / "long.csv").write_text("a,b\n1,2,3\n")
+    with pytest.raises(Exception, match="more cells than its header"):
+        landing.read_landing_cells(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("split_bytes", [64, 700, 1 << 20])
+def test_json_arrays_are_cut_by_byte_ranges(spark, tmp_path, split_bytes):
+    import random
+
+    rng = random.Random(split_bytes)
+
+    def value(depth=0):
+        kind = rng.randrange(7 if depth < 3 else 4)
+        if kind < 2:
+            return "".join(rng.choice('ab{}[]",:\\é\n ') for _ in range(rng.randrange(12)))
+        if kind < 4:
+            return rng.choice([1, -2.5, None, True])
+        if kind == 4:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        return {rng.choice(['k"', "x}", "[y", "z"]) + str(i): value(depth + 1) for i in range(rng.randrange(4))}
+
+    def record(k):
+        return {"id": k, "v": value()} | ({"long": "{" * 900} if k % 37 == 5 else {})
+
+    want = {}
+    for number, (indent, wrap) in enumerate([(None, None), (1, None), (None, "data"), (2, "records"), (None, "items"), (None, ""), (1, "")]):
+        records = [record(k) for k in range(60)]
+        doc = records if wrap is None else {"meta": {"deep": [{"a": [1]}]}, "other": [{"q": 1}], wrap: records, "after": [{"no": 1}], "text": 'x"]}'} if wrap else {"id": 7, "list": [1, 2], "inner": {"a": [{"b": 1}]}}
+        if wrap == "data":
+            doc = {"items": [{"worse": 1}]} | doc  # a key further down the list of keys, earlier in the file
+        want[f"{number}.json"] = [json.dumps(r) for r in records] if wrap != "" else [json.dumps(doc)]
+        (tmp_path / f"{number}.json").write_text(json.dumps(doc, indent=indent, ensure_ascii=False) + ("\n" if number % 2 else ""))
+    (tmp_path / "none.json").write_text('{"records": []}')
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = {}
+        for r in json_arrays.read_json_arrays(spark, str(tmp_path)).collect():
+            got.setdefault(r.file.rsplit("/", 1)[1], []).append(json.dumps(json.loads(r.record)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got.pop("none.json") == ['{"records": []}']  # without a record in its lists, the document is one
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_landing_plan_does_not_grow_with_files(spark, tmp_path, capsys):
+    def plan(folder, files):
+        (tmp_path / folder).mkdir()
+        for k in range(files):
+            (tmp_path / folder / f"{k}.csv").write_text(f"id,h{k}\n{k},x\n")
+            (tmp_path / folder / f"{k}.json").write_text(f'{{"id": {k}, "j{k}": 1}}\n' if k % 2 else f'{{\n"id": {k},\n "j{k}": 1}}\n')
+        df = landing.read_landing_cells(spark, str(tmp_path / folder))
+        assert df.count() == 2 * files
+        df.explain("formatted")
+        return len(__import__("re").sub(r"[0-9a-f-]{36}|Location:[^\n]*|#\d+L?|\d+", "", capsys.readouterr().out))
+
+    assert plan("few", 2) == plan("many", 40)
+    assert landing.read_landing_cells(spark, str(tmp_path / "many")).where("format = 'csv'").select(F.map_keys("cells").alias("k")).distinct().count() == 40
+
+
+def test_landing_of_nothing(spark, tmp_path):
+    (tmp_path / "readme.md").write_text("no records")
+    assert landing.read_landing_cells(spark, str(tmp_path)).collect() == []
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
     from types import SimpleNamespace
 

@@ -14,8 +14,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardenframe.functions.columns import unpivot_numeric, with_scalars
 
@@ -25,11 +26,6 @@ PARTS = 200
 SKETCH_ACCURACY = 10_000
 
 
-def _number(c: str) -> Column:
-    value = F.col(c).cast("double")
-    return F.when(~F.isnan(value), value)
-
-
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """One row per column: ``feature`` and ``q`` (array of exact quantiles in the order of ``probs``; NULL without values)."""
     labels = {f"q{i}": float(p) for i, p in enumerate(probs)}
@@ -39,17 +35,27 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -
 
 
 def quantile_row(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
-    """One row with a column ``<column>__<label>`` per column and labelled probability."""
+    """One row with a column ``<column>__<label>`` per column and labelled probability.
+
+    Columns are worked on in long form, so each has its own group and task, and the plan does not grow with them.
+    """
     labels, values = list(probs), [float(p) for p in probs.values()]
+    cols = list(dict.fromkeys(cols))
+    widths = {r["feature"]: r["n"] for r in _filled(df, cols).groupBy("feature").agg(F.approx_count_distinct("value").alias("n")).collect()}
     # The estimate errs by a few percent, so half the bound leaves room.
-    widths = df.agg(*[F.approx_count_distinct(_number(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    wide = [c for i, c in enumerate(cols) if widths[i] > ORDERED_VALUES // 2]
+    wide = [c for c in cols if widths.get(c, 0) > ORDERED_VALUES // 2]
     found = _narrowed(unpivot_numeric(df, wide), values) if wide else {}
-    grid = F.array(*[F.lit(p) for p in values])
-    row = df.agg(F.lit(1).alias("_one"), *[F.percentile(_number(c), grid).alias(c) for c in cols if c not in found])
-    return row.select(*[
-        (F.lit(found[c][i]) if c in found else F.col(c)[i]).cast("double").alias(f"{c}__{k}") for c in cols for i, k in enumerate(labels)
-    ])
+    narrow = [c for c in cols if c in widths and c not in found]
+    if narrow:
+        ordered = _filled(df, narrow).groupBy("feature").agg(F.percentile("value", F.array(*[F.lit(p) for p in values])).alias("q"))
+        found |= {r["feature"]: r["q"] for r in ordered.collect()}
+    row = tuple(None if c not in found else float(found[c][i]) for c in cols for i in range(len(labels)))
+    return df.sparkSession.createDataFrame([row], T.StructType([T.StructField(f"{c}__{k}", T.DoubleType()) for c in cols for k in labels]))
+
+
+def _filled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Long form of the values that count."""
+    return unpivot_numeric(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 @dataclass(frozen=True)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,73 +47,72 @@ def lifted_causes(evidence: Mapping[str, Column], minimum: float = 0.5, minimum_
 # ---------------------------------------------------------------- learned cause network
 
 
+def _pattern(causes: Sequence[str]) -> Column:
+    """The active causes of a row as bits."""
+    return total(F.when(flag(F.col(c)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(causes))
+
+
 def pattern_counts(df: DataFrame, causes: Sequence[str], outcome: str) -> DataFrame:
-    """Rows and anomalies per observed pattern of causes (at most 2 to the number of causes)."""
-    pattern = total(F.when(flag(F.col(c)), F.lit(1 << i)).otherwise(0) for i, c in enumerate(causes))
-    return df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(flag(F.col(outcome))).alias("anomalies"))
+    """Rows and anomalies per observed pattern of causes."""
+    return df.groupBy(_pattern(causes).alias("pattern")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(flag(F.col(outcome))).alias("anomalies"))
 
 
 class CauseNetwork:
-    """Ten (or so) independent causes with one common effect, smoothed by an equivalent sample size.
+    """Independent causes with one common effect, smoothed by an equivalent sample size.
 
-    Fitted from pattern counts only: 2^k numbers. Follows the Bayesian Dirichlet equivalent uniform
+    Fitted from the counts of the patterns that occur. Follows the Bayesian Dirichlet equivalent uniform
     prior: P(effect | pattern) = (anomalies + ess/2q) / (rows + ess/q) over q parent patterns, and
     P(cause) = (rows with cause + ess/2) / (rows + ess). A cause or effect with one observed state
     only has a single state, as in a network learned from data.
+
+    Of all 2^k patterns those that never occur have the effect's prior, one half. So a sum over the patterns that
+    contain some causes is a product of their priors times one half, plus what the observed ones among them add: causes
+    that nobody asks for are summed out in closed form, and no table of 2^k entries is built.
     """
 
-    MOST_CAUSES = 14
+    MOST_CAUSES, MOST_PATTERNS = 62, 50_000
 
     def __init__(self, counts: Sequence[tuple[int, int, int]], causes: Sequence[str], ess: float = 10.0) -> None:
         if len(causes) > self.MOST_CAUSES:
-            raise ValueError(f"at most {self.MOST_CAUSES} causes: the pattern table holds 2^k rows")
+            raise ValueError(f"at most {self.MOST_CAUSES} causes: a pattern is one number")
+        if len(counts) > self.MOST_PATTERNS:
+            raise ValueError(f"at most {self.MOST_PATTERNS} patterns of causes may occur: they are compared with each other")
         self.causes = tuple(causes)
         k = len(self.causes)
-        seen = {p: (n, a) for p, n, a in counts}
-        rows = sum(n for n, _ in seen.values())
-        anomalies = sum(a for _, a in seen.values())
-        yes = [sum(n for p, (n, _) in seen.items() if p >> i & 1) for i in range(k)]
-        free = [i for i in range(k) if 0 < yes[i] < rows]
-        fixed = sum(1 << i for i in range(k) if rows and yes[i] == rows)
-        self.prior = [
-            (yes[i] + ess / 2) / (rows + ess) if i in free else (1.0 if rows and yes[i] == rows else 0.0) for i in range(k)
-        ]
-        q = 2 ** len(free)
+        pattern = np.array([p for p, _, _ in counts], np.int64)
+        n, a = (np.array([c[i] for c in counts], float) for i in (1, 2))
+        rows, anomalies = n.sum(), a.sum()
+        has = np.array([(pattern >> i) & 1 for i in range(k)], float).reshape(k, len(pattern))
+        yes = has @ n
+        free = (yes > 0) & (yes < rows)
+        self.prior = [float((yes[i] + ess / 2) / (rows + ess)) if free[i] else float(rows > 0 and yes[i] == rows) for i in range(k)]
+        q = 2.0 ** int(free.sum())
+        self._pattern, self._weight = pattern, np.ones(len(pattern))
+        for i in np.flatnonzero(free):
+            self._weight *= np.where(has[i] == 1, self.prior[i], 1 - self.prior[i])
         both = 0 < anomalies < rows
-        self.effect: dict[int, float] = {}
-        self.weight: dict[int, float] = {}
-        for bits in product((0, 1), repeat=len(free)):
-            p = fixed + sum(1 << i for i, b in zip(free, bits) if b)
-            n, a = seen.get(p, (0, 0))
-            self.effect[p] = (a + ess / (2 * q)) / (n + ess / q) if both else float(anomalies > 0)
-            w = 1.0
-            for i, b in zip(free, bits):
-                w *= self.prior[i] if b else 1 - self.prior[i]
-            self.weight[p] = w
-        self.baseline = sum(self.weight[p] * self.effect[p] for p in self.weight)
-        # Sums over all patterns that contain a pattern, cause by cause: k passes over 2^k numbers.
-        self._mass = self._over_supersets(dict(self.weight))
-        self._joint = self._over_supersets({p: w * self.effect[p] for p, w in self.weight.items()})
-
-    def _over_supersets(self, values: dict[int, float]) -> list[float]:
-        sums = [values.get(p, 0.0) for p in range(2 ** len(self.causes))]
-        for i in range(len(self.causes)):
-            for p in range(len(sums)):
-                if not p >> i & 1:
-                    sums[p] += sums[p | 1 << i]
-        return sums
+        # Effect of a pattern that does not occur, and how far the observed ones are from it.
+        self._unseen = 0.5 if both else float(anomalies > 0)
+        effect = (a + ess / (2 * q)) / (n + ess / q) if both else np.full(len(pattern), self._unseen)
+        self._added = self._weight * (effect - self._unseen)
+        self.baseline = self._joint(0)
+
+    def _mass(self, active: int) -> float:
+        """P(the active causes are present)."""
+        return float(np.prod([p for i, p in enumerate(self.prior) if active >> i & 1]))
+
+    def _joint(self, active: int) -> float:
+        """P(effect and the active causes)."""
+        return self._unseen * self._mass(active) + float(self._added[(self._pattern & active) == active].sum())
 
     def probability(self, active: int) -> float:
         """P(effect | the active causes are present), the other causes left open."""
-        if active == 0 or self._mass[active] == 0:
-            return self.baseline
-        return self._joint[active] / self._mass[active]
+        mass = self._mass(active)
+        return self.baseline if active == 0 or mass == 0 else self._joint(active) / mass
 
     def posterior(self, i: int) -> float:
         """P(cause i | effect)."""
-        if self.baseline == 0:
-            return 0.0
-        return sum(self.weight[p] * self.effect[p] for p in self.weight if p >> i & 1) / self.baseline
+        return 0.0 if self.baseline == 0 or self.prior[i] == 0 else self._joint(1 << i) / self.baseline
 
 
 def fit_cause_network(df: DataFrame, causes: Sequence[str], outcome: str, ess: float = 10.0) -> CauseNetwork:
@@ -124,10 +123,11 @@ def fit_cause_network(df: DataFrame, causes: Sequence[str], outcome: str, ess: f
 def apply_cause_network(df: DataFrame, net: CauseNetwork, top: int = 3) -> DataFrame:
     """Probability per record by its pattern of active causes, and its best causes by lift."""
     causes = net.causes
-    seen = df.withColumn("_pattern", total(F.when(flag(F.col(c)), F.lit(1 << i)).otherwise(0) for i, c in enumerate(causes)))
-    table = df.sparkSession.createDataFrame(
-        [(p, round(net.probability(p), 6)) for p in range(2 ** len(causes))], "_pattern int, bayesian_anomaly_probability double"
-    )
+    seen = df.withColumn("_pattern", _pattern(causes))
+    patterns = [r["_pattern"] for r in seen.select("_pattern").distinct().limit(net.MOST_PATTERNS + 1).collect()]
+    if len(patterns) > net.MOST_PATTERNS:
+        raise ValueError(f"at most {net.MOST_PATTERNS} patterns of causes may occur: they are compared with each other")
+    table = df.sparkSession.createDataFrame([(p, round(net.probability(p), 6)) for p in patterns], "_pattern long, bayesian_anomaly_probability double")
     items = []
     for i, c in enumerate(causes):
         posterior, base = net.posterior(i), net.prior[i]
@@ -136,7 +136,7 @@ def apply_cause_network(df: DataFrame, net: CauseNetwork, top: int = 3) -> DataF
             F.lit(-lift).alias("order"), F.lit(-posterior).alias("second"), F.lit(c).alias("cause"),
             F.lit(round(posterior, 6)).alias("probability_given_anomaly"), F.lit(round(base, 6)).alias("baseline_probability"), F.lit(round(lift, 4)).alias("bayesian_lift"),
         )))
-    joined = seen.join(F.broadcast(table), "_pattern")  # 2^k rows by construction
+    joined = seen.join(F.broadcast(table), "_pattern")  # one row per pattern that occurs, counted above
     return joined.select(
         *df.columns, "bayesian_anomaly_probability",
         F.slice(F.sort_array(F.array_compact(F.array(*items))), 1, top).alias("probable_root_causes"),

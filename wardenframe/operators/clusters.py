@@ -1,41 +1,144 @@
-"""K-means peer groups with distance to the own centre."""
+"""K-means peer groups with distance to the own centre.
+
+All starts advance in the same passes over the rows: a task holds the centres of every start, gives each row to the nearest
+centre of each, and returns sums and counts; starts that stand still drop out. The number of jobs is that of the rounds.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardenframe.functions.columns import with_scalars
 from wardenframe.functions.quantiles import quantile_row
 from wardenframe.operators.serving import min_max
+from wardenframe.session import materialise
+
+#: Rows, chosen by hash, on which the centres of all starts are chosen and settled first; a centre that moves less far stands still.
+SEED_ROWS, STILL = 4096, 1e-4
+
+
+@dataclass(frozen=True)
+class PeerGroups:
+    """Centres of the groups, and the squared distances of all rows to their own, summed."""
+
+    centres: np.ndarray
+    cost: float
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.centres)
+
+
+def _numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Features as numbers; a missing or infinite one is an error."""
+    def filled(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(F.raise_error(F.lit(f"{c} is not filled")).cast("double")).alias(c)
+    return df.select(*[filled(c) for c in features])
+
+
+def _spread_out(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each next centre is a row, likelier the farther it is from those chosen."""
+    chosen = [rows[rng.integers(len(rows))]]
+    gap = ((rows - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and gap.sum() > 0:
+        chosen.append(rows[rng.choice(len(rows), p=gap / gap.sum())])
+        gap = np.minimum(gap, ((rows - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    far = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
+    return far.argmin(axis=1)
 
-def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="error").transform(df)
 
+def _moved(old: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Centres in the middle of their rows; one without rows stays."""
+    return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], old)
 
-def fit_clusters(df: DataFrame, features: Sequence[str], k: int = 5, starts: int = 10, max_iter: int = 300, seed: int = 42) -> KMeansModel:
-    """Best of ``starts`` runs by training cost. Features must be filled."""
-    data = _vectors(df, features).select("_v").persist()
-    try:
-        models = [KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol="_v", predictionCol="cluster_id").fit(data) for i in range(starts)]
-    finally:
-        data.unpersist()
-    return min(models, key=lambda m: m.summary.trainingCost)
 
+def _still(old: np.ndarray, new: np.ndarray) -> bool:
+    return bool((np.sqrt(((new - old) ** 2).sum(axis=1)) <= STILL).all())
 
-def assign(df: DataFrame, model: KMeansModel, features: Sequence[str], keep: Sequence[str], anomaly_quantile: float | None = None) -> DataFrame:
+
+def _settled(rows: np.ndarray, centres: np.ndarray, max_iter: int) -> np.ndarray:
+    """Where the centres come to rest on the bounded rows, so that few rounds over all rows are left."""
+    for _ in range(max_iter):
+        own = _nearest(rows, centres)
+        counts = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows)
+        new = _moved(centres, sums, counts)
+        if _still(centres, new):
+            return new
+        centres = new
+    return centres
+
+
+def _round(data: DataFrame, centres: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], dict[int, float]]:
+    """By start: sums and counts of the rows of each centre, and the cost of the centres that went in."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {s: np.zeros((len(c), c.shape[1] + 2)) for s, c in centres.items()}
+        for pdf in frames:
+            x = pdf.to_numpy(float)
+            for s, c in centres.items():
+                own = _nearest(x, c)
+                whole = np.column_stack([x, np.ones(len(x)), ((x - c[own]) ** 2).sum(axis=1)])
+                np.add.at(sums[s], own, whole)
+        yield pd.DataFrame([(s, g, t[g].tolist()) for s, t in sums.items() for g in range(len(t))], columns=["start", "group", "sums"])
+
+    parts = data.mapInPandas(run, "start int, group int, sums array<double>").select("start", "group", F.posexplode("sums").alias("at", "value"))
+    # Starts x groups x features numbers.
+    totals = {s: np.zeros((len(c), c.shape[1] + 2)) for s, c in centres.items()}
+    for r in parts.groupBy("start", "group", "at").agg(F.sum("value").alias("value")).collect():
+        totals[r["start"]][r["group"], r["at"]] = r["value"]
+    return {s: t[:, :-2] for s, t in totals.items()}, {s: t[:, -2] for s, t in totals.items()}, {s: float(t[:, -1].sum()) for s, t in totals.items()}
+
+
+def fit_clusters(df: DataFrame, features: Sequence[str], k: int = 5, starts: int = 10, max_iter: int = 300, seed: int = 42) -> PeerGroups:
+    """Best of ``starts`` runs by cost. Features must be filled; of fewer distinct rows than ``k`` each is a centre."""
+    data = materialise(_numbers(df, features), "cluster-rows")
+    total = max(data.count(), 1)
+    share = int(min(1.0, 2 * SEED_ROWS / total) * (1 << 20))
+    near = data.where(F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(1 << 20)) < share).orderBy(F.xxhash64(F.lit(seed), *features), *features).limit(SEED_ROWS)
+    rows = np.array([list(r) for r in near.collect()], float).reshape(-1, len(features))
+    if not len(rows):
+        raise ValueError("no rows to cluster")
+    moving = {s: _settled(rows, _spread_out(rows, k, np.random.default_rng(seed + s)), max_iter) for s in range(starts)}
+    done: dict[int, tuple[float, np.ndarray]] = {}
+    for n in range(max_iter + 1):
+        sums, counts, costs = _round(data, moving)
+        for s in list(moving):
+            old = moving[s]
+            new = _moved(old, sums[s], counts[s])
+            done[s] = (costs[s], old)
+            if n == max_iter or _still(old, new):
+                del moving[s]
+            else:
+                moving[s] = new
+        if not moving:
+            break
+    cost, centres = min(done.values(), key=lambda d: d[0])
+    return PeerGroups(centres, cost)
+
+
+def assign(df: DataFrame, model: PeerGroups, features: Sequence[str], keep: Sequence[str], anomaly_quantile: float | None = None) -> DataFrame:
     """Cluster, distance to its centre, distance scaled to 0..1 and (off by default) a distance flag."""
-    placed = model.transform(_vectors(df, features))
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    own = centres[F.col("cluster_id")]
-    gap = F.aggregate(F.zip_with(vector_to_array("_v"), own, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
-    near = min_max(placed.select(*keep, "cluster_id", F.sqrt(gap).alias("cluster_distance")), "cluster_distance", "cluster_anomaly_score")
+    row = F.array(*[F.col(c).cast("double") for c in features])
+
+    def gap(centre: np.ndarray) -> Column:
+        other = F.array(*[F.lit(float(x)) for x in centre])
+        return F.aggregate(F.zip_with("_v", other, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+
+    # The nearest centre is the least of (distance, number).
+    nearest = F.array_min(F.array(*[F.struct(gap(c).alias("gap"), F.lit(i).alias("id")) for i, c in enumerate(model.centres)]))
+    placed = df.select(*keep, row.alias("_v")).select(*keep, nearest.alias("_n"))
+    near = min_max(placed.select(*keep, F.col("_n.id").alias("cluster_id"), F.sqrt("_n.gap").alias("cluster_distance")), "cluster_distance", "cluster_anomaly_score")
     if anomaly_quantile is None:
         return near.withColumn("cluster_anomaly", F.lit(False))
     cut = with_scalars(near, quantile_row(near, ["cluster_distance"], {"cut": anomaly_quantile}), "_c")

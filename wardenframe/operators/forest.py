@@ -19,6 +19,8 @@ from wardenframe.functions.columns import tiers, with_scalars
 from wardenframe.functions.quantiles import quantile_row
 from wardenframe.session import materialise
 
+#: Rows that a scoring task gets.
+ROWS_PER_TASK = 50_000
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
 # Tree count and share of anomalies of the four model set-ups (None: automatic cut at 0.5).
 SETUPS = {
@@ -47,6 +49,17 @@ class Forest:
     nodes: tuple[tuple, ...]
 
 
+def _least(keyed: DataFrame, order: Sequence[str], wanted: int) -> DataFrame:
+    """The ``wanted`` rows with the least hash ``_h``. Rows above a hash that surely leaves enough go first, so that few more than wanted meet in one task."""
+    rows = keyed.count()
+    share = 1.2 * wanted / max(rows, 1) + 0.001
+    if share < 1:
+        near = keyed.where(F.col("_h") < F.lit(int(share * 2**64) - 2**63))
+        if near.count() >= wanted:
+            keyed = near
+    return keyed.orderBy(*order).limit(wanted)
+
+
 def tree_samples(df: DataFrame, keys: Sequence[str], features: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
     """``sample`` rows per tree without repetition inside a tree (all rows, where there are fewer).
 
@@ -55,7 +68,7 @@ def tree_samples(df: DataFrame, keys: Sequence[str], features: Sequence[str], tr
     """
     order = ["_h", *[f"_k{i}" for i in range(len(keys))]]
     keyed = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.xxhash64(F.lit(seed), *keys).alias("_h"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    pool = materialise(keyed.orderBy(*order).limit(trees * sample), "forest-pool")
+    pool = materialise(_least(keyed, order, trees * sample), "forest-pool")
     size = pool.count()
     numbered = pool.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1)
     drawn = [np.random.default_rng([seed, t]).choice(size, min(sample, size), replace=False) for t in range(trees)]
@@ -145,7 +158,10 @@ def score(df: DataFrame, forest: Forest, keep: Sequence[str], name: str = "isola
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", {name} double"
     extra = [c for c in columns if c not in keep]
-    return df.select(*keep, *extra).mapInPandas(run, schema)
+    narrow = df.select(*keep, *extra)
+    # Walking hundreds of trees costs far more than moving a narrow row, so rows are dealt to all cores first.
+    cores = narrow.sparkSession.sparkContext.defaultParallelism
+    return narrow.repartition(max(cores, -(-narrow.count() // ROWS_PER_TASK)), *keep).mapInPandas(run, schema)
 
 
 def detect(df: DataFrame, keys: Sequence[str], features: Sequence[str], trees: int = 200, contamination: float | None = None, sample: int = 256, seed: int = 42) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardenframe.operators.contracts import Contract, detect_contract, resolve_columns, score_contracts
 from wardenframe.operators.validation import tag_errors
-from wardenframe.sources.scans import LANDING_TAGS, landing_columns
+from wardenframe.sources.landing import as_cells, cell_columns
 
 TAGS = ("file", "format")
 
@@ -21,8 +21,7 @@ def rename_columns(landed: DataFrame, resolved: DataFrame, contract: Contract) -
     looked up by name; the mapping is one short row per file.
     """
     mapping = resolved.where(F.col("schema") == contract.name).groupBy(F.col("file_id").alias("file")).agg(F.map_from_entries(F.collect_list(F.struct("canonical", "column_name"))).alias("_names"))
-    cells = F.create_map(*[x for c in landed.columns if c not in LANDING_TAGS for x in (F.lit(c), F.col(f"`{c}`"))])
-    rows = landed.select(*TAGS, cells.alias("_cells")).join(mapping, "file")
+    rows = as_cells(landed).select(*TAGS, F.col("cells").alias("_cells")).join(mapping, "file")
     return rows.select(*TAGS, *[F.try_element_at("_cells", F.try_element_at("_names", F.lit(c))).alias(c) for c in contract.required])
 
 
@@ -33,7 +32,8 @@ def ingest_report(landed: DataFrame, contracts: Sequence[Contract], similarity:
     validated; a missing required column makes a file ``FAIL`` as an invalid row does, an unknown column is
     only counted.
     """
-    catalogue = landing_columns(landed)
+    landed = as_cells(landed)
+    catalogue = cell_columns(landed)
     resolved = resolve_columns(catalogue, contracts, similarity=similarity)
     detected = detect_contract(score_contracts(catalogue, resolved, contracts))
     chosen = resolved.join(detected, "file_id").where(F.col("schema") == F.col("matched_schema"))

@@ -1,14 +1,14 @@
-"""Univariate outlier detection over many features: statistics in one row, flags in one projection."""
+"""Univariate outlier detection over many features, in long form: statistics by feature, flags by cell, counts by row."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardenframe.functions.columns import compute_once
+from wardenframe.functions.columns import flag, unpivot_numeric
 from wardenframe.functions.quantiles import quantile_row
 
 # Words that mark rate and count features.
@@ -35,40 +35,31 @@ class Limits:
 
 
 def feature_statistics(df: DataFrame, features: Sequence[str], limits: Limits = Limits()) -> dict[str, dict[str, float | None]]:
-    """Count, mean, deviation and the four quantiles of every feature: one aggregate row each, fetched."""
-    moments = df.agg(*[
-        f(c).alias(f"{c}__{n}") for c in features for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp))
-    ]).first()
+    """Count, mean, deviation and the four quantiles of every feature: one group each, fetched."""
+    value = F.col("value")
+    moments = unpivot_numeric(df, features).groupBy("feature").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    found = {r["feature"]: {n: r[n] for n in ("n", "mean", "sd")} for r in moments.collect()}
     probs = {"low": limits.low, "q1": 0.25, "q3": 0.75, "high": limits.high}
     quantiles = quantile_row(df, features, probs).first()
-    return {
-        c: {n: moments[f"{c}__{n}"] for n in ("n", "mean", "sd")} | {p: quantiles[f"{c}__{p}"] for p in probs} for c in features
-    }
+    return {c: found.get(c, {"n": 0, "mean": None, "sd": None}) | {p: quantiles[f"{c}__{p}"] for p in probs} for c in features}
 
 
-def feature_flags(c: str, stats: dict[str, float | None], limits: Limits) -> dict[str, str]:
-    """SQL text of one feature's flags; constantly false where it has too few values to judge.
+_BOUNDS = "feature string, place int, mean double, sd double, fence_low double, fence_high double, low double, high double, rate boolean, counted boolean"
 
-    SQL text because a detector looks at a hundred features and more.
-    """
-    never = {"z": "false", "iqr": "false", "below": "false", "above": "false", "z_score": "CAST(NULL AS DOUBLE)"}
-    if stats["n"] < limits.minimum_values:
-        return never
-
-    def d(x: float) -> str:
-        return f"{float(x)!r}D"
-
-    flags = dict(never)
-    if stats["sd"] is not None and stats["sd"] > 0:
-        flags["z_score"] = f"(({c} - {d(stats['mean'])}) / {d(stats['sd'])})"
-        flags["z"] = f"coalesce(abs({flags['z_score']}) >= {d(limits.z)}, false)"
-    spread = stats["q3"] - stats["q1"]
-    if spread > limits.minimum_spread:
-        low, high = stats["q1"] - limits.fence * spread, stats["q3"] + limits.fence * spread
-        flags["iqr"] = f"coalesce({c} < {d(low)} OR {c} > {d(high)}, false)"
-    flags["below"] = f"coalesce({c} < {d(stats['low'])}, false)"
-    flags["above"] = f"coalesce({c} > {d(stats['high'])}, false)"
-    return flags
+
+def feature_bounds(features: Sequence[str], stats: Mapping[str, Mapping[str, float | None]], limits: Limits) -> list[tuple]:
+    """One row of bounds per feature; a missing bound is never passed, as where a feature has too few values to judge."""
+    rows = []
+    for place, c in enumerate(features):
+        s = stats[c]
+        judged, spread = s["n"] >= limits.minimum_values, (s["q3"] - s["q1"]) if s["q1"] is not None else 0.0
+        moved = judged and s["sd"] is not None and s["sd"] > 0
+        fenced = judged and spread > limits.minimum_spread
+        rows.append((
+            c, place, s["mean"] if moved else None, s["sd"] if moved else None, s["q1"] - limits.fence * spread if fenced else None, s["q3"] + limits.fence * spread if fenced else None,
+            s["low"] if judged else None, s["high"] if judged else None, is_rate(c), is_count(c),
+        ))
+    return rows
 
 
 def is_rate(name: str) -> bool:
@@ -79,40 +70,43 @@ def is_count(name: str) -> bool:
     return any(w in name.lower() for w in COUNT_WORDS)
 
 
-def invalid_flags(features: Sequence[str], limits: Limits) -> list[tuple[str, str, str]]:
-    """(feature, SQL flag, mark): rates outside their range, then negative counts."""
-    rates = [(c, f"coalesce({c} < 0 OR {c} > {limits.rate_upper}, false)", "INVALID_RATE") for c in features if is_rate(c)]
-    return rates + [(c, f"coalesce({c} < 0, false)", "INVALID_NEGATIVE") for c in features if is_count(c)]
+def detect(df: DataFrame, features: Sequence[str], keep: Sequence[str], limits: Limits = Limits()) -> DataFrame:
+    """Per row: outlier, percentile, missing and invalid counts, ratios, severity and a feature list.
+
+    ``keep`` names a row; a repeated name is an error. Cells are judged in long form against a table of one row per feature, and gathered by row again;
+    a row's cells come one after the other, so they combine before the shuffle. The plan does not grow with the features.
+    """
+    bounds = df.sparkSession.createDataFrame(feature_bounds(features, feature_statistics(df, features, limits), limits), _BOUNDS)
+    cells = unpivot_numeric(df, features, keep).join(F.broadcast(bounds), "feature")
+    v = F.col("value")
+    score = (v - F.col("mean")) / F.col("sd")
+    judged = cells.select(
+        *keep, "feature", "place", "value", score.alias("score"), flag(F.abs(score) >= limits.z).alias("z"),
+        flag((v < F.col("fence_low")) | (v > F.col("fence_high"))).alias("iqr"), flag(v < F.col("low")).alias("below"), flag(v > F.col("high")).alias("above"),
+        (F.col("rate") & flag((v < 0) | (v > limits.rate_upper))).alias("bad_rate"), (F.col("counted") & flag(v < 0)).alias("bad_count"),
+    )
+    shown = F.concat(F.col("feature"), F.lit("="), F.format_string("%.4f", F.round(v, 4)))
+
+    def listed(group: int, when: Column, text: Column) -> Column:
+        return F.when(when, F.struct(F.lit(group).alias("group"), "place", text.alias("text")))
 
+    marks = F.array_compact(F.array(
+        listed(0, F.col("z") | F.col("iqr"), F.when(F.col("z"), F.concat(shown, F.lit(" [Z="), F.format_string("%.2f", F.round("score", 2)), F.lit("]"))).otherwise(F.concat(shown, F.lit(" [IQR]")))),
+        listed(1, F.col("bad_rate"), F.concat(shown, F.lit(" [INVALID_RATE]"))),
+        listed(2, F.col("bad_count"), F.concat(shown, F.lit(" [INVALID_NEGATIVE]"))),
+    ))
 
-def detect(df: DataFrame, features: Sequence[str], keep: Sequence[str], limits: Limits = Limits()) -> DataFrame:
-    """Per row: outlier, percentile, missing and invalid counts, ratios, severity and a feature list."""
-    narrow = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in features])
-    stats = feature_statistics(narrow, features, limits)
-    flags = {c: feature_flags(c, stats[c], limits) for c in features}
-    invalid = invalid_flags(features, limits)
-
-    def shown(c: str) -> str:
-        return f"concat('{c}=', format_string('%.4f', round({c}, 4))"
-
-    listed = [
-        f"CASE WHEN {flags[c]['z']} THEN {shown(c)}, ' [Z=', format_string('%.2f', round({flags[c]['z_score']}, 2)), ']') "
-        f"WHEN {flags[c]['iqr']} THEN {shown(c)}, ' [IQR]') END"
-        for c in features
-    ] + [f"CASE WHEN {p} THEN {shown(c)}, ' [{mark}]') END" for c, p, mark in invalid]
-
-    def count(predicates: Sequence[str]) -> str:
-        return " + ".join(f"int({p})" for p in predicates) if predicates else "0"
-
-    counted = compute_once(narrow, keep, [
-        f"'z_outlier_count', {count([flags[c]['z'] for c in features])}",
-        f"'iqr_outlier_count', {count([flags[c]['iqr'] for c in features])}",
-        f"'below_low_percentile', {count([flags[c]['below'] for c in features])}",
-        f"'above_high_percentile', {count([flags[c]['above'] for c in features])}",
-        f"'missing_count', {count([f'{c} IS NULL' for c in features])}",
-        f"'invalid_count', {count([p for _, p, _ in invalid])}",
-        f"'outlier_features', concat_ws(' | ', {', '.join(listed)})",
-    ])
+    def count(*flags: Column) -> Column:
+        return sum((F.sum(f.cast("int")) for f in flags[1:]), F.sum(flags[0].cast("int"))).cast("int")
+
+    # The list of a row is no longer than its features.
+    gathered = judged.withColumn("marks", marks).groupBy(*keep).agg(
+        count(F.col("z")).alias("z_outlier_count"), count(F.col("iqr")).alias("iqr_outlier_count"), count(F.col("below")).alias("below_low_percentile"), count(F.col("above")).alias("above_high_percentile"),
+        count(F.col("value").isNull()).alias("missing_count"), count(F.col("bad_rate"), F.col("bad_count")).alias("invalid_count"),
+        F.array_sort(F.flatten(F.collect_list(F.when(F.size("marks") > 0, F.col("marks"))))).alias("_marks"), F.count(F.lit(1)).alias("_cells"),
+    )
+    one_row = F.when(F.col("_cells") == len(features), F.concat_ws(" | ", F.transform("_marks", lambda m: m["text"])))
+    counted = gathered.withColumn("outlier_features", one_row.otherwise(F.raise_error(F.lit(f"repeated key in {', '.join(keep)}")).cast("string"))).drop("_marks", "_cells")
     return summarise(counted, len(features), limits)
 
 

@@ -11,6 +11,7 @@ MODULES = (
     "headers",
     "validation",
     "preparation",
+    "sketches",
     "claims",
     "prescriber",
     "authorization",

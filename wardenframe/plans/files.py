@@ -8,13 +8,15 @@ from wardenframe.operators import validation as va
 from wardenframe.operators.contracts import CLAIMS, PHARMACY
 from wardenframe.operators.ingest import ingest_report
 from wardenframe.plans import pharmacy as pp
+from wardenframe.plans import prescriber as pr
 from wardenframe.plans import views
 from wardenframe.plans.knowledge import prescriber_documents
 from wardenframe.plans.registry import query
 from wardenframe.plans.validation import _ISSUES, CONTRACT, TAGGED_SQL, tagged
 from wardenframe.operators.records import pharmacy_document
 from wardenframe.session import materialise, scratch_path
-from wardenframe.sources import scans, sinks
+from wardenframe.sources import keyed_store, landing, scans, sinks
+from wardenframe.sources.json_arrays import read_json_arrays
 from wardenframe.sources.tables import read_table
 
 
@@ -46,6 +48,26 @@ def json_wrapped_scan(spark, sf_dir):
     return scans.read_json_records(spark, path, multi_line=False).select("id", "amount", "status")
 
 
+@query(
+    "json_array_scan", "A2",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS id, concat('{\"name\":\"', o_orderstatus, ' ', repeat(chr(92), 3), '\"}]\"}') AS note, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount FROM orders",
+)
+def json_array_scan(spark, sf_dir):
+    """All orders in the list of one document, one file, read by its byte ranges; their texts hold quotes and brackets."""
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.struct(F.concat("o_orderstatus", F.lit(' \\"}]')).alias("name")).alias("note"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amount"))
+    text = F.to_json(F.struct("id", "note", "amount"))
+    path = scratch_path(spark, "orders-array")
+    # One file is the point here: its lines are the document's head, the records and the document's end.
+    head, end = '{"source": {"made": [{"by": 1}]}, "records": [', "]}"
+    numbered = orders.select(text.alias("value"), F.col("id").alias("at"))
+    least = numbered.agg(F.min("at")).first()[0]
+    body = numbered.select(F.concat(F.when(F.col("at") == least, head).otherwise(","), "value").alias("value"), "at")
+    closed = body.unionByName(spark.createDataFrame([(end, "~")], "value string, at string"))
+    closed.coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    cells = F.from_json("record", "map<string,string>")
+    return read_json_arrays(spark, path).select(cells.alias("c")).select(*[F.element_at("c", n).alias(n) for n in ("id", "note", "amount")])
+
+
 @query("pruned_parquet_scan", "A3", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
 def pruned_parquet_scan(spark, sf_dir):
     """Two columns come out; the filter and the three columns it needs reach the scan."""
@@ -99,7 +121,7 @@ def landing_folder_report(spark, sf_dir):
     sinks.write_csv(claims.where("claim_status = 'PAID'"), f"{folder}/a")
     claims.where("claim_status = 'DENIED'").write.option("ignoreNullFields", False).json(f"{folder}/b")
     claims.where("claim_status NOT IN ('PAID', 'DENIED')").write.parquet(f"{folder}/c")
-    landed = scans.read_landing(spark, folder)
+    landed = landing.read_landing(spark, folder)
     return va.tag_errors(landed, CONTRACT).groupBy("format").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.size("errors") == 0).alias("valid"), F.count_if(F.size("errors") > 0).alias("invalid")
     )
@@ -135,7 +157,7 @@ def landing_ingest(spark, sf_dir):
     wrapped = part("wrapped").groupBy("claim_id").agg(F.collect_list(F.struct(*_INGESTED)).alias("records")).drop("claim_id")
     wrapped.write.option("ignoreNullFields", False).json(f"{folder}/wrapped")
     sinks.write_csv(read_table(spark, sf_dir, "events").select("event_id", F.col("value").alias("bounce"), F.lit("fr").alias("country")), f"{folder}/other")
-    report, _ = ingest_report(materialise(scans.read_landing(spark, folder), "landed"), (CLAIMS, PHARMACY), similarity="edit")
+    report, _ = ingest_report(materialise(landing.read_landing_cells(spark, folder), "landed"), (CLAIMS, PHARMACY), similarity="edit")
     shape = F.element_at(F.split("file", "/"), -2).alias("shape")
     same = ("matched_schema", "format", "missing_columns", "unexpected_columns")
     return report.groupBy(shape, *same).agg(F.sum("rows").alias("rows"), F.sum("valid").alias("valid"), F.sum("invalid").alias("invalid"), F.min("status").alias("status"))
@@ -152,12 +174,15 @@ def pharmacy_json_sink(spark, sf_dir):
     return back.select("record_id", "record_context.brand", "record_context.data_year", "detection_summary.final_severity", "sla.status")
 
 
-@query("prescriber_anomaly_sink", "A13")
+@query(
+    "prescriber_anomaly_sink", "A13",
+    pr.FUSED_SQL + f" SELECT CAST(npi AS VARCHAR) AS record_id, true AS anomaly_detected, CAST(round(CAST(CAST(isolation_score AS VARCHAR) AS DECIMAL(30,20)), 6) AS DOUBLE) AS ml_anomaly_score FROM pr_fused WHERE {pr.DETECTED_SQL}",
+)
 def prescriber_anomaly_sink(spark, sf_dir):
+    """The anomalous records alone, as they are read back from the sink."""
     path = scratch_path(spark, "prescriber-json")
     sinks.write_anomalies(prescriber_documents(spark, sf_dir), path)
-    back = spark.read.json(path)
-    return back.groupBy("anomaly_detected").agg(F.count(F.lit(1)).alias("records"))
+    return spark.read.json(path).select("record_id", "anomaly_detected", F.col("ml_anomaly_score").cast("double").alias("ml_anomaly_score"))
 
 
 @query(
@@ -172,3 +197,17 @@ def appended_anomaly_store(spark, sf_dir):
     sinks.append_new(found.where("severity IN ('HIGH', 'CRITICAL')"), path, ["record_id", "source_dataset"])
     sinks.append_new(found, path, ["record_id", "source_dataset"])
     return spark.read.parquet(path).select("record_id", "source_dataset", "severity")
+
+
+@query(
+    "appended_keyed_store", "A12 G8",
+    views.with_views("anomalies") + ", b AS (SELECT *, CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 0 ELSE 1 END AS batch FROM anomalies) "
+    "SELECT record_id, source_dataset, severity FROM (SELECT *, row_number() OVER (PARTITION BY record_id, source_dataset ORDER BY batch, severity) AS r FROM b) WHERE r = 1",
+)
+def appended_keyed_store(spark, sf_dir):
+    """The same through buckets, of which an append reads those that its keys may be in."""
+    found = views.anomalies(spark, sf_dir).select("record_id", "source_dataset", "severity")
+    path = scratch_path(spark, "keyed-store")
+    keyed_store.append_by_bucket(found.where("severity IN ('HIGH', 'CRITICAL')"), path, ["record_id", "source_dataset"])
+    keyed_store.append_by_bucket(found, path, ["record_id", "source_dataset"])
+    return keyed_store.read_store(spark, path).select("record_id", "source_dataset", "severity")

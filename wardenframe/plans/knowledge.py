@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardenframe.functions.columns import with_scalars
+from wardenframe.functions.tables import register_tables
 from wardenframe.operators import advice as ad
 from wardenframe.operators import authorization as au
 from wardenframe.operators import causes as ca
@@ -36,17 +37,27 @@ def _q(text: str) -> str:
 _WS = "concat(' ', chr(9), chr(10), chr(13), chr(11), chr(12), chr(28), chr(29), chr(30), chr(31), chr(133), chr(160), chr(5760), " + ", ".join(f"chr({c})" for c in range(0x2000, 0x200B)) + ", chr(8232), chr(8233), chr(8239), chr(8287), chr(12288))"
 
 
-@query(
-    "document_chunks", "O1",
+_CHUNKS_SQL = (
     f"WITH d AS (SELECT doc_id, source, lang, trim(text, {_WS}) AS t FROM documents), n AS (SELECT *, CAST(greatest(ceil((length(t) - 800) / 680.0), 0) AS INT) AS last FROM d WHERE length(t) > 0), "
     f"c AS (SELECT doc_id, source, lang, i, trim(substring(t, CAST(i * 680 + 1 AS BIGINT), 800), {_WS}) AS chunk FROM (SELECT *, unnest(generate_series(0, last)) AS i FROM n)) "
-    "SELECT doc_id, source, lang AS category, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_id, chunk AS text FROM c WHERE chunk <> ''",
+    "SELECT doc_id, source, lang AS category, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_id, chunk AS text FROM c WHERE chunk <> ''"
 )
+
+
+@query("document_chunks", "O1", _CHUNKS_SQL)
 def document_chunks(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("category"), "text")
     return rt.chunk_documents(docs.withColumnRenamed("text", "body"), "body", ["doc_id", "source", "category"])
 
 
+@query("document_chunks_by_sql", "O1", _CHUNKS_SQL)
+def document_chunks_by_sql(spark, sf_dir):
+    """The same as a table function that SQL joins laterally."""
+    register_tables(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    return spark.sql("SELECT d.doc_id, d.source, d.lang AS category, c.chunk_id, c.text FROM {docs} d, LATERAL chunks(d.text, 800, 120) c", docs=docs)
+
+
 @query(
     "knowledge_documents", "A11",
     "SELECT trim(text) AS content, CASE WHEN doc_id % 10 = 0 THEN 'general' ELSE lang END AS category, concat('doc', doc_id, '.md') AS source FROM documents WHERE trim(text) <> ''",

@@ -208,10 +208,10 @@ def prescriber_lifted_causes(spark, sf_dir):
     return df.select(*KEYS, F.array_join(named, ",").alias("causes"))
 
 
-@query(
-    "prescriber_verdict", "M4",
-    FUSED_SQL + f" SELECT {K}, (rule_anomaly OR isolation_anomaly OR cluster_anomaly OR behavior_anomaly OR data_quality_issue OR multi_source_anomaly OR fusion_score >= 0.5) AS anomaly_detected, fusion_score FROM pr_fused",
-)
+DETECTED_SQL = "(rule_anomaly OR isolation_anomaly OR cluster_anomaly OR behavior_anomaly OR data_quality_issue OR multi_source_anomaly OR fusion_score >= 0.5)"
+
+
+@query("prescriber_verdict", "M4", FUSED_SQL + f" SELECT {K}, {DETECTED_SQL} AS anomaly_detected, fusion_score FROM pr_fused")
 def prescriber_verdict(spark, sf_dir):
     df = fused(spark, sf_dir)
     with_causes = df.withColumn("causes", ca.lifted_causes(_flags(df)))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from wardenframe.functions.quantiles import cumulative_share
 from wardenframe.operators import evaluation as evl
+from wardenframe.operators import paging as pg
 from wardenframe.operators import serving as sv
 from wardenframe.operators import sla
 from wardenframe.plans import pharmacy, views
 from wardenframe.plans.registry import query
 from wardenframe.plans.validation import TAGGED_SQL, tagged
+from wardenframe.session import scratch_path
 from wardenframe.sources.tables import read_table
 
 A = views.with_views("anomalies")
@@ -39,6 +40,14 @@ def anomaly_page(spark, sf_dir):
     return sv.page(found, 2, 20).select("id", "record_id", "severity", "status", F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss").alias("detected"))
 
 
+@query("anomaly_page_by_ranges", "J3", A + f" SELECT id, record_id, severity, status, strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS detected FROM anomalies WHERE {_FILTER} ORDER BY detected_at DESC, id DESC OFFSET 20 LIMIT 20")
+def anomaly_page_by_ranges(spark, sf_dir):
+    """The same page from a list that is kept in order; only the ranges that hold it are read."""
+    path = scratch_path(spark, "anomaly-pages")
+    pg.write_pages(sv.filter_anomalies(views.anomalies(spark, sf_dir), "CLAIMS", "MEDIUM", "OPEN", "c1"), path, ranges=8)
+    return pg.read_page(spark, path, 2, 20).select("id", "record_id", "severity", "status", F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss").alias("detected"))
+
+
 @query("anomaly_page_total", "J3", A + f" SELECT count(*) AS total FROM anomalies WHERE {_FILTER}")
 def anomaly_page_total(spark, sf_dir):
     return sv.filter_anomalies(views.anomalies(spark, sf_dir), "CLAIMS", "MEDIUM", "OPEN", "c1").agg(F.count(F.lit(1)).alias("total"))

@@ -150,3 +150,17 @@ def anomaly_state_stream(spark, sf_dir):
     changes = _anomaly_stream(spark, sf_dir).select("record_id", "status", "severity", "id", F.col("detected_at").alias("at"))
     out = feeds.drain(feeds.current_state(changes), "state")
     return sv.latest_state(spark.read.parquet(out), "record_id", "at", "id").select("record_id", "status", "severity", "id")
+
+
+@query(
+    "anomaly_state_on_store", "R4 J11",
+    views.with_views("anomalies") + " SELECT record_id, status, severity, id FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY detected_at DESC, id DESC) AS r FROM anomalies) WHERE r = 1",
+)
+def anomaly_state_on_store(spark, sf_dir):
+    """Half of the changes are in the store when the stream of the others begins; store and moves hold the state of all."""
+    columns = ("record_id", "status", "severity", "id", F.col("detected_at").alias("at"))
+    stored = "CAST(id AS BIGINT) % 2 = 0"
+    store = views.anomalies(spark, sf_dir).where(stored).select(*columns).withColumn("at", F.col("at").cast("timestamp"))
+    changes = _anomaly_stream(spark, sf_dir).where(f"NOT {stored}").select(*columns)
+    moves = spark.read.parquet(feeds.drain(feeds.current_state(changes, store), "state"))
+    return sv.latest_state(store.unionByName(moves), "record_id", "at", "id").select("record_id", "status", "severity", "id")

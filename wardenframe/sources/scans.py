@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,56 +110,3 @@ def read_knowledge(spark: SparkSession, root: str, suffixes: Sequence[str] = ("m
     pattern = "*.{" + ",".join(suffixes) + "}"
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     return with_knowledge_metadata(files.select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("p")), F.col("p"), root)
-
-
-def _files(spark: SparkSession, folder: str, suffix: str) -> DataFrame | None:
-    """First line of each file of a kind; None where there is no such file."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}*")
-    lines = reader.text(folder).where("_metadata.file_block_start = 0").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("line"))
-    found = first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line")
-    return None if found.isEmpty() else found
-
-
-def _tagged_text(df: DataFrame, fmt: str) -> DataFrame:
-    text = [(F.to_json(c) if isinstance(df.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(c).cast("string")).alias(c) for c in df.columns if c != "_file"]
-    header = F.array(*[F.lit(c) for c in df.columns if c != "_file"]) if fmt == "csv" else F.lit(None).cast("array<string>")
-    return df.select(*text, F.col("_file").alias("file"), F.lit(fmt).alias("format"), header.alias("header"))
-
-
-def read_landing(spark: SparkSession, folder: str) -> DataFrame:
-    """Text records of a landing folder with mixed CSV, JSON and Parquet files, each with its file path.
-
-    Files of one kind may differ in columns and their order: CSV files are read in groups of equal headers,
-    Parquet schemas are merged, and of JSON documents the records under a wrapper key are taken, be it one
-    document per line or one per file. A column that a file lacks is NULL for its rows. ``header`` holds the
-    column names of a CSV file.
-    """
-    frames = []
-    csv = _files(spark, folder, "csv")
-    for group in csv.collect() if csv is not None else ():  # one per distinct header
-        frames.append(_tagged_text(read_csv_text(spark, group["files"], file_column="_file"), "csv"))
-    json = _files(spark, folder, "json")
-    if json is not None:
-        whole = F.get_json_object("line", "$").isNotNull()
-        kinds = json.groupBy(whole.alias("lines")).agg(F.flatten(F.collect_list("files")).alias("files")).collect()
-        for kind in kinds:  # documents by line, and documents by file
-            frames.append(_tagged_text(read_json_records(spark, kind["files"], multi_line=not kind["lines"], file_column="_file"), "json"))
-    try:
-        parquet = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet*").option("mergeSchema", True).parquet(folder)
-        frames.append(_tagged_text(parquet.withColumn("_file", F.col("_metadata.file_path")), "parquet"))
-    except AnalysisException as problem:
-        if problem.getCondition() != "UNABLE_TO_INFER_SCHEMA":  # no file of this kind
-            raise
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-LANDING_TAGS = ("file", "format", "header")
-
-
-def landing_columns(landed: DataFrame) -> DataFrame:
-    """``(file_id, pos, column_name)`` of each file: its header, or, in files without one, the columns that hold a value."""
-    columns = [c for c in landed.columns if c not in LANDING_TAGS]
-    held = landed.groupBy(F.col("file").alias("file_id")).agg(F.max("header").alias("header"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)])
-    filled = F.filter(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(c)) for i, c in enumerate(columns)]), lambda c: c.isNotNull())
-    return held.select("file_id", F.posexplode(F.coalesce("header", filled)).alias("pos", "column_name"))

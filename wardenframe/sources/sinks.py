@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wardenframe.operators import validation
@@ -23,14 +23,41 @@ def write_by_year(df: DataFrame, path: str, column: str = "data_year") -> None:
     df.write.option("compression", "zstd").partitionBy(column).parquet(path)
 
 
-def write_documents(df: DataFrame, path: str) -> None:
-    """Nested records as JSON lines, written in parallel."""
-    df.write.option("ignoreNullFields", False).json(path)
+class TornSinkError(RuntimeError):
+    """What is read back from a sink is not what was written to it."""
 
 
-def write_anomalies(df: DataFrame, path: str, flag: str = "anomaly_detected") -> None:
+def _document(df: DataFrame) -> DataFrame:
+    """Each record as the line that stands for it in a file."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def _measured() -> list[Column]:
+    """Lines and a sum of their hashes, the same in any order."""
+    return [F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.xxhash64("value").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("checksum")]
+
+
+def write_documents(df: DataFrame, path: str) -> dict[str, int]:
+    """Nested records as JSON lines, written in parallel; what the write counted, after it has been read back."""
+    seen = Observation()
+    _document(df).observe(seen, *_measured()).write.text(path)
+    written = {k: int(v) for k, v in seen.get.items()}
+    df.sparkSession.createDataFrame([(written["records"], str(written["checksum"]))], "records long, checksum string").coalesce(1).write.json(f"{path.rstrip('/')}.counts")
+    verify_documents(df.sparkSession, path)
+    return written
+
+
+def verify_documents(spark: SparkSession, path: str) -> None:
+    """Compare the lines of a document sink with the counts that its write has left beside it."""
+    noted = spark.read.schema("records long, checksum string").json(f"{path.rstrip('/')}.counts").first()
+    found = spark.read.text(path).agg(*_measured()).first()
+    if (found["records"], str(int(found["checksum"]))) != (noted["records"], noted["checksum"]):
+        raise TornSinkError(f"{path} holds {found['records']} records, {noted['records']} were written, or others than these")
+
+
+def write_anomalies(df: DataFrame, path: str, flag: str = "anomaly_detected") -> dict[str, int]:
     """Only the anomalous records."""
-    write_documents(df.where(F.col(flag)), path)
+    return write_documents(df.where(F.col(flag)), path)
 
 
 def write_validated(tagged: DataFrame, contract: Contract, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardenframe.operators.contracts import Contract
+from wardenframe.operators.serving import latest_state
 from wardenframe.operators.validation import _error, row_checks
 from wardenframe.session import scratch_path
 
@@ -214,6 +215,11 @@ class KeepNewest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getValueState("newest", STATE_SCHEMA)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """What a store that is there before the stream knows of the record."""
+        top = initialState.sort_values(["at", "id"]).iloc[-1]
+        self.newest.update((top["at"].to_pydatetime(), top["id"]))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = None
         for pdf in rows:
@@ -229,12 +235,17 @@ class KeepNewest(StatefulProcessor):
         pass
 
 
-def current_state(stream: DataFrame) -> DataFrame:
+def current_state(stream: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """Status changes ``(record_id, status, severity, id, at)`` to the moves of each record's state.
 
-    The newest row per record of the output is the current state (``serving.latest_state``).
+    The newest row per record of the output is the current state (``serving.latest_state``). A stream that is started on
+    an existing ``store`` of changes emits the moves beyond it; both together hold the current state.
     """
     stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
-    return stream.groupBy("record_id").transformWithStateInPandas(KeepNewest(), CURRENT_SCHEMA, "Append", "None")
+    known = None
+    if store is not None:
+        newest = latest_state(store.select("record_id", "id", "at"), "record_id", "at", "id")
+        known = newest.groupBy("record_id")
+    return stream.groupBy("record_id").transformWithStateInPandas(KeepNewest(), CURRENT_SCHEMA, "Append", "None", known)
