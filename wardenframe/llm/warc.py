@@ -5,12 +5,12 @@ down: a record's header block is parsed first, and the payload of a record that
 decoded nor, where its member tells its length, even decompressed.
 
 Every record is a gzip member of its own. Its extra field `sl` holds the member's compressed and plain
-length, so a reader can jump to the next one; archives without it are read by decompressing.
+length, so a reader can jump to the next one. Archives without it, with several records in a member or compressed
+as a whole are read by decompressing.
 """
 
 from __future__ import annotations
 
-
 import struct
 import uuid
 import zlib
@@ -34,11 +34,15 @@ COLUMNS = {
     "refers_to": "WARC-Refers-To",
     "payload_bytes": "X-Payload-Bytes",
     "content_type": "Content-Type",
+    "record_date": "WARC-Date",
+    "profile": "WARC-Profile",
 }
 SCHEMA = ", ".join(f"{c} string" for c in COLUMNS) + ", payload binary"
 #: Payloads from this size on are stored once.
 LEAST_BYTES = 1000
 ID_PREFIX = "<urn:page:"
+#: Fixed value: profile of a revisit record whose payload is that of the record it refers to.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Rows of one batch, at most, and bytes of payload after which a batch is handed on.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -66,83 +70,137 @@ def gzip_member(plain: bytes) -> bytes:
 
 
 def _parse_headers(block: bytes) -> dict[str, str]:
-    lines = block.decode("utf-8", "replace").split("\r\n")
-    return {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines[1:] if x)}
-
+    """Headers by lower-case name; a line that begins with white space goes on with the one before. Of repeated names the last counts."""
+    found: dict[str, str] = {}
+    name = None
+    for line in block.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            found[name] = f"{found[name]} {line.strip()}".strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
+
+
+class _Plain:
+    """An archive that is not compressed."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.size, self.buffer = stream, stream.size(), bytearray()
+
+    def fill(self, count: int) -> bool:
+        """Have `count` bytes in the buffer; false where the archive ends before."""
+        while len(self.buffer) < count:
+            data = self.stream.read(max(1 << 14, min(count - len(self.buffer), 1 << 20)))
+            if not data:
+                return False
+            self.buffer += data
+        return True
+
+    def skip(self, count: int, record: int) -> None:
+        """Leave out `count` bytes; with its line ends the record that they are of has `record`."""
+        held = min(count, len(self.buffer))
+        del self.buffer[:held]
+        if count > held:
+            if self.stream.tell() + count - held > self.size:
+                raise ValueError("archive ends inside a record")
+            self.stream.seek(self.stream.tell() + count - held)
 
-class _Member:
-    """The gzip member at the reader's position, decompressed only as far as asked."""
 
-    def __init__(self, stream, size: int) -> None:
-        self.stream, self.start, self.plain, self.rest = stream, stream.tell(), b"", b""
-        self.unpack = zlib.decompressobj(31)
-        self.length = None
-        head = stream.read(24)
-        if len(head) == 24 and head[3] & 4 and head[12:14] == b"sl":
-            self.length = struct.unpack("<I", head[16:20])[0]
-        self.feed(head)
+class _Packed(_Plain):
+    """An archive of gzip members, of which each holds one record, several, or a part of one."""
 
-    def feed(self, data: bytes) -> None:
-        self.plain += self.unpack.decompress(data)
-        self.rest = self.unpack.unused_data
+    def __init__(self, stream) -> None:
+        super().__init__(stream)
+        self.unpack, self.after, self.plain = None, None, None
 
-    def until(self, done) -> None:
-        while not done(self.plain) and not self.unpack.eof:
-            data = self.stream.read(1 << 14 if not self.plain else 1 << 18)
+    def fill(self, count: int) -> bool:
+        while len(self.buffer) < count:
+            if self.unpack is None or self.unpack.eof:
+                if self.unpack is not None:
+                    self.stream.seek(self.stream.tell() - len(self.unpack.unused_data))
+                if not self._open():
+                    return False
+                continue
+            data = self.stream.read(1 << 14 if not self.buffer else 1 << 18)
             if not data:
-                raise ValueError("archive ends inside a record")
-            self.feed(data)
-
-    def skip(self) -> None:
-        """Go to the next member: by the stored length, else by decompressing the rest."""
-        if self.length and not self.unpack.eof:
-            self.stream.seek(self.start + self.length)
+                raise ValueError("archive ends inside a compressed record")
+            self.buffer += self.unpack.decompress(data)
+        return True
+
+    def _open(self) -> bool:
+        """Begin the member at the stream's position, if there is one."""
+        start, fresh = self.stream.tell(), not self.buffer
+        head = self.stream.read(24)
+        if not head.strip(b"\0"):
+            self.unpack = None
+            return False
+        self.unpack, self.after = zlib.decompressobj(31), None
+        if fresh and len(head) == 24 and head[3] & 4 and head[12:14] == b"sl":
+            length, self.plain = struct.unpack("<II", head[16:24])
+            self.after = start + length
+        self.buffer += self.unpack.decompress(head)
+        return True
+
+    def skip(self, count: int, record: int) -> None:
+        # A member that holds just this record, and tells its length, is jumped over.
+        if self.after is not None and self.plain == record & 0xFFFFFFFF and len(self.buffer) < count:
+            if self.after > self.size:
+                raise ValueError("archive ends inside a compressed record")
+            self.buffer.clear()
+            self.stream.seek(self.after)
+            self.unpack = self.after = None
             return
-        while not self.unpack.eof:
-            self.plain = b""
-            self.feed(self.stream.read(1 << 18))
-        self.stream.seek(self.stream.tell() - len(self.rest))
+        self.after = None
+        while count:
+            if not self.fill(1):
+                raise ValueError("archive ends inside a record")
+            held = min(count, len(self.buffer))
+            del self.buffer[:held]
+            count -= held
 
 
 def read_records(stream, wanted, payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers with lower-case names, payload) of the records whose headers `wanted` accepts; payload None if not asked for."""
-    size = stream.size()
+    """(headers with lower-case names, payload) of the records whose headers `wanted` accepts; payload None if not asked for.
+
+    Archives may be compressed as a whole, by record or not at all. One that ends inside a record, and a record that
+    does not tell its length, are errors.
+    """
     packed = stream.read(2) == b"\x1f\x8b"
     stream.seek(0)
-    while stream.tell() < size:
-        if packed:
-            member = _Member(stream, size)
-            member.until(lambda plain: b"\r\n\r\n" in plain)
-            end = member.plain.index(b"\r\n\r\n")
-            headers = _parse_headers(member.plain[:end])
-            length = int(headers["content-length"])
-            payload = None
-            if wanted(headers):
-                if payloads:
-                    member.until(lambda plain: len(plain) >= end + 4 + length)
-                    payload = member.plain[end + 4: end + 4 + length]
-                yield headers, payload
-            member.skip()
-            continue
-        head = b""
-        start = stream.tell()
-        while b"\r\n\r\n" not in head:
-            more = stream.read(1 << 14)
-            if not more:
-                if head.strip():
-                    raise ValueError("archive ends inside a record")
-                return
-            head += more
-        end = head.index(b"\r\n\r\n")
-        headers = _parse_headers(head[:end])
+    source = (_Packed if packed else _Plain)(stream)
+    while True:
+        while source.fill(1) and source.buffer[:1] in (b"\r", b"\n"):  # what is left of the line ends after a record
+            del source.buffer[:1]
+            source.after = None
+        if not source.fill(1):
+            return
+        seen = 0
+        while (end := source.buffer.find(b"\r\n\r\n", max(seen - 3, 0))) < 0:
+            seen = len(source.buffer)
+            if not source.fill(seen + 1):
+                if not source.buffer.strip(b"\0\r\n "):
+                    return
+                raise ValueError("archive ends inside the headers of a record")
+        headers = _parse_headers(bytes(source.buffer[:end]))
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError(f"record {headers.get('warc-record-id')} does not tell its length")
         length = int(headers["content-length"])
         if wanted(headers):
             payload = None
             if payloads:
-                stream.seek(start + end + 4)
-                payload = stream.read(length)
+                if not source.fill(end + 4 + length):
+                    raise ValueError("archive ends inside a record")
+                payload = bytes(source.buffer[end + 4: end + 4 + length])
             yield headers, payload
-        stream.seek(start + end + 4 + length + 4)
+        source.skip(end + 4 + length, end + 4 + length + 4)
+
+
+def http_body(block: bytes) -> bytes:
+    """What follows the headers of an HTTP message, as it was sent."""
+    head, ends, body = block.partition(b"\r\n\r\n")
+    return body if ends and head.startswith(b"HTTP/") else block
 
 
 @dataclass
@@ -186,6 +244,7 @@ class WarcReader(DataSourceReader):
         names, rows, held = [n.lower() for n in COLUMNS.values()], [], 0
         with system.open_input_file(partition.path) as stream:
             for headers, payload in read_records(stream, self.wanted, self.payloads):
+                payload = http_body(payload) if payload and headers.get("content-type", "").startswith("application/http") else payload
                 rows.append((*[headers.get(n) for n in names], payload))
                 held += len(payload or b"")
                 if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
@@ -265,13 +324,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def archive_records(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", least: int = LEAST_BYTES) -> DataFrame:
+def archive_records(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", least: int = LEAST_BYTES, date: str | None = None) -> DataFrame:
     """Records of the columns in `SCHEMA`, one per page: a payload of `least` bytes or more is held by one page.
 
     Of equal payloads the page with the largest key holds it as `response`, the others are `revisit` records
     without payload that refer to it. Null html is an empty payload; a page with a null key is a `response`
-    of its own; rows that repeat the largest key are responses all. No other column is read.
+    of its own; rows that repeat the largest key are responses all. No other column is read. `date` is that of all
+    records, as `2024-01-31T12:00:00Z`; without it, the time of writing.
     """
+    written = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(source), F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumns({"size": F.length("body"), "digest": F.sha1("body")})
     large = (F.col("size") >= least) & F.col("id").isNotNull()
@@ -285,7 +346,8 @@ def archive_records(pages: DataFrame, key: str = "page_id", url: str = "url", so
     return joined.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), name(F.col("id")).alias("record_id"), F.col("url").alias("target_uri"),
         F.concat(F.lit("sha1:"), F.col("digest")).alias("payload_digest"), F.when(revisit, name(F.col("holder"))).alias("refers_to"),
-        F.col("size").cast("string").alias("payload_bytes"), F.lit("text/html; charset=utf-8").alias("content_type"), F.when(~revisit, F.col("body")).alias("payload"),
+        F.col("size").cast("string").alias("payload_bytes"), F.lit("text/html; charset=utf-8").alias("content_type"),
+        written.alias("record_date"), F.when(revisit, SAME_PAYLOAD).alias("profile"), F.when(~revisit, F.col("body")).alias("payload"),
     )
 
 
