@@ -57,8 +57,8 @@ def test_skipped_records_are_not_decompressed(monkeypatch):
     archive = b"".join(map(warc.gzip_member, plain))
     assert gzip.decompress(archive) == b"".join(plain)
     longest = []
-    grown = warc._Member.feed
-    monkeypatch.setattr(warc._Member, "feed", lambda self, data: (grown(self, data), longest.append(len(self.plain)))[0])
+    grown = warc._Packed.fill
+    monkeypatch.setattr(warc._Packed, "fill", lambda self, count: (grown(self, count), longest.append(len(self.buffer)))[0])
     found = list(warc.read_records(pa.BufferReader(archive), lambda h: h["warc-type"] == "revisit", payloads=False))
     assert [h["warc-type"] for h, _ in found] == ["revisit"]
 
@@ -71,6 +71,57 @@ def test_foreign_archives(pack):
     assert [(h["warc-record-id"], len(p)) for h, p in found] == [("0", 0), ("2", 100_000)]
 
 
+def _compressed(data):
+    import gzip
+
+    return gzip.compress(data)
+
+
+def _records(count=5, size=40_000):
+    return [warc.record_bytes({"WARC-Type": "response" if k % 2 else "metadata", "WARC-Record-ID": str(k)}, bytes([k]) * (size * (k % 3) + k)) for k in range(count)]
+
+
+@pytest.mark.parametrize("shape", ["plain", "whole", "pairs", "split", "padded"])
+def test_members_need_not_be_records(shape):
+    records = _records()
+    joined = b"".join(records)
+    archive = {
+        "plain": lambda: joined, "whole": lambda: _compressed(joined), "pairs": lambda: b"".join(_compressed(b"".join(records[k:k + 2])) for k in range(0, 5, 2)),
+        "split": lambda: b"".join(_compressed(joined[k:k + 30_000]) for k in range(0, len(joined), 30_000)), "padded": lambda: warc.gzip_member(b"".join(records[:2])) + b"".join(map(warc.gzip_member, records[2:])),
+    }[shape]()
+    for payloads in (True, False):
+        for wanted in (lambda h: True, lambda h: h["warc-type"] == "response", lambda h: False):
+            found = list(warc.read_records(pa.BufferReader(archive), wanted, payloads))
+            want = [(str(k), bytes([k]) * (40_000 * (k % 3) + k) if payloads else None) for k in range(5) if wanted({"warc-type": "response" if k % 2 else "metadata"})]
+            assert [(h["warc-record-id"], p) for h, p in found] == want
+
+
+@pytest.mark.parametrize("pack", [lambda x: x, _compressed, warc.gzip_member])
+@pytest.mark.parametrize("payloads", [True, False])
+def test_truncated_archives_raise(pack, payloads):
+    records = [pack(r) for r in _records(3)]
+    whole = b"".join(records)
+    for cut in (len(whole) - 30_000 if pack(b"") == b"" else len(whole) - 20, len(records[0]) + 10, len(whole) - len(records[2]) + 40):
+        with pytest.raises(ValueError, match="archive ends inside"):
+            list(warc.read_records(pa.BufferReader(whole[:cut]), lambda h: True, payloads))
+
+
+def test_odd_headers():
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\r\n  b c\r\n\td\r\nno colon\r\ncontent-length:  3 \r\n\r\nabc\r\n\r\n"
+    (headers, payload), = warc.read_records(pa.BufferReader(record), lambda h: True)
+    assert headers["warc-target-uri"] == "http://a/ b c d" and payload == b"abc"
+    with pytest.raises(ValueError, match="does not tell its length"):
+        list(warc.read_records(pa.BufferReader(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n"), lambda h: True))
+    assert list(warc.read_records(pa.BufferReader(b""), lambda h: True)) == [] == list(warc.read_records(pa.BufferReader(b"\r\n\r\n"), lambda h: True))
+    assert warc.http_body(b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody") == b"body" and warc.http_body(b"no message\r\n\r\nx") == b"no message\r\n\r\nx"
+
+
+def test_records_have_a_date_and_revisits_a_profile(spark):
+    records = warc.archive_records(pages(spark, ROWS), date="2024-01-31T12:00:00Z").collect()
+    assert {r.record_date for r in records} == {"2024-01-31T12:00:00Z"}
+    assert all((r.profile == warc.SAME_PAYLOAD) == (r.record_type == "revisit") for r in records)
+
+
 def test_archives_of_nothing(spark):
     path = fresh_path(spark, "test-warc")
     warc.write_archives(warc.archive_records(pages(spark, [])), path)
@@ -122,6 +173,15 @@ def test_extraction_rows(spark):
     assert html_text.extract_text(pages(spark, [])).collect() == []
 
 
+def test_deep_pages_take_no_longer():
+    import time
+
+    began = time.time()
+    blocks = html_text.page_blocks("<article>" + "<div>x" * 100_000 + "</p>" * 1000 + "</article>tail")
+    assert len(blocks) == 100_001 and blocks[0].in_article and blocks[99_999].in_article and not blocks[-1].in_article
+    assert time.time() - began < 5
+
+
 def test_tree_learns_its_table():
     for page in html_text.labelled_pages():
         blocks = html_text.page_blocks(page)

@@ -61,11 +61,16 @@ class Block:
 
 @dataclass
 class _Open:
-    tag: str
+    """An open element, with what holds for it and the elements around it."""
+
+    tag: str = ""
     article: bool = False
     aside: bool = False
     header: bool = False
+    #: A header between this element and the article around it.
+    title: bool = False
     comment: bool = False
+    heading: bool = False
     marked: bool = False
 
 
@@ -73,6 +78,7 @@ class _Open:
 class _Page:
     blocks: list[Block] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
+    held: Counter[str] = field(default_factory=Counter)
     pieces: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     in_link: bool = False
@@ -81,14 +87,11 @@ class _Page:
     def end_block(self) -> None:
         text = " ".join(html.unescape("".join(self.pieces)).split())
         if text:
-            inner = self.stack
-            article = max((k for k, o in enumerate(inner) if o.article), default=-1)
-            header = any(o.header for o in inner)
+            here = self.stack[-1] if self.stack else _Open()
             # A header inside the article holds its title; one around or outside it belongs to the page.
-            header = header and not any(o.header for o in inner[article + 1:] if article >= 0)
             self.blocks.append(Block(
-                text, text.count(" ") + 1, len(html.unescape("".join(self.linked)).split()), article >= 0,
-                any(o.aside for o in inner), header, any(o.comment for o in inner), any(o.tag in _HEADING for o in inner), self.marked or any(o.marked for o in inner),
+                text, text.count(" ") + 1, len(html.unescape("".join(self.linked)).split()), here.article,
+                here.aside, here.header and not here.title, here.comment, here.heading, self.marked or here.marked,
             ))
         self.pieces, self.linked = [], []
 
@@ -99,13 +102,22 @@ class _Page:
         hints = {w for n in names if tag not in ("body", "html") and not n.startswith(("with-", "has-", "no-", "is-")) for w in _HINT.findall(n)}
         comment = bool(hints & _COMMENT_HINTS)
         article = tag in _ARTICLE_TAGS and not comment
-        self.stack.append(_Open(tag, article, not article and (tag in _ASIDE_TAGS or bool(hints & _ASIDE_HINTS)), tag == "header" or "header" in hints, comment, "data-main" in attributes))
+        around = self.stack[-1] if self.stack else _Open()
+        header = tag == "header" or "header" in hints
+        self.stack.append(_Open(
+            tag, around.article or article, around.aside or not article and (tag in _ASIDE_TAGS or bool(hints & _ASIDE_HINTS)), around.header or header,
+            not article and (around.title or header and around.article), around.comment or comment, around.heading or tag in _HEADING, around.marked or "data-main" in attributes,
+        ))
+        self.held[tag] += 1
+
+    def end(self) -> None:
+        self.held[self.stack.pop().tag] -= 1
 
     def close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                return
+        if self.held[tag]:
+            while self.stack[-1].tag != tag:
+                self.end()
+            self.end()
 
 
 #: Opening the first ends an open one of the second kind that nothing else has interrupted.
@@ -206,7 +218,7 @@ def page_blocks(source: str) -> list[Block]:
                 page.close(tag)
             elif tag != "hr":
                 while page.stack and page.stack[-1].tag in (_ENDS_ITSELF.get(tag) or ("p",)):
-                    page.stack.pop()
+                    page.end()
                 page.open(tag, attributes)
         elif tag == "br":
             page.pieces.append(" ")
