@@ -65,6 +65,43 @@ def test_mixture_beats_every_other_proportion():
     assert all(value(found) >= value(np.array([w, 0, 1 - w])) - 0.05 for w in np.linspace(0.01, 0.99, 99))
 
 
+@pytest.mark.parametrize("languages", [1, 3, 5, 8])
+def test_as_many_languages_as_a_text_holds(languages):
+    rng = np.random.default_rng(languages)
+    likelihood = rng.dirichlet(np.full(language.BINS, 0.05), 40) + 1e-7
+    likelihood /= likelihood.sum(axis=1, keepdims=True)
+    inside = rng.choice(40, languages, replace=False)
+    counts = sum(rng.multinomial(600, likelihood[k]) for k in inside).astype(np.float32)[None]
+    found = language.mixtures(counts, likelihood)[0]
+    assert set(np.flatnonzero(found > 0)) == set(inside)
+    assert abs(found[inside] - 1 / languages).max() < 0.05
+
+
+def test_chosen_sets_are_the_best_of_all():
+    """Every set of six languages, by brute force: none has a better penalised likelihood."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(12)
+    likelihood = rng.dirichlet(np.full(language.BINS, 0.2), 6) + 1e-6
+    likelihood /= likelihood.sum(axis=1, keepdims=True)
+    rows = []
+    for _ in range(25):
+        inside = rng.choice(6, rng.integers(1, 5), replace=False)
+        rows.append(sum(rng.multinomial(rng.integers(10, 400), likelihood[k]) for k in inside))
+    counts = np.array(rows, np.float32)
+    found = language.mixtures(counts, likelihood, rounds=60)
+    for row, weights in zip(counts.astype(float), found):
+        unit = language.PRICE * np.log(row.sum() + 1) / 2
+        best = -np.inf
+        for size in range(1, 7):
+            for chosen in combinations(range(6), size):
+                part, w = likelihood[list(chosen)], np.full(size, 1 / size)
+                for _ in range(300):
+                    w = w * ((row / (w @ part)) @ part.T) / row.sum()
+                best = max(best, row @ np.log(w @ part) - size * unit)
+        assert row @ np.log(weights @ likelihood) - (weights > 0).sum() * unit >= best - 0.05
+
+
 def test_quality_of_held_out_texts(spark):
     rng = random.Random(4)
     rows, labels = [], []

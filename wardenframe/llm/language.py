@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from wardenframe.llm.common import mix64, saved, table, text_remainder, text_steps
 
-#: Bins of hashed trigrams, rows worked on together, and rounds of expectation-maximisation.
+#: Bins of hashed trigrams, rows worked on together, and rounds of expectation-maximisation that order the languages.
 BINS, ROWS, ROUNDS = 4096, 256, 12
+#: Proportions are settled when no round moves one by more.
+STILL, MOST_ROUNDS = 1e-4, 500
 #: Added to every count of a language, and the price of a further language in units of log(trigrams)/2.
 SMOOTHING, PRICE = 0.5, 6.0
-#: Largest set of languages considered for one text.
-MOST_LANGUAGES = 4
 UNKNOWN = "und"
 
 
@@ -84,42 +84,56 @@ def learn_languages(df: DataFrame, text: str = "text", lang: str = "lang") -> tu
 
 
 def mixtures(counts: np.ndarray, likelihood: np.ndarray, rounds: int = ROUNDS, price: float = PRICE) -> np.ndarray:
-    """Proportions (rows x languages) of the set of languages with the best penalised likelihood; 0 outside the set."""
+    """Proportions (rows x languages) of the set of languages with the best penalised likelihood; 0 outside the set.
+
+    Sets grow along the order of the proportions in the mixture of all languages, as long as any larger set can win: no
+    mixture has a higher likelihood than the bound that the languages' multipliers in expectation-maximisation give.
+    """
     rows, languages = len(counts), len(likelihood)
     likelihood = likelihood.astype(np.float32)
     total = np.maximum(counts.sum(axis=1, keepdims=True), 1).astype(np.float32)
 
-    def settle(weights: np.ndarray, times: int) -> np.ndarray:
-        for _ in range(times):
-            mixed = np.maximum(weights @ likelihood, 1e-30)
-            weights = weights * ((counts / mixed) @ likelihood.T) / total
-            weights /= np.maximum(weights.sum(axis=1, keepdims=True), 1e-30)
+    def multipliers(weights: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+        return ((counts[at] / np.maximum(weights @ likelihood, 1e-30)) @ likelihood.T) / total[at]
+
+    def settle(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rounds until every row stands still."""
+        moving = np.arange(len(weights))
+        for _ in range(MOST_ROUNDS):
+            old = weights[moving]
+            new = old * multipliers(old, at[moving])
+            new /= np.maximum(new.sum(axis=1, keepdims=True), 1e-30)
+            weights[moving] = new
+            moving = moving[np.abs(new - old).max(axis=1) > STILL]
+            if not len(moving):
+                break
         return weights
 
-    def gain(weights: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", counts, np.log(np.maximum(weights @ likelihood, 1e-30)))
+    def gain(weights: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+        return np.einsum("ij,ij->i", counts[at], np.log(np.maximum(weights @ likelihood, 1e-30)))
 
-    weights = settle(np.full((rows, languages), 1 / languages, np.float32), rounds)
+    every = slice(None)
+    weights = np.full((rows, languages), 1 / languages, np.float32)
+    for _ in range(rounds):
+        weights *= multipliers(weights, every)
+        weights /= np.maximum(weights.sum(axis=1, keepdims=True), 1e-30)
     order = np.argsort(-weights, axis=1, kind="stable")
+    # The likelihood is concave in the proportions: it exceeds its value here by total * (greatest multiplier - 1) at most.
+    most = gain(weights, every) + total[:, 0] * np.maximum(multipliers(weights, every).max(axis=1) - 1, 0)
     # Among sets of one language the likelihood alone decides.
     single = counts @ np.log(likelihood).T
     best = np.zeros_like(weights)
     best[np.arange(rows), single.argmax(axis=1)] = 1
     unit = price * np.log(total[:, 0] + 1) / 2
     value = single.max(axis=1) - unit
-    for size in range(2, min(languages, MOST_LANGUAGES) + 1):
-        chosen = np.zeros_like(weights)
-        np.put_along_axis(chosen, order[:, :size], np.take_along_axis(weights, order[:, :size], axis=1) + 1e-6, axis=1)
-        # Only rows whose next language holds a share worth its price can gain.
-        open_ = np.flatnonzero(np.take_along_axis(weights, order[:, size - 1: size], axis=1)[:, 0] > 0.01)
+    for size in range(2, languages + 1):
+        open_ = np.flatnonzero(most - size * unit > value)
         if not len(open_):
             break
-        part = chosen[open_] / chosen[open_].sum(axis=1, keepdims=True)
-        kept_counts, kept_total = counts, total
-        counts, total = counts[open_], total[open_]
-        part = settle(part, max(rounds // 3, 1))
-        found = gain(part) - size * unit[open_]
-        counts, total = kept_counts, kept_total
+        chosen = np.zeros((len(open_), languages), np.float32)
+        np.put_along_axis(chosen, order[open_, :size], np.take_along_axis(weights[open_], order[open_, :size], axis=1) + 1e-6, axis=1)
+        part = settle(chosen / chosen.sum(axis=1, keepdims=True), open_)
+        found = gain(part, open_) - size * unit[open_]
         better = found > value[open_]
         value[open_[better]] = found[better]
         best[open_[better]] = part[better]
