@@ -85,3 +85,18 @@ def test_detection_needs_enough_matches(spark):
 def test_read_contracts(tmp_path):
     (tmp_path / "labs_schema.json").write_text('{"required_columns": ["a"], "column_aliases": {"a": ["b"]}}')
     assert ct.vocabulary(ct.read_contracts(str(tmp_path)).values()) == [("labs", "a", "a"), ("labs", "b", "a")]
+
+
+def test_pairs_that_cannot_match_are_left_out_before_python(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    words = ["claim", "member", "provider", "date", "amount", "id", "number", "status", "code", "total", "npi", "supply"]
+    names = ["_".join(rng.sample(words, rng.randint(1, 3))) for _ in range(60)] + ["", "a", "x9", "claim_idd", "provder_id"]
+    pairs = [(a, b) for a in names for b in names[:40]]
+    df = spark.createDataFrame(pairs, "a string, b string").withColumns({"ca": ct._character_counts(F.col("a")), "cb": ct._character_counts(F.col("b"))})
+    left = {(r.a, r.b) for r in df.where(ct.could_match(F.col("a"), F.col("ca"), F.col("b"), F.col("cb"), 0.82)).collect()}
+    similar = {(a, b) for a, b in pairs if difflib.SequenceMatcher(None, a, b).ratio() >= 0.82}
+    assert similar <= left and len(left) < len(set(pairs)) / 4

@@ -197,6 +197,22 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+#: Characters of a normalised name.
+_NAME_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789_"
+
+
+def _character_counts(name: Column) -> Column:
+    return F.transform(F.array(*[F.lit(c) for c in _NAME_CHARACTERS]), lambda c: F.length(name) - F.length(F.replace(name, c, F.lit(""))))
+
+
+def could_match(name: Column, counts: Column, known: Column, known_counts: Column, threshold: float) -> Column:
+    """Whether the share of matching blocks can reach the threshold: it can't exceed that of the characters in common."""
+    both = F.length(name) + F.length(known)
+    common = F.aggregate(F.zip_with(counts, known_counts, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    needed = threshold * both - 1e-9
+    return (2 * F.least(F.length(name), F.length(known)) >= needed) & (2 * common >= needed)
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
@@ -207,10 +223,13 @@ def fuzzy_candidates(norms: DataFrame, contracts: Sequence[Contract], threshold:
     Works on distinct names only, against the fixed vocabulary of the contracts. Of equal scores the
     later known name in the alphabet comes first.
     """
-    entries = [{"schema": s, "known": k, "canonical": c} for s, k, c in vocabulary(contracts)]
+    entries = [{"schema": s, "known": k, "canonical": c, "counts": [k.count(x) for x in _NAME_CHARACTERS]} for s, k, c in vocabulary(contracts)]
     # One parsed constant instead of a tree of hundreds of literals, which the optimizer would walk over and over.
-    known = F.from_json(F.lit(json.dumps(entries)), "array<struct<schema:string,known:string,canonical:string>>")
-    pairs = norms.select("norm", F.explode(known).alias("v")).select("norm", "v.*")
+    known = F.from_json(F.lit(json.dumps(entries)), "array<struct<schema:string,known:string,canonical:string,counts:array<int>>>")
+    pairs = norms.select("norm", _character_counts(F.col("norm")).alias("own"), F.explode(known).alias("v")).select("norm", "own", "v.*")
+    if similarity == "sequence":
+        # Python sees only pairs that can reach the threshold.
+        pairs = pairs.where(could_match(F.col("norm"), F.col("own"), F.col("known"), F.col("counts"), threshold))
     score = sequence_ratio(F.col("norm"), F.col("known")) if similarity == "sequence" else edit_similarity(F.col("norm"), F.col("known"))
     scored = pairs.select("norm", "schema", "canonical", "known", score.alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("norm", "schema", "canonical").agg(F.max(F.struct("score", "known")).alias("b"))

@@ -68,7 +68,7 @@ def authorization_document(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def pharmacy_document(df: DataFrame) -> DataFrame:
-    """Pharmacy document: detection, evidence by kind, context, SLA and explanation."""
+    """Pharmacy document: detection, evidence by kind, context, SLA and explanation. The model is that of the column ``ml_model``, where there is one."""
     finite = {c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)) for c in (
         "claim_volume_change", "fill_volume_change", "days_supply_change", "drug_cost_change", "beneficiary_change", "cost_per_claim_change"
     )}
@@ -77,7 +77,7 @@ def pharmacy_document(df: DataFrame) -> DataFrame:
         F.col("npi").cast("string").alias("record_id"),
         F.struct("final_anomaly", "final_severity", "final_risk_score", "rule_anomaly", "ml_anomaly", "behavior_anomaly").alias("detection_summary"),
         F.struct("rule_anomaly", F.col("rule_severity").alias("severity"), F.col("rule_reason").alias("reason")).alias("rule_based_evidence"),
-        F.struct(F.lit("Isolation Forest").alias("model"), F.col("ml_anomaly").alias("is_anomaly"), F.col("ml_anomaly_score").alias("anomaly_score")).alias("ml_based_evidence"),
+        F.struct((F.col("ml_model") if "ml_model" in df.columns else F.lit("Isolation Forest")).alias("model"), F.col("ml_anomaly").alias("is_anomaly"), F.col("ml_anomaly_score").alias("anomaly_score")).alias("ml_based_evidence"),
         F.struct(*[v.alias(c) for c, v in finite.items()]).alias("behavior_based_evidence"),
         F.struct("data_year", "npi", "brand", "tot_clms", "tot_30day_fills", "tot_day_suply", "tot_drug_cst", "tot_benes").alias("record_context"),
         F.struct(

@@ -326,6 +326,33 @@ def pharmacy_documents_json(spark, sf_dir):
     return rc.pharmacy_document(df).select("record_id", F.to_json(F.struct("*")).alias("document"))
 
 
+@query(
+    "pharmacy_document_fields", "N5 A10",
+    pp.FULL_SQL + " SELECT 'pharmacy' AS dataset_type, CAST(npi AS VARCHAR) AS record_id, final_anomaly, final_severity, final_risk_score, rule_anomaly, rule_severity, rule_reason, ml_anomaly, behavior_anomaly, "
+    "cost_per_claim_change, brand, CAST(data_year AS BIGINT) AS data_year, sla_status, sla_breach_probability, quality_risk, detection_source, explanation FROM ph_sla WHERE final_anomaly OR sla_status IN ('MAYBE', 'NO')",
+)
+def pharmacy_document_fields(spark, sf_dir):
+    """Fields of every part of the nested document."""
+    docs = rc.pharmacy_document(pp.with_sla(spark, sf_dir).where(F.col("final_anomaly") | F.col("sla_status").isin("MAYBE", "NO")))
+    return docs.select(
+        "dataset_type", "record_id", "detection_summary.final_anomaly", "detection_summary.final_severity", "detection_summary.final_risk_score", "rule_based_evidence.rule_anomaly",
+        F.col("rule_based_evidence.severity").alias("rule_severity"), F.col("rule_based_evidence.reason").alias("rule_reason"), F.col("ml_based_evidence.is_anomaly").alias("ml_anomaly"),
+        "detection_summary.behavior_anomaly", "behavior_based_evidence.cost_per_claim_change", "record_context.brand", F.col("record_context.data_year").cast("long").alias("data_year"),
+        F.col("sla.status").alias("sla_status"), F.col("sla.breach_probability").alias("sla_breach_probability"), "sla.quality_risk", "explanation.detection_source", F.col("explanation.reason").alias("explanation"),
+    )
+
+
+@query(
+    "prescriber_document_fields", "N5 A13",
+    pr.FUSED_SQL + f" SELECT CAST(npi AS VARCHAR) AS record_id, {pr.DETECTED_SQL} AS anomaly_detected, rule_anomaly AS rule_based, isolation_anomaly AS isolation_forest, cluster_anomaly AS clustering, "
+    f"behavior_anomaly AS behavioral, {pr._CAUSE_SQL} <> '' AS bayesian, {pr._CAUSE_SQL} AS causes FROM pr_fused",
+)
+def prescriber_document_fields(spark, sf_dir):
+    docs = prescriber_documents(spark, sf_dir)
+    named = F.transform("bayesian_probable_root_causes", lambda c: F.concat(c["cause"], F.lit(":"), c["probability_given_anomaly"].cast("string")))
+    return docs.select("record_id", "anomaly_detected", "detection_sources.*", F.array_join(named, ",").alias("causes"))
+
+
 def prescriber_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ps.root_causes(pr.fused(spark, sf_dir))
     breached = sla.prescriber_breach(df, workload_seconds=900.0, batch_size=1000).withColumn("causes", ca.lifted_causes(pr._flags(df)))
@@ -387,8 +414,7 @@ def claims_canonical_records(spark, sf_dir):
     return r.select("record_id", F.to_json(F.struct("*")).alias("record"))
 
 
-@query("pharmacy_canonical_records", "N6")
-def pharmacy_canonical_records(spark, sf_dir):
+def pharmacy_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pharmacy results in the shared document layout carry behaviour evidence and a context text."""
     df = pp.with_sla(spark, sf_dir)
     signals = F.concat_ws(",", F.when(F.col("rule_anomaly"), "Rule"), F.when(F.col("ml_anomaly"), "ML"), F.when(F.col("behavior_anomaly"), "Behavioral"))
@@ -402,7 +428,28 @@ def pharmacy_canonical_records(spark, sf_dir):
         F.struct(F.col("ml_anomaly").alias("anomaly"), F.col("ml_anomaly_score").alias("score"), F.lit("Isolation Forest").alias("model")).alias("ml_evidence"),
         F.nullif("explanation", F.lit("")).alias("context_for_rag"),
     )
-    return rc.canonical_record(docs, "pharmacy").select("record_id", F.to_json(F.struct("*")).alias("record"))
+    return rc.canonical_record(docs, "pharmacy")
+
+
+@query("pharmacy_canonical_records", "N6")
+def pharmacy_canonical_records(spark, sf_dir):
+    return pharmacy_canonical(spark, sf_dir).select("record_id", F.to_json(F.struct("*")).alias("record"))
+
+
+@query(
+    "pharmacy_canonical_fields", "N6",
+    pp.FULL_SQL + " SELECT 'pharmacy' AS dataset_type, concat(brand, '_', npi, '-', data_year) AS record_id, final_anomaly, final_severity, final_risk_score, "
+    "concat_ws(',', CASE WHEN rule_anomaly THEN 'Rule' END, CASE WHEN ml_anomaly THEN 'ML' END, CASE WHEN behavior_anomaly THEN 'Behavioral' END) AS anomaly_type, rule_anomaly, ml_anomaly, "
+    "CAST(CASE WHEN rule_anomaly THEN len(list_filter(list_transform(string_split(rule_reason, ';'), lambda x: trim(x)), lambda x: x <> '')) ELSE 0 END AS INT) AS rules, CAST(behavior_anomaly AS INT) AS behaviours, "
+    "nullif(explanation, '') AS source_explanation FROM ph_sla",
+)
+def pharmacy_canonical_fields(spark, sf_dir):
+    r = pharmacy_canonical(spark, sf_dir)
+    d = "detection_summary"
+    return r.select(
+        "dataset_type", "record_id", f"{d}.final_anomaly", f"{d}.final_severity", f"{d}.final_risk_score", f"{d}.anomaly_type", f"{d}.rule_anomaly", f"{d}.ml_anomaly",
+        F.size("rule_based_evidence").alias("rules"), F.size("behavioral_evidence").alias("behaviours"), "source_explanation",
+    )
 
 
 @query(
