@@ -313,6 +313,35 @@ def claims_documents_json(spark, sf_dir):
     return rc.claims_document(claims_final_rows(spark, sf_dir)).select(F.to_json(F.struct(*rc.DOCUMENT_FIELDS)).alias("document"))
 
 
+@query(
+    "claims_document_fields", "N5",
+    pc.FINAL_SQL + " SELECT plan_id, CAST(issuer_id AS VARCHAR) AS issuer_id, final_anomaly = 1 AS anomaly, final_severity AS severity, anomaly_signal_count AS signal_count, anomaly_signals AS signals, bayesian_anomaly = 1 AS bayesian_anomaly, "
+    "rule_anomaly = 1 AS rule_anomaly, rule_count, rule_name, evidence_count, evidence_severity FROM claims_final",
+)
+def claims_document_fields(spark, sf_dir):
+    """Fields of every part of the nested document, whose evidence is that of the statistics."""
+    docs = rc.claims_document(pc.final_claims(spark, sf_dir))
+    return docs.select(
+        "record_id.plan_id", "record_id.issuer_id", "final_assessment.anomaly", "final_assessment.severity", "final_assessment.signal_count", "final_assessment.signals",
+        F.col("bayesian.anomaly").alias("bayesian_anomaly"), F.col("rule_engine.anomaly").alias("rule_anomaly"), "rule_engine.rule_count", "rule_engine.rule_name",
+        "ml_evidence.evidence_count", F.col("ml_evidence.severity").alias("evidence_severity"),
+    )
+
+
+@query(
+    "claims_canonical_fields", "N6",
+    pc.FINAL_SQL + " SELECT concat(plan_id, '_', issuer_id) AS record_id, final_anomaly = 1 AS final_anomaly, final_severity, anomaly_signals AS anomaly_type, bayesian_anomaly = 1 AS bayesian_anomaly, rule_anomaly = 1 AS rule_anomaly, "
+    "CAST(CASE WHEN rule_anomaly = 1 THEN len(list_filter(list_transform(string_split(rule_name, ';'), lambda x: trim(x)), lambda x: x <> '')) ELSE 0 END AS INT) AS rules, CAST(evidence_count AS INT) AS evidence_count FROM claims_final",
+)
+def claims_canonical_fields(spark, sf_dir):
+    r = rc.canonical_record(rc.claims_document(pc.final_claims(spark, sf_dir)), "claims")
+    d = "detection_summary"
+    return r.select(
+        "record_id", f"{d}.final_anomaly", f"{d}.final_severity", f"{d}.anomaly_type", f"{d}.bayesian_anomaly", f"{d}.rule_anomaly", F.size("rule_based_evidence").alias("rules"),
+        F.col("ml_based_evidence.evidence_count").cast("int").alias("evidence_count"),
+    )
+
+
 def claims_final_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = materialise(pc.features(spark, sf_dir), "claims-features")
     rules = cm.apply_claims_rules(base).select("plan_id", "issuer_id", *pc._RULE_COLUMNS)
