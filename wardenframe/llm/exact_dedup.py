@@ -108,8 +108,9 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     shared = members.filter("group_size > 1").select(F.col("id").alias("of"), F.col("sha").alias("digest"), F.col("best.row").alias("best_row"), (F.col("row") == F.col("best.row")).alias("stays"))
     shared = shared.groupBy("of", "digest", "best_row").agg(F.max("stays").alias("stays"))
     texts = source.select("id", digest.alias("sha"), normalised(F.col("_text")).alias("norm")).join(shared, F.col("id").eqNullSafe(F.col("of")) & (F.col("sha") == F.col("digest")))
-    pieces = texts.select("id", "sha", "best_row", "stays", F.posexplode(chunks(F.col("norm"))).alias("seq", "chunk"))
-    # Written, as are the groups above: the join is one of two plain shuffles, in which the copies of one text can be split.
+    # Written, and the chunks that stay once more, as are the groups above: the join is one of two plain shuffles, in which
+    # the copies of one text can be split. Only texts that are not alone get here.
+    pieces = saved(texts.select("id", "sha", "best_row", "stays", F.posexplode(chunks(F.col("norm"))).alias("seq", "chunk")), "chunks")
     ours, theirs = pieces.drop("stays"), saved(pieces.filter("stays").groupBy("best_row", "seq").agg(F.first("chunk").alias("held")), "held-chunks")
     same = ours.join(theirs, ["best_row", "seq"], "left").select("id", "sha", "best_row", F.coalesce(F.col("chunk") == F.col("held"), F.lit(False)).alias("same"))
     odd = same.filter(~F.col("same")).select("id", "sha", "best_row").distinct()
