@@ -164,6 +164,11 @@ def test_scores_are_bm25():
             expected.append(score)
         assert np.allclose(index.scores(query), expected)
     assert not index.scores(np.array([99])).any()
+    assert all(np.allclose(index.scores_for(k), index.scores(p)) for k, p in enumerate(pieces))
+    free = np.arange(40) % 3 > 0
+    before = index.scores(pieces[0])
+    index.keep(free)
+    assert np.allclose(index.scores(pieces[0]), np.where(free, before, 0)) and np.allclose(index.scores_for(0), np.where(free, before, 0))
 
 
 def test_windows_take_the_best_unused_neighbours(monkeypatch):

@@ -273,12 +273,13 @@ def _signed(statistics):
                 pieces = [unpack32(x) for x in batch.column("ids").slice(low, 4096).to_pylist()]
                 piece, token, count = _bags(pieces)
                 weight = statistics.value.weights(piece, token, count, np.array([len(p) for p in pieces]))
-                order = np.lexsort((token, -weight, piece))
-                piece, token = piece[order], token[order]
                 first = np.searchsorted(piece, np.arange(len(pieces)))
-                lead[0, low: low + len(pieces)] = token[first]
-                second = np.minimum(first + 1, len(token) - 1)
-                lead[1, low: low + len(pieces)] = np.where(piece[second] == np.arange(len(pieces)), token[second], -1)
+                for rank in range(2):
+                    top = np.maximum.reduceat(weight, first)
+                    # The smallest token of equally heavy ones; a tail with one token has no second.
+                    _, spot = np.unique(piece[at := np.flatnonzero(weight == top[piece])], return_index=True)
+                    lead[rank, low: low + len(pieces)] = np.where(np.isneginf(top), -1, token[at[spot]])
+                    weight[at[spot]] = -np.inf
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead[0]), pa.array(lead[1])], names=[*batch.schema.names, "lead", "second"])
     return run
 
@@ -290,10 +291,12 @@ class Index:
         self.count = len(pieces)
         piece, token, count = _bags(pieces)
         weight = statistics.weights(piece, token, count, np.array([len(p) for p in pieces]))
-        order = np.argsort(token, kind="stable")
+        order, plain = np.argsort(token, kind="stable"), token
         self.piece, self.weight, token = piece[order], weight[order], token[order]
         self.token, self.first = np.unique(token, return_index=True)
         self.size = np.diff(np.append(self.first, len(token)))
+        # Tokens of each piece, as places in `token`.
+        self.begin, self.own = np.searchsorted(piece, np.arange(self.count + 1)), np.searchsorted(self.token, plain)
 
     def keep(self, free: np.ndarray) -> None:
         """Drop the postings of pieces that are used."""
@@ -306,7 +309,13 @@ class Index:
         """BM25 score of every piece for the distinct tokens of `query`."""
         wanted = np.unique(query)
         at = np.minimum(np.searchsorted(self.token, wanted), len(self.token) - 1)
-        at = at[self.token[at] == wanted]
+        return self._sums(at[self.token[at] == wanted])
+
+    def scores_for(self, piece: int) -> np.ndarray:
+        """The same for the tokens of a piece of the index."""
+        return self._sums(self.own[self.begin[piece]: self.begin[piece + 1]])
+
+    def _sums(self, at: np.ndarray) -> np.ndarray:
         size = self.size[at]
         upto = np.cumsum(size)
         spots = np.repeat(self.first[at] - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)
@@ -319,13 +328,16 @@ class _Tail:
     start: int
     doc_tokens: int
     ids: np.ndarray
+    #: Number of the shard that it is in, and its place there.
+    shard: int = -1
+    place: int = -1
 
 
 @dataclass
 class _Window:
-    """A window that is being filled."""
+    """A window that is being filled. A seed that is the rest of a cut tail asks with the tokens of the whole tail in its own shard."""
 
-    seed: np.ndarray
+    seed: _Tail
     parts: list[_Tail] = field(default_factory=list)
     held: int = 0
 
@@ -338,17 +350,17 @@ class Packer:
         self.open: _Window | None = None
         self.rest: _Tail | None = None
         self.rows: list[tuple] = []
-        self.made = 0
+        self.made = self.number = 0
 
     def _put(self, tail: _Tail) -> None:
         """The tail, or what of it there is room for, into the open window; what is left over is the next seed."""
         if self.open is None:
-            self.open = _Window(tail.ids)
+            self.open = _Window(tail)
         now = self.open
         size = min(len(tail.ids), self.window - now.held)
         now.parts.append(_Tail(tail.key, tail.start, tail.doc_tokens, tail.ids[:size]))
         now.held += size
-        self.rest = _Tail(tail.key, tail.start + size, tail.doc_tokens, tail.ids[size:]) if size < len(tail.ids) else None
+        self.rest = _Tail(tail.key, tail.start + size, tail.doc_tokens, tail.ids[size:], tail.shard, tail.place) if size < len(tail.ids) else None
         if now.held == self.window:
             self._close(now.parts)
             self.open = None
@@ -362,9 +374,12 @@ class Packer:
 
     def shard(self, tails: list[_Tail]) -> None:
         index = Index([t.ids for t in tails], self.statistics)
+        self.number += 1
+        for place, tail in enumerate(tails):
+            tail.shard, tail.place = self.number, place
         free, at, left, held = np.ones(len(tails), bool), 0, len(tails), len(tails)
         while left:
-            if 2 * left < held:
+            if 4 * left < 3 * held:
                 index.keep(free)
                 held = left
             if self.open is None:
@@ -377,7 +392,8 @@ class Packer:
                     left -= 1
                     self._put(tails[at])
                 continue
-            scores = np.where(free, index.scores(self.open.seed), -1.0)
+            seed = self.open.seed
+            scores = np.where(free, index.scores_for(seed.place) if seed.shard == self.number else index.scores(seed.ids), -1.0)
             # A few neighbours fill a window; more are ordered only where they don't.
             few = min(64, len(tails))
             for best in (np.argpartition(-scores, few - 1)[:few], None):
