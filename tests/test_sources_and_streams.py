@@ -344,7 +344,7 @@ def test_state_of_a_key_does_not_grow_with_its_rows():
             return self.mark
 
     rng = np.random.default_rng(5)
-    processor = feeds.MarkRepeats(100.0, ["n", "_key", "_at"], True, None)
+    processor = feeds.MarkRepeats(100.0, ["n", "_key", "_at"], True)
     processor.cells, processor.handle, times = Cells(), Handle(), Times()
     known = []
     for batch in range(60):

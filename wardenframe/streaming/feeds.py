@@ -53,12 +53,12 @@ class MarkRepeats(StatefulProcessor):
     what they would be compared with may be gone. Rows without an event time repeat each other within a batch only.
     """
 
-    def __init__(self, horizon: float, columns: list[str], timed: bool, ttl_ms: int | None) -> None:
-        self.horizon, self.columns, self.timed, self.ttl_ms = horizon, columns, timed, ttl_ms
+    def __init__(self, horizon: float, columns: list[str], timed: bool) -> None:
+        self.horizon, self.columns, self.timed = horizon, columns, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cells = handle.getMapState("cells", "cell long", "first double, last double", self.ttl_ms)
+        self.cells = handle.getMapState("cells", "cell long", "first double, last double")
 
     def _oldest(self, timerValues) -> float:
         """Oldest event time that is still compared."""
@@ -141,11 +141,11 @@ def _seconds(span: str) -> float:
     return dt.timedelta(**{unit.rstrip("s") + "s": float(count)}).total_seconds()
 
 
-def mark_repeats(stream: DataFrame, key: str, name: str, late: str, event_time: str | None, horizon: str, lateness: str, ttl: str | None) -> DataFrame:
+def mark_repeats(stream: DataFrame, key: str, name: str, late: str, event_time: str | None, horizon: str, lateness: str) -> DataFrame:
     """``stream`` with the flags ``name``: its key has come before, or comes again in the same batch, and ``late``: too old to be compared.
 
     Missing keys repeat nothing. With an event time the state of a key ends once the watermark (newest event time minus
-    ``lateness``) is two horizons past it; without, it ends ``ttl`` of processing time after it was written, or never.
+    ``lateness``) is two horizons past it; without, it does not end.
     """
     stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -160,13 +160,13 @@ def mark_repeats(stream: DataFrame, key: str, name: str, late: str, event_time:
         # The watermark is kept on a column of its own, which goes: rows behind it are to reach the processor, not to be dropped.
         keyed = keyed.withColumn("_clock", F.col(event_time).cast("timestamp")).withWatermark("_clock", lateness).select(*columns, "_key", "_at")
     schema = T.StructType([*keyed.schema.fields, T.StructField("_repeat", T.BooleanType()), T.StructField("_late", T.BooleanType())])
-    mode = "EventTime" if event_time else "ProcessingTime" if ttl else "None"
-    processor = MarkRepeats(_seconds(horizon) if event_time else 0.0, names, bool(event_time), int(_seconds(ttl) * 1000) if ttl and not event_time else None)
+    mode = "EventTime" if event_time else "None"
+    processor = MarkRepeats(_seconds(horizon) if event_time else 0.0, names, bool(event_time))
     marked = keyed.groupBy("_key").transformWithStateInPandas(processor, schema, "Append", mode)
     return marked.drop("_key", "_at").withColumnsRenamed({"_repeat": name, "_late": late})
 
 
-def quarantine(stream: DataFrame, contract: Contract, event_time: str | None = None, horizon: str = "1 day", lateness: str = "30 days", ttl: str | None = None) -> DataFrame:
+def quarantine(stream: DataFrame, contract: Contract, event_time: str | None = None, horizon: str = "1 day", lateness: str = "30 days") -> DataFrame:
     """Arriving rows with their errors and an ``outcome`` of valid or invalid; every row is kept.
 
     A row whose unique key came before, or comes again in the same batch, is invalid: with an event time,
@@ -178,7 +178,7 @@ def quarantine(stream: DataFrame, contract: Contract, event_time: str | None = N
     checks = row_checks(contract, columns)
     for c in contract.unique:
         if c in columns:
-            stream = mark_repeats(stream, c, f"_copied_{c}", f"_late_{c}", event_time, horizon, lateness, ttl)
+            stream = mark_repeats(stream, c, f"_copied_{c}", f"_late_{c}", event_time, horizon, lateness)
             checks.append(_error("duplicate", c, "Duplicate value", F.col(f"_copied_{c}")))
             checks.append(_error("late", c, "Too late to be compared with earlier copies", F.col(f"_late_{c}")))
     tagged = stream.select(*columns, F.array_compact(F.array(*checks)).alias("errors"))
