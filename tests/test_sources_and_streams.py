@@ -360,6 +360,71 @@ def test_state_of_a_key_does_not_grow_with_its_rows():
         assert len(processor.cells) <= (300 + 2 * 100) / 100 + 20
 
 
+def test_keys_of_a_group_are_told_apart():
+    """Many keys in one group: each is compared with its own times only, over batches, parts that become one, and timers."""
+    import numpy as np
+    import pandas as pd
+
+    class Cells(dict):
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+    class Handle:
+        at = None
+
+        def registerTimer(self, at):
+            assert self.at is None  # a group has one timer
+            self.at = at
+
+    class Times:
+        mark = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.mark
+
+    rng = np.random.default_rng(8)
+    processor = feeds.MarkRepeats(100.0, ["n", "_key", "_at", "_group"], True)
+    processor.cells, processor.handle, times = Cells(), Handle(), Times()
+    known = []
+    for batch in range(50):
+        keys = rng.choice(["+a", "+é", "+", "-a", *[f"+k{i}" for i in range(60)]], 30)
+        at = np.round(rng.uniform(40 * batch, 40 * batch + 500, 30), 1)
+        at[rng.random(30) < 0.1] = np.nan
+        oldest = times.mark / 1e3 - 100 if times.mark else -np.inf
+        frame = pd.DataFrame({"n": range(30), "_key": keys, "_at": at, "_group": "7"})
+        out = next(processor.handleInputRows(("7",), iter([frame[:11], frame[11:]]), times))
+        rows = list(zip(keys, at))
+
+        def near(i):
+            key, x = rows[i]
+            others = [y for j, (k, y) in enumerate(rows) if j != i and k == key]
+            if key.startswith("-") or np.isnan(x):
+                return not key.startswith("-") and any(np.isnan(y) for y in others)
+            return any(abs(x - y) <= 100 for y in others + [y for k, y in known if k == key])
+
+        late = np.array([k.startswith("+") and x < oldest for k, x in rows])
+        assert (out["_late"].to_numpy() == late).all()
+        assert (out["_repeat"].to_numpy() == [near(i) for i in range(30)])[~late].all()
+        known += [(k, x) for (k, x), old in zip(rows, late) if not old and x == x and k.startswith("+")]
+        times.mark = max(times.mark, int((max(x for _, x in known) - 600) * 1000))
+        if processor.handle.at is not None and processor.handle.at <= times.mark:
+            processor.handle.at = None
+            list(processor.handleExpiredTimer(("7",), times, None))
+        assert len(processor.cells) <= feeds.PARTS
+        held = feeds._Cells.joined([feeds._Cells.unpack(v[0]) for v in processor.cells.values()]).merged()
+        alive = {(k, x // 100) for k, x in known if x >= times.mark / 1e3 - 200}
+        assert set(zip(held.keys, held.cells)) >= alive and len(held) <= 4 * len(alive) + 60
+    times.mark = 10**7
+    list(processor.handleExpiredTimer(("7",), times, None))
+    assert not processor.cells
+
+
 @pytest.mark.parametrize("step", ["after_rows", "after_ledger"])
 def test_a_torn_batch_is_written_once(spark, tmp_path, step):
     """The stream dies in mid-batch, between the sinks or before it notes the batch as done, and is started again."""

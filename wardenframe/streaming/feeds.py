@@ -43,14 +43,59 @@ def drain(stream: DataFrame, label: str, partition_by: tuple[str, ...] = (), out
     return output
 
 
+#: Groups that the keys of a stream with event times are dealt to, and parts that a group's memory has at most.
+BUCKETS, PARTS = 2048, 16
+
+
+class _Cells:
+    """What is known of keys, one entry per key and horizon-wide cell: its first and last time."""
+
+    def __init__(self, keys: np.ndarray, cells: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        self.keys, self.cells, self.first, self.last = keys, cells, first, last
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def where(self, chosen: np.ndarray) -> _Cells:
+        return _Cells(self.keys[chosen], self.cells[chosen], self.first[chosen], self.last[chosen])
+
+    def merged(self) -> _Cells:
+        """One entry per key and cell; the later ones of a cell have widened it."""
+        frame = pd.DataFrame({"k": self.keys, "c": self.cells, "f": self.first, "l": self.last}).groupby(["k", "c"], sort=False).agg({"f": "min", "l": "max"}).reset_index()
+        return _Cells(frame["k"].to_numpy(object), frame["c"].to_numpy(np.int64), frame["f"].to_numpy(float), frame["l"].to_numpy(float))
+
+    def pack(self) -> bytes:
+        lengths = np.array([len(k) for k in self.keys], "<i8")
+        numbers = (np.array([len(self)], "<i8"), self.cells.astype("<i8"), self.first.astype("<f8"), self.last.astype("<f8"), lengths)
+        return b"".join([*(n.tobytes() for n in numbers), "".join(self.keys).encode()])
+
+    @staticmethod
+    def unpack(packed: bytes) -> _Cells:
+        n = int(np.frombuffer(packed, "<i8", 1)[0])
+        cells, first, last, lengths = (np.frombuffer(packed, t, n, 8 + 8 * n * i) for i, t in enumerate(("<i8", "<f8", "<f8", "<i8")))
+        text, ends = bytes(packed[8 + 32 * n:]).decode(), np.cumsum(lengths).tolist()
+        keys = np.empty(n, object)
+        keys[:] = [text[a:b] for a, b in zip([0, *ends], ends)]
+        return _Cells(keys, cells, first, last)
+
+    @staticmethod
+    def joined(parts: list[_Cells]) -> _Cells:
+        none = _Cells(np.empty(0, object), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        return _Cells(*(np.concatenate([getattr(p, a) for p in (none, *parts)]) for a in ("keys", "cells", "first", "last")))
+
+
 class MarkRepeats(StatefulProcessor):
     """Passes every row on and marks those whose key is known, or comes more than once with them, within the horizon.
 
     Of a key's event times (in seconds) only the first and last of each horizon-wide cell are kept: a time of the same
     cell is near in any case, and of the two cells beside it only these can be. Where the stream has a watermark,
     cells end that no acceptable row can reach: a row may be one horizon older than the watermark and looks one more
-    back. An event-time timer clears keys that do not come again, and rows that are older than that are marked late, as
-    what they would be compared with may be gone. Rows without an event time repeat each other within a batch only.
+    back, and rows that are older than that are marked late, as what they would be compared with may be gone. Rows
+    without an event time repeat each other within a batch only.
+
+    A group holds one key or many, told apart by the column ``_key``; the cost of a call is per group, not per key. A
+    batch adds what it learns as one more part to the group's memory; when there are many, they become one. An
+    event-time timer clears a group once half of its cells can have ended.
     """
 
     def __init__(self, horizon: float, columns: list[str], timed: bool) -> None:
@@ -58,7 +103,7 @@ class MarkRepeats(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cells = handle.getMapState("cells", "cell long", "first double, last double")
+        self.cells = handle.getMapState("cells", "part long", "cells binary")
 
     def _oldest(self, timerValues) -> float:
         """Oldest event time that is still compared."""
@@ -72,64 +117,81 @@ class MarkRepeats(StatefulProcessor):
         parts = list(rows)
         batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         batch.columns = self.columns  # Spark renames those that no Python field can be called
-        times = batch["_at"].to_numpy(dtype=float)
+        times, names = batch["_at"].to_numpy(dtype=float), batch["_key"].to_numpy(object)
         repeat, late = np.zeros(len(batch), bool), np.zeros(len(batch), bool)
-        if key[0].startswith("+"):  # otherwise the row has no key
-            none = np.isnan(times)
-            repeat = none & (none.sum() > 1)
-            at = np.flatnonzero(~none)
-            if len(at) > 1:
-                order = at[np.argsort(times[at], kind="stable")]
-                near = np.diff(times[order]) <= self.horizon
-                repeat[order[:-1]] |= near
-                repeat[order[1:]] |= near
-            known = {k[0]: tuple(v) for k, v in self.cells.iterator()}
-            if known:
-                self._compare(known, times, at, repeat)
+        keyed = np.flatnonzero([k.startswith("+") for k in names])  # the others have no key
+        if len(keyed):
+            stored = {k[0]: _Cells.unpack(v[0]) for k, v in self.cells.iterator()}
+            known = _Cells.joined(list(stored.values()))
+            if len(stored) > 1:
+                known = known.merged()
+            codes = pd.factorize(np.concatenate([known.keys, names[keyed]]))[0]
+            code = np.full(len(batch), -1)
+            code[keyed] = codes[len(known):]
+            none = keyed[np.isnan(times[keyed])]
+            repeat[none] = np.bincount(code[none], minlength=1)[code[none]] > 1
+            at = keyed[~np.isnan(times[keyed])]
+            order = at[np.lexsort((times[at], code[at]))]
+            near = (np.diff(times[order]) <= self.horizon) & (np.diff(code[order]) == 0)
+            repeat[order[:-1]] |= near
+            repeat[order[1:]] |= near
             oldest = self._oldest(timerValues)
-            late = times < oldest
-            self._remember(known, times[at[times[at] >= oldest]], oldest)
+            late[at] = times[at] < oldest
+            if len(at):
+                self._compare(known, codes[: len(known)], code[at], times, at, repeat)
+            self._remember(stored, known, names, times, at[~late[at]], oldest)
         batch["_repeat"] = repeat
         batch["_late"] = late
         yield batch
 
-    def _compare(self, known: dict[int, tuple[float, float]], times: np.ndarray, at: np.ndarray, repeat: np.ndarray) -> None:
+    def _compare(self, known: _Cells, known_code: np.ndarray, code: np.ndarray, times: np.ndarray, at: np.ndarray, repeat: np.ndarray) -> None:
         """Mark the rows that are near a time of an earlier batch."""
+        if not len(known):
+            return
         cell = self._cell(times[at])
-        for c in np.unique(cell).tolist():
-            own = at[cell == c]
-            if c in known:
-                repeat[own] = True
-            if c - 1 in known:
-                repeat[own] |= times[own] - known[c - 1][1] <= self.horizon
-            if c + 1 in known:
-                repeat[own] |= known[c + 1][0] - times[own] <= self.horizon
-
-    def _remember(self, known: dict[int, tuple[float, float]], times: np.ndarray, oldest: float) -> None:
-        """Take up the times and drop cells out of reach. A key with cells has one timer."""
-        for c, (_, last) in known.items():
-            if last < oldest - self.horizon:
-                self.cells.removeKey((c,))
-        cell = self._cell(times)
-        for c in set(cell.tolist()):
-            own = times[cell == c]
-            low, high = known.get(c, (np.inf, -np.inf))
-            now = (min(low, float(own.min())), max(high, float(own.max())))
-            if now != (low, high):
-                self.cells.updateValue((c,), now)
-        if self.timed and len(times) and not known:
-            self.handle.registerTimer(self._end(float(times.max())))
-
-    def _end(self, last: float) -> int:
-        """Watermark, in milliseconds, at which nothing acceptable can be near `last` any more."""
+        every = np.unique(np.concatenate([known.cells, cell - 1, cell, cell + 1]))
+        entry = known_code * len(every) + np.searchsorted(every, known.cells)
+        order = np.argsort(entry)
+        for step in (-1, 0, 1):
+            wanted = code * len(every) + np.searchsorted(every, cell + step)
+            place = order[np.minimum(np.searchsorted(entry, wanted, sorter=order), len(order) - 1)]
+            found = entry[place] == wanted
+            if step:
+                gap = times[at] - known.last[place] if step < 0 else known.first[place] - times[at]
+                found &= gap <= self.horizon
+            repeat[at[found]] = True
+
+    def _remember(self, stored: dict[int, _Cells], known: _Cells, names: np.ndarray, times: np.ndarray, at: np.ndarray, oldest: float) -> None:
+        """Take up the times and drop parts out of reach. A group with cells has a timer."""
+        for part, cells in stored.items():
+            if not (cells.last >= oldest - self.horizon).any():
+                self.cells.removeKey((part,))
+        fresh = _Cells(names[at], self._cell(times[at]), times[at], times[at]).merged()
+        if len(known) and len(fresh):
+            both = _Cells.joined([known, fresh]).merged()  # those that are known come first, in their order
+            old = np.arange(len(both)) < len(known)
+            old[: len(known)] = (both.first[: len(known)] == known.first) & (both.last[: len(known)] == known.last)
+            fresh = both.where(~old)
+            if len(stored) >= PARTS:
+                fresh = both.where(both.last >= oldest - self.horizon)
+                self.cells.clear()
+        if len(fresh):
+            self.cells.updateValue((max(stored, default=0) + 1,), (fresh.pack(),))
+            if self.timed and not len(known):
+                self.handle.registerTimer(self._end(fresh))
+
+    def _end(self, cells: _Cells) -> int:
+        """Watermark, in milliseconds, at which nothing acceptable can be near half of the cells any more."""
+        last = float(np.sort(cells.last)[(len(cells) - 1) // 2])
         return int((last + 2 * self.horizon) * 1e3) + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = {k[0]: tuple(v) for k, v in self.cells.iterator()}
-        self._remember(known, np.zeros(0), self._oldest(timerValues))
-        left = [last for _, last in known.values() if last >= self._oldest(timerValues) - self.horizon]
-        if left:
-            self.handle.registerTimer(self._end(max(left)))
+        known = _Cells.joined([_Cells.unpack(v[0]) for _, v in self.cells.iterator()]).merged()
+        left = known.where(known.last >= self._oldest(timerValues) - self.horizon)
+        self.cells.clear()
+        if len(left):
+            self.cells.updateValue((1,), (left.pack(),))
+            self.handle.registerTimer(self._end(left))
         return iter(())
 
     def close(self) -> None:
@@ -155,15 +217,18 @@ def mark_repeats(stream: DataFrame, key: str, name: str, late: str, event_time:
     group = F.coalesce(F.concat(F.lit("+"), F.col(key).cast("string")), F.concat(F.lit("-"), F.xxhash64(*columns).cast("string")))
     at = F.unix_micros(F.col(event_time).cast("timestamp")) / 1e6 if event_time else F.lit(0.0)
     keyed = stream.select("*", group.alias("_key"), at.cast("double").alias("_at"))
+    # Each group costs calls into its task's state, so keys share groups where their state ends. Without, a key is a group: what
+    # a batch reads and writes is then of its own keys only, however many there have been.
+    keyed = keyed.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).cast("string") if event_time else F.col("_key"))
     names = keyed.columns
     if event_time:
         # The watermark is kept on a column of its own, which goes: rows behind it are to reach the processor, not to be dropped.
-        keyed = keyed.withColumn("_clock", F.col(event_time).cast("timestamp")).withWatermark("_clock", lateness).select(*columns, "_key", "_at")
+        keyed = keyed.withColumn("_clock", F.col(event_time).cast("timestamp")).withWatermark("_clock", lateness).select(*names)
     schema = T.StructType([*keyed.schema.fields, T.StructField("_repeat", T.BooleanType()), T.StructField("_late", T.BooleanType())])
     mode = "EventTime" if event_time else "None"
     processor = MarkRepeats(_seconds(horizon) if event_time else 0.0, names, bool(event_time))
-    marked = keyed.groupBy("_key").transformWithStateInPandas(processor, schema, "Append", mode)
-    return marked.drop("_key", "_at").withColumnsRenamed({"_repeat": name, "_late": late})
+    marked = keyed.groupBy("_group").transformWithStateInPandas(processor, schema, "Append", mode)
+    return marked.drop("_key", "_at", "_group").withColumnsRenamed({"_repeat": name, "_late": late})
 
 
 def quarantine(stream: DataFrame, contract: Contract, event_time: str | None = None, horizon: str = "1 day", lateness: str = "30 days") -> DataFrame:
