@@ -1,6 +1,7 @@
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,18 @@ def test_all_starts_advance_together(spark):
     assert jobs[10] <= jobs[1] + 12  # rounds until the slowest start stands still, not fits
 
 
+def test_rounds_over_a_table_in_one_file_are_shared_out(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(cu, "materialise", lambda df, label, keep=cu.materialise: written.append(keep(df, label)) or written[-1])
+    points = np.random.default_rng(4).normal(size=(50_000, 2)) + np.repeat([[0.0, 0.0], [40.0, 40.0]], 25_000, axis=0)
+    df = spark.createDataFrame(pd.DataFrame(points, columns=["a", "b"])).coalesce(1)
+    model = cu.fit_clusters(df, ["a", "b"], k=2, starts=2)
+    by_task = written[0].groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in by_task) == 50_000 and len(by_task) > 1 and max(r["count"] for r in by_task) <= cu.ROWS_PER_TASK
+    centres = model.centres[np.argsort(model.centres[:, 0])]
+    assert np.allclose(centres, [points[:25_000].mean(axis=0), points[25_000:].mean(axis=0)])
+
+
 def test_clusters_of_few_points(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 5.0)], "id long, a double")
     model = cu.fit_clusters(df, ["a"], k=5)

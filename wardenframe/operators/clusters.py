@@ -21,6 +21,8 @@ from wardenframe.session import materialise
 
 #: Rows, chosen by hash, on which the centres of all starts are chosen and settled first; a centre that moves less far stands still.
 SEED_ROWS, STILL = 4096, 1e-4
+#: Rows of a task of a round, where there are more than that.
+ROWS_PER_TASK = 20_000
 
 
 @dataclass(frozen=True)
@@ -52,8 +54,10 @@ def _spread_out(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarra
     return np.array(chosen)
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    far = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
+def _nearest(x: np.ndarray, centres: np.ndarray, squares: np.ndarray | None = None) -> np.ndarray:
+    """Number of the nearest centre; ``squares`` are the rows' squared lengths, where they are known."""
+    squares = (x * x).sum(axis=1) if squares is None else squares
+    far = squares[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
     return far.argmin(axis=1)
 
 
@@ -62,6 +66,13 @@ def _moved(old: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], old)
 
 
+def _summed(own: np.ndarray, rows: np.ndarray, groups: int) -> np.ndarray:
+    """Sums of the rows by group, each in the order of the rows."""
+    wide = rows.shape[1]
+    at = (own[:, None] * wide + np.arange(wide)).ravel()
+    return np.bincount(at, rows.ravel(), groups * wide).reshape(groups, wide)
+
+
 def _still(old: np.ndarray, new: np.ndarray) -> bool:
     return bool((np.sqrt(((new - old) ** 2).sum(axis=1)) <= STILL).all())
 
@@ -71,9 +82,7 @@ def _settled(rows: np.ndarray, centres: np.ndarray, max_iter: int) -> np.ndarray
     for _ in range(max_iter):
         own = _nearest(rows, centres)
         counts = np.bincount(own, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, rows)
-        new = _moved(centres, sums, counts)
+        new = _moved(centres, _summed(own, rows, len(centres)), counts)
         if _still(centres, new):
             return new
         centres = new
@@ -86,10 +95,13 @@ def _round(data: DataFrame, centres: dict[int, np.ndarray]) -> tuple[dict[int, n
         sums = {s: np.zeros((len(c), c.shape[1] + 2)) for s, c in centres.items()}
         for pdf in frames:
             x = pdf.to_numpy(float)
+            rows = np.ascontiguousarray(x)
+            squares = (x * x).sum(axis=1)
             for s, c in centres.items():
-                own = _nearest(x, c)
-                whole = np.column_stack([x, np.ones(len(x)), ((x - c[own]) ** 2).sum(axis=1)])
-                np.add.at(sums[s], own, whole)
+                own = _nearest(x, c, squares)
+                sums[s][:, :-2] += _summed(own, rows, len(c))
+                sums[s][:, -2] += np.bincount(own, minlength=len(c))
+                sums[s][:, -1] += np.bincount(own, ((x - c[own]) ** 2).sum(axis=1), len(c))
         yield pd.DataFrame([(s, g, t[g].tolist()) for s, t in sums.items() for g in range(len(t))], columns=["start", "group", "sums"])
 
     parts = data.mapInPandas(run, "start int, group int, sums array<double>").select("start", "group", F.posexplode("sums").alias("at", "value"))
@@ -102,8 +114,12 @@ def _round(data: DataFrame, centres: dict[int, np.ndarray]) -> tuple[dict[int, n
 
 def fit_clusters(df: DataFrame, features: Sequence[str], k: int = 5, starts: int = 10, max_iter: int = 300, seed: int = 42) -> PeerGroups:
     """Best of ``starts`` runs by cost. Features must be filled; of fewer distinct rows than ``k`` each is a centre."""
-    data = materialise(_numbers(df, features), "cluster-rows")
-    total = max(data.count(), 1)
+    numbers = _numbers(df, features)
+    total = max(df.count(), 1)
+    if total > ROWS_PER_TASK:
+        # Written as they lie, a whole table may be in one file, which every round would read in one task.
+        numbers = numbers.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-total // ROWS_PER_TASK)))
+    data = materialise(numbers, "cluster-rows")
     share = int(min(1.0, 2 * SEED_ROWS / total) * (1 << 20))
     near = data.where(F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(1 << 20)) < share).orderBy(F.xxhash64(F.lit(seed), *features), *features).limit(SEED_ROWS)
     rows = np.array([list(r) for r in near.collect()], float).reshape(-1, len(features))
