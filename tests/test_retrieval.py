@@ -122,3 +122,54 @@ def test_index_of_nothing(spark):
     index = vi.build_index(_vectors(spark, "chunk_id", [(4, [0.0, 0.0]), (5, [1.0, 1.0])]))
     assert vi.search_index(index, _vectors(spark, "query_id", []), 3).collect() == []
     assert [r.chunk_id for r in vi.search_index(index, _vectors(spark, "query_id", [(1, [2.0, 2.0])]), 3).collect()] == [5]
+
+
+def test_k_best_hold_few_products_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    left, right = rng.normal(size=(3000, 8)), rng.normal(size=(4000, 8))
+    left, right = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (left, right))
+    sim = left @ right.T
+    want = [np.lexsort((np.arange(4000), -s))[:5].tolist() for s in sim]
+    for tile in (4000, 300):
+        tracemalloc.start()
+        best = rt.KBest(3000, 5, -0.2)
+        for low in range(0, 4000, tile):
+            best.compare(left, np.arange(3000), right[low: low + tile], np.arange(low, min(low + tile, 4000)))
+        row, ids, _ = best.found()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < sim.nbytes / 2  # all products at once are 96 MB
+        assert row.tolist() == np.repeat(np.arange(3000), 5).tolist()
+        assert ids.reshape(3000, 5).tolist() == want
+
+
+def test_small_blocks_travel_no_more_often(spark):
+    rng = np.random.default_rng(4)
+    chunks = _vectors(spark, "chunk_id", [*enumerate(rng.normal(size=(200, 4))), (500, None)])
+    queries = _vectors(spark, "query_id", enumerate(rng.normal(size=(50, 4))))
+    plans = [rt.cosine_top_k(queries, chunks, 3, tile_bytes=t)._jdf.queryExecution().optimizedPlan().toString() for t in (64, 1 << 20)]
+    # Rows are repeated by literal lists of group numbers, which were as long as the number of blocks.
+    assert max(p.count("explode([0,") for p in plans) == 0
+    got = [sorted(map(tuple, rt.cosine_top_k(queries, chunks, 3, tile_bytes=t).select("query_id", "chunk_id").collect())) for t in (64, 1 << 20)]
+    assert got[0] == got[1]
+
+
+def test_a_query_travels_once_to_a_group_of_cells(spark):
+    rows = _awkward_vectors()
+    index = vi.build_index(_vectors(spark, "chunk_id", rows), cells=15)
+    groups = vi._cell_groups(index, 250)
+    held = {}
+    for cell, group in groups.items():
+        held[group] = held.get(group, 0) + index.entries[cell]
+    assert set(groups) == set(index.entries) and 1 < len(held) < len(index.entries)
+    assert all(n <= 250 or list(groups.values()).count(g) == 1 for g, n in held.items())
+    cells = np.array(sorted(index.entries))
+    asked = np.array([q for q in range(40)])
+    import pandas as pd
+
+    pdf = pd.DataFrame({"query_rep": asked + 100, "vector": [[0.0]] * 40})
+    out = pd.concat(list(vi._probes(pdf, np.repeat(asked, len(cells)), np.tile(cells, 40), groups)))
+    assert len(out) == 40 * len(held)
+    assert all(sorted(c for x in part["cells"] for c in x) == cells.tolist() for _, part in out.groupby("query_rep"))

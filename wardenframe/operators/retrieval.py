@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,8 @@ SEMANTIC_WEIGHT, EVIDENCE_WEIGHT = 0.70, 0.30
 MIN_KNOWLEDGE_SCORE, MAX_SUPPORTING_KNOWLEDGE = 0.35, 5
 # The white space that is trimmed from text.
 WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
-#: Vectors of a block, in bytes.
-TILE_BYTES = 4 * 1024 * 1024
+#: Vectors of a block, vectors of one side that a task is sent at once, and products that it holds at once, in bytes.
+TILE_BYTES, GROUP_BYTES, PRODUCT_BYTES = 4 * 1024 * 1024, 4 * 1024 * 1024, 8 * 1024 * 1024
 
 
 def strip(c: Column) -> Column:
@@ -44,22 +44,60 @@ def _unit(vectors: Sequence[np.ndarray]) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _best(sim: np.ndarray, ids: np.ndarray, k: int, threshold: float) -> Iterator[tuple[int, int, float]]:
-    """Per query row: up to k chunks at or above the threshold, best first, smaller id first on ties."""
-    for row in range(len(sim)):
-        hits = np.flatnonzero(sim[row] >= threshold)
-        if len(hits) > k:
-            kth = np.partition(sim[row, hits], len(hits) - k)[len(hits) - k]
-            hits = hits[sim[row, hits] >= kth]
-        order = np.lexsort((ids[hits], -sim[row, hits]))[:k]
-        for h in hits[order]:
-            yield row, int(ids[h]), float(sim[row, h])
-
-
-def _frame(found: list[tuple[int, int, float]], query_ids: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"query_id": [int(query_ids[r]) for r, _, _ in found], "chunk_id": [c for _, c, _ in found], "similarity": [s for _, _, s in found]}
-    ).astype({"query_id": "int64", "chunk_id": "int64", "similarity": "float64"})
+class KBest:
+    """Of every row the k greatest similarities at or above the threshold, smaller id first on ties, gathered block by block."""
+
+    def __init__(self, rows: int, k: int, threshold: float):
+        self.k, self.bound = k, np.full(rows, float(threshold))
+        self.room = 2 * k * rows + (1 << 16)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def compare(self, left: np.ndarray, at: np.ndarray, right: np.ndarray, ids: np.ndarray) -> None:
+        """Compares unit vectors of the rows ``at`` with those of ``ids``; few of the products are held at once."""
+        step = max(1, PRODUCT_BYTES // (8 * max(len(ids), 1)))
+        for low in range(0, len(at), step):
+            sim, rows = left[low: low + step] @ right.T, at[low: low + step]
+            hit = sim >= self.bound[rows, None]
+            n = int(np.count_nonzero(hit))
+            if n > 2 * self.k * len(rows) and len(ids) > self.k:
+                # Nothing below the k-th best of a block can stay.
+                kth = np.partition(sim, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+                hit &= sim >= kth[:, None]
+                n = int(np.count_nonzero(hit))
+            if n:
+                r, c = np.nonzero(hit)
+                self.parts.append((rows[r], ids[c], sim[r, c]))
+                self.held += n
+                if self.held > self.room:
+                    self._shorten()
+
+    def _shorten(self) -> None:
+        row, key, sim = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((key, -sim, row))
+        row, key, sim = row[order], key[order], sim[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        full = place == self.k - 1
+        self.bound[row[full]] = sim[full]
+        kept = place < self.k
+        self.parts = [(row[kept], key[kept], sim[kept])]
+        self.held = int(kept.sum())
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, id, similarity), best first within a row."""
+        if not self.parts:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        self._shorten()
+        return self.parts[0]
+
+
+def comparable(frame: pd.DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, unit vectors) of the rows; those with a component that is no number are like nothing."""
+    if frame.empty:
+        return np.zeros(0, int), np.zeros((0, 0))
+    units = _unit(frame["vector"].tolist())
+    plain = ~np.isnan(units).any(axis=1)
+    return frame[key].to_numpy()[plain], units[plain]
 
 
 _PAIR = "query_id long, chunk_id long, similarity double"
@@ -68,31 +106,39 @@ _PAIR = "query_id long, chunk_id long, similarity double"
 def cosine_top_k(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = SIMILARITY_THRESHOLD, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Exact nearest chunks of every query by cosine: ``(query_id, chunk_id, similarity)``.
 
-    Inputs hold ``query_id`` / ``chunk_id`` (long) and ``vector``. Both sides are cut into blocks of at most
-    ``tile_bytes`` of vectors, and each cell of the block grid is one bounded matrix product that returns at
-    most k chunks per query, so all pairs are compared but never emitted. No vector reaches the driver.
+    Inputs hold ``query_id`` / ``chunk_id`` (long) and ``vector``; rows that lack one have no neighbours. Both sides are
+    cut into groups of about ``GROUP_BYTES`` of vectors, and each cell of their grid is a bounded piece of work for one
+    task, which multiplies blocks of at most ``tile_bytes`` and returns at most k chunks per query. So all pairs are
+    compared but never emitted, and smaller blocks make nothing travel more often. No vector reaches the driver.
     """
+    queries, chunks = queries.where("query_id IS NOT NULL AND vector IS NOT NULL"), chunks.where("chunk_id IS NOT NULL AND vector IS NOT NULL")
     sizes = chunks.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    rows = max(1, tile_bytes // (8 * max(sizes["dim"] or 1, 1)))
-    partial = _grid(queries, chunks, k, threshold, max(1, math.ceil(queries.count() / rows)), max(1, math.ceil(sizes["n"] / rows)))
+    width = 8 * max(sizes["dim"] or 1, 1)
+    rows = max(1, GROUP_BYTES // width)
+    partial = _grid(queries, chunks, k, threshold, max(1, math.ceil(queries.count() / rows)), max(1, math.ceil(sizes["n"] / rows)), max(1, tile_bytes // width))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return partial.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def _grid(queries: DataFrame, chunks: DataFrame, k: int, threshold: float, query_blocks: int, chunk_blocks: int) -> DataFrame:
+def _grid(queries: DataFrame, chunks: DataFrame, k: int, threshold: float, query_groups: int, chunk_groups: int, tile: int) -> DataFrame:
     def spread(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    q = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb")).withColumn("cb", spread(chunk_blocks))
-    c = chunks.select("chunk_id", "vector", F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_blocks)).cast("int").alias("cb")).withColumn("qb", spread(query_blocks))
+    q = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(query_groups)).cast("int").alias("qg")).withColumn("cg", spread(chunk_groups))
+    c = chunks.select("chunk_id", "vector", F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_groups)).cast("int").alias("cg")).withColumn("qg", spread(query_groups))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return _frame([], np.array([], dtype=int))
-        sim = _unit(left["vector"].tolist()) @ _unit(right["vector"].tolist()).T
-        return _frame(list(_best(sim, right["chunk_id"].to_numpy(), k, threshold)), left["query_id"].to_numpy())
-
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(cell, _PAIR)
+        (query_ids, asking), (ids, held) = comparable(left, "query_id"), comparable(right, "chunk_id")
+        best, numbers = KBest(len(query_ids), k, threshold), np.arange(len(query_ids))
+        if len(query_ids) and len(ids):
+            for low in range(0, len(ids), tile):
+                block, names = held[low: low + tile], ids[low: low + tile]
+                for first in range(0, len(query_ids), tile):
+                    best.compare(asking[first: first + tile], numbers[first: first + tile], block, names)
+        row, chunk, sim = best.found()
+        return pd.DataFrame({"query_id": query_ids[row], "chunk_id": chunk, "similarity": sim}).astype({"query_id": "int64", "chunk_id": "int64", "similarity": "float64"})
+
+    return q.groupBy("qg", "cg").cogroup(c.groupBy("qg", "cg")).applyInPandas(cell, _PAIR)
 
 
 # ---------------------------------------------------------------- ranking

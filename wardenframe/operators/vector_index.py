@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardenframe.operators.retrieval import SIMILARITY_THRESHOLD, TILE_BYTES
+from wardenframe.operators.retrieval import PRODUCT_BYTES, SIMILARITY_THRESHOLD, TILE_BYTES, KBest, comparable
 from wardenframe.session import materialise
 
 #: Vectors that cells are fitted on, per cell; most cells; rounds of the fit. Their product with the dimensions bounds the fit and what tasks are sent.
@@ -27,6 +27,8 @@ SAMPLE_PER_CELL, MOST_CELLS, FIT_ROUNDS = 64, 4096, 10
 ANGLE_SLACK = 1e-6
 #: Cell of vectors without a direction (all zero).
 NO_CELL = -1
+#: Rows of probes that a task puts out at once.
+PROBE_ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,14 @@ def _units(vectors: list) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
+def _slabs(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of so few that arrays of ``width`` numbers per row stay small."""
+    rows = max(1, PRODUCT_BYTES // (8 * max(width, 1)))
+    for pdf in frames:
+        for low in range(0, len(pdf), rows):
+            yield pdf.iloc[low: low + rows]
+
+
 def _angles(units: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ centroids.T, -1.0, 1.0))
 
@@ -80,7 +90,7 @@ def build_index(chunks: DataFrame, cells: int | None = None, seed: int = 1) -> V
     centroids = fit_cells(distinct, cells, seed)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in _slabs(frames, len(centroids)):
             units = _units(pdf["vector"].tolist())
             if len(centroids):
                 angles = _angles(units, centroids)
@@ -104,34 +114,79 @@ def build_index(chunks: DataFrame, cells: int | None = None, seed: int = 1) -> V
 _FOUND = "query_rep long, rep long, similarity double"
 
 
+def _rows_per_block(index: VectorIndex, tile_bytes: int) -> int:
+    return max(1, tile_bytes // (8 * max(index.centroids.shape[1] if len(index.centroids) else 1, 1)))
+
+
+def _cell_groups(index: VectorIndex, rows: int) -> dict[int, int]:
+    """Group of each cell: neighbours by number share one up to ``rows`` entries, a larger cell has its own."""
+    groups, group, held = {}, -1, rows
+    for cell in sorted(index.entries):
+        if held + index.entries[cell] > rows:
+            group, held = group + 1, 0
+        groups[cell] = group
+        held += index.entries[cell]
+    return groups
+
+
+def _probes(pdf: pd.DataFrame, row: np.ndarray, cell: np.ndarray, groups: dict[int, int]) -> Iterator[pd.DataFrame]:
+    """One row per query and group of cells, with the cells that it asks for there; ``row`` and ``cell`` are the pairs."""
+    known = sorted(groups)
+    group = np.array([groups[c] for c in known], int)[np.searchsorted(known, cell)]
+    order = np.lexsort((cell, group, row))
+    row, cell, group = row[order], cell[order], group[order]
+    begin = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(group) != 0)]) if len(row) else np.zeros(0, int)
+    end = np.r_[begin[1:], len(row)].astype(int)
+    for low in range(0, len(begin), PROBE_ROWS):
+        b, e = begin[low: low + PROBE_ROWS], end[low: low + PROBE_ROWS]
+        yield pd.DataFrame({
+            "query_rep": pdf["query_rep"].to_numpy()[row[b]], "vector": pdf["vector"].iloc[row[b]].to_numpy(),
+            "cell_group": group[b].astype("int32"), "cells": [cell[x:y].astype("int32") for x, y in zip(b, e)],
+        })
+
+
 def _scan(index: VectorIndex, probes: DataFrame, k: int, threshold: float, tile_bytes: int) -> DataFrame:
-    """The k best entries of the probed lists per query and block; probes are (query_rep, vector, cell)."""
-    rows = max(1, tile_bytes // (8 * max(index.centroids.shape[1] if len(index.centroids) else 1, 1)))
+    """The k best entries of the probed lists per query and block; probes are (query_rep, vector, cell_group, cells).
+
+    A query travels once to each group of cells it probes, however many of its cells these are.
+    """
+    rows = _rows_per_block(index, tile_bytes)
     spark = probes.sparkSession
-    # Lists and probes of a cell are cut into blocks, which meet pairwise; one row per cell.
-    asked = probes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("query_blocks"))
-    held = spark.createDataFrame([(c, -(-n // rows)) for c, n in index.entries.items()], "cell int, blocks int")
-    sizes = F.broadcast(held.join(asked, "cell"))
+    groups = _cell_groups(index, rows)
+    entries: dict[int, int] = {}
+    for c, g in groups.items():
+        entries[g] = entries.get(g, 0) + index.entries[c]
+    # Lists and probes of a group are cut into blocks, which meet pairwise; one row per group, or per cell.
+    asked = probes.groupBy("cell_group").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("query_blocks"))
+    held = spark.createDataFrame([(g, -(-n // rows)) for g, n in entries.items()], "cell_group int, blocks int")
+    sizes = F.broadcast(held.join(asked, "cell_group"))
+    group_of = F.broadcast(spark.createDataFrame(list(groups.items()), "cell int, cell_group int"))
 
     def spread(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    left = probes.join(sizes, "cell").select("cell", "query_rep", "vector", F.pmod(F.xxhash64("query_rep"), "query_blocks").cast("int").alias("query_block"), spread("blocks").alias("block"))
-    right = index.lists.join(sizes, "cell").select("cell", "rep", "vector", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), spread("query_blocks").alias("query_block"))
-
-    def cell(asking: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, float]] = []
-        if len(asking) and len(entries):
-            sim = _units(asking["vector"].tolist()) @ _units(entries["vector"].tolist()).T
-            queries, reps = asking["query_rep"].to_numpy(), entries["rep"].to_numpy()
-            for row in range(len(sim)):
-                hits = np.flatnonzero(sim[row] >= threshold)
-                order = hits[np.lexsort((reps[hits], -sim[row, hits]))[:k]]
-                found += zip([int(queries[row])] * len(order), reps[order].tolist(), sim[row, order].tolist())
-        return pd.DataFrame(found, columns=["query_rep", "rep", "similarity"]).astype({"query_rep": "int64", "rep": "int64", "similarity": "float64"})
-
-    keys = ["cell", "block", "query_block"]
-    return _best(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, _FOUND), "query_rep", "rep", k)
+    left = probes.join(sizes, "cell_group").select("cell_group", "query_rep", "vector", "cells", F.pmod(F.xxhash64("query_rep"), "query_blocks").cast("int").alias("query_block"), spread("blocks").alias("block"))
+    right = index.lists.join(group_of, "cell").join(sizes, "cell_group").select("cell_group", "cell", "rep", "vector", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), spread("query_blocks").alias("query_block"))
+
+    def group(asking: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        best = KBest(len(asking), k, threshold)
+        queries = asking["query_rep"].to_numpy() if len(asking) else np.zeros(0, int)
+        if len(asking) and len(listed):
+            units = _units(asking["vector"].tolist())
+            counts = asking["cells"].map(len).to_numpy()
+            row, wanted = np.repeat(np.arange(len(asking)), counts), np.concatenate(asking["cells"].tolist())
+            order = np.argsort(wanted, kind="stable")
+            row, wanted = row[order], wanted[order]
+            for cell, entries in listed.groupby("cell"):
+                at = row[np.searchsorted(wanted, cell, "left"): np.searchsorted(wanted, cell, "right")]
+                if len(at):
+                    ids, vectors = comparable(entries, "rep")
+                    best.compare(units[at], at, vectors, ids)
+        at, rep, sim = best.found()
+        return pd.DataFrame({"query_rep": queries[at], "rep": rep, "similarity": sim}).astype({"query_rep": "int64", "rep": "int64", "similarity": "float64"})
+
+    keys = ["cell_group", "block", "query_block"]
+    return _best(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(group, _FOUND), "query_rep", "rep", k)
 
 
 def _best(found: DataFrame, query: str, entry: str, k: int) -> DataFrame:
@@ -150,9 +205,10 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, threshold: floa
     distinct, asked_by = _with_representative(queries, "query_id")
     centroids, widest, filled = index.centroids, index.widest, np.array(sorted(c for c in index.entries if c != NO_CELL), int)
     aimless = NO_CELL in index.entries
+    groups = _cell_groups(index, _rows_per_block(index, tile_bytes))
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in _slabs(frames, len(filled)):
             units = _units(pdf["vector"].tolist())
             cells = np.zeros((len(units), 0), int)
             if len(filled):
@@ -161,15 +217,15 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, threshold: floa
             if aimless:
                 cells = np.column_stack([cells, np.full(len(units), NO_CELL)])
             count = cells.shape[1]
-            yield pd.DataFrame({"query_rep": np.repeat(pdf["query_rep"].to_numpy(), count), "vector": pdf["vector"].repeat(count).to_numpy(), "cell": cells.ravel()})
+            yield from _probes(pdf, np.repeat(np.arange(len(pdf)), count), cells.ravel(), groups)
 
     asking = distinct.withColumnRenamed("rep", "query_rep")
-    probe_schema = "query_rep long, vector array<double>, cell int"
+    probe_schema = "query_rep long, vector array<double>, cell_group int, cells array<int>"
     first = materialise(asking.mapInPandas(nearest, probe_schema), "index-probes")
     found = materialise(_scan(index, first, k, threshold, tile_bytes), "index-found")
     if exact and len(filled):
         def further(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
+            for pdf in _slabs(frames, len(filled)):
                 units = _units(pdf["vector"].tolist())
                 angles = _angles(units, centroids[filled])
                 seen = np.argsort(angles, axis=1, kind="stable")[:, :probes]
@@ -178,7 +234,7 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, threshold: floa
                 open_ = least >= pdf["bound"].to_numpy()[:, None] - ANGLE_SLACK
                 np.put_along_axis(open_, seen, False, axis=1)
                 row, at = np.nonzero(open_)
-                yield pd.DataFrame({"query_rep": pdf["query_rep"].to_numpy()[row], "vector": pdf["vector"].iloc[row].to_numpy(), "cell": filled[at]})
+                yield from _probes(pdf, row, filled[at], groups)
 
         worst = found.groupBy("query_rep").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least"))
         bounded = asking.join(worst, "query_rep", "left").select("query_rep", "vector", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(float(threshold))).alias("bound"))
@@ -203,7 +259,7 @@ def tuned_probes(index: VectorIndex, queries: DataFrame, k: int, threshold: floa
     centroids, filled = index.centroids, np.array(sorted(c for c in index.entries if c != NO_CELL), int)
 
     def depth(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in _slabs(frames, len(filled)):
             order = np.argsort(_angles(_units(pdf["vector"].tolist()), centroids[filled]), axis=1, kind="stable")
             yield pd.DataFrame({"depth": 1 + (filled[order] == pdf["cell"].to_numpy()[:, None]).argmax(axis=1)})
 
