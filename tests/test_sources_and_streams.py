@@ -465,3 +465,26 @@ def test_sinks_that_are_not_there(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         stream_sinks.committed_rows(spark, str(tmp_path / "none"))
     assert stream_sinks.read_ledger(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_one_document_from_records_that_pass(spark, tmp_path):
+    import json
+
+    from wardenframe.plans.files import _as_document
+
+    for n in (0, 1, 25):
+        rows = spark.range(0, n, 1, 5).selectExpr("to_json(struct(id)) AS value")
+        rows.coalesce(1).mapInArrow(_as_document('{"records": [', "]}"), "value string").write.text(f"{tmp_path}/{n}")
+        text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/{n}").collect())
+        assert sorted(r["id"] for r in json.loads(text)["records"]) == list(range(n))
+
+
+def test_array_scan_sorts_few_rows(spark, tmp_path):
+    """Pieces of a split are joined and sorted as few rows; each was one row."""
+    import pyarrow as pa
+
+    from wardenframe.sources import json_arrays as ja
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 5 + ["g"]), pa.array([0, 0, 0, 9, 9, 9]), pa.array(range(6)), pa.array(["a", "", "é", "c", "d", "e"])], ["file", "block", "at", "value"])
+    out = [r for b in ja._packed(iter([batch])) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in out] == [("f", 0, 0, "a}}é".encode()), ("f", 9, 3, b"c}d"), ("g", 9, 5, b"e")]

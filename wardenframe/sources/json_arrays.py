@@ -12,12 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardenframe.session import materialise
 from wardenframe.sources.scans import WRAPPER_KEYS
 
+#: Text that is gone through at once, if no single piece is longer.
+CHUNK_BYTES = 1 << 20
 _QUOTE, _BACKSLASH, _OPEN, _CLOSE, _LIST, _END = (ord(c) for c in '"\\{}[]')
 
 
@@ -50,12 +53,27 @@ def _chunks(batches: Iterator[pa.RecordBatch], carried: tuple[str, ...]) -> Iter
     now = None
     for batch in batches:
         names = list(zip(*(batch.column(c).to_pylist() for c in ("file", "block", *carried))))
-        texts = batch.column("value").cast(pa.binary()).to_pylist()
-        first = 0
+        texts = batch.column("value").cast(pa.binary())
+        lengths = pc.binary_length(texts).to_pylist()
+        first, held = 0, 0
         for k in range(1, len(names) + 1):
-            if k == len(names) or names[k][:2] != names[first][:2]:
-                yield names[first], names[first][:2] != now, b"}".join(texts[first:k]) + b"}"
-                now, first = names[first][:2], k
+            held += lengths[k - 1]
+            if k == len(names) or names[k][:2] != names[first][:2] or held + lengths[k] > CHUNK_BYTES:
+                yield names[first], names[first][:2] != now, b"}".join(texts.slice(first, k - first).to_pylist()) + b"}"
+                now, first, held = names[first][:2], k, 0
+
+
+_PACKED = "file string, block long, at long, value binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a split that come in one batch as one row, so that what is joined and sorted is few rows, with their file named once."""
+    for batch in batches:
+        names = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()))
+        at, texts = batch.column("at").to_pylist(), batch.column("value").cast(pa.binary()).to_pylist()
+        begin = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+        rows = [(*names[low], at[low], b"}".join(texts[low:high])) for low, high in zip(begin, [*begin[1:], len(names)])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=[c.split()[0] for c in _PACKED.split(", ")])
 
 
 _EFFECT = "file string, block long, flips int, plain long, quoted long"
@@ -173,15 +191,16 @@ def read_json_arrays(spark: SparkSession, path: str, pattern: str = "*", keys: t
     leaves out all others.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "}")
-    pieces = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    read = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    pieces = read.mapInArrow(_packed, _PACKED)
     if files is not None:
         pieces = pieces.join(files.select("file"), "file", "left_semi").sortWithinPartitions("file", "block", "at")
-    first = pieces.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("text"))
+    first = pieces.where("block = 0").groupBy("file").agg(F.min_by("value", "at").cast("string").alias("text"))
     kinds = first.select("file", F.col("text").rlike(r"^[\s\x{FEFF}]*\[").alias("plain"))
     ordered = Window.partitionBy("file").orderBy("block")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     # One row per split from here on: how it begins follows from the splits before it.
-    effects = materialise(pieces.mapInArrow(_effects, _EFFECT), "json-splits").groupBy("file", "block").agg(F.sum("flips").alias("flips"), F.sum("plain").alias("plain_depth"), F.sum("quoted").alias("quoted_depth"))
+    effects = materialise((read if files is None else pieces).mapInArrow(_effects, _EFFECT), "json-splits").groupBy("file", "block").agg(F.sum("flips").alias("flips"), F.sum("plain").alias("plain_depth"), F.sum("quoted").alias("quoted_depth"))
     begun = effects.withColumn("inside", F.coalesce(F.sum("flips").over(before), F.lit(0)) % 2 == 1)
     begun = begun.withColumn("depth", F.coalesce(F.sum(F.when(F.col("inside"), F.col("quoted_depth")).otherwise(F.col("plain_depth"))).over(before), F.lit(0)))
     begun = materialise(begun.select("file", "block", "inside", "depth").join(kinds, "file"), "json-begins")
