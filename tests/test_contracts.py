@@ -100,3 +100,30 @@ def test_pairs_that_cannot_match_are_left_out_before_python(spark):
     left = {(r.a, r.b) for r in df.where(ct.could_match(F.col("a"), F.col("ca"), F.col("b"), F.col("cb"), 0.82)).collect()}
     similar = {(a, b) for a, b in pairs if difflib.SequenceMatcher(None, a, b).ratio() >= 0.82}
     assert similar <= left and len(left) < len(set(pairs)) / 4
+
+
+def test_tasks_of_the_resolution_follow_its_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(f"f{f}", p, n) for f in range(400) for p, n in enumerate(("claim_id", "npi", "Claim Date", "amount", "other"))]
+    rows += [("f0", 5, None), (None, 0, "claim_id")]
+    catalogue = spark.createDataFrame(rows, "file_id string, pos int, column_name string")
+    whole = ct.resolve_columns(catalogue, [ct.CLAIMS])
+    monkeypatch.setattr(ct, "PROPOSALS_PER_TASK", 100)
+    spread = ct.resolve_columns(catalogue, [ct.CLAIMS])
+    # 1601 proposals, repeated words that compress well.
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 8 and sum(sizes) == 1601 and max(sizes) < 400
+    assert sorted(map(str, spread.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_headers_of_many_orders_are_made_by_many_tasks(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+    from wardenframe.plans import headers
+
+    spark.range(500).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    whole = headers.landed(spark, str(tmp_path))
+    monkeypatch.setattr(headers, "ORDERS_PER_TASK", 50)
+    spread = headers.landed(spark, str(tmp_path))
+    assert spread.select(F.spark_partition_id().alias("p")).distinct().count() == 10
+    assert sorted(map(str, spread.collect())) == sorted(map(str, whole.collect()))

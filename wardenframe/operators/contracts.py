@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardenframe.functions.columns import pin
+from wardenframe.session import materialise
 
 FUZZY_THRESHOLD = 0.82
 MIN_CONFIDENCE = 0.6
+#: Proposals of canonical names that one task sorts and groups.
+PROPOSALS_PER_TASK = 150_000
 
 
 @dataclass(frozen=True)
@@ -254,16 +256,20 @@ def resolve_columns(
     """
     spark = catalogue.sparkSession
     # Names repeat over files, so text work is done once per distinct name and joined back.
-    names = pin(catalogue.select("column_name").distinct(), normalise_name(F.col("column_name")).alias("norm"))
+    names = catalogue.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))
+    names = materialise(names.withColumn("norm", normalise_name(F.col("column_name"))), "header-names")
     similar = fuzzy_candidates(names.select("norm").distinct(), contracts, threshold, similarity)
     method = F.when(F.col("norm") == normalise_name(F.col("canonical")), "exact").otherwise("alias")
     known = vocabulary_table(spark, contracts).withColumnRenamed("known", "norm").select(
         "norm", "schema", "canonical", F.lit(1.0).alias("score"), F.lit(1).alias("choice"), F.lit(0).alias("kind"), method.alias("method")
     )
     meanings = known.unionByName(similar.withColumns({"kind": F.lit(1), "method": F.lit("fuzzy")}))
-    proposals = catalogue.join(names.join(meanings, "norm").drop("norm"), "column_name")
-    # One exchange serves the cut and the grouping.
-    placed = proposals.repartition("file_id", "schema")
+    meanings = materialise(names.join(meanings, "norm").drop("norm"), "header-meanings")
+    # One exchange of the narrow rows serves the cut and the grouping. They repeat the same few words and shrink to a tenth
+    # when compressed, so tasks sized by compressed bytes would sort millions of them; their number follows the rows instead.
+    proposed = meanings.agg(F.sum("_n")).first()[0] or 0  # one number
+    dealt = catalogue.select("file_id", "pos", "column_name").repartition(max(-(-proposed // PROPOSALS_PER_TASK), 1), "file_id")
+    placed = dealt.join(meanings.drop("_n"), "column_name")
     most = 2 * max(len(k.required) for k in contracts)
     rank = F.row_number().over(Window.partitionBy("file_id", "schema", "canonical", "kind").orderBy("pos"))
     short = placed.withColumn("_r", rank).where(F.col("_r") <= most)

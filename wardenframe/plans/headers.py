@@ -14,6 +14,8 @@ from wardenframe.plans.registry import query
 from wardenframe.sources.tables import read_table
 
 CONTRACTS = (ct.CLAIMS, ct.PHARMACY)
+#: Orders that one task turns into headers, about eight rows each.
+ORDERS_PER_TASK = 250_000
 
 
 def _spellings(name: str, alias: str) -> tuple[str, str, str, str]:
@@ -46,6 +48,9 @@ CATALOGUE_SQL = (
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = spark.createDataFrame(header_rows(), "family int, pos int, v0 string, v1 string, v2 string, v3 string")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    tasks = -(-orders.count() // ORDERS_PER_TASK)
+    if tasks > 1:
+        orders = orders.repartition(tasks, "o_orderkey")
     files = orders.join(F.broadcast(headers), F.col("family") == F.col("o_orderkey") % 4)
     return files.where("(o_orderkey * 3 + pos * 7) % 10 >= o_orderkey % 8").selectExpr(
         "concat('file-', CAST(o_orderkey AS STRING)) AS file_id",
