@@ -59,3 +59,10 @@ def test_texts_name_the_model_of_the_column(spark):
     changes = [F.lit(None).cast("double").alias(c) for _, c, _ in ph.EXTREME_RULES]
     row = spark.range(1).select(F.lit(False).alias("rule_anomaly"), F.lit("").alias("rule_reason"), F.lit(True).alias("ml_anomaly"), F.lit("Model X").alias("ml_model"), *changes)
     assert ph.decide(row).first().explanation == "Model X identified unusual pharmacy behavior"
+
+
+def test_rules_run_once_before_the_percentiles_of_the_score(spark):
+    from wardenframe.plans import authorization
+
+    df = authorization.modelled(spark, "/root/testdata/sf0.001")
+    assert df.inputFiles() and not [f for f in df.inputFiles() if "/orders.parquet" in f]

@@ -114,7 +114,8 @@ def with_model(df: DataFrame) -> DataFrame:
 
 
 def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_model(ruled(spark, sf_dir))
+    # The percentiles of the score take several passes, each of which would look for duplicate records again.
+    return with_model(materialise(ruled(spark, sf_dir), "auth-rules"))
 
 
 @query("auth_score_severity", "L7", MODEL_SQL + " SELECT authorization_id, ml_anomaly_score, ml_anomaly_flag, ml_anomaly_severity FROM au_ml")
