@@ -66,3 +66,14 @@ def test_rules_run_once_before_the_percentiles_of_the_score(spark):
 
     df = authorization.modelled(spark, "/root/testdata/sf0.001")
     assert df.inputFiles() and not [f for f in df.inputFiles() if "/orders.parquet" in f]
+
+
+def test_medians_of_the_models_read_written_features(spark, monkeypatch):
+    from wardenframe.operators import cleaning
+    from wardenframe.plans import models
+
+    seen = []
+    fit = cleaning.fit_medians
+    monkeypatch.setattr(cleaning, "fit_medians", lambda df, columns: seen.extend(df.inputFiles()) or fit(df, columns))
+    models.model_input(spark, DIR)
+    assert seen and not [f for f in seen if f.startswith(f"file:{DIR}") or f.startswith(f"file://{DIR}")]

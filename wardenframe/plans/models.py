@@ -23,7 +23,7 @@ KEYS = ("plan_id", "issuer_id")
 
 def model_input(spark, sf_dir):
     """Filled features, written once: every model pass reads them several times."""
-    df = features(spark, sf_dir).select(*KEYS, *STAT_FEATURES)
+    df = materialise(features(spark, sf_dir).select(*KEYS, *STAT_FEATURES), "model-features")  # the medians take several passes
     return materialise(cl.impute(df, STAT_FEATURES, cl.fit_medians(df, STAT_FEATURES)), "model-input")
 
 
