@@ -77,3 +77,13 @@ def test_medians_of_the_models_read_written_features(spark, monkeypatch):
     monkeypatch.setattr(cleaning, "fit_medians", lambda df, columns: seen.extend(df.inputFiles()) or fit(df, columns))
     models.model_input(spark, DIR)
     assert seen and not [f for f in seen if f.startswith(f"file:{DIR}") or f.startswith(f"file://{DIR}")]
+
+
+def test_medians_read_written_distinct_rows(spark, monkeypatch):
+    seen = []
+    fit = fusion.cl.fit_medians
+    monkeypatch.setattr(fusion.cl, "fit_medians", lambda df, columns: seen.append(df) or fit(df, columns))
+    df = spark.createDataFrame([(i % 50, float(i % 5), None if i % 7 == 0 else float(i % 3)) for i in range(200)], "id int, a double, b double")
+    named, ready, names = fusion.model_rows(df, ["id"], ["a", "b"], "test", fusion.cl.standard_scale)
+    assert all("test-features" in f for f in seen[0].inputFiles()) and all("test-features" in f for f in ready.inputFiles())
+    assert seen[0].count() == ready.count() == named.select(*names).distinct().count() < named.count() == 200

@@ -98,6 +98,57 @@ def test_rounds_over_a_table_in_one_file_are_shared_out(spark, monkeypatch):
     assert np.allclose(centres, [points[:25_000].mean(axis=0), points[25_000:].mean(axis=0)])
 
 
+def test_rounds_read_blocks_of_all_rows(spark, monkeypatch):
+    """A round hands Python blocks, not rows, and adds up what a plain loop does, ties to the first centre."""
+    written = {}
+    monkeypatch.setattr(cu, "materialise", lambda df, label, keep=cu.materialise: written.setdefault(label, keep(df, label)))
+    points = np.random.default_rng(8).normal(size=(9_000, 3)).round(1)
+    df = spark.createDataFrame(pd.DataFrame(points, columns=["a", "b", "c"])).coalesce(1)
+    cu.fit_clusters(df, ["a", "b", "c"], k=2, starts=2)
+    blocks = written["cluster-blocks"]
+    inside = np.concatenate([np.frombuffer(r["block"]).reshape(-1, 3) for r in blocks.collect()])
+    assert blocks.count() <= 4 and np.array_equal(inside[np.lexsort(inside.T)], points[np.lexsort(points.T)])
+    centres = {3: np.array([[0.0, 0, 0], [1, 0, 0], [1, 0, 0]]), 7: np.array([[-1.0, 0, 0], [0, 2, 0]])}  # rows between two centres, and two alike
+    sums, counts, costs = cu._round(blocks, centres)
+    for s, c in centres.items():
+        far = ((points[:, None] - c[None]) ** 2).sum(axis=2)
+        best = far.min(axis=1)
+        own = np.array([next(g for g in range(len(c)) if row[g] <= least + 1e-9) for row, least in zip(far, best)])
+        clear = (np.sort(far, axis=1)[:, 1] - best > 1e-9).sum()
+        assert counts[s].sum() == len(points) and np.isclose(costs[s], best.sum()) and np.allclose(sums[s].sum(axis=0), points.sum(axis=0))
+        assert abs(counts[s] - np.bincount(own, minlength=len(c))).max() <= len(points) - clear
+    assert counts[3][2] == 0
+
+
+def test_starts_alike_advance_once():
+    a, b = np.array([[1.0, 2], [3, 4]]), np.array([[1.0, 2], [3, 5]])
+    assert list(cu._unlike({0: a, 1: b, 2: a[::-1], 3: b})) == [0, 1]
+
+
+def test_distances_are_written_before_their_quantile(cloud):
+    _, df = cloud
+    model = cu.PeerGroups(np.array([[0.0, 0, 0], [12, 12, 12]]), 0.0)
+    got = cu.assign(df, model, ["a", "b", "c"], ["id"], 0.99)
+    assert got.inputFiles() and all("cluster-distances" in f for f in got.inputFiles())
+    assert got.where("cluster_anomaly").count() == 6
+
+
+def test_levelled_trees_are_walked_as_their_nodes_say():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(300, 4)).round(1), np.full((1, 4), np.nan), np.full((1, 4), 50.0)])
+    grown = [[tuple(r) for r in fo._grow(x[rng.choice(300, 64)], t, 6, 1).itertuples(index=False)] for t in range(20)]
+    grown.append([(20, 0, -1, 0.0, -1, -1, 64, 0)])  # equal points only
+
+    def walk(rows, v):
+        node = rows[0]
+        while node[2] >= 0:
+            node = rows[node[4] if v[node[2]] <= node[3] else node[5]]
+        return node[7] + fo.expected_path(node[6])
+
+    want = [sum(walk(rows, v) for rows in grown) for v in x]
+    assert np.allclose(fo._paths(x, [fo._levelled(rows, 6) for rows in grown], 6), want, rtol=1e-12)
+
+
 def test_clusters_of_few_points(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 5.0)], "id long, a double")
     model = cu.fit_clusters(df, ["a"], k=5)

@@ -21,8 +21,9 @@ from wardenframe.session import materialise
 
 #: Rows, chosen by hash, on which the centres of all starts are chosen and settled first; a centre that moves less far stands still.
 SEED_ROWS, STILL = 4096, 1e-4
-#: Rows of a task of a round, where there are more than that.
-ROWS_PER_TASK = 20_000
+#: Rows of a task that deals them out before the rounds, where there are more than that; rows of a block, which is one value of a round's table; rows of a
+#: product, whose results stay in the cache.
+ROWS_PER_TASK, BLOCK_ROWS, PRODUCT_ROWS = 20_000, 4096, 1024
 
 
 @dataclass(frozen=True)
@@ -54,13 +55,30 @@ def _spread_out(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarra
     return np.array(chosen)
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray, squares: np.ndarray | None = None) -> np.ndarray:
-    """Number of the nearest centre; ``squares`` are the rows' squared lengths, where they are known."""
-    squares = (x * x).sum(axis=1) if squares is None else squares
-    far = squares[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre."""
+    far = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
     return far.argmin(axis=1)
 
 
+def _mark_least(far: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The least value of each column; ``mark`` gets 1 at the first row that has it, 0 elsewhere."""
+    least = far.min(axis=0)
+    np.equal(far, least, out=mark)
+    if np.count_nonzero(mark) != len(least):
+        mark[:] = 0
+        mark[far.argmin(axis=0), np.arange(len(least))] = 1
+    return least
+
+
+def _unlike(starts: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The first of the starts that have the same centres in any order; the others would take the same way."""
+    first: dict[bytes, int] = {}
+    for s, c in starts.items():
+        first.setdefault(c[np.lexsort(c.T[::-1])].tobytes(), s)
+    return {s: starts[s] for s in first.values()}
+
+
 def _moved(old: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Centres in the middle of their rows; one without rows stays."""
     return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], old)
@@ -89,27 +107,49 @@ def _settled(rows: np.ndarray, centres: np.ndarray, max_iter: int) -> np.ndarray
     return centres
 
 
-def _round(data: DataFrame, centres: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], dict[int, float]]:
-    """By start: sums and counts of the rows of each centre, and the cost of the centres that went in."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {s: np.zeros((len(c), c.shape[1] + 2)) for s, c in centres.items()}
+def _blocks(data: DataFrame) -> DataFrame:
+    """The rows as blocks of doubles, written once. A round then hands Python a few large values instead of each number by itself, which took most of its time."""
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             x = pdf.to_numpy(float)
-            rows = np.ascontiguousarray(x)
-            squares = (x * x).sum(axis=1)
-            for s, c in centres.items():
-                own = _nearest(x, c, squares)
-                sums[s][:, :-2] += _summed(own, rows, len(c))
-                sums[s][:, -2] += np.bincount(own, minlength=len(c))
-                sums[s][:, -1] += np.bincount(own, ((x - c[own]) ** 2).sum(axis=1), len(c))
-        yield pd.DataFrame([(s, g, t[g].tolist()) for s, t in sums.items() for g in range(len(t))], columns=["start", "group", "sums"])
-
-    parts = data.mapInPandas(run, "start int, group int, sums array<double>").select("start", "group", F.posexplode("sums").alias("at", "value"))
+            yield pd.DataFrame({"block": [x[i:i + BLOCK_ROWS].tobytes() for i in range(0, len(x), BLOCK_ROWS)]})
+
+    return materialise(data.mapInPandas(pack, "block binary"), "cluster-blocks")
+
+
+def _round(blocks: DataFrame, centres: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], dict[int, float]]:
+    """By start: sums and counts of the rows of each centre, and the cost of the centres that went in."""
+    stacked = np.concatenate(list(centres.values()))
+    away, half = -stacked, (stacked * stacked).sum(axis=1)[:, None] / 2
+    ends = np.cumsum([len(c) for c in centres.values()])
+    spans = list(zip((0, *ends[:-1]), ends))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(stacked), stacked.shape[1] + 2))
+        space = np.empty((2, len(stacked) * PRODUCT_ROWS))  # filled anew for every few rows, so that it stays in the cache
+        for block in (b for pdf in frames for b in pdf["block"]):
+            rows = np.frombuffer(block).reshape(-1, stacked.shape[1])
+            for i in range(0, len(rows), PRODUCT_ROWS):
+                x = rows[i:i + PRODUCT_ROWS]
+                near, mine = (s[:len(stacked) * len(x)].reshape(len(stacked), len(x)) for s in space)
+                # Half the squared distance without the row's own length, to the centres of all starts in one product.
+                np.matmul(away, x.T, out=near)
+                near += half
+                length = (x * x).sum()
+                for first, end in spans:
+                    sums[first, -1] += length + 2 * _mark_least(near[first:end], mine[first:end]).sum()
+                sums[:, :-2] += mine @ x
+                sums[:, -2] += mine.sum(axis=1)
+        yield pd.DataFrame([(s, g, sums[first + g].tolist()) for s, (first, end) in zip(centres, spans) for g in range(end - first)], columns=["start", "group", "sums"])
+
+    parts = blocks.mapInPandas(run, "start int, group int, sums array<double>")
+    # A task has few sums; dealt to all shuffle partitions they would be files of a row or two each.
+    met = parts.repartition(min(blocks.sparkSession.sparkContext.defaultParallelism, len(stacked)), "start", "group").select("start", "group", F.posexplode("sums").alias("at", "value"))
     # Starts x groups x features numbers.
     totals = {s: np.zeros((len(c), c.shape[1] + 2)) for s, c in centres.items()}
-    for r in parts.groupBy("start", "group", "at").agg(F.sum("value").alias("value")).collect():
+    for r in met.groupBy("start", "group", "at").agg(F.sum("value").alias("value")).collect():
         totals[r["start"]][r["group"], r["at"]] = r["value"]
-    return {s: t[:, :-2] for s, t in totals.items()}, {s: t[:, -2] for s, t in totals.items()}, {s: float(t[:, -1].sum()) for s, t in totals.items()}
+    return {s: t[:, :-2] for s, t in totals.items()}, {s: t[:, -2] for s, t in totals.items()}, {s: max(float(t[:, -1].sum()), 0.0) for s, t in totals.items()}
 
 
 def fit_clusters(df: DataFrame, features: Sequence[str], k: int = 5, starts: int = 10, max_iter: int = 300, seed: int = 42) -> PeerGroups:
@@ -125,10 +165,11 @@ def fit_clusters(df: DataFrame, features: Sequence[str], k: int = 5, starts: int
     rows = np.array([list(r) for r in near.collect()], float).reshape(-1, len(features))
     if not len(rows):
         raise ValueError("no rows to cluster")
-    moving = {s: _settled(rows, _spread_out(rows, k, np.random.default_rng(seed + s)), max_iter) for s in range(starts)}
+    moving = _unlike({s: _settled(rows, _spread_out(rows, k, np.random.default_rng(seed + s)), max_iter) for s in range(starts)})
+    blocks = _blocks(data)
     done: dict[int, tuple[float, np.ndarray]] = {}
     for n in range(max_iter + 1):
-        sums, counts, costs = _round(data, moving)
+        sums, counts, costs = _round(blocks, moving)
         for s in list(moving):
             old = moving[s]
             new = _moved(old, sums[s], counts[s])
@@ -154,7 +195,9 @@ def assign(df: DataFrame, model: PeerGroups, features: Sequence[str], keep: Sequ
     # The nearest centre is the least of (distance, number).
     nearest = F.array_min(F.array(*[F.struct(gap(c).alias("gap"), F.lit(i).alias("id")) for i, c in enumerate(model.centres)]))
     placed = df.select(*keep, row.alias("_v")).select(*keep, nearest.alias("_n"))
-    near = min_max(placed.select(*keep, F.col("_n.id").alias("cluster_id"), F.sqrt("_n.gap").alias("cluster_distance")), "cluster_distance", "cluster_anomaly_score")
+    # Written once: the range and the quantile take several passes over the distances.
+    distances = materialise(placed.select(*keep, F.col("_n.id").alias("cluster_id"), F.sqrt("_n.gap").alias("cluster_distance")), "cluster-distances")
+    near = min_max(distances, "cluster_distance", "cluster_anomaly_score")
     if anomaly_quantile is None:
         return near.withColumn("cluster_anomaly", F.lit(False))
     cut = with_scalars(near, quantile_row(near, ["cluster_distance"], {"cut": anomaly_quantile}), "_c")

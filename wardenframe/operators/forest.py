@@ -121,37 +121,54 @@ def fit_forest(df: DataFrame, keys: Sequence[str], features: Sequence[str], tree
     return Forest(features, trees, per_tree, rows)
 
 
+def _levelled(rows: Sequence[tuple], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree with all leaves at ``depth``: feature and threshold of inner nodes (children of n are 2n + 1 and 2n + 2) and path lengths of the leaves.
+
+    Below a leaf that is higher up, both children stand for it. The depth is bounded by the sample of a tree.
+    """
+    inner = 2**depth - 1
+    feature, threshold, leaf = np.zeros(inner, np.intp), np.zeros(inner), np.zeros(inner + 1)
+    pending = [(0, 0)]
+    while pending:
+        at, node = pending.pop()
+        _, _, f, cut, left, right, size, level = rows[node]
+        if at >= inner:
+            leaf[at - inner] = level + expected_path(size)
+            continue
+        feature[at], threshold[at] = max(f, 0), cut
+        pending += [(2 * at + 1, left), (2 * at + 2, right)] if f >= 0 else [(2 * at + 1, node), (2 * at + 2, node)]
+    return feature, threshold, leaf
+
+
+def _paths(x: np.ndarray, trees: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> np.ndarray:
+    """Path length of each row, summed over the trees. All rows go down a level together."""
+    flat, starts = np.ascontiguousarray(x).ravel(), np.arange(len(x), dtype=np.intp) * x.shape[1]
+    path = np.zeros(len(x))
+    for feature, threshold, leaf in trees:
+        at = np.zeros(len(x), np.intp)
+        for _ in range(depth):
+            goes_left = flat.take(feature.take(at) + starts) <= threshold.take(at)
+            at += at
+            at += 2
+            at -= goes_left
+        path += leaf.take(at - len(feature))
+    return path
+
+
 def score(df: DataFrame, forest: Forest, keep: Sequence[str], name: str = "isolation_score") -> DataFrame:
     """2^(-mean path / expected path) per row; close to 1 is isolated, about 0.5 is ordinary."""
     trees: dict[int, list] = {}
     for r in forest.nodes:
         trees.setdefault(r[0], []).append(r)
-    arrays = []
-    for rows in trees.values():
-        t = np.array([r[1:] for r in rows], dtype=float)
-        leaf = t[:, 6] + np.array([expected_path(n) for n in t[:, 5]])
-        arrays.append((t[:, 1].astype(int), t[:, 2], t[:, 3].astype(int), t[:, 4].astype(int), leaf))
-    shared = df.sparkSession.sparkContext.broadcast(arrays)
     depth = max((r[7] for r in forest.nodes), default=0)
+    shared = df.sparkSession.sparkContext.broadcast([_levelled(rows, depth) for rows in trees.values()])
     columns, normal = list(forest.features), expected_path(forest.sample) or 1.0
     keep = list(keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            path = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for feature, threshold, left, right, leaf in shared.value:
-                at = np.zeros(len(x), dtype=int)
-                for _ in range(depth):
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    go_left = x[rows, np.where(inner, f, 0)] <= threshold[at]
-                    at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-                path += leaf[at]
             out = pdf[keep].copy()
+            path = _paths(pdf[columns].to_numpy(dtype=float), shared.value, depth)
             out[name] = np.exp2(-(path / max(len(shared.value), 1)) / normal)
             yield out
 

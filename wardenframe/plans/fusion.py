@@ -45,15 +45,15 @@ AUTH_FEATURES = (
 def model_rows(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, scale: Callable[[DataFrame, Sequence[str]], DataFrame]
 ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """``df`` written once, its filled and scaled features, and the key that joins results back.
+    """``df`` written once, its filled and scaled features (distinct rows, also written once), and the key that joins results back.
 
     The key is the business key with a name of the features, so rows that repeat a key neither fan out nor share a score.
     """
     named = materialise(df.withColumn("_row", F.xxhash64(*[F.col(c).cast("double") for c in features])), label)
     names = [*keys, "_row"]
-    values = named.select(*names, *[F.col(c).cast("double").alias(c) for c in features]).dropDuplicates(names)
-    filled = materialise(cl.impute(values, features, cl.fit_medians(values, features)), f"{label}-features")
-    return named, scale(filled, features), names
+    distinct = named.select(*names, *[F.col(c).cast("double").alias(c) for c in features]).dropDuplicates(names)
+    values = materialise(distinct, f"{label}-features")  # the medians take several passes; what follows them is a projection
+    return named, scale(cl.impute(values, features, cl.fit_medians(values, features)), features), names
 
 
 def with_forest(df: DataFrame, keys: Sequence[str], features: Sequence[str], setup: str, label: str, scale=cl.robust_scale) -> DataFrame:
@@ -84,7 +84,8 @@ def with_forest_and_clusters(df: DataFrame, keys: Sequence[str], features: Seque
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ps.fuse(with_forest_and_clusters(prescriber.scored(spark, sf_dir), prescriber.KEYS, PRESCRIBER_FEATURES, "prescriber-scored"))
+    scored = prescriber.scored(spark, sf_dir).drop("reasons", "context_reasons", "evidence")  # their texts, once scored, are not read again
+    return ps.fuse(with_forest_and_clusters(scored, prescriber.KEYS, PRESCRIBER_FEATURES, "prescriber-scored"))
 
 
 _SIGNALS = ("isolation_model", "isolation_anomaly", "isolation_score", "cluster_model", "cluster_anomaly", "cluster_score")
