@@ -120,6 +120,49 @@ def test_rounds_read_blocks_of_all_rows(spark, monkeypatch):
     assert counts[3][2] == 0
 
 
+def test_rounds_over_a_large_table_read_packed_blocks(spark, monkeypatch):
+    """Blocks of a large table are compressed and dealt out; a round over them adds up what a plain loop does, however many tasks have sums."""
+    written = {}
+    monkeypatch.setattr(cu, "materialise", lambda df, label, keep=cu.materialise: written.setdefault(label, keep(df, label)))
+    points = np.random.default_rng(9).integers(0, 9, size=(25_000, 3)).astype(float)
+    df = spark.createDataFrame(pd.DataFrame(points, columns=["a", "b", "c"])).coalesce(1)
+    model = cu.fit_clusters(df, ["a", "b", "c"], k=2, starts=2)
+    blocks = written["cluster-blocks"]
+    assert sum(len(r["block"]) for r in blocks.collect()) < points.nbytes / 3 and blocks.rdd.getNumPartitions() > 1
+    inside = np.concatenate([x.T for r in blocks.collect() for x, _ in cu._pieces(r, 3)])
+    assert np.array_equal(inside[np.lexsort(inside.T)], points[np.lexsort(points.T)])
+    centres = {s: np.random.default_rng(s).uniform(0, 9, size=(n, 3)) for s, n in ((0, 2), (4, 3))}
+    for most in (cu.PARTS_FETCHED, 1):
+        monkeypatch.setattr(cu, "PARTS_FETCHED", most)
+        sums, counts, costs = cu._round(blocks, centres)
+        for s, c in centres.items():
+            far = ((points[:, None] - c[None]) ** 2).sum(axis=2)
+            own = far.argmin(axis=1)
+            assert np.array_equal(counts[s], np.bincount(own, minlength=len(c))) and np.isclose(costs[s], far.min(axis=1).sum())
+            assert np.allclose(sums[s], [points[own == g].sum(axis=0) for g in range(len(c))])
+    far = ((points[:, None] - model.centres[None]) ** 2).sum(axis=2)
+    assert np.isclose(model.cost, far.min(axis=1).sum())
+
+
+def test_place_of_rows_without_a_value(spark):
+    """A row that lacks a value has no distance; the others get theirs."""
+    df = spark.createDataFrame([("x", 1.0, 2.0), ("y", None, 2.0), ("z", 9.0, 9.0)], "id string, a double, b double")
+    got = {r["id"]: r for r in cu.assign(df, cu.PeerGroups(np.array([[0.0, 0], [9, 9]]), 0.0), ["a", "b"], ["id"]).collect()}
+    assert got["x"].cluster_id == 0 and np.isclose(got["x"].cluster_distance, 5**0.5) and got["y"].cluster_distance is None
+    assert (got["z"].cluster_id, got["z"].cluster_distance) == (1, 0.0)
+
+
+def test_scaling_of_a_wide_table(spark, monkeypatch):
+    """A few columns at a time give what all at once give."""
+    from wardenframe.operators import cleaning as cl
+
+    df = spark.createDataFrame([(1.0, 5.0, None, 2.0), (2.0, 5.0, 4.0, 8.0), (4.0, 5.0, 6.0, 9.0)], "a double, b double, c double, d double")
+    whole = cl.standard_scale(df, ["a", "b", "c", "d"]).collect()
+    monkeypatch.setattr(cl, "WIDE", 2)
+    monkeypatch.setattr(cl, "STATS_AT_ONCE", 3)
+    assert cl.standard_scale(df, ["a", "b", "c", "d"]).collect() == whole
+
+
 def test_starts_alike_advance_once():
     a, b = np.array([[1.0, 2], [3, 4]]), np.array([[1.0, 2], [3, 5]])
     assert list(cu._unlike({0: a, 1: b, 2: a[::-1], 3: b})) == [0, 1]

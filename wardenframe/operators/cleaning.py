@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from wardenframe.functions.quantiles import quantile_row
 from wardenframe.operators.profiling import correlation_matrix
 
 MISSING_CATEGORY = "__MISSING__"
+#: Columns from which on a table is wide, and how many of its columns are summed up together.
+WIDE, STATS_AT_ONCE = 100, 32
 # Text read as missing when a text column is tried as numbers.
 NUMBER_BLANKS = ("", "nan", "None", "*", "**", "N/A", "NA")
 
@@ -89,7 +92,10 @@ def impute(df: DataFrame, columns: Sequence[str], medians: DataFrame) -> DataFra
 
 def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / population deviation; a constant column is only centred."""
-    stats = df.agg(*[f(c).alias(f"{c}__{n}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    # Of a wide table a few columns at a time: beyond a hundred Spark neither generates code nor reads columns in batches.
+    step = max(len(columns), 1) if len(columns) <= WIDE else STATS_AT_ONCE
+    groups = [columns[i:i + step] for i in range(0, len(columns), step)]
+    stats = reduce(DataFrame.crossJoin, [df.agg(*[f(c).alias(f"{c}__{n}") for c in some for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]) for some in groups])
     wide = with_scalars(df, stats, "_s")
     scaled = {c: (F.col(c) - F.col(f"_s.{c}__mean")) / F.when(F.col(f"_s.{c}__sd") > 0, F.col(f"_s.{c}__sd")).otherwise(1.0) for c in columns}
     return wide.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
