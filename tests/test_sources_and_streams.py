@@ -83,6 +83,49 @@ def test_ingest_reports_each_file(spark, tmp_path):
     assert {r.claim_id for r in tagged["small"].where("file LIKE '%good%'").collect()} == {"007", "008"}
 
 
+def test_rows_of_few_files_are_not_shuffled_to_meet_their_mapping(spark, tmp_path, monkeypatch):
+    """What is known of few files goes to the rows; of many, both are shuffled, with the same outcome."""
+    from wardenframe.operators import ingest
+
+    contract = Contract(name="small", required=("claim_id", "amount"), types={"amount": "float"}, aliases={"amount": ("billed",)}, conditional={}, allowed={}, non_negative=("amount",), unique=())
+    (tmp_path / "a.csv").write_text("claim_id,BILLED\n007,5\n008,-6\n")
+    (tmp_path / "b.csv").write_text("amount,claim_id\nx,1\n")
+    landed = landing.read_landing(spark, str(tmp_path))
+    files = [r["file"] for r in landed.select("file").distinct().orderBy("file").collect()]
+    resolved = spark.createDataFrame([(files[0], "small", "amount", "BILLED"), (files[1], "small", "amount", "amount")], "file_id string, schema string, canonical string, column_name string")
+    monkeypatch.setattr(ingest, "FILES_SENT", 2)
+    for known, shuffled in ((2, False), (3, True), (None, True)):
+        renamed = ingest.rename_columns(landed, resolved, contract, known)
+        plan = renamed._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" not in plan) == shuffled
+        assert sorted((r.file, r.amount) for r in renamed.collect()) == [(files[0], "-6"), (files[0], "5"), (files[1], "x")]
+    found = []
+    for most in (2, 1):
+        monkeypatch.setattr(ingest, "FILES_SENT", most)
+        report, tagged = ingest_report(landed, [contract])
+        found.append((sorted((r.claim_id, r.amount, len(r.errors)) for r in tagged["small"].collect()), sorted((r.rows, r.valid, r.invalid, r.status) for r in report.collect())))
+    assert found[0] == found[1] == ([("007", "5", 0), ("008", "-6", 1), ("1", "x", 1)], [(1, 0, 1, "FAIL"), (2, 1, 1, "FAIL")])
+
+
+def test_more_claims_are_landed_in_more_parts(spark, tmp_path, monkeypatch):
+    import glob
+
+    from wardenframe.plans import files
+
+    spark.range(300).selectExpr(
+        "id div 4 + 1 AS l_orderkey", "id % 37 AS l_partkey", "id % 5 AS l_suppkey", "CAST(id % 4 + 1 AS INT) AS l_linenumber", "id * 1.5D AS l_extendedprice",
+        "CASE id % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'R' ELSE 'A' END AS l_returnflag", "TIMESTAMP '1997-01-01' AS l_shipdate",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(7).selectExpr("id AS event_id", "id * 2.5D AS value").write.parquet(str(tmp_path / "events.parquet"))
+    folders, found = [], []
+    monkeypatch.setattr(files, "scratch_path", lambda s, label, keep=files.scratch_path: folders.append(keep(s, label)) or folders[-1])
+    for rows in (files.CLAIMS_PER_PART, 60):
+        monkeypatch.setattr(files, "CLAIMS_PER_PART", rows)
+        found.append({r["shape"]: (r["rows"], r["valid"], r["invalid"], r["status"]) for r in files.landing_ingest(spark, str(tmp_path)).collect()})
+    assert found[0] == found[1] and sum(r[0] for k, r in found[0].items() if k != "other") == 300 and found[0]["other"][0] == 7
+    assert [len(glob.glob(f"{f}/reordered/part-*")) for f in folders] == [3, 5]
+
+
 def test_landing_cells_of_awkward_files(spark, tmp_path):
     (tmp_path / "q.csv").write_text('"a,b",c,c,\n"x, ""y""",007,2,z\n1\n,,,\n')
     (tmp_path / "deep").mkdir()

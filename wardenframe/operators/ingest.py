@@ -9,19 +9,27 @@ from pyspark.sql import functions as F
 
 from wardenframe.operators.contracts import Contract, detect_contract, resolve_columns, score_contracts
 from wardenframe.operators.validation import tag_errors
+from wardenframe.session import materialise
 from wardenframe.sources.landing import as_cells, cell_columns
 
 TAGS = ("file", "format")
+#: Files up to which what is known of each is sent to all tasks; of more files, their rows are shuffled to meet it.
+FILES_SENT = 10_000
 
 
-def rename_columns(landed: DataFrame, resolved: DataFrame, contract: Contract) -> DataFrame:
+def _of_file(rows: DataFrame, known: DataFrame, files: int | None) -> DataFrame:
+    """Rows of the files in ``known``, with what it says of each."""
+    return rows.join(F.broadcast(known) if files is not None and files <= FILES_SENT else known, "file")
+
+
+def rename_columns(landed: DataFrame, resolved: DataFrame, contract: Contract, files: int | None = None) -> DataFrame:
     """Rows of the files in ``resolved`` with the contract's column names, by each file's own mapping.
 
     A canonical column that no column of the file maps to is NULL. Names differ per file, so a row's cells are
-    looked up by name; the mapping is one short row per file.
+    looked up by name; the mapping is one short row per file. ``files``: how many there are, if counted.
     """
     mapping = resolved.where(F.col("schema") == contract.name).groupBy(F.col("file_id").alias("file")).agg(F.map_from_entries(F.collect_list(F.struct("canonical", "column_name"))).alias("_names"))
-    rows = as_cells(landed).select(*TAGS, F.col("cells").alias("_cells")).join(mapping, "file")
+    rows = _of_file(as_cells(landed).select(*TAGS, F.col("cells").alias("_cells")), mapping, files)
     return rows.select(*TAGS, *[F.try_element_at("_cells", F.try_element_at("_names", F.lit(c))).alias(c) for c in contract.required])
 
 
@@ -35,16 +43,17 @@ def ingest_report(landed: DataFrame, contracts: Sequence[Contract], similarity:
     landed = as_cells(landed)
     catalogue = cell_columns(landed)
     resolved = resolve_columns(catalogue, contracts, similarity=similarity)
-    detected = detect_contract(score_contracts(catalogue, resolved, contracts))
+    detected = materialise(detect_contract(score_contracts(catalogue, resolved, contracts)), "ingest-contracts")
+    files = detected.count()
     chosen = resolved.join(detected, "file_id").where(F.col("schema") == F.col("matched_schema"))
     used = chosen.groupBy("file_id").agg(F.count_distinct("canonical").alias("mapped"))
     columns = catalogue.groupBy("file_id").agg(F.count(F.lit(1)).alias("columns"))
     tagged, counts = {}, []
     for contract in contracts:
         present = chosen.where(F.col("schema") == contract.name).groupBy(F.col("file_id").alias("file")).agg(F.collect_set("canonical").alias("_present"))
-        rows = tag_errors(rename_columns(landed, chosen, contract), contract, within=["file"])
+        rows = tag_errors(rename_columns(landed, chosen, contract, files), contract, within=["file"])
         # What a whole file lacks is said once in its report, not in each of its rows.
-        rows = rows.join(present, "file").withColumn("errors", F.filter("errors", lambda e: F.array_contains("_present", e["column"]))).drop("_present")
+        rows = _of_file(rows, present, files).withColumn("errors", F.filter("errors", lambda e: F.array_contains("_present", e["column"]))).drop("_present")
         tagged[contract.name] = rows
         counts.append(rows.groupBy("file").agg(F.count_if(F.size("errors") == 0).alias("valid"), F.count_if(F.size("errors") > 0).alias("invalid")))
     validated = counts[0]

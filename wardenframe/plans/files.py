@@ -141,6 +141,8 @@ def landing_folder_report(spark, sf_dir):
 
 
 _SHAPES = "CASE WHEN claim_status = 'PAID' THEN 'aliases' WHEN claim_status = 'DENIED' THEN 'wrapped' WHEN claim_status = 'PENDING' THEN 'reordered' ELSE 'plain' END"
+#: Claims for each of which every kind of file gets one more part, beyond three: writers of a few parts would sort whole tables.
+CLAIMS_PER_PART = 1_000_000
 _INGESTED = ("claim_id", "member_id", "provider_id", "claim_date", "claim_amount", "claim_status", "denial_code")
 
 
@@ -157,11 +159,12 @@ def landing_ingest(spark, sf_dir):
 
     A kind of file is written by key, so that copies of a key are in one file, and summed up for the comparison.
     """
+    files = max(3, -(-read_table(spark, sf_dir, "lineitem").count() // CLAIMS_PER_PART))
     claims = views.claims_raw(spark, sf_dir).select(*_INGESTED).withColumn("shape", F.expr(_SHAPES))
     folder = scratch_path(spark, "ingest")
 
     def part(name):
-        return claims.where(F.col("shape") == name).drop("shape").repartition(3, "claim_id")
+        return claims.where(F.col("shape") == name).drop("shape").repartition(files, "claim_id")
 
     aliases = {"claim_id": "Claim Number", "member_id": "patient_id", "provider_id": "NPI", "claim_date": "dos", "claim_amount": "Billed-Amount", "claim_status": "status", "denial_code": "denial_reason"}
     sinks.write_csv(part("aliases").select(F.lit("x").alias("note"), *[F.col(c).alias(a) for c, a in aliases.items()], F.lit("y").alias("batch")), f"{folder}/aliases")
