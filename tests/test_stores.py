@@ -137,3 +137,29 @@ def test_a_torn_document_sink_raises(spark, tmp_path):
     with pytest.raises(sinks.TornSinkError):
         sinks.verify_documents(spark, path)
     assert sinks.write_anomalies(df, str(tmp_path / "anomalies"))["records"] == 500
+
+
+def test_a_compressed_document_sink_holds_what_was_written(spark, tmp_path):
+    path = str(tmp_path / "anomalies")
+    df = spark.range(1000).repartition(2).selectExpr("id", "repeat('the same text ', 20) AS text", "id % 2 = 0 AS anomaly_detected")
+    assert sinks.write_anomalies(df, path, compression="gzip")["records"] == 500
+    parts = sorted(glob.glob(f"{path}/part-*"))
+    assert parts and sum(os.path.getsize(p) for p in parts) < 500 * 280 / 5
+    assert {(r.id, r.text) for r in spark.read.json(path).collect()} == {(i, "the same text " * 20) for i in range(0, 1000, 2)}
+    os.remove(parts[0])
+    with pytest.raises(sinks.TornSinkError):
+        sinks.verify_documents(spark, path)
+
+
+def test_prescriber_documents_rule_the_table_once(spark, tmp_path):
+    """The count before the risk and the documents read rows that were written."""
+    from wardenframe.plans import knowledge
+
+    spark.range(60).selectExpr(
+        "id % 20 AS l_orderkey", "id % 6 AS l_partkey", "id % 4 AS l_suppkey", "CAST(id % 50 AS DOUBLE) AS l_quantity", "id * 1000.0D AS l_extendedprice",
+        "CAST(make_date(1996 + CAST(id % 4 AS INT), 1, 1) AS TIMESTAMP) AS l_shipdate",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(20).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(6).selectExpr("id AS p_partkey", "concat('B', id % 3) AS p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    docs = knowledge.prescriber_documents(spark, str(tmp_path))
+    assert docs.count() > 0 and docs.inputFiles() and all("prescriber-fused" in f for f in docs.inputFiles())

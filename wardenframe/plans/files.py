@@ -195,9 +195,9 @@ def pharmacy_json_sink(spark, sf_dir):
     pr.FUSED_SQL + f" SELECT CAST(npi AS VARCHAR) AS record_id, true AS anomaly_detected, CAST(round(CAST(CAST(isolation_score AS VARCHAR) AS DECIMAL(30,20)), 6) AS DOUBLE) AS ml_anomaly_score FROM pr_fused WHERE {pr.DETECTED_SQL}",
 )
 def prescriber_anomaly_sink(spark, sf_dir):
-    """The anomalous records alone, as they are read back from the sink."""
+    """The anomalous records alone, as they are read back from the sink. Their texts repeat each other, so the files are compressed."""
     path = scratch_path(spark, "prescriber-json")
-    sinks.write_anomalies(prescriber_documents(spark, sf_dir), path)
+    sinks.write_anomalies(prescriber_documents(spark, sf_dir), path, compression="gzip")
     return spark.read.json(path).select("record_id", "anomaly_detected", F.col("ml_anomaly_score").cast("double").alias("ml_anomaly_score"))
 
 

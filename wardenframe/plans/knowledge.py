@@ -383,7 +383,8 @@ def prescriber_document_fields(spark, sf_dir):
 
 
 def prescriber_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = ps.root_causes(pr.fused(spark, sf_dir))
+    # Written once: the rows are counted before the risk, and the count would join and rule the whole table again.
+    df = materialise(ps.root_causes(pr.fused(spark, sf_dir)), "prescriber-fused")
     breached = sla.prescriber_breach(df, workload_seconds=900.0, batch_size=1000).withColumn("causes", ca.lifted_causes(pr._flags(df)))
     return rc.prescriber_document(ps.record_verdict(breached, F.size("causes")), "npi")
 

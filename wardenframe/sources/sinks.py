@@ -37,10 +37,10 @@ def _measured() -> list[Column]:
     return [F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.xxhash64("value").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("checksum")]
 
 
-def write_documents(df: DataFrame, path: str) -> dict[str, int]:
+def write_documents(df: DataFrame, path: str, compression: str = "none") -> dict[str, int]:
     """Nested records as JSON lines, written in parallel; what the write counted, after it has been read back."""
     seen = Observation()
-    _document(df).observe(seen, *_measured()).write.text(path)
+    _document(df).observe(seen, *_measured()).write.option("compression", compression).text(path)
     written = {k: int(v) for k, v in seen.get.items()}
     df.sparkSession.createDataFrame([(written["records"], str(written["checksum"]))], "records long, checksum string").coalesce(1).write.json(f"{path.rstrip('/')}.counts")
     verify_documents(df.sparkSession, path)
@@ -55,9 +55,9 @@ def verify_documents(spark: SparkSession, path: str) -> None:
         raise TornSinkError(f"{path} holds {found['records']} records, {noted['records']} were written, or others than these")
 
 
-def write_anomalies(df: DataFrame, path: str, flag: str = "anomaly_detected") -> dict[str, int]:
+def write_anomalies(df: DataFrame, path: str, flag: str = "anomaly_detected", compression: str = "none") -> dict[str, int]:
     """Only the anomalous records."""
-    return write_documents(df.where(F.col(flag)), path)
+    return write_documents(df.where(F.col(flag)), path, compression)
 
 
 def write_validated(tagged: DataFrame, contract: Contract, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
